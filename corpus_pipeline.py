@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from helixframe.llm import decontamination, packing, toxicity
+from helixframe.llm import decontamination, line_dedup, minhash, packing, toxicity
 from helixframe.llm.queries import public_tokenizer
 from helixframe.plans.staging import checkpoint_dir, staged, table
 
@@ -17,6 +18,17 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.reject_toxic(docs, staged(toxicity.fit(docs, labels)))
 
 
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that an earlier one has; what nothing is left of goes."""
+    left = line_dedup.dedup_lines(docs)
+    return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return minhash.keep_one(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of the benchmark."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -29,6 +41,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", reject_toxic),
+    ("line dedup", dedup_lines),
+    ("near dedup", near_dedup),
     ("decontamination", decontaminate),
     ("packing", pack),
 ]

@@ -183,4 +183,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     if remove == "documents":
         return found.filter(clean).select("row.*")
     cut = F.when(clean, F.col("text")).otherwise(F.udf(_cut, T.StringType(), useArrow=True)("text", "hit_spans"))
-    return found.select("row.*", cut.alias("_cut")).withColumn(text_col, F.col("_cut")).select(docs.columns)
+    return found.select(*[(cut if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import decontamination, packing, toxicity
+from helixframe.llm import chat, decontamination, html, line_dedup, minhash, packing, toxicity, warc
 from helixframe.plans.staging import staged, table
 
 
@@ -17,6 +17,17 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
         return file.read()
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    found = warc.read(spark, warc.write(pages)).withColumn("page", F.col("page").cast(kind))
+    return warc.resolved(found).select(F.col("page").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").filter(~toxicity.held_out())
@@ -25,6 +36,35 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines with words, how many of them stay, and the digest of what stays."""
+    marked = line_dedup.marked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("kept_text", F.lit(""))
+    return marked.select("row.doc_id", "n_lines", "n_kept", F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
+
+
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = "</s>[INST] ok [/INST]"
+    odd = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], turns.schema)
+    out = chat.formatted(chat.format_chats(turns.unionByName(odd)))
+    read = out.select("conv_id", "valid", chat.loss_text().alias("learned"), chat.parsed("text").alias("turns"), F.length("text").alias("n"))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(whole, 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.col("n").cast("long").alias("formatted_chars"),
+        "valid",
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizer())
 
@@ -43,8 +83,63 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html": op1_html,
+    "op3_warc": op3_warc,
     "op5_toxicity": op5_toxicity,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_minhash": op7_minhash,
+    "op8_chat": op8_chat,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: The control strings of the chat template, with a backslash behind the first character when escaped.
+_MARKS = r"(\[|<)(/?(?:SYS|INST|OUT|ROLE|TURN)\]|/s>)"
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+        q AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS top FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+               CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
+        FROM q
+    """,
+    "op6_line_dedup": """
+        WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+        l AS (SELECT doc_id, unnest(range(0, len(lines))) AS no, unnest(lines) AS line FROM docs),
+        w AS (SELECT *, list_filter(regexp_split_to_array(lower(line), '\\s+'), lambda x: x <> '') AS words FROM l),
+        f AS (SELECT words, len(words) AS n, min(struct_pack(d := doc_id, no := no)) AS place FROM w WHERE len(words) > 0 GROUP BY words),
+        v AS (SELECT words, place, i, list_concat(words[1:i - 1], words[i + 1:]) AS rest FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM f WHERE n >= 8)),
+        near AS (
+            SELECT a.words FROM v a JOIN v b ON a.rest = b.rest AND a.i = b.i WHERE b.place < a.place
+            UNION SELECT a.words FROM v a JOIN f b ON a.rest = b.words AND b.n >= 8 WHERE b.place < a.place
+            UNION SELECT a.words FROM f a JOIN v b ON b.rest = a.words AND a.n >= 8 WHERE b.place < a.place
+        ),
+        kept AS (SELECT place.d AS doc_id, place.no AS no FROM f WHERE words NOT IN (SELECT words FROM near)),
+        t AS (
+            SELECT w.doc_id, count(*) FILTER (len(words) > 0) AS n_lines, count(kept.no) AS n_kept,
+                   string_agg(line, chr(10) ORDER BY w.no) FILTER (len(words) = 0 OR kept.no IS NOT NULL) AS text
+            FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id AND w.no = kept.no GROUP BY w.doc_id
+        )
+        SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_kept, 0) AS n_kept,
+               CAST(length(coalesce(t.text, '')) AS BIGINT) AS n_chars, sha256(coalesce(t.text, '')) AS text_sha256
+        FROM docs d LEFT JOIN t ON d.doc_id = t.doc_id
+    """,
+    "op8_chat": f"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ),
+        e AS (
+            SELECT *, length(regexp_replace(replace(text, '\\', '\\\\'), '{_MARKS}', '\\1\\\\\\2', 'g')) AS n,
+                   CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 10 END AS marks
+            FROM c
+        )
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(n + marks) AS BIGINT) AS formatted_chars,
+               regexp_full_match(string_agg(role, ' ' ORDER BY turn), '(system )?user( assistant user)*( assistant)?') AS valid
+        FROM e GROUP BY conv_id
+    """,
+}

@@ -145,11 +145,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
 
 class Scorer:
     def __init__(self, model: list) -> None:
-        self.constant = sum(r["weight"] for r in model if r["term"] < 0)
+        self.constant = next((r["weight"] for r in model if r["term"] < 0), -20.0)
         own = [r for r in model if r["term"] >= 0]
         self.number = {r["term"]: i for i, r in enumerate(own)}
         self.weights = np.array([r["weight"] for r in own])
-        self.factors = np.array([r["factors"] for r in own]).reshape(len(own), -1)
+        self.factors = np.array([r["factors"] for r in own]).reshape(len(own), FACTORS)
         self.known: dict[bytes, tuple[int, ...]] = {}
 
     def terms(self, text: str | None) -> list[int]:
