@@ -15,7 +15,9 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,49 +26,103 @@ from pyspark.sql import types as T
 from helixframe.plans.staging import spread, staged
 
 #: Chunks of text whose ids a worker remembers; then it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 1_200_000
+#: Words that are encoded as one text.
+AT_ONCE = 1000
+#: Marks that the tokenizer splits from a word before them.
+MARKS = b".,;:!?%*#&$|"
 #: Groups that ranks are counted in, over all lengths together.
 RANK_GROUPS = 4096
 
-_tokenizers: dict[int, tuple] = {}
+_coders: dict[int, _Coder] = {}
 
 
-def _tokenizer(text: str) -> tuple:
-    """The tokenizer that a JSON text describes, and the ids of chunks seen so far."""
-    key = hash(text)
-    if key not in _tokenizers:
-        from tokenizers import Tokenizer
-
-        _tokenizers[key] = (Tokenizer.from_str(text), {})
-    return _tokenizers[key]
+class _Coder:
+    """The little-endian 32-bit ids of texts under one tokenizer that drops white space and lower-cases.
 
+    What stands on both sides of white space is never joined, so a text's ids
+    are those of its chunks, and a chunk is encoded only once.  Marks behind a
+    letter or a digit are tokens of their own; words of letters alone are encoded
+    many at a time and told apart by their last token, the only one with a word end.
+    """
 
-def _encoded(texts: list[str | None], tokenizer, known: dict[bytes, bytes]) -> Iterator[bytes]:
-    """The little-endian 32-bit ids of each text.
+    def __init__(self, text: str) -> None:
+        from tokenizers import Tokenizer
 
-    The tokenizer drops white space and never joins what stands on both sides
-    of it, so a text's ids are those of its chunks between white space, and a
-    chunk has to be encoded only once.
-    """
-    chunked = [(t or "").encode().split() for t in texts]
-    if len(known) > REMEMBERED:
-        known.clear()
-    new = list({c for chunks in chunked for c in chunks if c not in known})
-    if new:
-        for chunk, coded in zip(new, tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False), strict=True):
-            known[chunk] = array("I", coded.ids).tobytes()
-    for chunks in chunked:
-        yield b"".join(map(known.__getitem__, chunks))
+        self.tokenizer = Tokenizer.from_str(text)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
+
+    def _encode(self, chunks: list[bytes]) -> None:
+        coded = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
+        self.known.update((c, array("I", x.ids).tobytes()) for c, x in zip(chunks, coded, strict=True))
+
+    def _encode_words(self, words: list[str]) -> None:
+        for at in range(0, len(words), AT_ONCE):
+            part = words[at : at + AT_ONCE]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):  # a letter that lower-cases to more than letters
+                self._encode([w.encode() for w in part])
+                continue
+            raw, begin = ids.tobytes(), 0
+            for word, end in zip(part, (4 * ends).tolist(), strict=True):
+                self.known[word.encode()] = raw[begin:end]
+                begin = end
+
+    def _learn(self, new: set[bytes]) -> None:
+        parts = {}
+        words, others = set(), set()
+        for chunk in new:
+            word = chunk.rstrip(MARKS)
+            own = word.decode()
+            if word and own[-1].isalnum() and (own[-1].isalpha() or own[-1].isascii()):
+                if word != chunk:
+                    parts[chunk] = word, chunk[len(word) :]
+                    if parts[chunk][1] not in self.known:
+                        others.add(parts[chunk][1])
+                if word not in self.known:
+                    words.add(own) if own.isalpha() else others.add(word)
+            else:
+                others.add(chunk)
+        self._encode(list(others))
+        self._encode_words(list(words))
+        self.known.update((c, self.known[w] + self.known[m]) for c, (w, m) in parts.items())
+
+    def encoded(self, texts: list[str | None]) -> Iterator[bytes]:
+        if self.special(texts):
+            chunked = [[c if b"<|" in c else c.lower() for c in (t or "").encode().split()] for t in texts]
+        else:
+            chunked = [(t or "").encode().lower().split() for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        self._learn(set(chain.from_iterable(chunked)).difference(self.known))
+        for chunks in chunked:
+            yield b"".join(map(self.known.__getitem__, chunks))
+
+    @staticmethod
+    def special(texts: list[str | None]) -> bool:
+        """Whether a text may hold a special token, whose case counts."""
+        return any(t and "<|" in t for t in texts)
+
+
+def _coder(text: str) -> _Coder:
+    key = hash(text)
+    if key not in _coders:
+        _coders[key] = _Coder(text)
+    return _coders[key]
 
 
 def _pieces(batches, tokenizer_json, size: int, end_id: int, with_ids: bool):
-    tokenizer, known = _tokenizer(tokenizer_json.value)
+    coder = _coder(tokenizer_json.value)
     end = array("I", [end_id]).tobytes()
     for batch in batches:
         texts = batch.column(1).to_pylist()
         row, piece, start, length, crc, ids = [], [], [], [], [], []
         for at in range(0, len(texts), 128):
-            for i, coded in enumerate(_encoded(texts[at : at + 128], tokenizer, known), at):
+            for i, coded in enumerate(coder.encoded(texts[at : at + 128]), at):
                 coded += end
                 for n, begin in enumerate(range(0, len(coded), 4 * size)):
                     part = coded[begin : begin + 4 * size]

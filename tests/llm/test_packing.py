@@ -41,6 +41,7 @@ def test_query_matches_the_tokenizer(spark, tiny):
 def test_edges(spark):
     odd = [
         (1, None, "x"), (2, "", "x"), (2, "", "x"), (None, "Hello, world's 12 ñ", "y"), (4, "<|endoftext|> it's\t\n a", "z"), (5, "word " * 9000, None), (6, " \n ", ""),
+        (7, "İstanbul, éré. x½, 5½. ... don't. DON'T, ñ'S! <|ENDOFTEXT|> <|startoftext|>A b\u00a0c e\u0301, ΑΣ. (a). a).", "q"),
     ]
     docs = spark.createDataFrame(odd, "doc_id long, text string, piece string")
     rows = packing.pack(docs, public_tokenizer()).collect()
