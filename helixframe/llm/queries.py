@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import chat, decontamination, html, line_dedup, minhash, packing, toxicity, warc
+from helixframe.llm import chat, decontamination, embeddings, html, line_dedup, minhash, packing, toxicity, urls, warc
 from helixframe.plans.staging import staged, table
 
 
@@ -21,6 +21,16 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+#: (verdict, host, path)
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = urls.mined(pages, table(spark, sf_dir, "labels"))
+    return urls.judge(pages, rules, URL_RULES)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     kind = pages.schema["page_id"].dataType
@@ -28,6 +38,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved(found).select(F.col("page").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").filter(~toxicity.held_out())
@@ -84,7 +98,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html": op1_html,
+    "op2_urls": op2_urls,
     "op3_warc": op3_warc,
+    "op4_embeddings": op4_embeddings,
     "op5_toxicity": op5_toxicity,
     "op6_line_dedup": op6_line_dedup,
     "op7_minhash": op7_minhash,
