@@ -39,64 +39,71 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(F.lower(line), "\t\r\f\x0b", "    "), " "), "")
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("version"), F.col(text_col).alias("text"))
 
 
-def _halves(words: Column, n: Column) -> Column:
-    """Hashes of the first and the last half, for both lengths that a half of a partner may have."""
+def _halves(line: Column, n: Column) -> Column:
+    """The halves of a line of ``n`` words, for both lengths that a half of a partner may have: hash, and words of it, less than 0 for the last half."""
+    half = lambda h: F.struct(F.xxhash64(h, F.call_function("substring_index", line, F.lit(" "), h)).alias("half"), h.alias("at"))
     longer, shorter = (n / 2).cast("int"), ((n - 1) / 2).cast("int")
-    return F.array_distinct(
-        F.array(*[F.xxhash64(F.lit(side), F.slice(words, F.lit(1) if side else n - h + 1, h), h) for h in (longer, shorter) for side in (1, 0)])
-    )
+    return F.when(n % 2 == 1, F.array(half(longer), half(-longer))).otherwise(F.array(half(longer), half(-longer), half(shorter), half(-shorter)))
 
 
 def _earliest_lines(documents: DataFrame, near_words: int) -> DataFrame:
-    """Distinct lines: hashes, the earliest place, and the halves' hashes of lines that are compared by edits."""
-    lines = (
-        documents.select("id", "version", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        .withColumn("words", _words(F.col("line")))
-        .withColumn("n", F.size("words"))
-        .filter("n > 0")
-    )
+    """Distinct lines: hashes, the earliest place, and the halves of lines that are compared by edits."""
+    lines = documents.select("id", "version", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("words", _words(F.col("line")))
+    counted = lines.select("id", "version", "line_no", F.size("words").alias("n"), F.array_join("words", " ").alias("line")).filter("n > 0")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "version", "line_no")
-    halves = F.when(F.col("n") >= near_words, _halves(F.col("words"), F.col("n")))
-    hashed = lines.select(F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), place.alias("place"), halves.alias("halves"))
+    halves = F.when(F.col("n") >= near_words, _halves(F.col("line"), F.col("n")))
+    hashed = counted.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), place.alias("place"), halves.alias("halves"))
     return hashed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("halves").alias("halves"))
 
 
 def _candidates(lines: DataFrame) -> DataFrame:
-    """Lines that have a half in common with another line: h1, place."""
-    halves = lines.filter("halves is not null").select("h1", "place", F.explode("halves").alias("half"))
+    """Lines that have a half in common with another line: h1, place, and these halves."""
+    halves = lines.filter("halves is not null").select("h1", "place", F.inline("halves"))
     shared = staged(halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a != b").select("half"))
-    return halves.join(_small(shared), "half").select("h1", "place").distinct()
+    return halves.join(_small(shared), "half").groupBy("h1").agg(F.first("place").alias("place"), F.collect_set(F.struct("half", "at")).alias("halves"))
 
 
 def _without(words: Column, i: Column) -> Column:
-    """``words`` without the one at ``i``, counted from 1."""
-    return F.concat(F.slice(words, F.lit(1), i - 1), F.slice(words, i + 1, F.size(words)))
+    """``words`` without the one at ``i``, counted from 1; all of them for 0."""
+    return F.when(i == 0, words).otherwise(F.concat(F.slice(words, F.lit(1), i - 1), F.slice(words, i + 1, F.size(words))))
+
+
+def _variants(texts: DataFrame) -> DataFrame:
+    """h1, place, key and i for each line as it is (i = 0) and without the word at i.
+
+    An edit beside a half that two lines share is one in the rest of them, so the
+    half's hash and the variants of the rest are enough.
+    """
+    at = F.col("at")
+    lines = texts.select("h1", "place", F.transform("words", lambda w: F.xxhash64(w)).alias("w"), F.inline("halves"))
+    rest = F.when(at > 0, F.slice("w", at + 1, F.size("w"))).otherwise(F.slice("w", 1, F.size("w") + at))
+    keys = lambda w: F.transform(F.sequence(F.lit(0), F.size(w)), lambda i: F.xxhash64("half", _without(w, i)))
+    rows = lines.withColumn("rest", rest).select("h1", "place", "at", F.posexplode(keys(F.col("rest"))).alias("i", "key"))
+    return rows.select("h1", "place", "key", F.when(F.col("i") == 0, 0).otherwise(F.col("i") + F.greatest("at", F.lit(0))).alias("i"))
 
 
 def _near_lines(documents: DataFrame, lines: DataFrame) -> DataFrame:
     """h1 of the lines with an earlier line within one word edit."""
-    candidates = _candidates(lines)
-    wanted = staged(candidates.groupBy("place.id", "place.version").agg(F.collect_set(F.struct("place.line_no", "h1")).alias("wanted")))
+    line = F.struct("place.line_no", "h1", "halves")
+    wanted = staged(_candidates(lines).groupBy("place.id", "place.version").agg(F.collect_list(line).alias("wanted")))
     same_row = documents["id"].eqNullSafe(wanted["id"]) & (documents["version"] == wanted["version"])
-    split = F.split("text", "\n")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "version", "line.line_no")
     texts = staged(
         documents.join(_small(wanted), same_row)
-        .select(documents["id"], documents["version"], split.alias("lines"), F.explode("wanted").alias("line"))
-        .select("line.h1", F.struct(F.col("id").isNull().alias("no_id"), "id", "version", "line.line_no").alias("place"), _words(F.get("lines", F.col("line.line_no"))).alias("words"))
+        .select(documents["id"], documents["version"], F.split("text", "\n").alias("lines"), F.explode("wanted").alias("line"))
+        .select("line.h1", place.alias("place"), _words(F.get("lines", F.col("line.line_no"))).alias("words"), "line.halves")
         .dropDuplicates(["h1"])
     )
-    hashes = F.transform("words", lambda w: F.xxhash64(w))
-    keyed = texts.select("h1", "place", hashes.alias("w")).select(
-        "h1", "place", F.posexplode(F.concat(F.array(F.xxhash64("w")), F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.xxhash64(_without(F.col("w"), i))))).alias("i", "key")
-    )
-    variants = staged(keyed)  # i is the place of the word left out, 0 for the whole line
+    variants = _variants(texts)
+    common = staged(variants.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
+    variants = staged(variants.join(_small(common), "key"))  # those that meet another
     first = F.min(F.struct("place", "h1"))
     equal_place = variants.filter("i > 0").groupBy("key", "i").agg(first.alias("hub"))
     whole = variants.filter("i = 0").groupBy("key").agg(first.alias("hub"))
@@ -107,11 +114,11 @@ def _near_lines(documents: DataFrame, lines: DataFrame) -> DataFrame:
         variants.filter("i > 0").join(equal_place, ["key", "i"]).filter(earlier).select(*pair, F.col("i").alias("i"), F.col("i").alias("j"))
         .unionAll(variants.filter("i > 0").join(whole, "key").filter(earlier).select(*pair, "i", F.lit(0)))
         .unionAll(variants.filter("i = 0").join(shorter, "key").filter(earlier).select(*pair, "i", F.col("hub.i")))
-        .groupBy("h1", "other").agg(F.min_by(F.struct("i", "j"), F.struct("i", "j")).alias("at"))
+        .distinct()
     )
     other = texts.select(F.col("h1").alias("other"), F.col("words").alias("other_words"))
-    rest = lambda words, i: F.when(F.col(i) == 0, F.col(words)).otherwise(_without(F.col(words), F.col(i)))
-    return pairs.join(texts.select("h1", "words"), "h1").join(other, "other").filter(rest("words", "at.i") == rest("other_words", "at.j")).select("h1").distinct()
+    same = _without(F.col("words"), F.col("i")) == _without(F.col("other_words"), F.col("j"))
+    return pairs.join(texts.select("h1", "words"), "h1").join(other, "other").filter(same).select("h1").distinct()
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_words: int = NEAR_WORDS) -> DataFrame:
@@ -126,16 +133,17 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near
     lines = staged(_earliest_lines(documents, near_words))
     near = staged(_near_lines(documents, lines))
     kept = lines.join(_small(near), "h1", "left_anti").groupBy("place.id", "place.version").agg(F.collect_set("place.line_no").alias("kept"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("row_id"), F.xxhash64(F.col(text_col)).alias("row_version"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("row_id"), F.xxhash64(F.col(text_col)).alias("row_version"))
+    text = F.col("row").getField(text_col)
     joined = rows.join(kept, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_version") == F.col("version")), "left")
-    split = joined.withColumn("lines", F.split("text", "\n")).withColumn("kept", F.coalesce("kept", F.expr("array()").cast("array<int>")))
+    split = joined.withColumn("lines", F.split(text, "\n")).withColumn("kept", F.coalesce("kept", F.expr("array()").cast("array<int>")))
     blank = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: ~F.get("lines", i).rlike(r"\S"))
-    blanks = split.withColumn("blank", F.when(F.col("text").isNull(), F.expr("array()").cast("array<int>")).otherwise(blank))
+    blanks = split.withColumn("blank", F.when(text.isNull(), F.expr("array()").cast("array<int>")).otherwise(blank))
     at = F.array_sort(F.array_union("kept", "blank"))
-    text = F.array_join(F.transform(at, lambda i: F.get("lines", i)), "\n")
+    left = F.array_join(F.transform(at, lambda i: F.get("lines", i)), "\n")
     return blanks.select(
         "row",
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("lines") - F.size("blank")).cast("long").alias("n_lines"),
+        F.when(text.isNull(), 0).otherwise(F.size("lines") - F.size("blank")).cast("long").alias("n_lines"),
         F.size("kept").cast("long").alias("n_kept"),
-        F.when(F.col("text").isNotNull(), text).alias("kept_text"),
+        F.when(text.isNotNull(), left).alias("kept_text"),
     )
