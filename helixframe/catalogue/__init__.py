@@ -6,11 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from helixframe.catalogue import alignment, prep
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-
-from helixframe.catalogue import prep  # noqa: E402
-
-for _part in (prep,):
+for _part in (prep, alignment):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL

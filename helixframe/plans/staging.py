@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -32,6 +33,15 @@ def staged(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows up to which a table is broadcast; beyond, joins shuffle it.
+SMALL = 300_000
+
+
+def broadcast_if_small(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """``df`` marked for broadcast if the staged table ``of`` (``df`` itself unless named), no shorter than it, is small."""
+    return broadcast(df) if (df if of is None else of).limit(SMALL + 1).count() <= SMALL else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores.
 
