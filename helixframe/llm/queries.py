@@ -111,6 +111,11 @@ QUERIES = {
 #: The control strings of the chat template, with a backslash behind the first character when escaped.
 _MARKS = r"(\[|<)(/?(?:SYS|INST|OUT|ROLE|TURN)\]|/s>)"
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_WORDS = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+#: Least node reachable from each, from links both ways.
+_REACH = """r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), c AS (SELECT a, min(b) AS low FROM r GROUP BY a)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
@@ -158,4 +163,35 @@ ORACLE_SQL: dict[str, str] = {
                regexp_full_match(string_agg(role, ' ' ORDER BY turn), '(system )?user( assistant user)*( assistant)?') AS valid
         FROM e GROUP BY conv_id
     """,
+    "op4_embeddings": f"""
+        WITH RECURSIVE u AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.9),
+        {_REACH},
+        k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n_, 0) AS n_links, coalesce(least(vec_id, low), vec_id) AS component_id, coalesce(least(vec_id, low), vec_id) = vec_id AS kept
+        FROM (SELECT vec_id, k.n AS n_, c.low FROM embeddings LEFT JOIN k ON k.a = vec_id LEFT JOIN c ON c.a = vec_id)
+    """,
+    "op7_minhash": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+        g AS (SELECT DISTINCT doc_id, words[i:i + 3] AS s FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        l AS (
+            SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM g x JOIN g y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+            JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * m >= 80 * (x.n + y.n - m)
+        ),
+        {_REACH}
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least(d.doc_id, low), d.doc_id) AS component_id, coalesce(least(d.doc_id, low), d.doc_id) = d.doc_id AS kept
+        FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id
+    """,
+    "op10_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents), b AS (SELECT item_id, {_WORDS} AS words FROM benchmark),
+        bw AS (SELECT DISTINCT item_id, words[i:i + 9] AS s FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS i FROM b WHERE len(words) > 0)),
+        k AS (SELECT DISTINCT len(s) AS k FROM bw),
+        dw AS (SELECT doc_id, i, k, words[i:i + k - 1] AS s FROM (SELECT doc_id, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM d, k WHERE len(words) >= k)),
+        h AS (SELECT doc_id, i, k, item_id FROM dw JOIN bw USING (s)),
+        p AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS place FROM h) GROUP BY 1),
+        t AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY 1)
+        SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(p.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, p.n IS NOT NULL AS contaminated
+        FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
+    """,
 }
