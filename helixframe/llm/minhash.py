@@ -8,9 +8,11 @@ sets confirm them.
 
 Documents with equal sets are one class.  In each band bucket the classes are
 first compared with the bucket's least one.  Connected components of the
-confirmed links follow; then all classes that share a bucket but not a component
-are compared, so a large group costs about one comparison for each member while
-no proposed link between components is left out.
+confirmed links follow; then the classes that share a bucket but not a component
+are compared.  Of these, pairs are left out that cannot be similar enough: dealt
+out over parts by hash, two sets have in common at most the lesser of their
+counts in each part, shingles that no other document there has left aside.  So a large group costs about one comparison for each member
+while no proposed link between components is lost.
 
 Defined results: A-Z are lower-cased; a null or empty text, or one of white
 space, has no shingles and links with nothing; a text of fewer words than a
@@ -29,10 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixframe.plans.components import components
-from helixframe.plans.staging import spread, staged
+from helixframe.plans.staging import broadcast_if_small, spread, staged
 
 #: Bands and coordinates in each: a pair at a similarity of 0.8 is missed by all with a probability of 3e-6.
 BANDS, ROWS = 24, 4
+#: Parts that shingles are dealt out over to bound what two sets have in common; divides 2^64.
+PARTS = 64
 #: Words whose hashes a worker remembers.
 REMEMBERED = 1_000_000
 
@@ -129,10 +133,47 @@ def _confirm(batches, width: int, percent: int):
         yield pa.RecordBatch.from_arrays([a.take(at), b.take(at)], ["a", "b"])
 
 
+def _low(shingles: np.ndarray) -> int:
+    """Half of the digest that tells equal sets."""
+    return int(np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), "<i8")[1])
+
+
+def _shingles(batches, width: int):
+    """low (as in the features) and shingle, a row for each shingle of each text."""
+    for batch in batches:
+        for text in batch.column(1):
+            own = shingle_set(text.as_py(), width)
+            if len(own):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), _low(own))), pa.array(own.view(np.int64))], ["low", "shingle"])
+
+
+def _counts(batches, width: int):
+    """low and how many shingles of a text fall into each part."""
+    for batch in batches:
+        low, parts = [], []
+        for text in batch.column(1):
+            own = shingle_set(text.as_py(), width)
+            low.append(_low(own))
+            parts.append(np.bincount((own % _U64(PARTS)).astype(int), minlength=PARTS))
+        yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(parts, pa.list_(pa.int32()))], ["low", "parts"])
+
+
+def shared_parts(texts: DataFrame, width: int) -> DataFrame:
+    """low, parts: how many shingles of a set that some other row of ``texts`` has fall into each part."""
+    rows = texts.mapInArrow(lambda b: _shingles(b, width), "low long, shingle long")
+    once = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("low").alias("low")).filter("n = 1")
+    own = once.groupBy("low", F.pmod(F.col("shingle"), F.lit(PARTS)).cast("int").alias("part")).agg(F.count("*").cast("int").alias("n"))
+    own = own.groupBy("low").agg(F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("own"))  # at most PARTS entries
+    counts = texts.mapInArrow(lambda b: _counts(b, width), "low long, parts array<int>").dropDuplicates(["low"])
+    left = F.transform("parts", lambda n, p: n - F.coalesce(F.try_element_at("own", p), F.lit(0)))
+    return counts.join(own, "low", "left").select("low", left.alias("parts"))
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough; ``texts`` has doc_id and text, one row for each id."""
-    first = texts.join(pairs.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    second = texts.join(pairs, texts["doc_id"] == pairs["b"]).select("a", "b", F.col("text").alias("b_text"))
+    """The pairs (a, b), which are staged, whose full shingle sets are similar enough; ``texts`` has doc_id and text."""
+    hubs = broadcast_if_small(pairs.select(F.col("a").alias("doc_id")).distinct(), of=pairs)
+    first = texts.join(hubs, "doc_id", "left_semi")
+    second = texts.join(broadcast_if_small(pairs), texts["doc_id"] == pairs["b"]).select("a", "b", F.col("text").alias("b_text"))
     both = first.withColumnsRenamed({"doc_id": "a", "text": "a_text"}).join(second, "a").select("a", "b", "a_text", "b_text")
     kind = pairs.schema["a"].dataType
     return both.mapInArrow(lambda x: _confirm(x, width, percent), T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
@@ -152,7 +193,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     classes = linked.groupBy("high", "low").agg(F.min("doc_id").alias("rep"))
     members = features.drop("bands").join(classes, ["high", "low"], "left")
     own = linked.join(classes.select(F.col("high").alias("h"), F.col("low").alias("l"), "rep"), (F.col("high") == F.col("h")) & (F.col("low") == F.col("l")) & (F.col("doc_id") == F.col("rep")), "left_semi")
-    rows = own.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
+    rows = own.select("doc_id", "low", "n_shingles", F.explode("bands").alias("key"))
     hubs = rows.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles")).alias("hub"), F.max("doc_id").alias("last")).filter("last != hub.doc_id")
     buckets = staged(rows.join(hubs.select("key", "hub"), "key"))
 
@@ -167,13 +208,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     links = staged(confirmed(pairs, texts, width, percent))
     found = components(links)
 
-    placed = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("other")).filter("first != other")
-    open_ = staged(placed.join(mixed.select("key", "first"), "key"))
-    probes = open_.filter("component != first").select("key", F.col("doc_id").alias("p"), F.col("n_shingles").alias("pn"), F.col("component").alias("pc"))
-    across = (
-        probes.join(open_, "key").filter("pc != component").filter(alike("pn", "n_shingles")).select(F.least("p", "doc_id").alias("a"), F.greatest("p", "doc_id").alias("b")).distinct()
-    )
+    def mixed(rows: DataFrame) -> DataFrame:
+        """The rows of buckets with several components, and the first of these."""
+        several = rows.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("other")).filter("first != other")
+        return rows.join(several.select("key", "first"), "key")
+
+    component = F.coalesce("component", "doc_id").alias("component")
+    open_ = staged(mixed(buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "low", "n_shingles", component)).drop("first"))
+    ids = staged(open_.select("doc_id").distinct())
+    shared = shared_parts(texts.join(broadcast_if_small(ids), "doc_id", "left_semi"), width)
+    total = lambda x: F.aggregate(x, F.lit(0), lambda s, n: s + n)
+    alive = open_.join(shared, "low").withColumn("common", total("parts")).filter(100 * F.col("common") >= percent * F.col("n_shingles"))
+    alive = staged(mixed(alive.drop("low")))
+    probes = alive.filter("component != first").select("key", *[F.col(c).alias(f"p_{c}") for c in ("doc_id", "n_shingles", "component", "common", "parts")])
+    bound = lambda common: (100 + percent) * common >= percent * (F.col("n_shingles") + F.col("p_n_shingles"))
+    other = F.col("p_component") != F.col("component")
+    parts = total(F.zip_with("parts", "p_parts", lambda a, b: F.least(a, b)))
+    met = probes.join(alive, "key").filter(other & bound(F.least("common", "p_common")) & bound(parts))
+    across = met.select(F.least("p_doc_id", "doc_id").alias("a"), F.greatest("p_doc_id", "doc_id").alias("b")).distinct()
     more = confirmed(staged(across.join(pairs, ["a", "b"], "left_anti")), texts, width, percent)
     found = components(links.unionAll(more))
 
