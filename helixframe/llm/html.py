@@ -46,42 +46,60 @@ CLOSES = {
     "option": (frozenset({"option"}), frozenset({"select"})),
 }
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|outbrain|taboola|nav|navbar|navigation|menu|menus|breadcrumbs?|sidebar|side-?bar|side|aside|widgets?|footer|foot|header|masthead|topbar"
-    r"|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|subscribe|subscription|newsletter|signup|sign-?up|login|paywall"
-    r"|comments?|commentlist|respond|reply|replies|disqus|discussion|share|sharing|social|related|recommend\w*|pagination|pager|tags?|search|toolbar|skip-?link|copyright|legal)(?:$|[\s_-])",
-    re.I,
+# Parts of class names and ids of what is no content; of reader comments; what turns them round in front; titles of articles.
+UNLIKELY = frozenset(
+    "ad ads advert adverts advertisement advertising adsense adsbygoogle banner sponsor sponsored sponsors promo promos promoted promotion outbrain taboola nav navbar navigation menu menus breadcrumb "
+    "breadcrumbs sidebar sidebars aside widget widgets footer foot header masthead topbar cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay subscribe "
+    "subscription newsletter signup login signin paywall share sharing social follow related recommended recommendations recommendation pagination pager paging tags search toolbar copyright legal form forms".split()
 )
+COMMENTS = frozenset("comment comments commentlist commenting respond reply replies disqus discussion".split())
+TURNED = frozenset("has with without no not is".split())
+TITLED = frozenset("article post entry content story title".split())
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text|blog|hentry)(?:$|[\s_-])", re.I)
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+#: Links and their share of the text from which on a list or a division is a menu.
+MENU_LINKS, MENU_SHARE = 3, 0.8
 PARAGRAPHS = frozenset("p pre blockquote td li dd h1 h2 h3 h4 h5 h6 figcaption".split())
 BONUS = {"article": 25.0, "main": 20.0, "section": 3.0, "div": 5.0, "td": 3.0, "blockquote": 3.0, "pre": 3.0, "form": -3.0, "ul": -3.0, "ol": -3.0, "th": -5.0}
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "items", "cut", "score", "length", "linked")
+    __slots__ = ("tag", "names", "parent", "items", "cut", "score", "length", "linked", "links")
 
     def __init__(self, tag: str, names: str, parent: Node | None, cut: bool) -> None:
         self.tag, self.names, self.parent, self.cut = tag, names, parent, cut
         self.items: list = []  # strings and nodes
         self.score = 0.0
-        self.length = self.linked = 0
+        self.length = self.linked = self.links = 0
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)} if text else {}
 
 
+def _unlikely(names: str, only_comments: bool) -> bool:
+    """Whether a class or an id names no content."""
+    for name in names.split():
+        parts = [p.lower() for p in _PARTS.findall(name)]
+        if not parts or parts[0] in TURNED:
+            continue
+        found = COMMENTS.intersection(parts) or not only_comments and UNLIKELY.intersection(parts)
+        if found and not (found == {"header"} and TITLED.intersection(parts)):
+            return True
+    return False
+
+
 def _is_cut(tag: str, own: dict[str, str], inside_article: bool) -> bool:
     if tag in NO_CONTENT or tag == "header" and not inside_article:
         return True
-    if not own or tag in ("body", "html", "article", "main"):
+    if not own or tag in ("body", "html"):
         return False
     if "hidden" in own or own.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", own.get("style", ""), re.I):
         return True
     if own.get("role", "").lower() in ROLES:
         return True
     names = f"{own.get('class', '')} {own.get('id', '')}"
-    return bool(names.strip()) and bool(UNLIKELY.search(names)) and not LIKELY.search(names)
+    return bool(names.strip()) and _unlikely(names, tag in ("article", "main"))
 
 
 def tree(html: str) -> tuple[Node, list[Node]]:
@@ -192,8 +210,14 @@ def main_text(html: str | None) -> str:
             elif id(x) not in inside_cut:
                 n.length += x.length
                 n.linked += x.length if x.tag == "a" else x.linked
+                n.links += 1 if x.tag == "a" else x.links
+        if n.tag in ("ul", "ol", "div", "table") and n.links >= MENU_LINKS and n.linked > MENU_SHARE * n.length:
+            n.cut = True
+            inside_cut.add(id(n))
     scored: dict[int, Node] = {}
     for n in live:
+        if id(n) in inside_cut:
+            continue
         paragraph = n.tag in PARAGRAPHS or n.tag in ("div", "section") and any(isinstance(x, str) and x.strip() for x in n.items)
         if not paragraph or not n.length:
             continue

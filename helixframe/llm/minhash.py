@@ -38,7 +38,7 @@ BANDS, ROWS = 24, 4
 #: Parts that shingles are dealt out over to bound what two sets have in common; divides 2^64.
 PARTS = 64
 #: Words whose hashes a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 _U64, _U32 = np.uint64, np.uint32
 _FACTORS = np.random.default_rng(11).integers(0, 2**63, 64, dtype=np.uint64) * _U64(2) + _U64(1)

@@ -47,6 +47,24 @@ def test_inner_parts_go():
     assert html.main_text(PAGE % f"<article>{inner}</article>") == TEXT
 
 
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<div class="post-comments"><p>Nice, one.</p></div>', '<section id="mainSidebar"><p>About, me.</p></section>', '<div class="article-footer">Filed, here</div>', '<ins class="adsbygoogle">Buy, it</ins>',
+        '<div role="alert">Watch, out</div>', "<div><a href=1>One</a> <a href=2>Two</a> <a href=3>Three</a></div>", '<article class="comment-body"><p>Me, too.</p></article>', "<dialog>Hi, there</dialog>",
+        '<div style="display: none">Hidden, text</div>', "<noscript><p>Turn, it on</p></noscript>", '<div class="cookieConsent">We, use</div>', '<ul class="main-menu"><li>Home<li>More</ul>',
+    ],
+)
+def test_no_content(part):
+    assert html.main_text(PAGE % f"<article>{BODY}{part}</article>") == TEXT
+    assert html.main_text(PAGE % f'<div class="content has-sidebar">{part}{BODY}</div>') == TEXT
+
+
+def test_content_by_name():
+    inner = '<header class="entry-header"><h1>The title</h1></header><div class="post tag-travel with-sidebar"><p>Some, text.</p></div><div class="article-header"><p>Lead, in.</p></div>'
+    assert html.main_text(PAGE % f"<article>{inner}</article>") == "The title\n\nSome, text.\n\nLead, in."
+
+
 def test_edges(spark):
     assert html.main_text(None) == html.main_text("") == html.main_text("<html>") == ""
     assert html.main_text("plain, text &lt;3") == "plain, text <3"
