@@ -25,17 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.plans.staging import staged
+from helixframe.plans.staging import broadcast_if_small, staged
 
 #: Words from which on lines are compared by edits.
 NEAR_WORDS = 8
-#: Rows up to which a table is broadcast; beyond, the join is shuffled.
-SMALL = 300_000
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """``df``, which is staged, marked for broadcast if it is small."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
 def _words(line: Column) -> Column:
@@ -67,7 +60,7 @@ def _candidates(lines: DataFrame) -> DataFrame:
     """Lines that have a half in common with another line: h1, place, and these halves."""
     halves = lines.filter("halves is not null").select("h1", "place", F.inline("halves"))
     shared = staged(halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a != b").select("half"))
-    return halves.join(_small(shared), "half").groupBy("h1").agg(F.first("place").alias("place"), F.collect_set(F.struct("half", "at")).alias("halves"))
+    return halves.join(broadcast_if_small(shared), "half").groupBy("h1").agg(F.first("place").alias("place"), F.collect_set(F.struct("half", "at")).alias("halves"))
 
 
 def _without(words: Column, i: Column) -> Column:
@@ -76,17 +69,17 @@ def _without(words: Column, i: Column) -> Column:
 
 
 def _variants(texts: DataFrame) -> DataFrame:
-    """h1, place, key and i for each line as it is (i = 0) and without the word at i.
+    """h1, key and i for each line as it is (i = 0) and without the word at i.
 
     An edit beside a half that two lines share is one in the rest of them, so the
     half's hash and the variants of the rest are enough.
     """
     at = F.col("at")
-    lines = texts.select("h1", "place", F.transform("words", lambda w: F.xxhash64(w)).alias("w"), F.inline("halves"))
+    lines = texts.select("h1", F.transform("words", lambda w: F.xxhash64(w)).alias("w"), F.inline("halves"))
     rest = F.when(at > 0, F.slice("w", at + 1, F.size("w"))).otherwise(F.slice("w", 1, F.size("w") + at))
     keys = lambda w: F.transform(F.sequence(F.lit(0), F.size(w)), lambda i: F.xxhash64("half", _without(w, i)))
-    rows = lines.withColumn("rest", rest).select("h1", "place", "at", F.posexplode(keys(F.col("rest"))).alias("i", "key"))
-    return rows.select("h1", "place", "key", F.when(F.col("i") == 0, 0).otherwise(F.col("i") + F.greatest("at", F.lit(0))).alias("i"))
+    rows = lines.withColumn("rest", rest).select("h1", "at", F.posexplode(keys(F.col("rest"))).alias("i", "key"))
+    return rows.select("h1", "key", F.when(F.col("i") == 0, 0).otherwise(F.col("i") + F.greatest("at", F.lit(0))).alias("i"))
 
 
 def _near_lines(documents: DataFrame, lines: DataFrame) -> DataFrame:
@@ -96,14 +89,13 @@ def _near_lines(documents: DataFrame, lines: DataFrame) -> DataFrame:
     same_row = documents["id"].eqNullSafe(wanted["id"]) & (documents["version"] == wanted["version"])
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "version", "line.line_no")
     texts = staged(
-        documents.join(_small(wanted), same_row)
+        documents.join(broadcast_if_small(wanted), same_row)
         .select(documents["id"], documents["version"], F.split("text", "\n").alias("lines"), F.explode("wanted").alias("line"))
         .select("line.h1", place.alias("place"), _words(F.get("lines", F.col("line.line_no"))).alias("words"), "line.halves")
-        .dropDuplicates(["h1"])
     )
-    variants = _variants(texts)
+    variants = staged(_variants(texts))
     common = staged(variants.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
-    variants = staged(variants.join(_small(common), "key"))  # those that meet another
+    variants = staged(variants.join(broadcast_if_small(common), "key").join(texts.select("h1", "place"), "h1"))  # those that meet another
     first = F.min(F.struct("place", "h1"))
     equal_place = variants.filter("i > 0").groupBy("key", "i").agg(first.alias("hub"))
     whole = variants.filter("i = 0").groupBy("key").agg(first.alias("hub"))
@@ -132,7 +124,7 @@ def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near
     documents = _documents(docs, id_col, text_col)
     lines = staged(_earliest_lines(documents, near_words))
     near = staged(_near_lines(documents, lines))
-    kept = lines.join(_small(near), "h1", "left_anti").groupBy("place.id", "place.version").agg(F.collect_set("place.line_no").alias("kept"))
+    kept = lines.join(broadcast_if_small(near), "h1", "left_anti").groupBy("place.id", "place.version").agg(F.collect_set("place.line_no").alias("kept"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("row_id"), F.xxhash64(F.col(text_col)).alias("row_version"))
     text = F.col("row").getField(text_col)
     joined = rows.join(kept, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_version") == F.col("version")), "left")
