@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from helixframe.operators import alignment as A
 from helixframe.operators import encoding as E
