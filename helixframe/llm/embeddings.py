@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixframe.plans.components import components
-from helixframe.plans.staging import spread, staged
+from helixframe.plans.staging import broadcast_if_small, spread, staged
 
 #: Probability that a pair at the threshold meets in some table.
 RECALL = 0.998
@@ -185,9 +185,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float =
     schema = T.StructType([kind, given.schema["vec"], T.StructField("high", T.LongType()), T.StructField("low", T.LongType()), T.StructField("dim", T.IntegerType())])
     rows = staged(spread(given).mapInArrow(_digests, schema))
     usable = rows.filter("dim > 0 and vec_id is not null")
-    sizes = usable.groupBy("high", "low").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
-    members = rows.drop("vec").join(sizes, ["high", "low"], "left").withColumn("rep", F.when(F.col("vec_id").isNotNull(), F.col("rep")))
-    classes = staged(usable.join(sizes, ["high", "low"]).filter("vec_id = rep").dropDuplicates(["high", "low"]).select("rep", "vec", "dim", "size"))
+    # Vectors that several rows have; a vector that many rows have can be split over tasks in these joins.
+    several = usable.groupBy("high", "low").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")).filter("size > 1")
+    several = broadcast_if_small(staged(several))
+    used = (F.col("dim") > 0) & F.col("vec_id").isNotNull()
+    rep, size = F.when(used, F.coalesce("rep", "vec_id")).alias("rep"), F.when(used, F.coalesce("size", F.lit(1))).alias("size")
+    members = rows.drop("vec").join(several, ["high", "low"], "left").select("vec_id", rep, size)
+    classes = usable.join(several, ["high", "low"], "left").filter("rep is null or rep = vec_id")
+    classes = staged(classes.select(rep, "vec", "dim", size, "high", "low").dropDuplicates(["rep", "high", "low"]).drop("high", "low"))
     found = None
     for r in classes.groupBy("dim").agg(F.count("*").alias("n")).orderBy("dim").collect():  # a row for each length of vectors
         part = links(classes.filter(F.col("dim") == r["dim"]), r["dim"], threshold, r["n"], recall)

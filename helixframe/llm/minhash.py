@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helixframe.llm.memory import remembered
 from helixframe.plans.components import components
 from helixframe.plans.staging import broadcast_if_small, spread, staged
 
@@ -42,7 +43,6 @@ REMEMBERED = 500_000
 
 _U64, _U32 = np.uint64, np.uint32
 _FACTORS = np.random.default_rng(11).integers(0, 2**63, 64, dtype=np.uint64) * _U64(2) + _U64(1)
-_known: dict[bytes, int] = {}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -56,9 +56,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    known = _known
-    if len(known) > REMEMBERED:
-        known.clear()
+    known = remembered("minhash", REMEMBERED)
     try:
         return np.fromiter(map(known.__getitem__, words), _U64, len(words))
     except KeyError:
@@ -190,9 +188,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     features = staged(spread(given).mapInArrow(lambda b: _features(b, width), schema))
 
     linked = features.filter("n_shingles > 0 and doc_id is not null")
-    classes = linked.groupBy("high", "low").agg(F.min("doc_id").alias("rep"))
-    members = features.drop("bands").join(classes, ["high", "low"], "left")
-    own = linked.join(classes.select(F.col("high").alias("h"), F.col("low").alias("l"), "rep"), (F.col("high") == F.col("h")) & (F.col("low") == F.col("l")) & (F.col("doc_id") == F.col("rep")), "left_semi")
+    # Sets that several rows have, and the least id of each; a set that many rows have can be split over tasks in these joins.
+    several = linked.groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    several = broadcast_if_small(staged(several))
+    rep = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
+    members = features.drop("bands").join(several, ["high", "low"], "left").withColumn("rep", rep)
+    own = linked.join(several, ["high", "low"], "left").filter("rep is null or rep = doc_id")
     rows = own.select("doc_id", "low", "n_shingles", F.explode("bands").alias("key"))
     hubs = rows.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles")).alias("hub"), F.max("doc_id").alias("last")).filter("last != hub.doc_id")
     buckets = staged(rows.join(hubs.select("key", "hub"), "key"))

@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helixframe.llm.memory import remembered
 from helixframe.plans.staging import spread, staged
 
 #: Chunks of text whose ids a worker remembers; then it starts anew.
-REMEMBERED = 1_200_000
+REMEMBERED = 700_000
 #: Words that are encoded as one text.
 AT_ONCE = 1000
 #: Marks that the tokenizer splits from a word before them.
@@ -53,6 +54,7 @@ class _Coder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.name = f"packing {hash(text)}"
         self.known: dict[bytes, bytes] = {}
 
     def _encode(self, chunks: list[bytes]) -> None:
@@ -96,8 +98,7 @@ class _Coder:
             chunked = [[c if b"<|" in c else c.lower() for c in (t or "").encode().split()] for t in texts]
         else:
             chunked = [(t or "").encode().lower().split() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        self.known = remembered(self.name, REMEMBERED)
         self._learn(set(chain.from_iterable(chunked)).difference(self.known))
         for chunks in chunked:
             yield b"".join(map(self.known.__getitem__, chunks))

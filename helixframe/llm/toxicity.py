@@ -25,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helixframe.llm.memory import remembered
 from helixframe.plans.staging import spread
 
 #: Labelled rows of each class in the fitting sample, about.
-MAX_ROWS = 6000
+MAX_ROWS = 4000
 #: Terms in the model.
 MAX_TERMS = 8192
 #: Least G statistic of a term in the model (chi-square with one degree of freedom).
@@ -37,9 +38,9 @@ LEAST_G = 18.0
 PAIRED_TERMS = 1024
 PREFIXES = (4, 5, 6)
 FACTORS = 8
-BUCKETS = 2**26
+BUCKETS = 2**24
 #: Words whose terms a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 _FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -65,6 +66,17 @@ def _g(a, b, n1: float, n0: float):
         )
 
 
+def _places(rows: list[np.ndarray], chosen: np.ndarray) -> list[np.ndarray]:
+    """Where the terms of each row stand in ``chosen``, those that do."""
+    order = np.argsort(chosen)
+    ranked = chosen[order]
+    out = []
+    for own in rows:
+        at = np.minimum(np.searchsorted(ranked, own), max(len(ranked) - 1, 0))
+        out.append(order[at[ranked[at] == own]] if len(ranked) else np.zeros(0, int))
+    return out
+
+
 def _fit(frames, seed: int = 3, steps: int = 300, rate: float = 0.05, decay: float = 1e-3):
     """One model from the rows of all frames (text, toxic, weight): term, weight, factors; term -1 is the constant."""
     data = pd.concat(list(frames), ignore_index=True)
@@ -76,22 +88,28 @@ def _fit(frames, seed: int = 3, steps: int = 300, rate: float = 0.05, decay: flo
     if len(y) == 0 or y.min() == y.max():
         yield pd.DataFrame({"term": [-1], "weight": [20.0 if len(y) and y.min() > 0 else -20.0], "factors": [[0.0] * FACTORS]})
         return
-    terms: dict[bytes, np.ndarray] = {}
+    known = remembered("toxicity", 0)
     rows = []
     for text in data["text"].to_numpy()[order]:
-        own = [terms[w] if w in terms else terms.setdefault(w, np.array(word_terms(w))) for w in distinct_words(text)]
-        rows.append(np.unique(np.concatenate(own)) if own else np.zeros(0, int))
-    sizes = np.array([len(r) for r in rows])
-    ids, inverse = np.unique(np.concatenate(rows), return_inverse=True)
-    doc = np.repeat(np.arange(len(rows)), sizes)
+        for w in (words := distinct_words(text)):
+            if w not in known:
+                known[w] = np.array(word_terms(w), np.int32).tobytes()
+        rows.append(np.unique(np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32)))
+        known = remembered("toxicity", REMEMBERED)
+    del data
+    known.clear()
     n1, n0 = y.sum(), (1 - y).sum()
-    a, b = np.bincount(inverse, y[doc], len(ids)), np.bincount(inverse, 1 - y[doc], len(ids))
+    counts = np.zeros((2, BUCKETS), np.int32)
+    for label, own in zip(y.astype(int), rows, strict=True):
+        counts[label, own] += 1
+    ids = np.flatnonzero(counts.any(0))
+    a, b = counts[1, ids].astype(float), counts[0, ids].astype(float)
+    del counts
     g = _g(a, b, n1, n0)
     frequent = np.argsort(np.where(a + b <= 0.6 * len(y), -(a + b), 0), kind="stable")[:PAIRED_TERMS]
-    place = np.full(len(ids), -1)
-    place[frequent] = np.arange(len(frequent))
     present = np.zeros((len(y), len(frequent)), np.float32)
-    present[doc[place[inverse] >= 0], place[inverse][place[inverse] >= 0]] = 1
+    for i, at in enumerate(_places(rows, ids[frequent])):
+        present[i, at] = 1
     both = _g(present[y == 1].T @ present[y == 1], present[y == 0].T @ present[y == 0], n1, n0)
     alone = g[frequent]
     beyond = both - np.maximum(alone[:, None], alone[None, :])  # what a pair tells that neither of its terms does
@@ -99,10 +117,9 @@ def _fit(frames, seed: int = 3, steps: int = 300, rate: float = 0.05, decay: flo
     g[frequent] = np.maximum(alone, beyond.max(1, initial=0))
     chosen = np.argsort(-g, kind="stable")[:MAX_TERMS]
     chosen = chosen[g[chosen] >= LEAST_G]
-    number = np.full(len(ids), -1)
-    number[chosen] = np.arange(len(chosen))
-    keep = number[inverse] >= 0
-    doc, term = doc[keep], number[inverse][keep]
+    places = _places(rows, ids[chosen])
+    del rows, present
+    doc, term = np.repeat(np.arange(len(places)), [len(p) for p in places]), np.concatenate(places)
     k = len(chosen)
     rng = np.random.default_rng(seed)
     w0, w, v = np.array([np.log(n1 / n0)]), np.zeros(k), rng.normal(0, 0.05, (k, FACTORS))
