@@ -45,9 +45,12 @@ def broadcast_if_small(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores.
 
-    A scan of a large table already has more and is returned as it is; only a
-    table of a few file splits is dealt out before costly work on each row.
+    A scan of a large table already has more and is returned as it is, and so is
+    what comes from a shuffle; only a table of a few file splits is dealt out
+    before costly work on each row.
     """
+    if df._jdf.queryExecution().executedPlan().toString().startswith("AdaptiveSparkPlan"):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
