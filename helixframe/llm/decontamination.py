@@ -40,8 +40,8 @@ def words(text: str | None) -> list[bytes]:
 def _windows(batches, width: int):
     for batch in batches:
         rows, found = [], []
-        for i, text in enumerate(batch.column(1).to_pylist()):
-            own = words(text)
+        for i, text in enumerate(batch.column(1)):
+            own = words(text.as_py())
             for j in range(max(1, len(own) - width + 1) if own else 0):
                 rows.append(i)
                 found.append(b" ".join(own[j : j + width]))
@@ -106,8 +106,7 @@ def _scan(batches, shared, text_at: int, names: list[str], first: bool):
     index = shared.value
     number = index.numbers.get
     for batch in batches:
-        texts = batch.column(text_at).to_pylist()
-        n_words, spans, items = [], [[] for _ in texts], [set() for _ in texts]
+        n_words, spans, items = [], [[] for _ in range(len(batch))], [set() for _ in range(len(batch))]
         block, starts, owners, size = [], [], [], 0
 
         def look() -> None:
@@ -117,8 +116,8 @@ def _scan(batches, shared, text_at: int, names: list[str], first: bool):
                 spans[owners[k]].append((p - starts[k], p - starts[k] + n))
                 items[owners[k]].update(found)
 
-        for i, text in enumerate(texts):
-            own = words(text)
+        for i, text in enumerate(batch.column(text_at)):
+            own = words(text.as_py())
             n_words.append(len(own))
             block.append(np.fromiter(map(number, own, repeat(0)), np.uint64, len(own)))
             block.append(np.zeros(1, np.uint64))  # no window goes across two texts

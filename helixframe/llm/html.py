@@ -251,7 +251,7 @@ def main_text(html: str | None) -> str:
 
 def _extract(batches):
     for batch in batches:
-        texts = [main_text(h) for h in batch.column(2).to_pylist()]
+        texts = [main_text(h.as_py()) for h in batch.column(2)]
         out = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
         yield pa.RecordBatch.from_arrays(out, ["page_id", "url", "text", "n_chars"])
 

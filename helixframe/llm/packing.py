@@ -27,7 +27,7 @@ from helixframe.llm.memory import remembered
 from helixframe.plans.staging import spread, staged
 
 #: Chunks of text whose ids a worker remembers; then it starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 #: Words that are encoded as one text.
 AT_ONCE = 1000
 #: Marks that the tokenizer splits from a word before them.
@@ -120,10 +120,9 @@ def _pieces(batches, tokenizer_json, size: int, end_id: int, with_ids: bool):
     coder = _coder(tokenizer_json.value)
     end = array("I", [end_id]).tobytes()
     for batch in batches:
-        texts = batch.column(1).to_pylist()
         row, piece, start, length, crc, ids = [], [], [], [], [], []
-        for at in range(0, len(texts), 128):
-            for i, coded in enumerate(coder.encoded(texts[at : at + 128]), at):
+        for at in range(0, len(batch), 128):
+            for i, coded in enumerate(coder.encoded(batch.column(1).slice(at, 128).to_pylist()), at):
                 coded += end
                 for n, begin in enumerate(range(0, len(coded), 4 * size)):
                     part = coded[begin : begin + 4 * size]

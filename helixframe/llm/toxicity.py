@@ -193,7 +193,7 @@ class Scorer:
 def _score(batches, shared, text_at: int, names: list[str]):
     scorer = Scorer(shared.value)
     for batch in batches:
-        scores = [scorer.score(t) for t in batch.column(text_at).to_pylist()]
+        scores = [scorer.score(t.as_py()) for t in batch.column(text_at)]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names)
 
 
