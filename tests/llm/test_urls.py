@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
@@ -61,6 +62,46 @@ def test_mined_rules_match_brute_force(spark):
     assert empty.count() == 0
 
 
+def test_mines_all_tokens_of_long_urls(spark):
+    """The telling pair stands behind a long slug: a late word of the path with a name in the query."""
+    rng = random.Random(4)
+    slug = "-".join(f"a{c}" for c in "bcdefghijklmnop")
+    rows = []
+    for i in range(400):
+        late, asked = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((i, f"http://www.shop.org/{slug}/{'zeta' if late else 'eta'}?{'ref' if asked else 'id'}=1", 0 if late and asked else 1))
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    rules = urls.mined(pages, labels)
+    assert [(r["items"], r["confidence"]) for r in rules.collect()] == [(["p:zeta", "q:ref"], 1.0)]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, rules, URL_RULES).collect()}
+    assert got == {r[0]: "allow" if r[2] else "block" for r in rows}
+
+
+def test_mined_rules_are_all_there(spark):
+    """Every combination of any length, counted one by one."""
+    rng = random.Random(5)
+    words = "abcdefg"
+    rows = []
+    for i in range(300):
+        own = {w for w in words if rng.random() < 0.55}
+        own |= {"h"} if "a" in own else set()
+        rows.append((i, own, 0 if rng.random() < (0.95 if {"a", "b", "c"} <= own else 0.9 if {"d", "e"} <= own else 0.6) else 1))
+    pages = spark.createDataFrame([(i, "x://k/" + "/".join(sorted(own))) for i, own, _ in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    sets = [{"h:k", "w:k"} | {f"p:{w}" for w in own} for _, own, _ in rows]
+    rules = {}
+    for size in range(1, 11):
+        for items in combinations(sorted({"h:k", "w:k", *(f"p:{w}" for w in words + "h")}), size):
+            fits = [q for own, (_, _, q) in zip(sets, rows) if own >= set(items)]
+            if fits and fits.count(0) >= 10 and fits.count(0) / len(fits) >= 0.8:
+                rules[items] = fits.count(0) / len(fits)
+    best = {k: c for k, c in rules.items() if not any(rules.get(tuple(x for x in k if x != out), -1) >= c for out in k)}
+    got = {tuple(r["items"]): r["confidence"] for r in urls.mined(pages, labels).collect()}
+    assert max(map(len, best)) >= 3
+    assert got == best
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([("http://My-Shop.Example.org/a/B2/17.html?Ref=x&id=3#q",), (None,), ("x",)], "url string")
     got = [r[0] for r in df.select(urls.tokens(F.col("url"))).collect()]
