@@ -29,7 +29,7 @@ from helixframe.llm.memory import remembered
 from helixframe.plans.staging import spread
 
 #: Labelled rows of each class in the fitting sample, about.
-MAX_ROWS = 4000
+MAX_ROWS = 6000
 #: Terms in the model.
 MAX_TERMS = 8192
 #: Least G statistic of a term in the model (chi-square with one degree of freedom).
@@ -38,7 +38,7 @@ LEAST_G = 18.0
 PAIRED_TERMS = 1024
 PREFIXES = (4, 5, 6)
 FACTORS = 8
-BUCKETS = 2**24
+BUCKETS = 2**26
 #: Words whose terms a worker remembers.
 REMEMBERED = 200_000
 
@@ -77,6 +77,15 @@ def _places(rows: list[np.ndarray], chosen: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _counts(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The terms of all rows, ascending, and how many rows of either class have each."""
+    ids, n = np.unique(np.concatenate(rows), return_counts=True)
+    a = np.zeros(len(ids))
+    for own in (r for r, toxic in zip(rows, y, strict=True) if toxic):
+        a[np.searchsorted(ids, own)] += 1
+    return ids, a, n - a
+
+
 def _fit(frames, seed: int = 3, steps: int = 300, rate: float = 0.05, decay: float = 1e-3):
     """One model from the rows of all frames (text, toxic, weight): term, weight, factors; term -1 is the constant."""
     data = pd.concat(list(frames), ignore_index=True)
@@ -99,12 +108,7 @@ def _fit(frames, seed: int = 3, steps: int = 300, rate: float = 0.05, decay: flo
     del data
     known.clear()
     n1, n0 = y.sum(), (1 - y).sum()
-    counts = np.zeros((2, BUCKETS), np.int32)
-    for label, own in zip(y.astype(int), rows, strict=True):
-        counts[label, own] += 1
-    ids = np.flatnonzero(counts.any(0))
-    a, b = counts[1, ids].astype(float), counts[0, ids].astype(float)
-    del counts
+    ids, a, b = _counts(rows, y)
     g = _g(a, b, n1, n0)
     frequent = np.argsort(np.where(a + b <= 0.6 * len(y), -(a + b), 0), kind="stable")[:PAIRED_TERMS]
     present = np.zeros((len(y), len(frequent)), np.float32)
@@ -167,12 +171,10 @@ class Scorer:
         self.number = {r["term"]: i for i, r in enumerate(own)}
         self.weights = np.array([r["weight"] for r in own])
         self.factors = np.array([r["factors"] for r in own]).reshape(len(own), FACTORS)
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.owner = f"toxicity {hash((tuple(self.number), self.weights.tobytes(), self.factors.tobytes()))}"
 
     def terms(self, text: str | None) -> list[int]:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
+        known = remembered(self.owner, REMEMBERED)
         found: set[int] = set()
         for w in distinct_words(text):
             own = known.get(w)

@@ -42,6 +42,15 @@ def test_pairs_beat_single_terms(spark):
     assert sum((r["score"] >= 0.5) == truth[r["doc_id"]] for r in got) > 0.95 * len(got)
 
 
+def test_foreign_words_seldom_hit_the_model():
+    """Of 400,000 words not seen, about 8192 / BUCKETS each share a term with a full model."""
+    assert toxicity.MAX_ROWS == 6000
+    model = [{"term": -1, "weight": 0.0, "factors": [0.0] * toxicity.FACTORS}]
+    own = sorted({toxicity.word_terms(b"m%d" % i)[0] for i in range(toxicity.MAX_TERMS)})
+    scorer = toxicity.Scorer(model + [{"term": t, "weight": 1.0, "factors": [0.0] * toxicity.FACTORS} for t in own])
+    assert len(scorer.terms(" ".join(f"{i:x}z" for i in range(16**5 - 400_000, 16**5)))) < 400
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, 0.5), (2, "", None), (None, "bad", 1.0), (4, "Bad " * 50000, 2.0), (4, "Bad " * 50000, 2.0)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, toxic int")
