@@ -2,8 +2,10 @@
 
 A document's terms are its distinct words and their prefixes of a few lengths,
 hashed.  Terms that go with the label (a G test over the fitting rows), alone or
-in pairs of frequent terms, enter a second-order factorization machine: a weight for each term and a vector, whose
-products weigh pairs such as an insult and a group that it is said of.
+in a pair, enter a second-order factorization machine: a weight for each term and
+a vector, whose products weigh pairs such as an insult and a group that it is said
+of.  All pairs of terms are counted over all fitting rows, except those in too few
+rows to pass the test whatever their labels.
 
 The machine is fitted on a bounded sample of labelled rows (``MAX_ROWS`` of each
 class, by hash of the id, weighted back to the classes' shares), inside one
@@ -34,8 +36,6 @@ MAX_ROWS = 6000
 MAX_TERMS = 8192
 #: Least G statistic of a term in the model (chi-square with one degree of freedom).
 LEAST_G = 18.0
-#: Frequent terms whose pairs are tested too.
-PAIRED_TERMS = 1024
 PREFIXES = (4, 5, 6)
 FACTORS = 8
 BUCKETS = 2**26
@@ -86,6 +86,55 @@ def _counts(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ids, a, n - a
 
 
+def _least(n: float, pure) -> float:
+    """The least number of rows, up to ``n``, of one class and none of the other with enough of G."""
+    enough = np.flatnonzero(pure(np.arange(n + 1.0)) >= LEAST_G)
+    return enough[0] if len(enough) else np.inf
+
+
+def _testable(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Terms of which a pair could pass: a pair has no more rows than its terms, and G is greatest for rows of one class."""
+    return np.flatnonzero((a >= _least(n1, lambda k: _g(k, 0 * k, n1, n0))) | (b >= _least(n0, lambda k: _g(0 * k, k, n1, n0))))
+
+
+def _best_pairs(places: list[np.ndarray], y: np.ndarray, k: int, alone: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """For each of ``k`` terms the most that a pair with another tells that neither of the two does."""
+    best = np.zeros(k)
+    if not k:
+        return best
+    rows = [np.sort(p).astype(np.int32) for p in places]
+    # Terms in the same rows have the same pairs: one stands for all.
+    marks = np.zeros((2, k), np.uint64)
+    rng = np.random.default_rng(0)
+    for own in rows:
+        marks[:, own] += rng.integers(2**64, size=(2, 1), dtype=np.uint64)
+    _, first, same = np.unique(marks, axis=1, return_index=True, return_inverse=True)
+    same = same.ravel()
+    number = np.full(k, -1, np.int32)
+    number[first] = np.arange(len(first))
+    rows = [np.sort((n := number[own])[n >= 0]) for own in rows]
+    alone, k = alone[first], len(first)
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    flat = np.concatenate(rows)
+    by_term = np.argsort(flat, kind="stable")
+    ends = np.cumsum(np.bincount(flat, minlength=k))
+    holders = doc[by_term]
+    at = np.zeros(len(rows), np.int64)  # rows are ascending, and so are the terms below
+    best = np.zeros(k)
+    least_a, least_b = _least(n1, lambda n: _g(n, 0 * n, n1, n0)), _least(n0, lambda n: _g(0 * n, n, n1, n0))
+    for i in range(k):
+        own = holders[ends[i - 1] if i else 0 : ends[i]]
+        at[own] += 1
+        toxic = y[own] == 1
+        a, b = (np.bincount(np.concatenate([rows[d][at[d] :] for d in part]), minlength=k) if len(part) else np.zeros(k, int) for part in (own[toxic], own[~toxic]))
+        js = np.flatnonzero((a >= least_a) | (b >= least_b))
+        if len(js):
+            beyond = _g(a[js].astype(float), b[js].astype(float), n1, n0) - np.maximum(alone[i], alone[js])
+            best[i] = max(best[i], beyond.max())
+            best[js] = np.maximum(best[js], beyond)
+    return best[same]
+
+
 def _fit(frames, seed: int = 3, steps: int = 300, rate: float = 0.05, decay: float = 1e-3):
     """One model from the rows of all frames (text, toxic, weight): term, weight, factors; term -1 is the constant."""
     data = pd.concat(list(frames), ignore_index=True)
@@ -110,19 +159,12 @@ def _fit(frames, seed: int = 3, steps: int = 300, rate: float = 0.05, decay: flo
     n1, n0 = y.sum(), (1 - y).sum()
     ids, a, b = _counts(rows, y)
     g = _g(a, b, n1, n0)
-    frequent = np.argsort(np.where(a + b <= 0.6 * len(y), -(a + b), 0), kind="stable")[:PAIRED_TERMS]
-    present = np.zeros((len(y), len(frequent)), np.float32)
-    for i, at in enumerate(_places(rows, ids[frequent])):
-        present[i, at] = 1
-    both = _g(present[y == 1].T @ present[y == 1], present[y == 0].T @ present[y == 0], n1, n0)
-    alone = g[frequent]
-    beyond = both - np.maximum(alone[:, None], alone[None, :])  # what a pair tells that neither of its terms does
-    np.fill_diagonal(beyond, 0)
-    g[frequent] = np.maximum(alone, beyond.max(1, initial=0))
+    able = _testable(a, b, n1, n0)
+    g[able] = np.maximum(g[able], _best_pairs(_places(rows, ids[able]), y, len(able), g[able], n1, n0))
     chosen = np.argsort(-g, kind="stable")[:MAX_TERMS]
     chosen = chosen[g[chosen] >= LEAST_G]
     places = _places(rows, ids[chosen])
-    del rows, present
+    del rows
     doc, term = np.repeat(np.arange(len(places)), [len(p) for p in places]), np.concatenate(places)
     k = len(chosen)
     rng = np.random.default_rng(seed)

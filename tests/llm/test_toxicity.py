@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from helixframe.llm import toxicity
 from helixframe.llm.queries import op5_toxicity
 
@@ -42,6 +44,43 @@ def test_pairs_beat_single_terms(spark):
     assert sum((r["score"] >= 0.5) == truth[r["doc_id"]] for r in got) > 0.95 * len(got)
 
 
+def test_rare_pairs_are_learned(spark):
+    """An insult and a group, each in under 2 % of the documents, behind 1,500 more frequent words; toxic only together."""
+    rng = random.Random(7)
+    common = [f"{a}{b}{i}" for i in range(30) for a in "bcdfghjklm" for b in "aeiou"]
+    rows = []
+    for i in range(6000):
+        kind = i % 100
+        words = [rng.choice(common) for _ in range(120)]
+        toxic = int(kind == 0 or kind >= 50 and kind not in (50, 51))
+        words += ["zorg"] * (kind in (0, 50)) + ["quim"] * (kind in (0, 51))
+        rows.append((i, " ".join(words), toxic))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels).localCheckpoint()
+    assert {t for w in (b"zorg", b"quim") for t in toxicity.word_terms(w)} <= {r["term"] for r in model.collect()}
+    got = toxicity.score(docs, model).filter("doc_id % 100 in (0, 50, 51)").collect()
+    assert sum((r["score"] >= 0.5) == (r["doc_id"] % 100 == 0) for r in got) > 0.95 * len(got)
+
+
+def test_best_pairs_match_brute_force():
+    rng = np.random.default_rng(3)
+    present = rng.random((300, 40)) < rng.random(40)
+    present[:, 7] = present[:, 3]
+    y = (rng.random(300) < np.where(present[:, 1] ^ present[:, 2], 0.9, 0.2)).astype(float)
+    n1, n0 = y.sum(), (1 - y).sum()
+    alone = toxicity._g(present[y == 1].sum(0).astype(float), present[y == 0].sum(0).astype(float), n1, n0)
+    got = toxicity._best_pairs([np.flatnonzero(r) for r in present], y, 40, alone, n1, n0)
+    for i in range(40):
+        most = 0.0
+        for j in set(range(40)) - {i}:
+            both = present[:, i] & present[:, j]
+            g = toxicity._g(float((both & (y == 1)).sum()), float((both & (y == 0)).sum()), n1, n0)
+            most = max(most, g - max(alone[i], alone[j]))
+        assert (got[i] >= toxicity.LEAST_G) == (most >= toxicity.LEAST_G)
+        assert most < toxicity.LEAST_G or abs(got[i] - most) < 1e-9
+
+
 def test_foreign_words_seldom_hit_the_model():
     """Of 400,000 words not seen, about 8192 / BUCKETS each share a term with a full model."""
     assert toxicity.MAX_ROWS == 6000
