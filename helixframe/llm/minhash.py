@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.memory import remembered
+from helixframe.llm.memory import Remembered, held
 from helixframe.plans.components import components
 from helixframe.plans.staging import broadcast_if_small, spread, staged
 
@@ -38,8 +38,8 @@ from helixframe.plans.staging import broadcast_if_small, spread, staged
 BANDS, ROWS = 24, 4
 #: Parts that shingles are dealt out over to bound what two sets have in common; divides 2^64.
 PARTS = 64
-#: Words whose hashes a worker remembers.
-REMEMBERED = 500_000
+#: Bytes of words and their hashes that a worker remembers.
+REMEMBERED = 80_000_000
 
 _U64, _U32 = np.uint64, np.uint32
 _FACTORS = np.random.default_rng(11).integers(0, 2**63, 64, dtype=np.uint64) * _U64(2) + _U64(1)
@@ -56,12 +56,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    known = remembered("minhash", REMEMBERED)
-    try:
-        return np.fromiter(map(known.__getitem__, words), _U64, len(words))
-    except KeyError:
-        known.update((w, xxhash.xxh3_64_intdigest(w)) for w in set(words) if w not in known)
-        return np.fromiter(map(known.__getitem__, words), _U64, len(words))
+    known = held("minhash", lambda: Remembered(xxhash.xxh3_64_intdigest, REMEMBERED))
+    return np.fromiter(map(known.__getitem__, words), _U64, len(words))
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:

@@ -11,97 +11,157 @@ gives no rows.  Columns other than the id and the text are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.memory import remembered
+from helixframe.llm.memory import held
 from helixframe.plans.staging import spread, staged
 
-#: Chunks of text whose ids a worker remembers; then it starts anew.
-REMEMBERED = 500_000
+#: Bytes of chunks and their ids that a worker remembers; beyond, the most used half stays.
+REMEMBERED = 80_000_000
+#: Bytes of a chunk besides its own and its ids'.
+ENTRY = 170
 #: Words that are encoded as one text.
 AT_ONCE = 1000
+#: Bytes of text whose chunks are looked up together.
+BYTES_AT_ONCE = 1_000_000
 #: Marks that the tokenizer splits from a word before them.
 MARKS = b".,;:!?%*#&$|"
 #: Groups that ranks are counted in, over all lengths together.
 RANK_GROUPS = 4096
 
-_coders: dict[int, _Coder] = {}
+
+class _Numbers(dict):
+    """Numbers of chunks, given as they are met; ``new`` has those since it was last emptied."""
+
+    def __init__(self, known=()) -> None:
+        super().__init__(known)
+        self.new: list[bytes] = []
+
+    def __missing__(self, chunk: bytes) -> int:
+        number = self[chunk] = len(self)
+        self.new.append(chunk)
+        return number
 
 
 class _Coder:
-    """The little-endian 32-bit ids of texts under one tokenizer that drops white space and lower-cases.
+    """The ids of texts under one tokenizer that drops white space and lower-cases.
 
     What stands on both sides of white space is never joined, so a text's ids
-    are those of its chunks, and a chunk is encoded only once.  Marks behind a
-    letter or a digit are tokens of their own; words of letters alone are encoded
+    are those of its chunks, and a chunk is encoded only once: chunks are
+    numbered, and a number's ids stand at a place of one long array.  Marks behind
+    a letter or a digit are tokens of their own; words of letters alone are encoded
     many at a time and told apart by their last token, the only one with a word end.
     """
 
     def __init__(self, text: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(text)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.name = f"packing {hash(text)}"
-        self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, chunks: list[bytes]) -> None:
-        coded = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        self.known.update((c, array("I", x.ids).tobytes()) for c, x in zip(chunks, coded, strict=True))
-
-    def _encode_words(self, words: list[str]) -> None:
+        self.numbers, self.bytes = _Numbers(), 0
+        self.start = self.length = self.used = np.zeros(0, np.int64)
+        self.ids, self.filled = np.zeros(1 << 16, np.uint32), 0
+
+    def _add(self, ids: np.ndarray) -> int:
+        """Puts ``ids`` behind the others, and returns where."""
+        begin, self.filled = self.filled, self.filled + len(ids)
+        if self.filled > len(self.ids):
+            self.ids = np.concatenate([self.ids[:begin], np.zeros(max(self.filled, len(self.ids)), np.uint32)])
+        self.ids[begin : self.filled] = ids
+        return begin
+
+    def _set(self, numbers, ids: np.ndarray, length: np.ndarray) -> None:
+        """``ids`` has those of each of ``numbers`` in turn."""
+        self.start[numbers] = self._add(ids) + np.cumsum(length) - length
+        self.length[numbers] = length
+
+    def _gathered(self, numbers: np.ndarray) -> np.ndarray:
+        length = self.length[numbers]
+        before = np.cumsum(length) - length
+        return self.ids[np.repeat(self.start[numbers] - before, length) + np.arange(length.sum())]
+
+    def _encode(self, numbers: list[int], chunks: list[bytes]) -> None:
+        for at in range(0, len(chunks), AT_ONCE):
+            coded = [x.ids for x in self.tokenizer.encode_batch_fast([c.decode() for c in chunks[at : at + AT_ONCE]], add_special_tokens=False)]
+            self._set(numbers[at : at + AT_ONCE], np.fromiter(chain.from_iterable(coded), np.uint32), np.array([len(x) for x in coded], np.int64))
+
+    def _encode_words(self, numbers: list[int], words: list[bytes]) -> None:
         for at in range(0, len(words), AT_ONCE):
-            part = words[at : at + AT_ONCE]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            part, own = words[at : at + AT_ONCE], numbers[at : at + AT_ONCE]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(part):  # a letter that lower-cases to more than letters
-                self._encode([w.encode() for w in part])
-                continue
-            raw, begin = ids.tobytes(), 0
-            for word, end in zip(part, (4 * ends).tolist(), strict=True):
-                self.known[word.encode()] = raw[begin:end]
-                begin = end
-
-    def _learn(self, new: set[bytes]) -> None:
-        parts = {}
-        words, others = set(), set()
-        for chunk in new:
+            if len(ends) == len(part):
+                self._set(own, ids, np.diff(ends, prepend=0))
+            else:  # a letter that lower-cases to more than letters
+                self._encode(own, part)
+
+    def _learn(self) -> None:
+        numbers, new = self.numbers, self.numbers.new
+        words, others, parts = [], [], []
+        for number, chunk in enumerate(new, len(self.length)):  # which grows by words and marks that are new themselves
             word = chunk.rstrip(MARKS)
-            own = word.decode()
-            if word and own[-1].isalnum() and (own[-1].isalpha() or own[-1].isascii()):
-                if word != chunk:
-                    parts[chunk] = word, chunk[len(word) :]
-                    if parts[chunk][1] not in self.known:
-                        others.add(parts[chunk][1])
-                if word not in self.known:
-                    words.add(own) if own.isalpha() else others.add(word)
+            if not word.isalpha():
+                last = word.decode()[-1:]
+                if not (last.isalnum() and (last.isalpha() or last.isascii())):
+                    others.append(number)
+                    continue
+            if len(word) < len(chunk):
+                parts.append((number, numbers[word], numbers[chunk[len(word) :]]))
             else:
-                others.add(chunk)
-        self._encode(list(others))
-        self._encode_words(list(words))
-        self.known.update((c, self.known[w] + self.known[m]) for c, (w, m) in parts.items())
-
-    def encoded(self, texts: list[str | None]) -> Iterator[bytes]:
+                (words if word.isalpha() or word.decode().isalpha() else others).append(number)
+        base = len(self.length)
+        grown = np.zeros(len(new), np.int64)
+        self.start, self.length, self.used = (np.concatenate([x, grown]) for x in (self.start, self.length, self.used))
+        self._encode(others, [new[n - base] for n in others])
+        self._encode_words(words, [new[n - base] for n in words])
+        if parts:
+            whole = np.array(parts)
+            both = whole[:, 1:]
+            self._set(whole[:, 0], self._gathered(both.ravel()), self.length[both].sum(1))
+        self.bytes += sum(map(len, new)) + ENTRY * len(new)
+        new.clear()
+
+    def _shrink(self) -> None:
+        """Forgets the less used half of the chunks."""
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: len(self.used) // 2])
+        ids, kept = self._gathered(keep), set(keep.tolist())
+        names = [c for c, n in self.numbers.items() if n in kept]
+        self.numbers = _Numbers(zip(names, range(len(names)), strict=True))
+        self.used, length = self.used[keep] // 2, self.length[keep]
+        self.start, self.length = np.zeros(len(keep), np.int64), np.zeros(len(keep), np.int64)
+        self.ids, self.filled = np.zeros(max(len(ids), 1 << 16), np.uint32), 0
+        self._set(np.arange(len(keep)), ids, length)
+        self.bytes = sum(map(len, names)) + ENTRY * len(names)
+
+    def encoded(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        if self.bytes + 4 * self.filled > REMEMBERED:
+            self._shrink()
         if self.special(texts):
             chunked = [[c if b"<|" in c else c.lower() for c in (t or "").encode().split()] for t in texts]
         else:
             chunked = [(t or "").encode().lower().split() for t in texts]
-        self.known = remembered(self.name, REMEMBERED)
-        self._learn(set(chain.from_iterable(chunked)).difference(self.known))
+        number = self.numbers.__getitem__
+        own = np.fromiter(map(number, chain.from_iterable(chunked)), np.int64)
+        self._learn()
+        self.used += np.bincount(own, minlength=len(self.used))
+        end = 0
         for chunks in chunked:
-            yield b"".join(map(self.known.__getitem__, chunks))
+            begin, end = end, end + len(chunks)
+            yield self._gathered(own[begin:end])
 
     @staticmethod
     def special(texts: list[str | None]) -> bool:
@@ -109,30 +169,32 @@ class _Coder:
         return any(t and "<|" in t for t in texts)
 
 
-def _coder(text: str) -> _Coder:
-    key = hash(text)
-    if key not in _coders:
-        _coders[key] = _Coder(text)
-    return _coders[key]
+def _slices(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts in runs of about BYTES_AT_ONCE, at least one in each."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes) // BYTES_AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    for begin, end in pairwise(cuts):
+        if end > begin:
+            yield texts.slice(begin, end - begin).to_pylist()
 
 
 def _pieces(batches, tokenizer_json, size: int, end_id: int, with_ids: bool):
-    coder = _coder(tokenizer_json.value)
-    end = array("I", [end_id]).tobytes()
+    coder = held(("packing", hash(tokenizer_json.value)), lambda: _Coder(tokenizer_json.value))
+    end = np.array([end_id], np.uint32)
     for batch in batches:
         row, piece, start, length, crc, ids = [], [], [], [], [], []
-        for at in range(0, len(batch), 128):
-            for i, coded in enumerate(coder.encoded(batch.column(1).slice(at, 128).to_pylist()), at):
-                coded += end
-                for n, begin in enumerate(range(0, len(coded), 4 * size)):
-                    part = coded[begin : begin + 4 * size]
-                    row.append(i)
-                    piece.append(n)
-                    start.append(begin // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    if with_ids:
-                        ids.append(array("I", part).tolist())
+        for i, coded in enumerate(chain.from_iterable(map(coder.encoded, _slices(batch.column(1))))):
+            whole = np.concatenate([coded, end]).astype("<u4", copy=False)
+            for n, begin in enumerate(range(0, len(whole), size)):
+                part = whole[begin : begin + size]
+                row.append(i)
+                piece.append(n)
+                start.append(begin)
+                length.append(len(part))
+                crc.append(zlib.crc32(part))
+                if with_ids:
+                    ids.append(part.astype(np.int32))
         out = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         if with_ids:
@@ -217,7 +279,7 @@ def pack(docs: DataFrame, tokenizer_json: str, size: int = 2048, end_id: int = 0
     # A common length is ranked in several groups, by a count of each and a running sum.
     groups = [(length, -(-n * RANK_GROUPS // total)) for length, n in counts.items()]
     shares = spark.createDataFrame(groups, "length long, groups long")
-    keyed = pieces.join(F.broadcast(shares), "length").withColumn("share", F.pmod(F.xxhash64("doc_id", "piece"), F.col("groups")))
+    keyed = pieces.join(F.broadcast(shares), "length").withColumn("share", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("groups")))
     sizes = keyed.groupBy("length", "share").agg(F.count("*").alias("n"))  # at most lengths + RANK_GROUPS rows
     before = sizes.select("length", "share", (F.sum("n").over(Window.partitionBy("length").orderBy("share")) - F.col("n")).alias("before"))
     within = Window.partitionBy("length", "share").orderBy("doc_id", "piece", "ids_crc32")

@@ -86,3 +86,18 @@ def test_plan_is_best_fit(seed):
             at += n
         assert at <= size
     assert len(used) == len(bins)
+
+
+def test_what_is_forgotten_is_encoded_again(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 4000)
+    coder = packing._Coder(public_tokenizer())
+    tokenizer = Tokenizer.from_str(public_tokenizer())
+    for i in range(60):
+        texts = [f"Word{i}a, common words. x{i * j} ñu{j}" for j in range(4)] + [None, "", "common, " * 50]
+        assert [c.tolist() for c in coder.encoded(texts)] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert coder.bytes < 20_000
+
+
+def test_rows_of_one_id_are_ranked_apart(spark):
+    docs = spark.createDataFrame([(None, f"w{i} " * 3) for i in range(200)], "doc_id long, text string")
+    check_layout(packing.pack(docs, public_tokenizer(), size=16).collect(), 16)
