@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import broadcast
 
 
@@ -33,13 +35,33 @@ def staged(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Rows up to which a table is broadcast; beyond, joins shuffle it.
-SMALL = 300_000
+#: Rows, and bytes of their values, up to which a table is broadcast; beyond, joins shuffle it.
+SMALL, SMALL_BYTES = 300_000, 32_000_000
+
+
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """About the bytes of a value."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(value) + 16
+    elif isinstance(kind, T.StructType):
+        size = sum((_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType)):
+        size = F.aggregate(value, F.lit(24).cast("long"), lambda total, x: total + _bytes(x, kind.elementType))
+    elif isinstance(kind, T.ArrayType):
+        size = F.size(value) * 8 + 24
+    elif isinstance(kind, T.MapType):
+        return _bytes(F.map_entries(value), T.ArrayType(T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])))
+    else:
+        return F.lit(8).cast("long")
+    return F.coalesce(size.cast("long"), F.lit(8))
 
 
 def broadcast_if_small(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
-    """``df`` marked for broadcast if the staged table ``of`` (``df`` itself unless named), no shorter than it, is small."""
-    return broadcast(df) if (df if of is None else of).limit(SMALL + 1).count() <= SMALL else df
+    """``df`` marked for broadcast if the staged table ``of`` (``df`` itself unless named), no shorter than it, is small by rows and bytes."""
+    known = df if of is None else of
+    size = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in known.schema.fields), F.lit(0))
+    rows, total = known.limit(SMALL + 1).agg(F.count("*"), F.sum(size)).first()
+    return broadcast(df) if rows <= SMALL and (total or 0) <= SMALL_BYTES else df
 
 
 def spread(df: DataFrame) -> DataFrame:
