@@ -2,19 +2,25 @@
 
 A document's terms are its distinct words and their prefixes of a few lengths,
 hashed.  Terms that go with the label (a G test over the fitting rows), alone or
-in a pair, enter a second-order factorization machine: a weight for each term and
+in a pair (by more, as a term is in many pairs), enter a second-order factorization machine: a weight for each term and
 a vector, whose products weigh pairs such as an insult and a group that it is said
 of.  All pairs of terms are counted over all fitting rows, except those in too few
-rows to pass the test whatever their labels.
+rows to pass the test whatever their labels; every term that passes is learned.
 
 The machine is fitted on a bounded sample of labelled rows (``MAX_ROWS`` of each
-class, by hash of the id, weighted back to the classes' shares), inside one
-task.  Scoring runs over all rows with the broadcast model, whose size
-``MAX_TERMS`` bounds.
+class, by hash of the id, weighted back to the classes' shares).  Terms are read
+and counted, and pairs tested, over many tasks; the machine itself is fitted in
+one, over the terms that passed.  Scoring runs over all rows with the broadcast
+model, whose size the sample bounds: a term takes several of its rows.
+
+Copies of a text among the fitting rows are one row of all their weight.
 
 Defined results: a null or empty text has no terms and gets the score of the
-constant; rows with null labels or ids are not learned from; with no labelled
-rows of one class every score is the share of the other (0 without any).
+constant; rows with null labels or ids are not learned from; of rows equal in id,
+each is learned from with each of the id's labels; with no labelled rows of one
+class, as in empty tables, every score is the share of the other (0 without any);
+a text is read whole, whatever its length; columns besides id, text and label are
+carried through, but for one named like the score, which is replaced.
 """
 
 from __future__ import annotations
@@ -27,20 +33,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.memory import remembered
-from helixframe.plans.staging import spread
+from helixframe.llm.memory import Remembered, forget, held
+from helixframe.plans.staging import spread, staged
 
 #: Labelled rows of each class in the fitting sample, about.
 MAX_ROWS = 6000
-#: Terms in the model.
-MAX_TERMS = 8192
 #: Least G statistic of a term in the model (chi-square with one degree of freedom).
 LEAST_G = 18.0
 PREFIXES = (4, 5, 6)
 FACTORS = 8
+#: Decay of weights and of factors.
+DECAY_W, DECAY_V = 1e-4, 1e-3
 BUCKETS = 2**26
-#: Words whose terms a worker remembers.
-REMEMBERED = 200_000
+#: Bytes of words and their terms that a worker remembers.
+REMEMBERED = 60_000_000
 
 _FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -66,144 +72,205 @@ def _g(a, b, n1: float, n0: float):
         )
 
 
-def _places(rows: list[np.ndarray], chosen: np.ndarray) -> list[np.ndarray]:
-    """Where the terms of each row stand in ``chosen``, those that do."""
-    order = np.argsort(chosen)
-    ranked = chosen[order]
-    out = []
-    for own in rows:
-        at = np.minimum(np.searchsorted(ranked, own), max(len(ranked) - 1, 0))
-        out.append(order[at[ranked[at] == own]] if len(ranked) else np.zeros(0, int))
-    return out
-
-
-def _counts(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The terms of all rows, ascending, and how many rows of either class have each."""
-    ids, n = np.unique(np.concatenate(rows), return_counts=True)
-    a = np.zeros(len(ids))
-    for own in (r for r, toxic in zip(rows, y, strict=True) if toxic):
-        a[np.searchsorted(ids, own)] += 1
-    return ids, a, n - a
-
-
 def _least(n: float, pure) -> float:
     """The least number of rows, up to ``n``, of one class and none of the other with enough of G."""
     enough = np.flatnonzero(pure(np.arange(n + 1.0)) >= LEAST_G)
     return enough[0] if len(enough) else np.inf
 
 
-def _testable(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
-    """Terms of which a pair could pass: a pair has no more rows than its terms, and G is greatest for rows of one class."""
-    return np.flatnonzero((a >= _least(n1, lambda k: _g(k, 0 * k, n1, n0))) | (b >= _least(n0, lambda k: _g(0 * k, k, n1, n0))))
+def least_rows(n1: float, n0: float) -> tuple[float, float]:
+    """Rows of either class that a term needs for it, or a pair with it, to pass: G is greatest for rows of one class alone."""
+    return _least(n1, lambda k: _g(k, 0 * k, n1, n0)), _least(n0, lambda k: _g(0 * k, k, n1, n0))
 
 
-def _best_pairs(places: list[np.ndarray], y: np.ndarray, k: int, alone: np.ndarray, n1: float, n0: float) -> np.ndarray:
-    """For each of ``k`` terms the most that a pair with another tells that neither of the two does."""
-    best = np.zeros(k)
-    if not k:
-        return best
-    rows = [np.sort(p).astype(np.int32) for p in places]
-    # Terms in the same rows have the same pairs: one stands for all.
-    marks = np.zeros((2, k), np.uint64)
+def _terms(batches):
+    """Rows (rank, toxic, weight, text) with the ascending terms of the text in its place."""
+    try:
+        known = held("toxicity terms", lambda: Remembered(word_terms, REMEMBERED))
+        for batch in batches:
+            rows = [sorted(set().union(*map(known.__getitem__, distinct_words(t.as_py())))) for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rows, pa.list_(pa.int32()))], ["rank", "toxic", "weight", "terms"])
+    finally:
+        forget()
+
+
+def _numbered(batches, ids):
+    """Rows (rank, toxic, weight, terms) with the places of the terms in ``ids``, of those that are there."""
+    ids = ids.value
+    for batch in batches:
+        rows = []
+        for own in batch.column(3):
+            own = own.values.to_numpy() if own.values is not None else np.zeros(0, np.int32)
+            at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+            rows.append(at[ids[at] == own].astype(np.int32))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rows, pa.list_(pa.int32()))], ["rank", "toxic", "weight", "terms"])
+
+
+def _representatives(flat: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Terms in the same rows have the same pairs: the first of each such class, and the class of each term."""
     rng = np.random.default_rng(0)
-    for own in rows:
-        marks[:, own] += rng.integers(2**64, size=(2, 1), dtype=np.uint64)
-    _, first, same = np.unique(marks, axis=1, return_index=True, return_inverse=True)
-    same = same.ravel()
-    number = np.full(k, -1, np.int32)
-    number[first] = np.arange(len(first))
-    rows = [np.sort((n := number[own])[n >= 0]) for own in rows]
-    alone, k = alone[first], len(first)
-    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    flat = np.concatenate(rows)
-    by_term = np.argsort(flat, kind="stable")
-    ends = np.cumsum(np.bincount(flat, minlength=k))
+    marks = np.zeros((k, 2), np.uint64)
+    ends = np.cumsum(sizes)
+    for begin, end in zip(ends - sizes, ends, strict=True):
+        marks[flat[begin:end]] += rng.integers(2**64, size=2, dtype=np.uint64)
+    _, first, same = np.unique(marks, axis=0, return_index=True, return_inverse=True)
+    return first, same.ravel()
+
+
+def least_gain(k: int) -> float:
+    """What a pair must tell beyond its terms: as one of ``k`` that its term is in, that much more than a term alone."""
+    return LEAST_G + 2 * np.log(max(k, 1))
+
+
+def pair_gains(flat: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, alone: np.ndarray, n1: float, n0: float, part: int = 0, parts: int = 1) -> np.ndarray:
+    """For each term the most that a pair tells that neither of its two does, over the pairs of every ``parts``-th term with all behind it.
+
+    Row r has ``sizes[r]`` ascending terms of ``flat``.
+    """
+    k = len(alone)
+    ends = np.cumsum(sizes)
+    rows = [flat[begin:end] for begin, end in zip(ends - sizes, ends, strict=True)]
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+    by_term = np.argsort(flat, kind="stable").astype(np.int32)
     holders = doc[by_term]
-    at = np.zeros(len(rows), np.int64)  # rows are ascending, and so are the terms below
+    behind = (np.arange(len(flat), dtype=np.int32) - (ends - sizes).astype(np.int32)[doc] + 1)[by_term]
+    stops = np.cumsum(np.bincount(flat, minlength=k))
     best = np.zeros(k)
-    least_a, least_b = _least(n1, lambda n: _g(n, 0 * n, n1, n0)), _least(n0, lambda n: _g(0 * n, n, n1, n0))
-    for i in range(k):
-        own = holders[ends[i - 1] if i else 0 : ends[i]]
-        at[own] += 1
-        toxic = y[own] == 1
-        a, b = (np.bincount(np.concatenate([rows[d][at[d] :] for d in part]), minlength=k) if len(part) else np.zeros(k, int) for part in (own[toxic], own[~toxic]))
+    least_a, least_b = least_rows(n1, n0)
+    for i in range(part, k, parts):
+        own, after = holders[stops[i - 1] if i else 0 : stops[i]], behind[stops[i - 1] if i else 0 : stops[i]]
+        counts = []
+        for of in (toxic[own], ~toxic[own]):
+            met = [rows[d][p:] for d, p in zip(own[of].tolist(), after[of].tolist(), strict=True)]
+            counts.append(np.bincount(np.concatenate(met), minlength=k) if met else np.zeros(k, int))
+        a, b = counts
         js = np.flatnonzero((a >= least_a) | (b >= least_b))
         if len(js):
             beyond = _g(a[js].astype(float), b[js].astype(float), n1, n0) - np.maximum(alone[i], alone[js])
             best[i] = max(best[i], beyond.max())
             best[js] = np.maximum(best[js], beyond)
-    return best[same]
-
-
-def _fit(frames, seed: int = 3, steps: int = 300, rate: float = 0.05, decay: float = 1e-3):
-    """One model from the rows of all frames (text, toxic, weight): term, weight, factors; term -1 is the constant."""
-    data = pd.concat(list(frames), ignore_index=True)
-    y = data["toxic"].to_numpy(float) if len(data) else np.zeros(0)
-    share = np.ones(len(y)) if not len(y) else data["weight"].to_numpy(float)
-    share = share / share.sum() if len(y) else share
-    order = np.argsort(data["rank"].to_numpy()) if len(y) else []  # the sums below do not depend on the partitions
-    y, share = y[order], share[order]
-    if len(y) == 0 or y.min() == y.max():
-        yield pd.DataFrame({"term": [-1], "weight": [20.0 if len(y) and y.min() > 0 else -20.0], "factors": [[0.0] * FACTORS]})
-        return
-    known = remembered("toxicity", 0)
-    rows = []
-    for text in data["text"].to_numpy()[order]:
-        for w in (words := distinct_words(text)):
-            if w not in known:
-                known[w] = np.array(word_terms(w), np.int32).tobytes()
-        rows.append(np.unique(np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32)))
-        known = remembered("toxicity", REMEMBERED)
-    del data
-    known.clear()
-    n1, n0 = y.sum(), (1 - y).sum()
-    ids, a, b = _counts(rows, y)
-    g = _g(a, b, n1, n0)
-    able = _testable(a, b, n1, n0)
-    g[able] = np.maximum(g[able], _best_pairs(_places(rows, ids[able]), y, len(able), g[able], n1, n0))
-    chosen = np.argsort(-g, kind="stable")[:MAX_TERMS]
-    chosen = chosen[g[chosen] >= LEAST_G]
-    places = _places(rows, ids[chosen])
-    del rows
-    doc, term = np.repeat(np.arange(len(places)), [len(p) for p in places]), np.concatenate(places)
-    k = len(chosen)
+    return best
+
+
+def _gains(batches, shared, parts: int):
+    try:
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                best = pair_gains(*shared.value, part, parts)
+                at = np.flatnonzero(best > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(best[at])], ["term", "gain"])
+    finally:
+        forget()
+
+
+def gradients(doc: np.ndarray, term: np.ndarray, y: np.ndarray, share: np.ndarray, w0: np.ndarray, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The rows' log odds, and the gradients by w0, w and v of their mean log loss, weighted by ``share``; row doc[i], ascending, has term[i]."""
+    n, k = len(y), len(w)
+    own, by_term = v[term], np.argsort(term, kind="stable")
+
+    def total(x: np.ndarray, keys: np.ndarray, size: int) -> np.ndarray:
+        """Sums of the rows of ``x`` by ascending keys."""
+        out = np.zeros((size, *x.shape[1:]))
+        if len(keys):
+            begin = np.flatnonzero(np.diff(keys, prepend=-1))
+            out[keys[begin]] = np.add.reduceat(x, begin)
+        return out
+
+    sums = total(own, doc, n)
+    z = w0[0] + np.bincount(doc, w[term], n) + 0.5 * ((sums**2).sum(1) - np.bincount(doc, (own**2).sum(1), n))
+    error = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+    pull = (sums[doc] - own) * error[doc][:, None]
+    return z, [np.array([error.sum()]), np.bincount(term, error[doc], k), total(pull[by_term], term[by_term], k)]
+
+
+def machine(flat: np.ndarray, sizes: np.ndarray, y: np.ndarray, weight: np.ndarray, k: int, seed: int = 3, epochs: int = 10, least_steps: int = 500, rate: float = 0.05, at_once: int = 64):
+    """The constant, weights and factors of ``k`` terms, by AdaGrad over a few rows at once; row r has ``sizes[r]`` terms of ``flat``."""
     rng = np.random.default_rng(seed)
-    w0, w, v = np.array([np.log(n1 / n0)]), np.zeros(k), rng.normal(0, 0.05, (k, FACTORS))
-    # Adam over all rows at once
-    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (w0, w, v)]
-    for t in range(1, steps + 1):
-        linear = np.bincount(doc, w[term], len(y))
-        sums = np.stack([np.bincount(doc, v[term, f], len(y)) for f in range(FACTORS)], 1)
-        squares = np.bincount(doc, (v[term] ** 2).sum(1), len(y))
-        z = w0[0] + linear + 0.5 * ((sums**2).sum(1) - squares)
-        error = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        pull = sums[doc] - v[term]
-        grads = (
-            np.array([error.sum()]),
-            np.bincount(term, error[doc], k) + decay * w / max(k, 1),
-            np.stack([np.bincount(term, error[doc] * pull[:, f], k) for f in range(FACTORS)], 1) + decay * v / max(k, 1),
-        )
-        for p, grad, s in zip((w0, w, v), grads, state, strict=True):
-            s[0] = 0.9 * s[0] + 0.1 * grad
-            s[1] = 0.999 * s[1] + 0.001 * grad**2
-            p -= rate * (s[0] / (1 - 0.9**t)) / (np.sqrt(s[1] / (1 - 0.999**t)) + 1e-8)
-    yield pd.DataFrame({"term": [-1, *ids[chosen].tolist()], "weight": [w0[0], *w.tolist()], "factors": [[0.0] * FACTORS, *v.tolist()]})
+    n, ends = len(y), np.cumsum(sizes)
+    rows = [flat[begin:end] for begin, end in zip(ends - sizes, ends, strict=True)]
+    weight = weight / weight.mean()
+    w0, w, v = np.array([np.log((weight * y).sum() / (weight * (1 - y)).sum())]), np.zeros(k), rng.normal(0, 0.05, (k, FACTORS))
+    seen = [np.full_like(p, 1e-8) for p in (w0, w, v)]
+    for _ in range(max(epochs, -(-least_steps * at_once // n))):
+        order = rng.permutation(n)
+        for begin in range(0, n, at_once):
+            own = order[begin : begin + at_once]
+            terms, term = np.unique(np.concatenate([rows[r] for r in own]), return_inverse=True)
+            doc = np.repeat(np.arange(len(own)), sizes[own])
+            _, (g0, gw, gv) = gradients(doc, term, y[own], weight[own] / len(own), w0, w[terms], v[terms])
+            steps = ((w0, slice(None), g0), (w, terms, gw + DECAY_W * w[terms]), (v, terms, gv + DECAY_V * v[terms]))
+            for (p, at, grad), past in zip(steps, seen, strict=True):
+                past[at] += grad**2
+                p[at] -= rate * grad / np.sqrt(past[at])
+    return w0[0], w, v
+
+
+MODEL = "term long, weight double, factors array<double>"
+
+
+def _fitted(batches, shared):
+    """The model from the rows of the one batch (rank, toxic, weight, terms) of numbers of ``shared``."""
+    chosen = shared.value
+    data = pd.concat(list(batches), ignore_index=True)
+    data = data.assign(size=data["terms"].str.len()).sort_values(["rank", "toxic", "size"], kind="stable")  # the sums do not depend on the partitions
+    y, sizes = data["toxic"].to_numpy(float), data["size"].to_numpy(int)
+    flat = np.concatenate([*data["terms"], np.zeros(0, int)]).astype(int)
+    w0, w, v = machine(flat, sizes, y, data["weight"].to_numpy(float), len(chosen))
+    yield pd.DataFrame({"term": [-1, *chosen.tolist()], "weight": [w0, *w.tolist()], "factors": [[0.0] * FACTORS, *v.tolist()]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
-    """A model (term, weight, factors) from labelled documents.
+    """A model (term, weight, factors) from labelled documents; term -1 is the constant.
 
     ``labels`` holds the rows to learn from, no others.
     """
+    spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("toxic")).dropna().filter("toxic in (0, 1)")
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = {c: min(1.0, max_rows / max(n.get(c, 0), 1)) for c in (0.0, 1.0)}
-    part = F.when(F.col("toxic") == 1, share[1.0]).otherwise(share[0.0])
+    of_class = {c: min(1.0, max_rows / max(n.get(c, 0), 1)) for c in (0.0, 1.0)}
+    part = F.when(F.col("toxic") == 1, of_class[1.0]).otherwise(of_class[0.0])
     rank = F.xxhash64(F.col("id").cast("string"))
     sample = known.withColumn("share", part).withColumn("rank", rank).filter(F.pmod("rank", F.lit(2**20)) < F.col("share") * 2**20)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(sample), "id").select("text", "toxic", (1 / F.col("share")).alias("weight"), "rank")  # about 2 * max_rows ids
-    return rows.repartition(1).mapInPandas(_fit, "term long, weight double, factors array<double>")
+    found = texts.join(F.broadcast(sample), "id").select("rank", "toxic", (1 / F.col("share")).alias("weight"), "text")  # about 2 * max_rows ids
+    fields = "rank long, toxic double, weight double, terms array<int>"
+    # Copies of a text tell no more than one: they are one row of all their weight.
+    copies = found.mapInArrow(_terms, fields).groupBy("terms", "toxic").agg(F.min("rank").alias("rank"), F.sum("weight").alias("weight"))
+    rows = staged(copies.select("rank", "toxic", "weight", "terms"))
+
+    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = n.get(1.0, 0), n.get(0.0, 0)
+    if not n1 or not n0:
+        return spark.createDataFrame([(-1, 20.0 if n1 else -20.0, [0.0] * FACTORS)], MODEL)
+    least_a, least_b = map(float, least_rows(n1, n0))
+    counted = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
+    # Each takes several rows of the sample, which so bounds their number.
+    able = counted.filter((F.col("a") >= least_a) | (F.col("n") - F.col("a") >= least_b)).orderBy("term").toPandas()
+    ids, a = able["term"].to_numpy(np.int32), able["a"].to_numpy(float)
+    score = _g(a, able["n"].to_numpy(float) - a, n1, n0)
+    if len(ids):
+        shared_ids = spark.sparkContext.broadcast(ids)
+        coded = rows.mapInArrow(lambda b: _numbered(b, shared_ids), fields).toPandas()  # the sample
+        sizes = coded["terms"].str.len().to_numpy(np.int64)
+        flat = np.concatenate(list(coded["terms"])).astype(np.int32)
+        first, same = _representatives(flat, sizes, len(ids))
+        number = np.full(len(ids), -1, np.int32)
+        number[first] = np.arange(len(first))
+        flat = number[flat]
+        doc = np.repeat(np.arange(len(sizes)), sizes)[flat >= 0]
+        flat = flat[flat >= 0]
+        order = np.lexsort((flat, doc))
+        shared = spark.sparkContext.broadcast((flat[order], np.bincount(doc, minlength=len(sizes)), coded["toxic"].to_numpy() == 1, score[first], n1, n0))
+        del coded, flat, doc, order
+        parts = 2 * spark.sparkContext.defaultParallelism
+        best = spark.range(0, parts, 1, parts).mapInArrow(lambda b: _gains(b, shared, parts), "term long, gain double").groupBy("term").agg(F.max("gain").alias("gain")).toPandas()
+        gain = np.zeros(len(first))
+        gain[best["term"].to_numpy(int)] = best["gain"].to_numpy()
+        passed = (score >= LEAST_G) | (gain[same] >= least_gain(len(first)))
+        ids = ids[passed]
+    chosen = spark.sparkContext.broadcast(ids)
+    last = rows.mapInArrow(lambda b: _numbered(b, chosen), fields) if len(chosen.value) else rows.withColumn("terms", F.array().cast("array<int>"))
+    return last.repartition(1).mapInPandas(lambda b: _fitted(b, chosen), MODEL)
 
 
 class Scorer:
@@ -213,18 +280,10 @@ class Scorer:
         self.number = {r["term"]: i for i, r in enumerate(own)}
         self.weights = np.array([r["weight"] for r in own])
         self.factors = np.array([r["factors"] for r in own]).reshape(len(own), FACTORS)
-        self.owner = f"toxicity {hash((tuple(self.number), self.weights.tobytes(), self.factors.tobytes()))}"
+        self.known = Remembered(lambda w: tuple(self.number[t] for t in word_terms(w) if t in self.number), REMEMBERED)
 
     def terms(self, text: str | None) -> list[int]:
-        known = remembered(self.owner, REMEMBERED)
-        found: set[int] = set()
-        for w in distinct_words(text):
-            own = known.get(w)
-            if own is None:
-                own = known[w] = tuple(self.number[t] for t in word_terms(w) if t in self.number)
-            if own:
-                found.update(own)
-        return sorted(found)
+        return sorted(set().union(*filter(None, map(self.known.__getitem__, distinct_words(text)))))
 
     def score(self, text: str | None) -> float:
         z = self.constant
@@ -235,7 +294,8 @@ class Scorer:
 
 
 def _score(batches, shared, text_at: int, names: list[str]):
-    scorer = Scorer(shared.value)
+    model = shared.value
+    scorer = held(("toxicity", xxhash.xxh3_128_digest(repr(model))), lambda: Scorer(model))
     for batch in batches:
         scores = [scorer.score(t.as_py()) for t in batch.column(text_at)]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names)
@@ -243,7 +303,7 @@ def _score(batches, shared, text_at: int, names: list[str]):
 
 def score(docs: DataFrame, model: DataFrame, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1; a column of that name is replaced."""
-    rows = model.collect()  # at most MAX_TERMS + 1
+    rows = model.collect()  # bounded by the sample
     shared = docs.sparkSession.sparkContext.broadcast(rows)
     given = docs.drop(score_col)
     schema = T.StructType([*given.schema, T.StructField(score_col, T.DoubleType())])

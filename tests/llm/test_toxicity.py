@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pytest
 
 from helixframe.llm import toxicity
 from helixframe.llm.queries import op5_toxicity
+from helixframe.plans.staging import staged
 
 
 def auc(pairs):
@@ -57,7 +59,7 @@ def test_rare_pairs_are_learned(spark):
         rows.append((i, " ".join(words), toxic))
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
-    model = toxicity.fit(docs, labels).localCheckpoint()
+    model = staged(toxicity.fit(docs, labels))
     assert {t for w in (b"zorg", b"quim") for t in toxicity.word_terms(w)} <= {r["term"] for r in model.collect()}
     got = toxicity.score(docs, model).filter("doc_id % 100 in (0, 50, 51)").collect()
     assert sum((r["score"] >= 0.5) == (r["doc_id"] % 100 == 0) for r in got) > 0.95 * len(got)
@@ -70,7 +72,11 @@ def test_best_pairs_match_brute_force():
     y = (rng.random(300) < np.where(present[:, 1] ^ present[:, 2], 0.9, 0.2)).astype(float)
     n1, n0 = y.sum(), (1 - y).sum()
     alone = toxicity._g(present[y == 1].sum(0).astype(float), present[y == 0].sum(0).astype(float), n1, n0)
-    got = toxicity._best_pairs([np.flatnonzero(r) for r in present], y, 40, alone, n1, n0)
+    rows = [np.flatnonzero(r) for r in present]
+    flat, sizes = np.concatenate(rows).astype(np.int32), np.array([len(r) for r in rows])
+    got = np.max([toxicity.pair_gains(flat, sizes, y == 1, alone, n1, n0, part, 3) for part in range(3)], 0)
+    first, same = toxicity._representatives(flat, sizes, 40)
+    assert same[7] == same[3] and len(first) == len({p.tobytes() for p in present.T})
     for i in range(40):
         most = 0.0
         for j in set(range(40)) - {i}:
@@ -82,14 +88,54 @@ def test_best_pairs_match_brute_force():
 
 
 def test_foreign_words_seldom_hit_the_model():
-    """Of 400,000 words not seen, about 8192 / BUCKETS each share a term with a full model."""
+    """Of 400,000 words not seen, about 8192 / BUCKETS each share a term with a model of so many terms."""
     assert toxicity.MAX_ROWS == 6000
     model = [{"term": -1, "weight": 0.0, "factors": [0.0] * toxicity.FACTORS}]
-    own = sorted({toxicity.word_terms(b"m%d" % i)[0] for i in range(toxicity.MAX_TERMS)})
+    own = sorted({toxicity.word_terms(b"m%d" % i)[0] for i in range(8192)})
     scorer = toxicity.Scorer(model + [{"term": t, "weight": 1.0, "factors": [0.0] * toxicity.FACTORS} for t in own])
     assert len(scorer.terms(" ".join(f"{i:x}z" for i in range(16**5 - 400_000, 16**5)))) < 400
 
 
+def test_score_and_gradients_match_plain_loops():
+    rng = np.random.default_rng(2)
+    words = [b"alpha", b"beta", b"gamma", b"delta"]
+    terms = sorted({t for w in words for t in toxicity.word_terms(w)})
+    w, v = rng.normal(size=len(terms)), rng.normal(size=(len(terms), toxicity.FACTORS)) / 3
+    model = [{"term": -1, "weight": 0.3, "factors": [0.0] * toxicity.FACTORS}]
+    scorer = toxicity.Scorer(model + [{"term": t, "weight": a, "factors": f} for t, a, f in zip(terms, w, v.tolist(), strict=True)])
+
+    def plain(own, w0, w, v):
+        z = w0
+        for n, i in enumerate(own):
+            z += w[i]
+            for j in own[:n]:
+                z += sum(v[i][f] * v[j][f] for f in range(toxicity.FACTORS))
+        return z
+
+    texts = ["alpha beta", "Gamma, gamma delta", "", "beta other", "alpha gamma delta"]
+    rows = [sorted({terms.index(t) for x in toxicity.distinct_words(text) for t in toxicity.word_terms(x) if t in terms}) for text in texts]
+    for text, own in zip(texts, rows, strict=True):
+        assert scorer.score(text) == pytest.approx(1 / (1 + np.exp(-plain(own, 0.3, w, v))))
+    y, share = np.array([1.0, 0, 0, 1, 0]), np.array([0.1, 0.3, 0.2, 0.2, 0.2])
+    doc, term = np.repeat(np.arange(5), [len(r) for r in rows]), np.array([t for r in rows for t in r])
+
+    def loss(w0, w, v):
+        z = np.array([plain(own, w0, w, v) for own in rows])
+        return (share * (np.log1p(np.exp(z)) - y * z)).sum()
+
+    z, (g0, gw, gv) = toxicity.gradients(doc, term, y, share, np.array([0.3]), w, v)
+    assert z == pytest.approx([plain(own, 0.3, w, v) for own in rows])
+    e = 1e-6
+    assert g0[0] == pytest.approx((loss(0.3 + e, w, v) - loss(0.3 - e, w, v)) / (2 * e), abs=1e-6)
+    for i in range(0, len(terms), 3):
+        step = np.zeros(len(terms))
+        step[i] = e
+        assert gw[i] == pytest.approx((loss(0.3, w + step, v) - loss(0.3, w - step, v)) / (2 * e), abs=1e-6)
+        step = np.zeros_like(v)
+        step[i, 1] = e
+        assert gv[i, 1] == pytest.approx((loss(0.3, w, v + step) - loss(0.3, w, v - step)) / (2 * e), abs=1e-6)
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, 0.5), (2, "", None), (None, "bad", 1.0), (4, "Bad " * 50000, 2.0), (4, "Bad " * 50000, 2.0)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, toxic int")
