@@ -17,8 +17,9 @@ while no proposed link between components is lost.
 Defined results: A-Z are lower-cased; a null or empty text, or one of white
 space, has no shingles and links with nothing; a text of fewer words than a
 shingle is one shingle; equal rows get equal results; if an id has several
-texts, each row gets the component of its own text; a row with a null id links
-with nothing and is kept; other columns are ignored.
+texts, each is a document and each row gets the component of its own text; a row
+with a null id links with nothing and is kept; a long text is read whole; an empty
+table gives no rows; other columns are ignored, or kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -100,15 +101,15 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 def _features(batches, width: int):
     for batch in batches:
         sizes, high, low, bands = [], [], [], []
-        for text in batch.column(1):
+        for text in batch.column(2):
             own = shingle_set(text.as_py(), width)
             sizes.append(len(own))
             digest = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), "<i8")
             high.append(int(digest[0]))
             low.append(int(digest[1]))
             bands.append(band_keys(own) if len(own) else [])
-        out = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_shingles", "high", "low", "bands"])
+        out = [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(out, ["doc_id", "version", "n_shingles", "high", "low", "bands"])
 
 
 def _confirm(batches, width: int, percent: int):
@@ -164,44 +165,51 @@ def shared_parts(texts: DataFrame, width: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b), which are staged, whose full shingle sets are similar enough; ``texts`` has doc_id and text."""
-    hubs = broadcast_if_small(pairs.select(F.col("a").alias("doc_id")).distinct(), of=pairs)
-    first = texts.join(hubs, "doc_id", "left_semi")
-    second = texts.join(broadcast_if_small(pairs), texts["doc_id"] == pairs["b"]).select("a", "b", F.col("text").alias("b_text"))
-    both = first.withColumnsRenamed({"doc_id": "a", "text": "a_text"}).join(second, "a").select("a", "b", "a_text", "b_text")
+    """The pairs (a, b), which are staged, whose full shingle sets are similar enough; ``texts`` has node and text."""
+    hubs = broadcast_if_small(pairs.select(F.col("a").alias("node")).distinct(), of=pairs)
+    first = texts.join(hubs, "node", "left_semi")
+    second = texts.join(broadcast_if_small(pairs), texts["node"] == pairs["b"]).select("a", "b", F.col("text").alias("b_text"))
+    both = first.withColumnsRenamed({"node": "a", "text": "a_text"}).join(second, "a").select("a", "b", "a_text", "b_text")
     kind = pairs.schema["a"].dataType
     return both.mapInArrow(lambda x: _confirm(x, width, percent), T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least id reachable by links), kept (whether that is the row's own)."""
-    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = given.schema["doc_id"].dataType
-    schema = T.StructType([
-        T.StructField("doc_id", kind), T.StructField("n_shingles", T.LongType()), T.StructField("high", T.LongType()), T.StructField("low", T.LongType()),
-        T.StructField("bands", T.ArrayType(T.LongType())),
-    ])
+    return _labelled(docs, width, percent, id_col, text_col).drop("version")
+
+
+def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """As ``near_duplicates``, with version, the hash of the text."""
+    text = F.col(text_col).cast("string")
+    given = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
+    long = T.LongType()
+    schema = T.StructType([given.schema["doc_id"], T.StructField("version", long), T.StructField("n_shingles", long), T.StructField("high", long), T.StructField("low", long), T.StructField("bands", T.ArrayType(long))])
     features = staged(spread(given).mapInArrow(lambda b: _features(b, width), schema))
 
-    linked = features.filter("n_shingles > 0 and doc_id is not null")
-    # Sets that several rows have, and the least id of each; a set that many rows have can be split over tasks in these joins.
-    several = linked.groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # A node of the graph is a document: its id, and the text as well if some id has several.
+    versions = features.dropna(subset=["doc_id"]).groupBy("doc_id").agg(F.min("version").alias("one"), F.max("version").alias("other"))
+    several_texts = not versions.filter("one != other").isEmpty()
+    node = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "version")) if several_texts else F.col("doc_id")
+    features = features.withColumn("node", node)
+    texts = given.dropna(subset=["doc_id"]).select(node.alias("node"), "text")
+
+    linked = features.filter("n_shingles > 0 and doc_id is not null").drop("doc_id", "version")
+    # Sets that several rows have, and the least node of each; a set that many rows have can be split over tasks in these joins.
+    several = linked.groupBy("high", "low").agg(F.min("node").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n")
     several = broadcast_if_small(staged(several))
-    rep = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
+    rep = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "node"))
     members = features.drop("bands").join(several, ["high", "low"], "left").withColumn("rep", rep)
-    own = linked.join(several, ["high", "low"], "left").filter("rep is null or rep = doc_id")
-    rows = own.select("doc_id", "low", "n_shingles", F.explode("bands").alias("key"))
-    hubs = rows.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles")).alias("hub"), F.max("doc_id").alias("last")).filter("last != hub.doc_id")
+    own = linked.join(several, ["high", "low"], "left").filter("rep is null or rep = node")
+    rows = own.select("node", "low", "n_shingles", F.explode("bands").alias("key"))
+    hubs = rows.groupBy("key").agg(F.min(F.struct("node", "n_shingles")).alias("hub"), F.max("node").alias("last")).filter("last != hub.node")
     buckets = staged(rows.join(hubs.select("key", "hub"), "key"))
 
     def alike(x: str, y: str):
         """Sets of so different sizes can't be similar enough."""
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
-    pairs = staged(
-        buckets.filter(F.col("doc_id") != F.col("hub.doc_id")).filter(alike("n_shingles", "hub.n_shingles")).select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    )
-    texts = given.dropna(subset=["doc_id"])
+    pairs = staged(buckets.filter(F.col("node") != F.col("hub.node")).filter(alike("n_shingles", "hub.n_shingles")).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct())
     links = staged(confirmed(pairs, texts, width, percent))
     found = components(links)
 
@@ -210,31 +218,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         several = rows.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("other")).filter("first != other")
         return rows.join(several.select("key", "first"), "key")
 
-    component = F.coalesce("component", "doc_id").alias("component")
-    open_ = staged(mixed(buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "low", "n_shingles", component)).drop("first"))
-    ids = staged(open_.select("doc_id").distinct())
-    shared = shared_parts(texts.join(broadcast_if_small(ids), "doc_id", "left_semi"), width)
+    component = F.coalesce("component", "node").alias("component")
+    open_ = staged(mixed(buckets.join(found, "node", "left").select("key", "node", "low", "n_shingles", component)).drop("first"))
+    ids = staged(open_.select("node").distinct())
+    shared = shared_parts(texts.join(broadcast_if_small(ids), "node", "left_semi"), width)
     total = lambda x: F.aggregate(x, F.lit(0), lambda s, n: s + n)
     alive = open_.join(shared, "low").withColumn("common", total("parts")).filter(100 * F.col("common") >= percent * F.col("n_shingles"))
     alive = staged(mixed(alive.drop("low")))
-    probes = alive.filter("component != first").select("key", *[F.col(c).alias(f"p_{c}") for c in ("doc_id", "n_shingles", "component", "common", "parts")])
+    probes = alive.filter("component != first").select("key", *[F.col(c).alias(f"p_{c}") for c in ("node", "n_shingles", "component", "common", "parts")])
     bound = lambda common: (100 + percent) * common >= percent * (F.col("n_shingles") + F.col("p_n_shingles"))
     other = F.col("p_component") != F.col("component")
     parts = total(F.zip_with("parts", "p_parts", lambda a, b: F.least(a, b)))
     met = probes.join(alive, "key").filter(other & bound(F.least("common", "p_common")) & bound(parts))
-    across = met.select(F.least("p_doc_id", "doc_id").alias("a"), F.greatest("p_doc_id", "doc_id").alias("b")).distinct()
+    across = met.select(F.least("p_node", "node").alias("a"), F.greatest("p_node", "node").alias("b")).distinct()
     more = confirmed(staged(across.join(pairs, ["a", "b"], "left_anti")), texts, width, percent)
-    found = components(links.unionAll(more))
+    found = components(links.unionAll(more)).withColumnRenamed("node", "rep")
 
-    component = F.coalesce("component", "rep", "doc_id")
+    component = F.coalesce("component", "rep", "node")
     return (
-        members.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        members.join(found, "rep", "left")
+        .select("doc_id", "version", "n_shingles", (component["doc_id"] if several_texts else component).alias("component_id"), F.coalesce(F.col("node") == component, F.lit(True)).alias("kept"))
     )
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document, that of the least id, of each group of near duplicates."""
-    gone = near_duplicates(docs, width, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    """``docs`` with one document, that of the least id (and text hash, if that id has several), of each group of near duplicates."""
+    gone = _labelled(docs, width, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("gone_id"), "version").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("own"))
+    return rows.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("own") == F.col("version")), "left_anti").select("row.*")

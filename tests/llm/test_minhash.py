@@ -114,3 +114,15 @@ def test_components(spark, seed):
     got = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in parent)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_ids_of_several_texts_lose_no_text(spark):
+    base = [f"w{i}" for i in range(60)]
+    a, near, other = " ".join(base), " ".join([*base, "more"]), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, a, "x"), (5, near, "y"), (5, other, "z"), (5, other, "z"), (None, a, "n"), (6, None, "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, version string")
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["version"]) for r in kept.collect()) == [("1", "x"), ("5", "z"), ("5", "z"), ("6", "m"), ("None", "n")]
+    found = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()}
+    assert found[5, 57] == (1, False) and found[5, 36] == (5, True)
