@@ -1,14 +1,15 @@
 """Line deduplication by a deletion-neighbourhood join, in DataFrame functions only.
 
 A line is its words, lower-cased and split at white space.  Of equal lines the
-earliest stays, in the order of (id, text hash, line number).  A line of at
-least ``near_words`` words goes also if an earlier line is within one word edit
-(a word changed, added or left out).  Two such lines have a variant in common:
-both without the word at the same place, or one whole and the other without a
-word.  All variants are emitted as hashed keys; each line is joined with the
-earliest line of its key, and the words themselves confirm the edit.  As every
-line of a key is within the bound of every other, the earliest stands for all,
-and no group is ever expanded into pairs.
+earliest stays, in the order of (id, text hash, line number).  A line goes also
+if an earlier one is within one word edit (a word changed, added or left out) that
+is at most one in ``words_per_edit`` words of the shorter line: in lines of few
+words one edit makes another line, and any two single words would be near.  Two
+near lines have a variant in common: both without the word at the same place, or
+one whole and the other without a word.  All variants are emitted as hashed keys;
+each line is joined with the earliest line of its key, and the words themselves
+confirm the edit.  As every line of a key is within the bound of every other, the
+earliest stands for all, and no group is ever expanded into pairs.
 
 Lines without a partner are left out of the join beforehand: an edit falls into
 one half of a line and leaves the other half equal, so a line whose halves occur
@@ -17,7 +18,8 @@ in no other line has no partner.
 Defined results: a line without words is never dropped; a document that loses
 all of its lines with words goes; null and blank texts pass unchanged; rows equal
 in id and text are one document, all kept alike; a null id comes last in the
-order; other columns pass untouched.
+order; a long text or line is compared whole; an empty table gives no rows; other
+columns pass untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,12 +29,27 @@ from pyspark.sql import functions as F
 
 from helixframe.plans.staging import broadcast_if_small, staged
 
-#: Words from which on lines are compared by edits.
-NEAR_WORDS = 8
+#: Words of the shorter line for each edit.
+WORDS_PER_EDIT = 8
+
+_SPACES = "\t\r\f\x0b"
+
+
+def _plain(line: Column) -> Column:
+    """``line`` lower-cased, its white space as spaces."""
+    lower = F.lower(line)
+    odd = F.contains(lower, F.lit("\t")) | F.contains(lower, F.lit("\r")) | F.contains(lower, F.lit("\f")) | F.contains(lower, F.lit("\x0b"))
+    return F.when(odd, F.translate(lower, _SPACES, " " * len(_SPACES))).otherwise(lower)
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(F.lower(line), "\t\r\f\x0b", "    "), " "), "")
+    return F.array_remove(F.split(_plain(line), " "), "")
+
+
+def _joined(plain: Column) -> Column:
+    """The words of a plain line with one space between them."""
+    loose = F.contains(plain, F.lit("  ")) | F.startswith(plain, F.lit(" ")) | F.endswith(plain, F.lit(" "))
+    return F.when(loose, F.array_join(F.array_remove(F.split(plain, " "), ""), " ")).otherwise(plain)
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -46,21 +63,22 @@ def _halves(line: Column, n: Column) -> Column:
     return F.when(n % 2 == 1, F.array(half(longer), half(-longer))).otherwise(F.array(half(longer), half(-longer), half(shorter), half(-shorter)))
 
 
-def _earliest_lines(documents: DataFrame, near_words: int) -> DataFrame:
+def _earliest_lines(documents: DataFrame, words_per_edit: int) -> DataFrame:
     """Distinct lines: hashes, the earliest place, and the halves of lines that are compared by edits."""
-    lines = documents.select("id", "version", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("words", _words(F.col("line")))
-    counted = lines.select("id", "version", "line_no", F.size("words").alias("n"), F.array_join("words", " ").alias("line")).filter("n > 0")
+    lines = documents.select("id", "version", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.col("line").rlike(f"[^ {_SPACES}]"))
+    plain = lines.select("id", "version", "line_no", _plain(F.col("line")).alias("line")).select("id", "version", "line_no", _joined(F.col("line")).alias("line"))
+    counted = plain.select("id", "version", "line_no", "line", (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("n"))
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "version", "line_no")
-    halves = F.when(F.col("n") >= near_words, _halves(F.col("line"), F.col("n")))
+    halves = F.when(F.col("n") >= words_per_edit, _halves(F.col("line"), F.col("n")))
     hashed = counted.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), place.alias("place"), halves.alias("halves"))
     return hashed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("halves").alias("halves"))
 
 
 def _candidates(lines: DataFrame) -> DataFrame:
-    """Lines that have a half in common with another line: h1, place, and these halves."""
-    halves = lines.filter("halves is not null").select("h1", "place", F.inline("halves"))
+    """Lines that have a half in common with another line: h1, h2, place, and these halves."""
+    halves = lines.filter("halves is not null").select("h1", "h2", "place", F.inline("halves"))
     shared = staged(halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a != b").select("half"))
-    return halves.join(broadcast_if_small(shared), "half").groupBy("h1").agg(F.first("place").alias("place"), F.collect_set(F.struct("half", "at")).alias("halves"))
+    return halves.join(broadcast_if_small(shared), "half").groupBy("h1", "h2").agg(F.first("place").alias("place"), F.collect_set(F.struct("half", "at")).alias("halves"))
 
 
 def _without(words: Column, i: Column) -> Column:
@@ -83,7 +101,7 @@ def _variants(texts: DataFrame) -> DataFrame:
 
 
 def _near_lines(documents: DataFrame, lines: DataFrame) -> DataFrame:
-    """h1 of the lines with an earlier line within one word edit."""
+    """h1 and place of the lines with an earlier line within one word edit."""
     line = F.struct("place.line_no", "h1", "halves")
     wanted = staged(_candidates(lines).groupBy("place.id", "place.version").agg(F.collect_list(line).alias("wanted")))
     same_row = documents["id"].eqNullSafe(wanted["id"]) & (documents["version"] == wanted["version"])
@@ -110,21 +128,21 @@ def _near_lines(documents: DataFrame, lines: DataFrame) -> DataFrame:
     )
     other = texts.select(F.col("h1").alias("other"), F.col("words").alias("other_words"))
     same = _without(F.col("words"), F.col("i")) == _without(F.col("other_words"), F.col("j"))
-    return pairs.join(texts.select("h1", "words"), "h1").join(other, "other").filter(same).select("h1").distinct()
+    return pairs.join(texts.select("h1", "place", "words"), "h1").join(other, "other").filter(same).select("h1", "place").distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_words: int = NEAR_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
     """``docs`` with repeated lines taken out of the text, without the documents that nothing is left of."""
-    left = marked(docs, id_col, text_col, near_words).filter("n_kept > 0 or n_lines = 0")
+    left = marked(docs, id_col, text_col, words_per_edit).filter("n_kept > 0 or n_lines = 0")
     return left.select(*[(F.col("kept_text") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
-def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near_words: int = NEAR_WORDS) -> DataFrame:
+def marked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
     """Per row: row (all columns), n_lines (with words), n_kept (of these), kept_text."""
     documents = _documents(docs, id_col, text_col)
-    lines = staged(_earliest_lines(documents, near_words))
+    lines = staged(_earliest_lines(documents, words_per_edit))
     near = staged(_near_lines(documents, lines))
-    kept = lines.join(broadcast_if_small(near), "h1", "left_anti").groupBy("place.id", "place.version").agg(F.collect_set("place.line_no").alias("kept"))
+    kept = lines.join(broadcast_if_small(near), ["h1", "place"], "left_anti").groupBy("place.id", "place.version").agg(F.collect_set("place.line_no").alias("kept"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("row_id"), F.xxhash64(F.col(text_col)).alias("row_version"))
     text = F.col("row").getField(text_col)
     joined = rows.join(kept, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_version") == F.col("version")), "left")

@@ -48,7 +48,7 @@ def test_random_lines(spark):
             lines.append((" " if kind < 0.9 else "\t ").join(words).title())
         rows.append((i, "\n".join(lines)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df, near_words=4).collect()}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df, words_per_edit=4).collect()}
     assert got == brute(rows, 4)
 
 
