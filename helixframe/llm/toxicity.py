@@ -26,7 +26,6 @@ carried through, but for one named like the score, which is replaced.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -72,15 +71,15 @@ def _g(a, b, n1: float, n0: float):
         )
 
 
-def _least(n: float, pure) -> float:
+def _least(n: float, pure, least: float) -> float:
     """The least number of rows, up to ``n``, of one class and none of the other with enough of G."""
-    enough = np.flatnonzero(pure(np.arange(n + 1.0)) >= LEAST_G)
+    enough = np.flatnonzero(pure(np.arange(n + 1.0)) >= least)
     return enough[0] if len(enough) else np.inf
 
 
-def least_rows(n1: float, n0: float) -> tuple[float, float]:
-    """Rows of either class that a term needs for it, or a pair with it, to pass: G is greatest for rows of one class alone."""
-    return _least(n1, lambda k: _g(k, 0 * k, n1, n0)), _least(n0, lambda k: _g(0 * k, k, n1, n0))
+def least_rows(n1: float, n0: float, least: float = LEAST_G) -> tuple[float, float]:
+    """Rows of either class that a term needs for it, or a pair with it, to reach ``least``: G is greatest for rows of one class alone."""
+    return _least(n1, lambda k: _g(k, 0 * k, n1, n0), least), _least(n0, lambda k: _g(0 * k, k, n1, n0), least)
 
 
 def _terms(batches):
@@ -94,27 +93,40 @@ def _terms(batches):
         forget()
 
 
-def _numbered(batches, ids):
-    """Rows (rank, toxic, weight, terms) with the places of the terms in ``ids``, of those that are there."""
-    ids = ids.value
+def _numbered(own: pa.ListScalar, ids: np.ndarray) -> np.ndarray:
+    """The places of ascending terms in ``ids``, of those that are there."""
+    own = own.values.to_numpy() if own.values is not None else np.zeros(0, np.int32)
+    if not len(ids):
+        return np.zeros(0, np.int32)
+    at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+    return at[ids[at] == own].astype(np.int32)
+
+
+BLOBS = "rank binary, toxic binary, weight binary, sizes binary, flat binary"
+
+
+def _blobs(batches, shared):
+    """Rows (rank, toxic, weight, terms) as one row of arrays for each batch, their terms numbered by ``shared`` behind one another."""
     for batch in batches:
-        rows = []
-        for own in batch.column(3):
-            own = own.values.to_numpy() if own.values is not None else np.zeros(0, np.int32)
-            at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
-            rows.append(at[ids[at] == own].astype(np.int32))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rows, pa.list_(pa.int32()))], ["rank", "toxic", "weight", "terms"])
-
-
-def _representatives(flat: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Terms in the same rows have the same pairs: the first of each such class, and the class of each term."""
-    rng = np.random.default_rng(0)
-    marks = np.zeros((k, 2), np.uint64)
-    ends = np.cumsum(sizes)
-    for begin, end in zip(ends - sizes, ends, strict=True):
-        marks[flat[begin:end]] += rng.integers(2**64, size=2, dtype=np.uint64)
+        rows = [_numbered(own, shared.value) for own in batch.column(3)]
+        flat, sizes = np.concatenate([*rows, np.zeros(0, np.int32)]), np.array([len(r) for r in rows], np.int32)
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:3]]
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (*columns, sizes, flat)], [f.split()[0] for f in BLOBS.split(", ")])
+
+
+def _arrays(blobs: list) -> list[np.ndarray]:
+    """rank, toxic, weight, sizes and flat of all rows of blobs."""
+    kinds = (np.int64, np.float64, np.float64, np.int32, np.int32)
+    return [np.concatenate([np.frombuffer(b[i], kind) for b in blobs] + [np.zeros(0, kind)]) for i, kind in enumerate(kinds)]
+
+
+def _classes(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each class of equal ``marks``, ascending, and the class of each row."""
     _, first, same = np.unique(marks, axis=0, return_index=True, return_inverse=True)
-    return first, same.ravel()
+    order = np.argsort(first)
+    number = np.empty(len(first), int)
+    number[order] = np.arange(len(first))
+    return first[order], number[same.ravel()]
 
 
 def least_gain(k: int) -> float:
@@ -122,10 +134,11 @@ def least_gain(k: int) -> float:
     return LEAST_G + 2 * np.log(max(k, 1))
 
 
-def pair_gains(flat: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, alone: np.ndarray, n1: float, n0: float, part: int = 0, parts: int = 1) -> np.ndarray:
+def pair_gains(flat: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, alone: np.ndarray, n1: float, n0: float, bar: float, part: int = 0, parts: int = 1) -> np.ndarray:
     """For each term the most that a pair tells that neither of its two does, over the pairs of every ``parts``-th term with all behind it.
 
-    Row r has ``sizes[r]`` ascending terms of ``flat``.
+    Row r has ``sizes[r]`` ascending terms of ``flat``.  Pairs in too few rows to
+    reach ``bar`` are left out.
     """
     k = len(alone)
     ends = np.cumsum(sizes)
@@ -136,7 +149,7 @@ def pair_gains(flat: np.ndarray, sizes: np.ndarray, toxic: np.ndarray, alone: np
     behind = (np.arange(len(flat), dtype=np.int32) - (ends - sizes).astype(np.int32)[doc] + 1)[by_term]
     stops = np.cumsum(np.bincount(flat, minlength=k))
     best = np.zeros(k)
-    least_a, least_b = least_rows(n1, n0)
+    least_a, least_b = least_rows(n1, n0, bar)
     for i in range(part, k, parts):
         own, after = holders[stops[i - 1] if i else 0 : stops[i]], behind[stops[i - 1] if i else 0 : stops[i]]
         counts = []
@@ -157,7 +170,7 @@ def _gains(batches, shared, parts: int):
         for batch in batches:
             for part in batch.column(0).to_pylist():
                 best = pair_gains(*shared.value, part, parts)
-                at = np.flatnonzero(best > 0)
+                at = np.flatnonzero(best >= shared.value[-1])
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(best[at])], ["term", "gain"])
     finally:
         forget()
@@ -209,14 +222,15 @@ MODEL = "term long, weight double, factors array<double>"
 
 
 def _fitted(batches, shared):
-    """The model from the rows of the one batch (rank, toxic, weight, terms) of numbers of ``shared``."""
+    """The model from the blobs of all rows, whose terms are numbers of ``shared``."""
     chosen = shared.value
-    data = pd.concat(list(batches), ignore_index=True)
-    data = data.assign(size=data["terms"].str.len()).sort_values(["rank", "toxic", "size"], kind="stable")  # the sums do not depend on the partitions
-    y, sizes = data["toxic"].to_numpy(float), data["size"].to_numpy(int)
-    flat = np.concatenate([*data["terms"], np.zeros(0, int)]).astype(int)
-    w0, w, v = machine(flat, sizes, y, data["weight"].to_numpy(float), len(chosen))
-    yield pd.DataFrame({"term": [-1, *chosen.tolist()], "weight": [w0, *w.tolist()], "factors": [[0.0] * FACTORS, *v.tolist()]})
+    rank, y, weight, sizes, flat = _arrays([[c[0].as_py() for c in b.slice(i, 1).columns] for b in batches for i in range(len(b))])
+    ends = np.cumsum(sizes)
+    order = np.lexsort((sizes, y, rank))  # the sums do not depend on the partitions
+    flat = np.concatenate([flat[ends[r] - sizes[r] : ends[r]] for r in order])
+    w0, w, v = machine(flat, sizes[order], y[order], weight[order], len(chosen))
+    columns = [pa.array([-1, *chosen.tolist()], pa.int64()), pa.array([w0, *w.tolist()]), pa.array([[0.0] * FACTORS, *v.tolist()])]
+    yield pa.RecordBatch.from_arrays(columns, ["term", "weight", "factors"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
@@ -243,34 +257,33 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     if not n1 or not n0:
         return spark.createDataFrame([(-1, 20.0 if n1 else -20.0, [0.0] * FACTORS)], MODEL)
     least_a, least_b = map(float, least_rows(n1, n0))
-    counted = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
+    # Two hashes of the rows that a term is in tell terms in the same rows.
+    row = rows.select("toxic", F.xxhash64("rank", "toxic", "terms").alias("m1"), F.xxhash64("terms", "rank").alias("m2"), F.explode("terms").alias("term"))
+    counted = row.groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"), F.bit_xor("m1").alias("m1"), F.bit_xor("m2").alias("m2"))
     # Each takes several rows of the sample, which so bounds their number.
-    able = counted.filter((F.col("a") >= least_a) | (F.col("n") - F.col("a") >= least_b)).orderBy("term").toPandas()
-    ids, a = able["term"].to_numpy(np.int32), able["a"].to_numpy(float)
-    score = _g(a, able["n"].to_numpy(float) - a, n1, n0)
-    if len(ids):
-        shared_ids = spark.sparkContext.broadcast(ids)
-        coded = rows.mapInArrow(lambda b: _numbered(b, shared_ids), fields).toPandas()  # the sample
-        sizes = coded["terms"].str.len().to_numpy(np.int64)
-        flat = np.concatenate(list(coded["terms"])).astype(np.int32)
-        first, same = _representatives(flat, sizes, len(ids))
-        number = np.full(len(ids), -1, np.int32)
-        number[first] = np.arange(len(first))
-        flat = number[flat]
-        doc = np.repeat(np.arange(len(sizes)), sizes)[flat >= 0]
-        flat = flat[flat >= 0]
-        order = np.lexsort((flat, doc))
-        shared = spark.sparkContext.broadcast((flat[order], np.bincount(doc, minlength=len(sizes)), coded["toxic"].to_numpy() == 1, score[first], n1, n0))
-        del coded, flat, doc, order
+    able = counted.filter((F.col("a") >= least_a) | (F.col("n") - F.col("a") >= least_b)).orderBy("term").collect()
+    ids, a, n = np.array([r["term"] for r in able], np.int32), np.array([r["a"] for r in able], float), np.array([r["n"] for r in able], float)
+    score = _g(a, n - a, n1, n0)
+    passed = score >= LEAST_G
+    # A pair has no more rows than its terms; terms in the same rows have the same pairs, and one stands for all.
+    bar = least_gain(len(ids))
+    least_a, least_b = least_rows(n1, n0, bar)
+    paired = np.flatnonzero((a >= least_a) | (n - a >= least_b))
+    if len(paired):
+        first, same = _classes(np.array([(able[i]["m1"], able[i]["m2"]) for i in paired]))
+        stands = spark.sparkContext.broadcast(ids[paired][first])
+        _, toxic, _, sizes, flat = _arrays(rows.mapInArrow(lambda b: _blobs(b, stands), BLOBS).collect())  # the sample
+        shared = spark.sparkContext.broadcast((flat, sizes, toxic == 1, score[paired][first], n1, n0, bar))
+        del flat
         parts = 2 * spark.sparkContext.defaultParallelism
-        best = spark.range(0, parts, 1, parts).mapInArrow(lambda b: _gains(b, shared, parts), "term long, gain double").groupBy("term").agg(F.max("gain").alias("gain")).toPandas()
+        best = spark.range(0, parts, 1, parts).mapInArrow(lambda b: _gains(b, shared, parts), "term long, gain double").groupBy("term").agg(F.max("gain").alias("gain")).collect()
         gain = np.zeros(len(first))
-        gain[best["term"].to_numpy(int)] = best["gain"].to_numpy()
-        passed = (score >= LEAST_G) | (gain[same] >= least_gain(len(first)))
-        ids = ids[passed]
-    chosen = spark.sparkContext.broadcast(ids)
-    last = rows.mapInArrow(lambda b: _numbered(b, chosen), fields) if len(chosen.value) else rows.withColumn("terms", F.array().cast("array<int>"))
-    return last.repartition(1).mapInPandas(lambda b: _fitted(b, chosen), MODEL)
+        for r in best:
+            gain[r["term"]] = r["gain"]
+        passed[paired] |= gain[same] >= bar
+        shared.unpersist()
+    chosen = spark.sparkContext.broadcast(ids[passed])
+    return rows.mapInArrow(lambda b: _blobs(b, chosen), BLOBS).repartition(1).mapInArrow(lambda b: _fitted(b, chosen), MODEL)
 
 
 class Scorer:

@@ -74,9 +74,9 @@ def test_best_pairs_match_brute_force():
     alone = toxicity._g(present[y == 1].sum(0).astype(float), present[y == 0].sum(0).astype(float), n1, n0)
     rows = [np.flatnonzero(r) for r in present]
     flat, sizes = np.concatenate(rows).astype(np.int32), np.array([len(r) for r in rows])
-    got = np.max([toxicity.pair_gains(flat, sizes, y == 1, alone, n1, n0, part, 3) for part in range(3)], 0)
-    first, same = toxicity._representatives(flat, sizes, 40)
-    assert same[7] == same[3] and len(first) == len({p.tobytes() for p in present.T})
+    got = np.max([toxicity.pair_gains(flat, sizes, y == 1, alone, n1, n0, toxicity.LEAST_G, part, 3) for part in range(3)], 0)
+    first, same = toxicity._classes(np.array([[5, 1], [2, 9], [5, 1], [5, 2]]))
+    assert first.tolist() == [0, 1, 3] and same.tolist() == [0, 1, 0, 2]
     for i in range(40):
         most = 0.0
         for j in set(range(40)) - {i}:
