@@ -7,13 +7,15 @@ inside links.  The best container stays, with those siblings that score enough
 or are paragraphs of their own.
 
 Defined results: a null or empty html has an empty text; markup that is broken
-or never closed is read as far as it goes; equal rows get equal results; other
-columns are ignored.
+or never closed is read as far as it goes; of containers of equal score the first
+is the best; a long page is read whole, in time in proportion to its length; equal
+rows get equal results; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -39,6 +41,8 @@ BLOCK = frozenset(
 )
 NO_CONTENT = frozenset("nav footer aside form button select input label fieldset dialog menu head audio video".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+KEPT_BESIDE = frozenset("p pre blockquote ul ol dl table figure".split())
+_RAW_ENDS = {tag: re.compile(rf"</{tag}[^>]*(?:>|\Z)", re.I) for tag in RAW}
 # What a start tag closes, up to which ancestors.
 CLOSES = {
     "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu"})), "dt": (frozenset({"dt", "dd"}), frozenset({"dl"})), "dd": (frozenset({"dt", "dd"}), frozenset({"dl"})),
@@ -106,7 +110,16 @@ def tree(html: str) -> tuple[Node, list[Node]]:
     """The tree of a page and its elements in order."""
     root = Node("#root", "", None, False)
     nodes, at, here = [root], 0, root
-    lower = None
+    opened: Counter[str] = Counter()  # elements from the root to here, by tag
+
+    def leave(to: Node) -> Node:
+        """``to``, an ancestor, after closing all below it."""
+        node = here
+        while node is not to:
+            opened[node.tag] -= 1
+            node = node.parent
+        return to
+
     while True:
         m = _TOKEN.search(html, at)
         if m is None:
@@ -120,43 +133,41 @@ def tree(html: str) -> tuple[Node, list[Node]]:
             continue
         tag = tag.lower()
         if m[1]:
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                here = node.parent
+            if opened[tag] > 0:
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                here = leave(node.parent)
             elif tag == "br":
                 here.items.append(" ")
             continue
         if tag in RAW:
             if not m[3].endswith("/") or tag in ("script", "style", "textarea", "title", "iframe", "noscript"):
-                lower = lower if lower is not None else html.lower()
-                end = lower.find(f"</{tag}", at)
-                close = lower.find(">", end) if end >= 0 else -1
-                at = close + 1 if close >= 0 else len(html)
+                end = _RAW_ENDS[tag].search(html, at)
+                at = end.end() if end else len(html)
             continue
-        if tag in BLOCK and here.tag != "#root":
-            closing, within = CLOSES.get(tag, (frozenset(), frozenset()))
-            node = here
-            while node is not root and node.tag not in within and (node.tag == "p" or node.tag in closing or node.tag not in BLOCK):
+        closing, within = CLOSES.get(tag, (frozenset(), frozenset()))
+        if tag in BLOCK and (opened["p"] > 0 or any(opened[t] > 0 for t in closing)):
+            node = to = here
+            left = opened["p"] + sum(opened[t] for t in closing)
+            while left and node.tag not in within and (node.tag == "p" or node.tag in closing or node.tag not in BLOCK):
                 if node.tag == "p" or node.tag in closing:
-                    here = node.parent
+                    to, left = node.parent, left - 1
                     if node.tag in closing:
                         break
                 node = node.parent
+            here = leave(to)
         if tag in VOID:
             here.items.append(Node("hr", "", here, True) if tag == "hr" else " ")
             continue
         own = _attributes(m[3])
-        up, inside = here, False
-        if tag == "header":
-            while up is not None and not inside:
-                inside, up = up.tag in ("article", "main"), up.parent
+        inside = opened["article"] > 0 or opened["main"] > 0
         node = Node(tag, f"{own.get('class', '')} {own.get('id', '')}", here, _is_cut(tag, own, inside))
         here.items.append(node)
         nodes.append(node)
         if not m[3].endswith("/") or tag in BLOCK:
             here = node
+            opened[tag] += 1
 
 
 def _blocks(tops: list[Node]) -> list[str]:
@@ -214,6 +225,9 @@ def main_text(html: str | None) -> str:
         if n.tag in ("ul", "ol", "div", "table") and n.links >= MENU_LINKS and n.linked > MENU_SHARE * n.length:
             n.cut = True
             inside_cut.add(id(n))
+    for n in live:
+        if n.parent is not None and id(n.parent) in inside_cut:
+            inside_cut.add(id(n))
     scored: dict[int, Node] = {}
     for n in live:
         if id(n) in inside_cut:
@@ -244,7 +258,7 @@ def main_text(html: str | None) -> str:
         elif isinstance(x, Node) and id(x) not in inside_cut and x.length:
             density = x.linked / x.length
             same = 0.2 * most if x.names.strip() and x.names == best.names else 0
-            if x.score + same >= max(10, 0.2 * most) or x.tag in ("p", "pre", "blockquote", *HEADINGS) and density < 0.25:
+            if x.score + same >= max(10, 0.2 * most) or (x.tag in KEPT_BESIDE or x.tag in HEADINGS) and density < 0.25:
                 keep.append(x)
     return "\n\n".join(_blocks(keep))
 

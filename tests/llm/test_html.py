@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 import pytest
@@ -77,3 +78,22 @@ def test_edges(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     assert sorted((r["text"], r["n_chars"]) for r in html.extract(df).collect()) == [("", 0), ("A", 1), ("A", 1), ("B", 1)]
     assert html.extract(df.limit(0)).count() == 0
+
+
+def test_letters_that_grow_when_lower_cased_shift_nothing():
+    page = "<html><body><article><p>" + "İ" * 40 + " first.</p><script>var x = '<p>no</p>';</SCRIPT ><p>Second, kept whole.</p></article></body></html>"
+    assert html.main_text(page) == "İ" * 40 + " first.\n\nSecond, kept whole."
+
+
+def test_hostile_tags_take_time_in_proportion():
+    n = 20000
+    for page in ("<b>" * n + "</i>" * n + "text", "<b>" * n + "<p>" * n + "text", "<div>" * n + "</p>" * n + "text", "<li><b>" * n + "text", "<header>" * n + "text"):
+        began = time.perf_counter()
+        html.main_text(page)
+        assert time.perf_counter() - began < 10
+
+
+def test_short_lists_and_tables_beside_the_text_stay():
+    words = "The story goes on, with many words, in a paragraph of its own. " * 6
+    page = f"<body><div class='main'><div><p>{words}</p><p>{words}</p></div><ul><li>one</li><li>two</li></ul><table><tr><td>cell</td></tr></table></div></body>"
+    assert all(x in html.main_text(page).split("\n\n") for x in ("one", "two", "cell"))
