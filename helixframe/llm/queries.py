@@ -27,7 +27,8 @@ URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow",
 
 def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    rules = urls.mined(pages, table(spark, sf_dir, "labels"))
+    labels = urls.listed_labels(pages, URL_RULES)
+    rules = urls.mined(pages, labels, label_id="id", bad="bad")
     return urls.judge(pages, rules, URL_RULES)
 
 

@@ -1,28 +1,29 @@
 """URL filtering by listed rules and by mined token combinations.
 
 Listed rules name a host, with its subdomains, and the start of a path; the
-longest that fits decides.  For all other urls, combinations of url tokens that go
-with a bad label are mined; rules of enough support and confidence stay unless a
-part of them is as telling, and an inverted index from tokens to rules finds the
+longest that fits decides.  For all other urls, FP-growth mines combinations of url
+tokens that go with a bad label; rules of enough support and confidence stay unless
+a part of them is as telling, and an inverted index from tokens to rules finds the
 rules of which a url has every token.
 
-Mining runs over all tokens of all labelled rows, level by level, and rules may be
-of any length.  A combination in as many rows as a part of it is in the same rows,
-so it tells no more and nor does any larger one: it is left out, as is what holds a
-part that only bad rows have.  Neither changes the rules.  So tokens that always
-stand together cost no more than one of them; the work grows with the combinations
-that do not follow from each other.
+Mining runs over all labelled rows and rules may be of any length.  Tokens in too
+few bad rows are left out first, as no rule can hold them, and tokens that stand in
+the same rows are mined as one and told apart afterwards: neither changes the rules,
+and urls that repeat, however long, cost no more than one token.  The work grows
+with the combinations of enough support that are left.
 
 Defined results: a null url, or one without ``://``, has an empty host and path,
 no tokens and no rule, and is allowed; rows of a null id or label are not learned
-from; equal urls get equal results; other columns are ignored.
+from; equal urls get equal results; a long url is read whole; of several rules that
+fit, the highest confidence is given; an empty table gives no rows or rules; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ from helixframe.plans.staging import broadcast_if_small, staged
 LEAST_ROWS, LEAST_SHARE = 10, 0.0005
 LEAST_CONFIDENCE = 0.8
 
+_BAD = "bad"
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -67,27 +70,11 @@ def tokens(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.array_sort(F.array_distinct(own))).otherwise(F.expr("array()").cast("array<string>"))
 
 
-def _level(covers: DataFrame, smaller: DataFrame | None, least: int) -> DataFrame:
-    """Combinations (parent, last, items, n, n_bad, best) of ``covers`` whose parts are all in ``smaller`` and in more rows; best is the parts' highest confidence."""
-    counted = covers.select("parent", F.explode("lasts").alias("last"), "n", "n_bad").groupBy("parent", "last").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad")).filter(F.col("n_bad") >= least)
-    if smaller is None:
-        return counted.withColumns({"items": F.array("last"), "best": F.lit(0.0)})
-    known = broadcast_if_small(smaller.select(F.col("id").alias("parent"), F.col("items").alias("of")))
-    sets = staged(counted.join(known, "parent").select("parent", "last", F.array_append("of", F.col("last")).alias("items"), "n", "n_bad"))
-    parts = sets.select("items", "n", F.explode("items").alias("out")).select("items", "n", F.array_remove("items", F.col("out")).alias("part"))
-    its = broadcast_if_small(smaller.select(F.col("items").alias("part"), F.col("n").alias("its_n"), (F.col("n_bad") / F.col("n")).alias("its")))
-    free = parts.join(its, "part").filter("its_n > n").groupBy("items").agg(F.count("*").alias("parts"), F.max("its").alias("best")).filter("parts = size(items)")
-    return sets.join(free.drop("parts"), "items")
-
-
-def _extended(covers: DataFrame, level: DataFrame) -> DataFrame:
-    """What of each row of ``covers`` may hold combinations one item longer than those of ``level``."""
-    ids = level.groupBy("parent").agg(F.map_from_entries(F.collect_list(F.struct("last", "id"))).alias("ids"))
-    known = F.filter("lasts", lambda l: F.try_element_at("ids", l).isNotNull())
-    rows = covers.join(ids, "parent").select("n", "n_bad", "ids", known.alias("lasts")).filter("size(lasts) > 1")
-    each = rows.select("n", "n_bad", "ids", "lasts", F.posexplode("lasts").alias("at", "last")).filter("at + 1 < size(lasts)")
-    longer = each.select(F.try_element_at("ids", "last").alias("parent"), F.slice("lasts", F.col("at") + 2, F.size("lasts")).alias("lasts"), "n", "n_bad")
-    return longer.groupBy("parent", "lasts").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad"))
+def listed_labels(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """Labels (id, bad) of the pages whose url one of the listed rules fits: whether it blocks."""
+    url = F.col(url_col).cast("string")
+    _, verdict = listed(host(url), path(url), rules)
+    return pages.select(F.col(id_col).alias("id"), (verdict == "block").alias("bad")).dropna()
 
 
 def mined(
@@ -96,37 +83,43 @@ def mined(
 ) -> DataFrame:
     """Rules (rule_id, items, confidence, support) for the label that ``bad`` is true of."""
     marks = labels.select(F.col(label_id).alias("id"), F.expr(bad).alias("bad")).dropna()
-    known = pages.select(F.col(id_col).alias("id"), tokens(F.col(url_col)).alias("items")).join(marks, "id")
-    rows = staged(known.groupBy("items").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad")))
-    n = rows.agg(F.sum("n")).first()[0] or 0
+    rows = staged(pages.select(F.col(id_col).alias("id"), tokens(F.col(url_col)).alias("items")).join(marks, "id").select(F.monotonically_increasing_id().alias("row"), "bad", "items"))
+    n = rows.count()
     least = max(1, math.ceil(min(1.0, max(least_share, least_rows / max(n, 1))) * n))
-    # Tokens of enough bad rows, numbered: their number is bounded by the share.
-    often = rows.select("n_bad", F.explode("items").alias("token")).groupBy("token").agg(F.sum("n_bad").alias("n_bad")).filter(F.col("n_bad") >= least)
-    number = staged(often.select("token", F.monotonically_increasing_id().alias("item")))
-    baskets = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "n", "n_bad", F.explode("items").alias("token")).join(broadcast_if_small(number), "token")
-    baskets = baskets.groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("lasts"), F.first("n").alias("n"), F.first("n_bad").alias("n_bad"))
-    covers = staged(baskets.groupBy(F.lit(-1).cast("long").alias("parent"), "lasts").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad")))
-    confidence = F.col("n_bad") / F.col("n")
-    found, smaller = [], None
-    while True:
-        level = staged(_level(covers, smaller, least).withColumn("id", F.monotonically_increasing_id()))
-        found.append(level.filter((confidence >= least_confidence) & (confidence > F.col("best"))).select("items", confidence.alias("confidence"), (F.col("n_bad") / max(n, 1)).alias("support")))
-        smaller = level.filter("n_bad < n")
-        if smaller.isEmpty():
-            break
-        covers = staged(_extended(covers, smaller))
-    rules = reduce(DataFrame.unionAll, found).withColumn("rule", F.monotonically_increasing_id())
-    named = staged(rules).select("rule", "confidence", "support", F.explode("items").alias("item")).join(broadcast_if_small(number), "item")
-    whole = named.groupBy("rule").agg(F.array_sort(F.collect_list("token")).alias("items"), F.first("confidence").alias("confidence"), F.first("support").alias("support"))
-    return whole.select(F.sha1(F.array_join("items", "\n").cast("binary")).alias("rule_id"), "items", "confidence", "support")
+    # Tokens of enough bad rows, their number bounded by the share; two hashes of its rows tell those in the same rows.
+    each = rows.select("row", "bad", F.explode("items").alias("token"))
+    same = F.bit_xor(F.xxhash64("row")).alias("m1"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("m2")
+    often = each.groupBy("token").agg(F.count_if("bad").alias("n_bad"), *same).filter(F.col("n_bad") >= least)
+    classes = staged(often.groupBy("m1", "m2").agg(F.min("token").alias("token"), F.array_sort(F.collect_list("token")).alias("tokens")))
+    baskets = each.join(broadcast_if_small(classes.select("token")), "token").groupBy("row").agg(F.collect_list("token").alias("items"), F.first("bad").alias("bad"))
+    baskets = baskets.select(F.when(F.col("bad"), F.array_append("items", F.lit(_BAD))).otherwise(F.col("items")).alias("items"))
+    own = staged(baskets)
+    share = min(1.0, (least - 0.5) / max(own.count(), 1))
+    found = FPGrowth(itemsCol="items", minSupport=share, minConfidence=least_confidence).fit(own).associationRules
+    support = F.col("support") * own.count() / max(n, 1)
+    rules = staged(found.filter(F.col("consequent") == F.array(F.lit(_BAD))).select(F.array_sort("antecedent").alias("items"), "confidence", support.alias("support")))
+    # A rule goes if a part of it, one item less, is as telling.
+    parts = rules.select("items", "confidence", F.explode("items").alias("out")).select("items", "confidence", F.array_remove("items", F.col("out")).alias("part"))
+    shorter = rules.select(F.col("items").alias("part"), F.col("confidence").alias("its"))
+    weaker = parts.join(shorter, "part").filter("its >= confidence").select("items").distinct()
+    best = rules.join(weaker, "items", "left_anti").withColumn("rule", F.monotonically_increasing_id())
+    # Each token of a class may stand for it.
+    named = staged(best).select("rule", "confidence", "support", F.explode("items").alias("token")).join(broadcast_if_small(classes.select("token", "tokens")), "token")
+    whole = named.groupBy("rule").agg(F.collect_list("tokens").alias("sets"), F.first("confidence").alias("confidence"), F.first("support").alias("support"))
+    longer = lambda sets, own: F.flatten(F.transform(sets, lambda s: F.transform(own, lambda t: F.array_append(s, t))))
+    choices = F.aggregate("sets", F.expr("array(cast(array() as array<string>))"), longer)
+    chosen = whole.select("confidence", "support", F.explode(choices).alias("items")).withColumn("items", F.array_sort("items"))
+    return chosen.select(F.sha1(F.array_join("items", "\n").cast("binary")).alias("rule_id"), "items", "confidence", "support")
 
 
 def matched(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """(key, confidence) of the token sets (key, tokens) that a rule fits, by an inverted index."""
-    index = broadcast_if_small(staged(rules.select("rule_id", "confidence", F.size("items").alias("size"), F.explode("items").alias("token"))))
-    seen = token_sets.select("key", F.explode("tokens").alias("token")).join(index, "token")
-    whole = seen.groupBy("key", "rule_id").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("confidence").alias("confidence")).filter("n = size")
-    return whole.groupBy("key").agg(F.max("confidence").alias("confidence"))
+    """(key, confidence) of the token sets (key, tokens) that a rule fits, by an inverted index: a rule stands at that of its tokens which the fewest rules have."""
+    each = rules.select("rule_id", "confidence", "items", F.explode("items").alias("token"))
+    uses = each.groupBy("token").agg(F.count("*").alias("uses"))
+    rarest = each.join(uses, "token").groupBy("rule_id").agg(F.min(F.struct("uses", "token")).alias("at"), F.first("items").alias("items"), F.first("confidence").alias("confidence"))
+    index = broadcast_if_small(staged(rarest.select("at.token", "items", "confidence")))
+    seen = token_sets.select("key", "tokens", F.explode("tokens").alias("token")).join(index, "token")
+    return seen.filter(F.size(F.array_except("items", "tokens")) == 0).groupBy("key").agg(F.max("confidence").alias("confidence"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, lists: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:

@@ -102,6 +102,27 @@ def test_mined_rules_are_all_there(spark):
     assert got == best
 
 
+def test_query_mines_what_brute_force_does(spark):
+    """The verdicts of urls without a listed rule, by rules counted one by one over the urls that have one."""
+    at = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{at}/pages.parquet").select("page_id", "url", urls.tokens(F.col("url")).alias("tokens")).collect()
+    known = [(frozenset(r["tokens"]), rule(*split(r["url"]))[1]) for r in pages]
+    known = [(own, verdict == "block") for own, verdict in known if verdict]
+    counts = {}
+    for own, bad in known:
+        for size in range(1, 4):  # a longer rule fits no url that a shorter one doesn't
+            for items in combinations(sorted(own), size):
+                both = counts.setdefault(items, [0, 0])
+                both[0] += 1
+                both[1] += bad
+    telling = [set(items) for items, (n, n_bad) in counts.items() if n_bad >= 10 and n_bad / n >= 0.8]
+    got = {r["page_id"]: r["verdict"] for r in op2_urls(spark, at).collect()}
+    by_method = [r for r in pages if rule(*split(r["url"]))[0] is None]
+    want = {r["page_id"]: "block" if any(t <= set(r["tokens"]) for t in telling) else "allow" for r in by_method}
+    assert {i: got[i] for i in want} == want
+    assert set(want.values()) == {"allow", "block"}
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([("http://My-Shop.Example.org/a/B2/17.html?Ref=x&id=3#q",), (None,), ("x",)], "url string")
     got = [r[0] for r in df.select(urls.tokens(F.col("url"))).collect()]
