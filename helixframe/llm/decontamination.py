@@ -7,8 +7,9 @@ item of fewer words is one window.  Windows are broadcast in blocks of at most
 result.  A hash finds candidates; the words themselves confirm them.
 
 Defined results: a null or empty text has no words and is clean; equal rows get
-equal results; an empty benchmark leaves all clean; null item ids count as no
-item.  Other columns pass through untouched.
+equal results; an empty benchmark leaves all clean, and an empty table gives no rows; null
+item ids count as no item, and items of equal windows are all named; a long text is
+scanned whole.  Other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.plans.staging import spread
+from helixframe.plans.staging import spread, staged
 
 #: Windows in one broadcast block.
 MAX_WINDOWS = 2_000_000
@@ -64,16 +65,15 @@ class Index:
         split = {w: w.split() for w in items}
         self.numbers = {w: i for i, w in enumerate(sorted({x for s in split.values() for x in s}), 1)}
         width = max(map(len, split.values()), default=0)
-        self.factors = np.random.default_rng(7).integers(0, 2**63, width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.tables = {}
-        for n in sorted({len(s) for s in split.values()}):
-            own = [w for w in items if len(split[w]) == n]
-            coded = np.array([[self.numbers[x] for x in split[w]] for w in own], np.uint64)
-            hashes = (coded * self.factors[:n]).sum(1, dtype=np.uint64)
-            order = np.argsort(hashes)
-            if len(np.unique(hashes)) < len(hashes):
-                raise ValueError("two windows share a hash; use another seed")
-            self.tables[n] = (hashes[order], coded[order], [items[own[k]] for k in order])
+        own = {n: [w for w in items if len(split[w]) == n] for n in sorted({len(s) for s in split.values()})}
+        coded = {n: np.array([[self.numbers[x] for x in split[w]] for w in ws], np.uint64) for n, ws in own.items()}
+        seed, hashes = 7, None
+        while hashes is None or any(len(np.unique(h)) < len(h) for h in hashes.values()):  # until no two windows share a hash
+            self.factors = np.random.default_rng(seed).integers(0, 2**63, width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            hashes = {n: (c * self.factors[:n]).sum(1, dtype=np.uint64) for n, c in coded.items()}
+            seed += 1
+        order = {n: np.argsort(h) for n, h in hashes.items()}
+        self.tables = {n: (hashes[n][at], coded[n][at], [items[own[n][k]] for k in at]) for n, at in order.items()}
 
     def hits(self, coded: np.ndarray):
         """(position, length, items) of all windows in a row of word numbers; 0 stands for a word of no window."""
@@ -153,6 +153,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str =
     schema = T.StructType([*given.schema, T.StructField("n_words", T.LongType()), T.StructField("hit_spans", spans), T.StructField("hit_items", T.ArrayType(T.StringType()))])
     out = spread(given)
     for k in range(blocks):
+        if k:
+            out = staged(out)  # so that a task holds one block
         own = windows.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k) if blocks > 1 else windows
         shared = spark.sparkContext.broadcast(Index([(r["item"], bytes(r["window"])) for r in own.toLocalIterator()]))  # about max_windows rows
         out = out.mapInArrow(lambda b, s=shared, first=not k: _scan(b, s, names.index(text_col), names, first), schema)

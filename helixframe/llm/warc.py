@@ -9,7 +9,8 @@ read record by record, by Content-Length.
 Defined results: a null html is an empty payload; a null url has no target
 header, and white space or control characters in a url are percent-encoded; rows
 of a null id are responses; equal rows of the largest id are all responses; an
-empty table gives archives without records.  Other columns are ignored.
+empty table gives archives without records; a long page is written and read whole.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import gzip
 import hashlib
 import io
 import uuid
+from datetime import UTC, datetime
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +32,8 @@ from helixframe.plans.staging import checkpoint_dir
 LEAST = 1000
 #: Records in one archive file; a file is read by one task.
 RECORDS = 5000
+#: Bytes of payloads that a reader hands on together.
+BYTES_AT_ONCE = 32_000_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
 
@@ -55,10 +60,12 @@ def _header(name: str, value: Column) -> Column:
     return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise("")
 
 
-def records(rows: DataFrame, date: str = "2020-01-01T00:00:00Z") -> DataFrame:
-    """``value``, the text of one WARC record for each row of ``with_revisits``, without the end mark."""
+def records(rows: DataFrame, date: str | None = None) -> DataFrame:
+    """``value``, the text of one WARC record, of now unless dated, for each row of ``with_revisits``, without the end mark."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     revisit = F.col("refers_to").isNotNull()
-    url = F.regexp_replace(F.regexp_replace("url", r"[\x00-\x1F\x7F]", "%0A"), " ", "%20")
+    coded = reduce(lambda url, c: F.replace(url, F.lit(chr(c)), F.lit(f"%{c:02X}")), [*range(33), 127], F.col("url"))
+    url = F.when(F.col("url").rlike(r"[\x00-\x20\x7F]"), coded).otherwise(F.col("url"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n_bytes").cast("string"), F.lit(END))
     block = F.concat(http, F.when(revisit, "").otherwise(F.col("payload")))
     head = F.concat(
@@ -106,22 +113,24 @@ FIELDS = "page string, url string, record_type string, record_id string, refers_
 
 
 def _read(batches, with_payload: bool):
+    kinds = [pa.string()] * 6 + [pa.int64(), pa.binary()]
+    names = [f.split()[0] for f in FIELDS.split(", ")]
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
     for batch in batches:
         for content in batch.column(0):
-            columns: list[list] = [[] for _ in range(8)]
+            rows, size = [], 0
             for head, http, payload in _parsed(content.as_py()):
                 kind, digest = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:")
                 if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
                     raise ValueError(f"payload and digest differ in record {head['WARC-Record-ID']}")
-                row = (
-                    head.get("X-Page-ID"), head.get("WARC-Target-URI"), kind, head["WARC-Record-ID"], head.get("WARC-Refers-To"), digest,
-                    int(http["Content-Length"]), payload if with_payload and kind == "response" else None,
-                )
-                for c, v in zip(columns, row, strict=True):
-                    c.append(v)
-            kinds = [pa.string()] * 6 + [pa.int64(), pa.binary()]
-            names = [f.split()[0] for f in FIELDS.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                kept = payload if with_payload and kind == "response" else None
+                rows.append((head.get("X-Page-ID"), head.get("WARC-Target-URI"), kind, head["WARC-Record-ID"], head.get("WARC-Refers-To"), digest, int(http["Content-Length"]), kept))
+                size += len(kept or b"")
+                if size >= BYTES_AT_ONCE:
+                    yield made(rows)
+                    rows, size = [], 0
+            if rows:
+                yield made(rows)
 
 
 def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:

@@ -25,3 +25,9 @@ def test_round_trip(spark):
     urls = {r["page"]: r["url"] for r in rows}
     assert urls["1"] == "http://a/x%20y%0A" and urls["2"] is None
     assert warc.read(spark, warc.write(df.limit(0))).count() == 0
+
+
+def test_urls_are_percent_encoded(spark):
+    df = spark.createDataFrame([(1, "http://a.b/x y\tz\r\n\x00\x7f%20é", "p")], "page_id long, url string, html string")
+    found = warc.read(spark, warc.write(df)).collect()
+    assert found[0]["url"] == "http://a.b/x%20y%09z%0D%0A%00%7F%20é"
