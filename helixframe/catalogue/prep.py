@@ -81,14 +81,16 @@ def key_intersection(spark, at):
 
 
 def lookup_left_default(spark, at):
-    nations = table(spark, at, "nation").filter("n_nationkey < 20").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    return prep.looked_up(table(spark, at, "customer").select("c_custkey", "c_nationkey"), nations, "c_nationkey", {"n_name": "unknown"})
+    nations = table(spark, at, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    customers = table(spark, at, "customer").select("c_custkey", "c_nationkey")
+    odd = spark.createDataFrame([(-1, 99), (-2, None)], customers.schema)
+    return prep.looked_up(customers.unionByName(odd), nations, "c_nationkey", {"n_name": "unknown"})
 
 
 def union_skip_reasons(spark, at):
-    words = B.proteins(spark, at).select("accession", F.regexp_replace(F.upper(F.substring("sequence", 1, 40)), "[^A-Z]", "").alias("sequence"))
+    words = B.proteins(spark, at).select("accession", F.regexp_replace(F.upper("sequence"), "[^A-Z]", "").alias("sequence"))
     odd = spark.createDataFrame([(-1, ""), (-2, None), (-3, "nan"), (-4, " acdy ")], words.schema)
-    return prep.with_skip_reasons(words.unionByName(odd), longest=30).select("accession", "skip_reason", "used")
+    return prep.with_skip_reasons(words.unionByName(odd)).select("accession", "skip_reason", "used")
 
 
 def subtype_promotion(spark, at):
@@ -139,7 +141,7 @@ def interval_geometry(spark, at):
 
 
 def mask_runs(spark, at):
-    rows = intervals.masks(B.annotations(spark, at).filter("end - start < 4"), B.lengths(spark, at))
+    rows = intervals.masks(B.annotations(spark, at), B.lengths(spark, at))
     return intervals.runs(rows, ["accession", "annot_type"])
 
 
@@ -209,12 +211,13 @@ ORACLE_SQL = {
     "semi_join_keys": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
     "orphan_anti": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "key_intersection": "SELECT o_orderkey AS key FROM orders INTERSECT SELECT l_orderkey FROM lineitem INTERSECT SELECT doc_id FROM documents",
-    "lookup_left_default": "SELECT c_custkey, c_nationkey, coalesce(n_name, 'unknown') AS n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON n_nationkey = c_nationkey",
-    "union_skip_reasons": f"""{sql('proteins')}, s AS (SELECT accession, regexp_replace(upper(substring(sequence, 1, 40)), '[^A-Z]', '', 'g') AS sequence FROM proteins
+    "lookup_left_default": """WITH c AS (SELECT c_custkey, c_nationkey FROM customer UNION ALL VALUES (-1, 99), (-2, NULL))
+        SELECT c_custkey, c_nationkey, coalesce(n_name, 'unknown') AS n_name FROM c LEFT JOIN nation ON n_nationkey = c_nationkey""",
+    "union_skip_reasons": f"""{sql('proteins')}, s AS (SELECT accession, regexp_replace(upper(sequence), '[^A-Z]', '', 'g') AS sequence FROM proteins
             UNION ALL VALUES (-1, ''), (-2, NULL), (-3, 'nan'), (-4, ' acdy ')),
         u AS (SELECT accession, upper(trim(sequence)) AS u FROM s),
         r AS (SELECT *, CASE WHEN u IS NULL OR u IN ('', 'NAN', 'NONE') THEN 'empty' WHEN NOT regexp_full_match(u, '[{prep.RESIDUES}]+') THEN 'alphabet' END AS skip_reason FROM u)
-        SELECT accession, skip_reason, CASE WHEN skip_reason IS NULL THEN substring(u, 1, 30) END AS used FROM r""",
+        SELECT accession, skip_reason, CASE WHEN skip_reason IS NULL THEN substring(u, 1, 1022) END AS used FROM r""",
     "subtype_promotion": f"""{sql('enriched')} SELECT CASE WHEN (SELECT count(DISTINCT annot_subtype) > count(DISTINCT feature_type) FROM enriched) THEN annot_subtype ELSE feature_type END AS feature_type, count(*) AS n
         FROM enriched GROUP BY 1""",
     "valid_types_having": f"""{sql('ann')} SELECT feature_type, CAST(sum(end_ - start_ + 1) AS BIGINT) AS n_residues, count(DISTINCT accession) AS n_proteins FROM ann GROUP BY 1 HAVING n_residues >= 40000 AND n_proteins >= 900""",
@@ -230,7 +233,7 @@ ORACLE_SQL = {
         SELECT accession, length, coalesce(covered, 0) AS covered, round(coalesce(covered, 0) / CAST(length AS DOUBLE), 6) AS share FROM lengths LEFT JOIN c USING (accession)""",
     "interval_geometry": f"""{sql('ann', 'lengths')}, g AS (SELECT feature_type, abs(end_ - start_) + 1 AS span, (start_ + end_) / 2.0 / length AS relative FROM ann JOIN lengths USING (accession))
         SELECT feature_type, round(avg(span), 6) AS mean_span, round(avg(relative), 6) AS mean_relative, round(min(relative), 6) AS min_relative FROM g GROUP BY 1""",
-    "mask_runs": f"""{sql('ann', 'lengths')}, {MASK.format(more=' AND end_ - start_ < 4')},
+    "mask_runs": f"""{sql('ann', 'lengths')}, {MASK.format(more='')},
         i AS (SELECT *, pos - row_number() OVER (PARTITION BY accession, annot_type ORDER BY pos) AS island FROM mask)
         SELECT accession, annot_type, CAST(min(pos) AS INT) AS first, CAST(max(pos) AS INT) AS last, count(*) AS run_length FROM i GROUP BY accession, annot_type, island""",
     "parse_feature_strings": f"""{sql('enriched')}, d AS (SELECT DISTINCT accession, start_, end_, coalesce(description, 'x') AS description FROM enriched)

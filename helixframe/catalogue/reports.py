@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from helixframe.catalogue import alignment as Q
-from helixframe.catalogue.prep import SPLIT, split_members
+from helixframe.catalogue.prep import SPLIT, cluster_subset, split_members
 from helixframe.functions import columns as C
 from helixframe.functions.metrics import r_squared
 from helixframe.functions.scales import EVIDENCE, scale_table
@@ -41,7 +40,7 @@ def leakage_report(spark, at):
 
 def subset_checks(spark, at):
     whole = B.members(spark, at)
-    return reports.subset_checks(whole.filter("cluster_id % 3 = 0"), whole)
+    return reports.subset_checks(whole.join(cluster_subset(spark, at), "cluster_id", "left_semi"), whole)
 
 
 def _typed(spark, at):
@@ -190,7 +189,7 @@ def resample_bins(spark, at):
 
 def minmax_norm(spark, at):
     rows = table(spark, at, "events")
-    return rounded(rows.select("event_id", C.min_max(F.col("value"), Window.partitionBy("event_type")).alias("score")))
+    return rounded(reports.scaled(rows, "value", ["event_type"]).select("event_id", "score"))
 
 
 def quantile_gate(spark, at):

@@ -57,9 +57,16 @@ def varied(profile: DataFrame, n: int = 8, least_range: float = 0.08, least_peak
 
 
 def spread_peaks(profile: DataFrame, n: int = 3, apart: int = 3) -> list[str]:
-    """Up to ``n`` types whose peak layers lie ``apart``, best first, then the best of the rest; over a few rows."""
+    """Up to ``n`` types whose peak layers lie ``apart``, best first, then the best of the rest.
+
+    Of types that peak in one layer only the best can be chosen for being apart, so
+    a row for each layer and the best rows of all decide.
+    """
     order = Window.partitionBy("annot_type").orderBy(F.desc("auprc"), "layer")
-    peaks = profile.withColumn("nth", F.row_number().over(order)).filter("nth = 1").orderBy(F.desc("auprc"), "annot_type").limit(50).collect()
+    peaks = profile.withColumn("nth", F.row_number().over(order)).filter("nth = 1")
+    of_layer = Window.partitionBy("layer").orderBy(F.desc("auprc"), "annot_type")
+    some = peaks.withColumn("nth", F.row_number().over(of_layer)).filter("nth = 1").unionByName(peaks.orderBy(F.desc("auprc"), "annot_type").limit(2 * n))
+    peaks = some.drop("nth").distinct().orderBy(F.desc("auprc"), "annot_type").collect()
     chosen: list = []
     for r in peaks:
         if len(chosen) < n and all(abs(r["layer"] - c["layer"]) >= apart for c in chosen):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.metrics import cohen_d
@@ -22,12 +22,18 @@ def physico_contrast(residues: DataFrame, scales: DataFrame, by: list[str] | Non
     Residues without a value count in n_in and n_out but in no mean.
     """
     properties = scales.select("property").distinct()
-    joined = residues.join(F.broadcast(properties)).join(F.broadcast(scales), ["residue", "property"], "left")
-    inside, outside = F.when(F.col("inside") == 1, F.col("value")), F.when(F.col("inside") == 0, F.col("value"))
-    grouped = joined.groupBy(*(by or []), "property").agg(
-        F.avg(inside).alias("mean_in"), F.avg(outside).alias("mean_out"), F.stddev_pop(inside).alias("sd_in"), F.stddev_pop(outside).alias("sd_out"),
-        F.count_if(F.col("inside") == 1).alias("n_in"), F.count_if(F.col("inside") == 0).alias("n_out"),
-    )
+    # Counted first: a few dozen rows are left, whatever the number of residues.
+    counts = residues.groupBy(*(by or []), "residue", "inside").agg(F.count("*").alias("n"))
+    joined = counts.join(F.broadcast(properties)).join(F.broadcast(scales), ["residue", "property"], "left")
+
+    def moments(side: int, name: str) -> list[Column]:
+        here = F.col("inside") == side
+        known = F.sum(F.when(here & F.col("value").isNotNull(), F.col("n")))
+        mean = F.sum(F.when(here, F.col("n") * F.col("value"))) / known
+        square = F.sum(F.when(here, F.col("n") * F.col("value") * F.col("value"))) / known
+        return [mean.alias(f"mean_{name}"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias(f"sd_{name}"), F.coalesce(F.sum(F.when(here, F.col("n"))), F.lit(0)).alias(f"n_{name}")]
+
+    grouped = joined.groupBy(*(by or []), "property").agg(*moments(1, "in"), *moments(0, "out"))
     d = cohen_d(F.col("mean_in"), F.col("sd_in"), F.col("mean_out"), F.col("sd_out"))
     return grouped.withColumns({"contrast": F.col("mean_in") - F.col("mean_out"), "cohen_d": d}).drop("sd_in", "sd_out")
 

@@ -14,13 +14,22 @@ def masks(annotations: DataFrame, lengths: DataFrame) -> DataFrame:
     Closed intervals counted from 1 are cut to the sequence and exploded, so what
     follows are equi-joins on the position and no join on a range.
     """
-    inside = annotations.join(lengths, "accession").select("accession", F.col("feature_type").alias("annot_type"), F.greatest(F.col("start"), F.lit(1)).alias("a"), F.least("end", "length").alias("b"))
-    return inside.filter("a <= b").select("accession", "annot_type", F.explode(F.sequence("a", "b")).alias("pos")).distinct()
+    apart = merged(annotations.withColumn("annot_type", F.col("feature_type")), lengths, ["accession", "annot_type"])
+    return apart.select("accession", "annot_type", F.explode(F.sequence("a", "b")).alias("pos"))
+
+
+def merged(annotations: DataFrame, lengths: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, a, b: the intervals of each key, cut to the sequence, those that overlap as one."""
+    inside = annotations.join(lengths, "accession").select(*keys, F.greatest(F.col("start"), F.lit(1)).alias("a"), F.least("end", "length").alias("b")).filter("a <= b")
+    order = Window.partitionBy(*keys).orderBy("a", "b")
+    before = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begun = inside.withColumn("begins", F.when(F.col("a") <= before, 0).otherwise(1)).withColumn("island", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return begun.groupBy(*keys, "island").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("island")
 
 
 def coverage(annotations: DataFrame, lengths: DataFrame) -> DataFrame:
     """Positions of each accession under any annotation, and their share of the length."""
-    covered = masks(annotations, lengths).select("accession", "pos").distinct().groupBy("accession").agg(F.count("*").alias("covered"))
+    covered = merged(annotations, lengths, ["accession"]).groupBy("accession").agg(F.sum(F.col("b") - F.col("a") + 1).alias("covered"))
     return lengths.join(covered, "accession", "left").select("accession", "length", F.coalesce("covered", F.lit(0)).alias("covered")).withColumn("share", F.col("covered") / F.nullif(F.col("length").cast("double"), F.lit(0.0)))
 
 

@@ -110,13 +110,20 @@ def prefix_owners(scores: DataFrame, n: int) -> DataFrame:
 
 
 def distinct_owners(best: DataFrame, n: int) -> list[tuple]:
-    """(annot_type, feature_id), best first, no feature twice; an ordered fold over at most 500 rows."""
-    taken, out = set(), []
-    for r in best.orderBy(F.desc("auprc_mean"), "annot_type").limit(500).collect():
-        if r["feature_id"] not in taken and len(out) < n:
-            taken.add(r["feature_id"])
-            out.append((r["annot_type"], r["feature_id"]))
-    return out
+    """(annot_type, feature_id), best first, no feature twice: a feature goes to the first type that it is best for."""
+    order = Window.partitionBy("feature_id").orderBy(F.desc("auprc_mean"), "annot_type")
+    first = best.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").orderBy(F.desc("auprc_mean"), "annot_type")
+    return [(r["annot_type"], r["feature_id"]) for r in first.limit(n).collect()]
+
+
+def scaled(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """``df`` with score, the value scaled to 0..1 among the rows of equal keys.
+
+    The bounds are partial aggregates joined back, so rows of one key may lie in
+    any number of tasks.
+    """
+    bounds = df.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    return df.join(bounds, keys).withColumn("score", (F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low") + 1e-8)).drop("_low", "_high")
 
 
 def moving_average(df: DataFrame, value: str, keys: list[str], order: str, width: int) -> Column:
