@@ -250,16 +250,16 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     fields = "rank long, toxic double, weight double, terms array<int>"
     # Copies of a text tell no more than one: they are one row of all their weight.
     copies = found.mapInArrow(_terms, fields).groupBy("terms", "toxic").agg(F.min("rank").alias("rank"), F.sum("weight").alias("weight"))
-    rows = staged(copies.select("rank", "toxic", "weight", "terms"))
+    # Two hashes of a row: summed up by term, they tell terms in the same rows.
+    marks = F.xxhash64("rank", "toxic", "terms").alias("m1"), F.xxhash64("terms", "rank").alias("m2")
+    rows = staged(copies.select("rank", "toxic", "weight", "terms", *marks))
 
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1.0, 0), n.get(0.0, 0)
     if not n1 or not n0:
         return spark.createDataFrame([(-1, 20.0 if n1 else -20.0, [0.0] * FACTORS)], MODEL)
     least_a, least_b = map(float, least_rows(n1, n0))
-    # Two hashes of the rows that a term is in tell terms in the same rows.
-    row = rows.select("toxic", F.xxhash64("rank", "toxic", "terms").alias("m1"), F.xxhash64("terms", "rank").alias("m2"), F.explode("terms").alias("term"))
-    counted = row.groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"), F.bit_xor("m1").alias("m1"), F.bit_xor("m2").alias("m2"))
+    counted = rows.select("toxic", "m1", "m2", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"), F.bit_xor("m1").alias("m1"), F.bit_xor("m2").alias("m2"))
     # Each takes several rows of the sample, which so bounds their number.
     able = counted.filter((F.col("a") >= least_a) | (F.col("n") - F.col("a") >= least_b)).orderBy("term").collect()
     ids, a, n = np.array([r["term"] for r in able], np.int32), np.array([r["a"] for r in able], float), np.array([r["n"] for r in able], float)
