@@ -96,7 +96,7 @@ def feature_triage(spark, at):
 
 
 def novel_candidates(spark, at):
-    return rounded(A.novel(A.triage(rounded(_scores(spark, at))), 0.45).select("feature_id", "best_auprc", "mystery"))
+    return rounded(A.novel(A.triage(rounded(_scores(spark, at))), 0.73).select("feature_id", "best_auprc", "mystery"))
 
 
 def threshold_tally(spark, at):
@@ -177,7 +177,7 @@ ORACLE_SQL = {
     "per_annot_best": f"{sql('score')}, {ROUNDED}, {BEST} SELECT annot_type, feature_id, auprc_mean, n_proteins, n_clusters FROM best",
     "robust_pairs": f"{sql('score')}, {ROUNDED}, {BEST} SELECT annot_type, feature_id, auprc_mean, fisher_p FROM best WHERE n_proteins >= {LEAST_PROTEINS} AND fisher_p < {MOST_P} AND n_clusters >= {LEAST_CLUSTERS}",
     "feature_triage": f"{TRIAGE} SELECT * FROM triage",
-    "novel_candidates": f"{TRIAGE} SELECT feature_id, best_auprc, mystery FROM triage WHERE best_auprc < 0.45",
+    "novel_candidates": f"{TRIAGE} SELECT feature_id, best_auprc, mystery FROM triage WHERE best_auprc < 0.73",
     "threshold_tally": f"""{TRIAGE} SELECT cut, count(*) FILTER (best_auprc < cut) AS n_below, round(avg(CASE WHEN best_auprc < cut THEN 1.0 ELSE 0 END), 6) AS share_below
         FROM triage, (SELECT unnest([0.2, 0.4, 0.6, 0.8])::DOUBLE AS cut) GROUP BY cut""",
     "val_test_selection": f"{HALVES} SELECT * FROM eval",

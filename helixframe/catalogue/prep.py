@@ -72,7 +72,7 @@ def semi_join_keys(spark, at):
 
 
 def orphan_anti(spark, at):
-    return table(spark, at, "customer").join(table(spark, at, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return table(spark, at, "documents").join(table(spark, at, "labels"), "doc_id", "left_anti").select("doc_id")
 
 
 def key_intersection(spark, at):
@@ -209,7 +209,7 @@ ORACLE_SQL = {
     "join_split_1_1": f"{sql('members', 'lengths')}, {SPLIT} SELECT accession, length, cluster_id, split FROM lengths JOIN members USING (accession) JOIN split USING (cluster_id)",
     "join_split_m_1": f"{sql('members', 'ann')}, {SPLIT} SELECT split, feature_type, count(*) AS n FROM ann JOIN members USING (accession) JOIN split USING (cluster_id) GROUP BY ALL",
     "semi_join_keys": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
-    "orphan_anti": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "orphan_anti": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "key_intersection": "SELECT o_orderkey AS key FROM orders INTERSECT SELECT l_orderkey FROM lineitem INTERSECT SELECT doc_id FROM documents",
     "lookup_left_default": """WITH c AS (SELECT c_custkey, c_nationkey FROM customer UNION ALL VALUES (-1, 99), (-2, NULL))
         SELECT c_custkey, c_nationkey, coalesce(n_name, 'unknown') AS n_name FROM c LEFT JOIN nation ON n_nationkey = c_nationkey""",

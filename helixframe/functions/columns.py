@@ -59,6 +59,15 @@ def precision(tp: Column, fp: Column) -> Column:
     return tp / (tp + fp + 1e-9)
 
 
+def per_protein(n: Column, proteins: Column) -> Column:
+    return n / (proteins + 1e-9)
+
+
+def mystery(best: Column) -> Column:
+    """How much of a feature its best score leaves unexplained."""
+    return 1 - best
+
+
 def harmonic(a: Column, b: Column) -> Column:
     """The harmonic mean, 0 where both are 0."""
     return F.when(a + b > 0, F.lit(2) * a * b / F.nullif(a + b, F.lit(0.0))).otherwise(0.0)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions.columns import mystery
 from helixframe.functions.metrics import expected_overlap, fisher_greater, geometric_mean, odds_ratio, truncated_odds_ratio
 
 
@@ -111,7 +112,7 @@ def triage(scores: DataFrame, cuts: tuple[float, float] = (0.3, 0.5)) -> DataFra
     counts = scores.groupBy("feature_id").agg(
         F.count("*").alias("n_types"), F.count_if(F.col("auprc_mean") > cuts[0]).alias("n_above_low"), F.count_if(F.col("auprc_mean") > cuts[1]).alias("n_above_high"), F.max(finite).alias("max_odds_ratio")
     )
-    return best.join(counts, "feature_id").withColumn("mystery", 1 - F.col("best_auprc"))
+    return best.join(counts, "feature_id").withColumn("mystery", mystery(F.col("best_auprc")))
 
 
 def novel(triaged: DataFrame, threshold: float = 0.25) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.functions.columns import per_protein, precision
 from helixframe.functions.metrics import cohen_d
 
 
@@ -107,14 +108,14 @@ def convergence(scores: DataFrame, focal: DataFrame, n: int = 5) -> DataFrame:
 
 def regimes(scores: DataFrame, threshold: float) -> DataFrame:
     """``scores`` with precision, residues_per_protein and regime: motif up to ``threshold``, domain above or unknown."""
-    rpp = F.col("tp") / (F.col("n_proteins") + 1e-9)
+    rpp = per_protein(F.col("tp"), F.col("n_proteins"))
     regime = F.when(rpp <= threshold, "motif").otherwise("domain")
-    return scores.withColumns({"precision": F.col("tp") / (F.col("tp") + F.col("fp") + 1e-9), "residues_per_protein": rpp}).withColumn("regime", regime)
+    return scores.withColumns({"precision": precision(F.col("tp"), F.col("fp")), "residues_per_protein": rpp}).withColumn("regime", regime)
 
 
 def regime_threshold(scores: DataFrame, seed: int = 42) -> float:
     """Between the two components of a Gaussian mixture over the logarithm of residues per protein."""
-    values = scores.select(F.log1p(F.col("tp") / (F.col("n_proteins") + 1e-9)).alias("v")).dropna()
+    values = scores.select(F.log1p(per_protein(F.col("tp"), F.col("n_proteins"))).alias("v")).dropna()
     model = GaussianMixture(k=2, seed=seed).fit(VectorAssembler(inputCols=["v"], outputCol="features").transform(values))
     means = [r["mean"][0] for r in model.gaussiansDF.collect()]
     return float(sum(2.718281828459045**m - 1 for m in means) / len(means))
