@@ -8,7 +8,7 @@ from helixframe.catalogue import alignment as Q
 from helixframe.catalogue import reports as R
 from helixframe.catalogue.prep import SPLIT, split_members
 from helixframe.functions import columns as C
-from helixframe.operators import alignment, attention, encoding, evidence, selection
+from helixframe.operators import alignment, attention, autoencoder, encoding, evidence, selection
 from helixframe.plans import bindings as B
 from helixframe.plans.bindings import rounded, sql
 
@@ -119,9 +119,19 @@ def logit_delta(spark, at):
     return rounded(evidence.logit_delta(logits, part.select("accession", "pos", less.alias("logits"))))
 
 
+def sae_training(spark, at):
+    """The log of every architecture, a third of the proteins held out."""
+    rows = B.residues(spark, at)
+    held_out = F.pmod(F.xxhash64("accession"), F.lit(3)) == 0
+    base = autoencoder.Config(latents=128, k=16, epochs=6, batch=64, rate=3e-3)
+    models = autoencoder.fan_out(rows.filter(~held_out), ["vanilla", "topk", "matryoshka", "temporal"], base, rows.filter(held_out))
+    log = [(arch, e["epoch"], e["loss"], e["mse"], e["l0"], e["dead_frac"], e["val_mse"], e["val_r2"]) for arch, m in models.items() if m for e in m.log]
+    return rounded(spark.createDataFrame(log, "arch string, epoch int, loss double, mse double, l0 double, dead_frac double, val_mse double, val_r2 double"))
+
+
 QUERIES = {f.__name__: f for f in (
     mystery_score, pair_precision, robust_without_clusters, figure_types, feature_owners, robust_types, top_pairs_above, layer_rows, varied_types, described_subtypes, counts_with_length, best_with_counts,
-    carried_split, capped_key_union, largest_effects, feature_means, length_histogram, evidence_scorecard, logit_delta,
+    carried_split, capped_key_union, largest_effects, feature_means, length_histogram, evidence_scorecard, logit_delta, sae_training,
 )}
 
 _S = f"{sql('score')}, {Q.ROUNDED}"

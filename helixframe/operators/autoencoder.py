@@ -1,20 +1,30 @@
-"""Sparse autoencoders trained with Spark: gradients on the executors, parameters on the driver.
+"""Sparse autoencoders trained with Spark: minibatch steps on the executors, parameters averaged between rounds.
 
 A model has as many numbers as its two weight matrices, fixed by its shape, never
-by the data.  Each step broadcasts them, every partition sums the gradient over
-its rows, and the sums are added up.
+by the data.  In each round every partition starts from the broadcast parameters
+and takes a step of Adam for each minibatch of its rows; the round ends with the
+average of all partitions' parameters, weighted by their rows (local SGD).
+Parameters travel in pieces of ``PIECE`` numbers, so a shuffle adds them up and
+the driver gets one set.
 """
 
 from __future__ import annotations
 
+import json
 import math
-from dataclasses import dataclass, field, replace
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.plans.staging import staged
+
+#: Parameters in a row of the shuffle that adds them up: 32 KB.
+PIECE = 4096
+
 
 @dataclass(frozen=True)
 class Config:
@@ -29,6 +39,8 @@ class Config:
     temperature: float = 0.07
     rate: float = 1e-2
     epochs: int = 10
+    batch: int = 2048
+    rounds: int = 1
     warmup: int = 0
     anneal: int = 0
     clip: float = 1.0
@@ -46,11 +58,23 @@ class Model:
     w_dec: np.ndarray
     b_dec: np.ndarray
     log: list[dict] = field(default_factory=list)
+    state: list[np.ndarray] | None = None
+    steps: float = 0.0
 
     @property
     def parts(self) -> list[np.ndarray]:
         return [self.w_enc, self.b_enc, self.w_dec, self.b_dec]
 
+    @property
+    def moments(self) -> list[np.ndarray]:
+        """Adam's means of the gradients, then of their squares."""
+        if self.state is None:
+            self.state = [np.zeros_like(p) for _ in range(2) for p in self.parts]
+        return self.state
+
+    def copy(self) -> Model:
+        return Model(self.config, *[p.copy() for p in self.parts], list(self.log), [m.copy() for m in self.moments], self.steps)
+
 
 def initial(config: Config, dim: int) -> Model:
     """Unit decoder rows, the encoder tied to them."""
@@ -96,6 +120,30 @@ def adapted_l1(l1: float, l0: float, target: float, healthy: bool = True) -> flo
     return min(1e-1, max(1e-7, l1 * factor))
 
 
+def neighbours(z: np.ndarray, following: np.ndarray, temperature: float) -> tuple[float, np.ndarray]:
+    """How badly each row's activations tell its successor from the other rows of its protein, and the gradient.
+
+    The mean over the pairs of a protein, then over proteins of two rows or more.
+    """
+    norm = np.linalg.norm(z, axis=1, keepdims=True) + 1e-8
+    u = z / norm
+    du, loss = np.zeros_like(u), 0.0
+    ends = np.flatnonzero(following < 0) + 1
+    spans = [(a, b) for a, b in zip([0, *ends[:-1]], ends, strict=True) if b - a > 1]
+    for start, end in spans:
+        a, b = u[start : end - 1], u[start + 1 : end]
+        logits = a @ b.T / temperature
+        logits -= logits.max(1, keepdims=True)
+        p = np.exp(logits)
+        p /= p.sum(1, keepdims=True)
+        share = 1 / (len(a) * len(spans))
+        loss -= share * float(np.log(np.diag(p) + 1e-12).sum())
+        d = share * (p - np.eye(len(a))) / temperature
+        du[start : end - 1] += d @ b
+        du[start + 1 : end] += d.T @ a
+    return loss, (du - u * (du * u).sum(1, keepdims=True)) / norm
+
+
 def gradients(x: np.ndarray, following: np.ndarray, model: Model, epoch: int) -> tuple[list[np.ndarray], dict]:
     """Summed gradients and sums for the metrics over rows; ``following`` is the row's successor in its protein, or -1."""
     c = model.config
@@ -129,58 +177,123 @@ def gradients(x: np.ndarray, following: np.ndarray, model: Model, epoch: int) ->
         dz += step_l1(c, epoch)
         loss += step_l1(c, epoch) * float(z.sum())
     if c.arch == "temporal":
-        rows = np.flatnonzero(following >= 0)
-        if len(rows):
-            norm = np.linalg.norm(z, axis=1, keepdims=True) + 1e-8
-            u = z / norm
-            a, b = u[rows], u[following[rows]]
-            logits = a @ b.T / c.temperature
-            logits -= logits.max(1, keepdims=True)
-            p = np.exp(logits)
-            p /= p.sum(1, keepdims=True)
-            loss += c.temporal * float(-np.log(np.diag(p) + 1e-12).sum())
-            d = c.temporal * (p - np.eye(len(rows))) / c.temperature
-            du = np.zeros_like(u)
-            np.add.at(du, rows, d @ b)
-            np.add.at(du, following[rows], d.T @ a)
-            dz += (du - u * (du * u).sum(1, keepdims=True)) / norm
+        contrast, d = neighbours(z, following, c.temperature)
+        loss += c.temporal * len(x) * contrast  # the other sums are divided by the rows later
+        dz += c.temporal * len(x) * d
     dpre = dz * (z > 0) + daux
     sums = {"n": len(x), "loss": loss, "sse": float((whole**2).sum()), "sx": x.sum(0), "sxx": float((x**2).sum()), "l0": int((z > 0).sum()), "used": (z > 0).sum(0)}
     return [dpre.T @ x, dpre.sum(0), g_dec, g_bias], sums
 
 
-def _partial(frames, shared, epoch: int):
-    model = shared.value
-    total, sums = None, None
-    for frame in frames:
-        if not len(frame):
-            continue
-        x = np.stack(frame["x"].to_numpy()).astype(float)
-        same = (frame["accession"].to_numpy()[:-1] == frame["accession"].to_numpy()[1:]) & (np.diff(frame["pos"].to_numpy()) == 1)
-        following = np.append(np.where(same, np.arange(1, len(x)), -1), -1)
+def batches(frames: Iterator[pd.DataFrame], size: int, whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, successors) of about ``size`` rows, whatever the frames; with ``whole`` no protein is cut, and one alone may exceed it.
+
+    A row's successor is the next position of its protein, or -1.  The frames come
+    sorted by accession and position.
+    """
+    left: pd.DataFrame | None = None
+    done = False
+    while not done:
+        frame = next(frames, None)
+        done = frame is None
+        if frame is not None:
+            left = frame if left is None or not len(left) else pd.concat([left, frame], ignore_index=True)
+        at = 0
+        while left is not None and at < len(left):
+            keys = left["accession"].to_numpy()
+            end = min(at + size, len(left))
+            if whole:
+                changes = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+                ends = [*changes[changes > at], *([len(left)] if done else [])]
+                fitting = [e for e in ends if e <= at + size]
+                if not ends or (len(left) - at <= size and not done):
+                    break
+                end = fitting[-1] if fitting else ends[0]
+            elif len(left) - at < size and not done:
+                break
+            rows = left.iloc[at:end]
+            keys, pos = rows["accession"].to_numpy(), rows["pos"].to_numpy()
+            same = (keys[:-1] == keys[1:]) & (np.diff(pos) == 1)
+            yield np.stack(rows["x"].to_numpy()).astype(float), np.append(np.where(same, np.arange(1, len(rows)), -1), -1)
+            at = end
+        if left is not None:
+            left = left.iloc[at:].reset_index(drop=True)
+
+
+def step(model: Model, grads: list[np.ndarray], n: int) -> None:
+    """One step of Adam along the mean gradient over ``n`` rows, clipped; decoder rows stay of length one."""
+    c = model.config
+    norm = math.sqrt(sum(float((g**2).sum()) for g in grads)) / n
+    scale = min(1.0, c.clip / (norm + 1e-12)) / n
+    model.steps += 1
+    m, v = model.moments[:4], model.moments[4:]
+    for p, g, first, second in zip(model.parts, grads, m, v, strict=True):
+        first += 0.1 * (g * scale - first)
+        second += 0.001 * ((g * scale) ** 2 - second)
+        p -= c.rate * (first / (1 - 0.9**model.steps)) / (np.sqrt(second / (1 - 0.999**model.steps)) + 1e-8)
+    model.w_dec /= np.linalg.norm(model.w_dec, axis=1, keepdims=True) + 1e-8
+
+
+def _sums(total: dict | None, own: dict) -> dict:
+    return own if total is None else {k: total[k] + own[k] for k in own}
+
+
+def _partial(frames, shared, epoch: int, learn: bool):
+    model, sums = shared.value.copy(), None
+    for x, following in batches(iter(frames), model.config.batch, model.config.arch == "temporal"):
         grads, own = gradients(x, following, model, epoch)
-        total = grads if total is None else [a + b for a, b in zip(total, grads, strict=True)]
-        sums = own if sums is None else {k: sums[k] + own[k] for k in own}
-    if total is not None:
-        flat = np.concatenate([*[g.ravel() for g in total], sums["sx"], sums["used"].astype(float), [sums[k] for k in ("n", "loss", "sse", "sxx", "l0")]])
-        yield pd.DataFrame({"at": np.arange(len(flat)), "v": flat})
+        sums = _sums(sums, own)
+        if learn:
+            step(model, grads, len(x))
+    if sums is not None:
+        n = sums["n"]
+        weighted = [n * p.ravel() for p in [*model.parts, *model.moments]] + [[n * model.steps]] if learn else []
+        flat = np.concatenate([*weighted, sums["sx"], sums["used"].astype(float), [float(sums[k]) for k in ("n", "loss", "sse", "sxx", "l0")]])
+        yield _pieces(flat)
 
 
-def _summed(residues: DataFrame, model: Model, epoch: int) -> tuple[list[np.ndarray], dict]:
+def _pieces(flat: np.ndarray) -> pd.DataFrame:
+    cut = [flat[i : i + PIECE].tobytes() for i in range(0, len(flat), PIECE)]
+    return pd.DataFrame({"piece": np.arange(len(cut), dtype=np.int32), "v": cut})
+
+
+def _added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total: dict[int, np.ndarray] = {}
+    for frame in frames:
+        for piece, v in zip(frame["piece"], frame["v"], strict=True):
+            own = np.frombuffer(v)
+            total[piece] = total[piece] + own if piece in total else own
+    if total:
+        yield pd.DataFrame({"piece": np.array(list(total), dtype=np.int32), "v": [v.tobytes() for v in total.values()]})
+
+
+def _pass(residues: DataFrame, model: Model, epoch: int, learn: bool) -> tuple[Model, dict | None]:
+    """The model after a round over ``residues`` (the same one unless it learns) and the sums of what was seen on the way; none without rows."""
     shared = residues.sparkSession.sparkContext.broadcast(model)
-    parts = residues.select("accession", "pos", "x").mapInPandas(lambda f: _partial(f, shared, epoch), "at int, v double")
-    rows = parts.groupBy("at").agg(F.sum("v").alias("v")).collect()  # a row for each parameter
-    flat = np.zeros(len(rows))
-    for r in rows:
-        flat[r["at"]] = r["v"]
-    grads, at = [], 0
-    for p in model.parts:
-        grads.append(flat[at : at + p.size].reshape(p.shape))
-        at += p.size
+    parts = residues.select("accession", "pos", "x").mapInPandas(lambda f: _partial(f, shared, epoch, learn), "piece int, v binary")
+    rows = sorted(parts.repartition("piece").mapInPandas(_added, "piece int, v binary").collect())  # one set of parameters
+    shared.destroy()
+    if not rows:
+        return model, None
+    flat = np.concatenate([np.frombuffer(r["v"]) for r in rows])
     d, n = model.b_dec.size, model.config.latents
-    sx, used, (count, loss, sse, sxx, l0) = flat[at : at + d], flat[at + d : at + d + n], flat[at + d + n :]
-    var = sxx - (sx**2).sum() / max(count, 1)
-    return grads, {"n": count, "loss": loss / count, "mse": sse / count / d, "r2": 1 - sse / var if var > 0 else 0.0, "l0": l0 / count, "used": used, "dead_frac": float((used == 0).mean())}
+    sx, used, (count, loss, sse, sxx, l0) = flat[-(d + n + 5) : -(n + 5)], flat[-(n + 5) : -5], flat[-5:]
+    if learn:
+        out, at = [], 0
+        for p in [*model.parts, *model.moments]:
+            out.append(flat[at : at + p.size].reshape(p.shape) / count)
+            at += p.size
+        model = Model(model.config, *out[:4], model.log, out[4:], float(flat[at] / count))
+        model.w_dec /= np.linalg.norm(model.w_dec, axis=1, keepdims=True) + 1e-8
+    return model, {"n": count, "loss": loss, "sse": sse, "sx": sx, "sxx": sxx, "l0": l0, "used": used}
+
+
+def metrics(sums: dict) -> dict:
+    """Means over the rows behind ``sums``."""
+    count, d = sums["n"], sums["sx"].size
+    var = sums["sxx"] - (sums["sx"] ** 2).sum() / count
+    means = {"loss": sums["loss"] / count, "mse": sums["sse"] / count / d, "r2": 1 - sums["sse"] / var if var > 0 else 0.0, "l0": sums["l0"] / count, "dead_frac": (sums["used"] == 0).mean()}
+    return {k: float(v) for k, v in means.items()}
 
 
 def resampled(model: Model, used: np.ndarray, residues: DataFrame) -> Model:
@@ -196,37 +309,88 @@ def resampled(model: Model, used: np.ndarray, residues: DataFrame) -> Model:
     return model
 
 
-def train(residues: DataFrame, config: Config, validation: DataFrame | None = None) -> Model:
-    """The model of the epoch with the best R2 (on ``validation`` if given); each epoch is one step of Adam over all rows."""
-    rows = residues.repartition("accession").sortWithinPartitions("accession", "pos").persist()
-    try:
-        model = initial(config, len(rows.first()["x"]))
-        state = [[np.zeros_like(p), np.zeros_like(p)] for p in model.parts]
-        best, score, waited = model, -math.inf, 0
-        for epoch in range(config.epochs):
-            grads, sums = _summed(rows, model, epoch)
-            norm = math.sqrt(sum(float((g**2).sum()) for g in grads)) / sums["n"]
-            scale = min(1.0, config.clip / (norm + 1e-12)) / sums["n"]
-            for p, g, s in zip(model.parts, grads, state, strict=True):
-                s[0] = 0.9 * s[0] + 0.1 * g * scale
-                s[1] = 0.999 * s[1] + 0.001 * (g * scale) ** 2
-                p -= config.rate * (s[0] / (1 - 0.9 ** (epoch + 1))) / (np.sqrt(s[1] / (1 - 0.999 ** (epoch + 1))) + 1e-8)
-            model.w_dec /= np.linalg.norm(model.w_dec, axis=1, keepdims=True) + 1e-8
-            checked = _summed(validation, model, epoch)[1] if validation is not None else sums
-            model.log.append({"epoch": epoch, "loss": sums["loss"], "mse": sums["mse"], "l0": sums["l0"], "dead_frac": sums["dead_frac"], "val_mse": checked["mse"], "val_r2": checked["r2"], "l1": model.config.l1})
-            if checked["r2"] > score:
-                score, waited = checked["r2"], 0
-                best = replace(model, w_enc=model.w_enc.copy(), b_enc=model.b_enc.copy(), w_dec=model.w_dec.copy(), b_dec=model.b_dec.copy(), log=model.log)
-            elif epoch >= config.warmup:
-                waited += 1
-                if waited >= config.patience:
-                    break
-            model = resampled(model, sums["used"], rows)
-            if config.target_l0:
-                model.config = replace(model.config, l1=adapted_l1(model.config.l1, sums["l0"], config.target_l0, sums["dead_frac"] < 0.5))
-        return best
-    finally:
-        rows.unpersist()
+def _dealt(residues: DataFrame, config: Config) -> DataFrame:
+    """Rows spread over the tasks in a stated order: by protein where a loss compares the rows of one, else by row."""
+    keys = _keys(config)
+    return staged(residues.select("accession", "pos", "x").repartition(*keys).sortWithinPartitions("accession", "pos"))
+
+
+def _keys(config: Config) -> list[str]:
+    return ["accession"] if config.arch == "temporal" else ["accession", "pos"]
+
+
+def train(residues: DataFrame, config: Config, validation: DataFrame | None = None, folder: str | None = None) -> Model | None:
+    """The model of the epoch with the best R2 (on ``validation`` if given); none without rows.
+
+    An epoch is ``rounds`` rounds, each over the rows that a hash gives it, and a
+    round is a step for each minibatch of a partition.  The temporal architecture
+    keeps a protein's rows in one task, so it needs proteins of bounded length.  With a ``folder`` the last
+    and the best model are saved after each epoch, and training goes on from there.
+    """
+    rows = _dealt(residues, config)
+    held_out = None if validation is None else _dealt(validation, config)
+    first = rows.first()
+    if first is None:
+        return None
+    last = load(residues.sparkSession, f"{folder}/last") if folder else None
+    model = last or initial(config, len(first["x"]))
+    best = (load(residues.sparkSession, f"{folder}/best") if last else None) or model
+    score = max((e["val_r2"] for e in model.log), default=-math.inf)
+    for epoch in range(len(model.log), config.epochs):
+        if waited(model.log, config) >= config.patience:
+            break
+        sums = None
+        for turn in range(config.rounds):
+            some = rows if config.rounds == 1 else rows.filter(F.pmod(F.xxhash64(*_keys(config), F.lit(epoch)), F.lit(config.rounds)) == turn)
+            model, own = _pass(some, model, epoch, learn=True)
+            sums = sums if own is None else _sums(sums, own)
+        seen = metrics(sums)
+        checked = None if held_out is None else _pass(held_out, model, epoch, learn=False)[1]
+        checked = seen if checked is None else metrics(checked)
+        model.log.append({"epoch": epoch, **{k: seen[k] for k in ("loss", "mse", "l0", "dead_frac")}, "val_mse": checked["mse"], "val_r2": checked["r2"], "l1": model.config.l1})
+        better = checked["r2"] > score
+        if better:
+            score, best = checked["r2"], model.copy()
+        best.log = model.log
+        model = resampled(model, sums["used"], rows)
+        if config.target_l0:
+            model.config = replace(model.config, l1=adapted_l1(model.config.l1, seen["l0"], config.target_l0, seen["dead_frac"] < 0.5))
+        if folder:
+            save(residues.sparkSession, model, f"{folder}/last", epoch)
+            if better:
+                save(residues.sparkSession, best, f"{folder}/best", epoch)
+    return best
+
+
+def waited(log: list[dict], config: Config) -> int:
+    """Epochs since the best one, those of the warm-up left out."""
+    if not log:
+        return 0
+    scores = [e["val_r2"] for e in log]
+    return len(log) - max(scores.index(max(scores)) + 1, config.warmup)
+
+
+def save(spark: SparkSession, model: Model, folder: str, epoch: int) -> None:
+    """The model under a numbered folder of ``folder``; a committed one is never written over."""
+    parts = [*model.parts, *model.moments]
+    rows = [(i, list(p.shape), p.astype(float).tobytes()) for i, p in enumerate(parts)]
+    about = json.dumps({"config": asdict(model.config), "log": model.log, "steps": model.steps})
+    spark.createDataFrame([*rows, (len(parts), [], about.encode())], "part int, shape array<int>, v binary").write.mode("ignore").parquet(f"{folder}/epoch={epoch}")
+
+
+def load(spark: SparkSession, folder: str) -> Model | None:
+    """The model of the last epoch saved under ``folder``; none if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/epoch=*/_SUCCESS")) or []
+    epochs = [int(f.getPath().getParent().getName().removeprefix("epoch=")) for f in done]
+    if not epochs:
+        return None
+    rows = spark.read.parquet(f"{folder}/epoch={max(epochs)}").orderBy("part").collect()
+    *parts, about = [(r["shape"], r["v"]) for r in rows]
+    arrays = [np.frombuffer(v).reshape(shape).copy() for shape, v in parts]
+    known = json.loads(about[1].decode())
+    return Model(Config(**known["config"]), *arrays[:4], known["log"], arrays[4:], known["steps"])
 
 
 def weight_table(spark: SparkSession, model: Model) -> DataFrame:
@@ -235,6 +399,6 @@ def weight_table(spark: SparkSession, model: Model) -> DataFrame:
     return spark.createDataFrame(rows, "feature_id long, w array<double>, b double, w_dec array<double>")
 
 
-def fan_out(residues: DataFrame, archs: list[str], base: Config, validation: DataFrame | None = None) -> dict[str, Model]:
+def fan_out(residues: DataFrame, archs: list[str], base: Config, validation: DataFrame | None = None) -> dict[str, Model | None]:
     """One model of each architecture with the same settings."""
     return {a: train(residues, replace(base, arch=a), validation) for a in archs}

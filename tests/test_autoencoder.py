@@ -1,4 +1,7 @@
+from dataclasses import replace
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from helixframe.operators import autoencoder as S
@@ -48,6 +51,46 @@ def test_training_improves_and_encodes(spark, tiny):
     assert active.groupBy("accession", "pos").count().agg({"count": "max"}).first()[0] <= 4
 
 
+def test_batches_do_not_depend_on_frames():
+    rows = pd.DataFrame({"accession": [k for k, n in enumerate((3, 1, 9, 2, 2, 4)) for _ in range(n)]})
+    rows["pos"] = rows.groupby("accession").cumcount() + 1
+    rows["x"] = [np.array([float(i)]) for i in range(len(rows))]
+    for whole, sizes in ((False, [5, 5, 5, 5, 1]), (True, [4, 9, 4, 4])):
+        for cut in (1, 2, 7, 50):
+            frames = [rows.iloc[i : i + cut].reset_index(drop=True) for i in range(0, len(rows), cut)]
+            got = list(S.batches(iter([rows.iloc[:0], *frames]), 5, whole))
+            assert [len(x) for x, _ in got] == sizes and np.concatenate([x for x, _ in got]).ravel().tolist() == list(range(21))
+        if whole:  # every pair of neighbours is in some batch
+            assert sum((f >= 0).sum() for _, f in got) == 21 - 6
+
+
+def test_a_round_is_the_same_in_one_task_and_by_hand(spark, tiny):
+    residues = B.residues(spark, tiny).coalesce(1).sortWithinPartitions("accession", "pos")
+    config = S.Config(arch="temporal", latents=8, batch=30)
+    model, hand = S.initial(config, 64), S.initial(config, 64)
+    got, sums = S._pass(residues, model, 0, learn=True)
+    for x, following in S.batches(iter([residues.toPandas()]), 30, True):
+        S.step(hand, S.gradients(x, following, hand, 0)[0], len(x))
+    assert all(np.allclose(a, b) for a, b in zip(got.parts, hand.parts, strict=True)) and sums["n"] == residues.count() and got.steps == hand.steps > 3
+
+
+def test_rounds_cover_every_row_and_training_resumes(spark, tiny, tmp_path):
+    residues = B.residues(spark, tiny)
+    base = S.Config(arch="topk", latents=16, k=4, epochs=4, rate=0.02, batch=16, rounds=2)
+    whole = S.train(residues, base, folder=str(tmp_path / "whole"))
+    S.train(residues, replace(base, epochs=2), folder=str(tmp_path / "cut"))
+    resumed = S.train(residues, base, folder=str(tmp_path / "cut"))
+    assert [round(e["loss"], 6) for e in resumed.log] == [round(e["loss"], 6) for e in whole.log] and len(whole.log) == 4
+    assert all(np.allclose(a, b) for a, b in zip(whole.parts, resumed.parts, strict=True))
+    assert S.load(spark, str(tmp_path / "none")) is None
+    assert S.train(residues.limit(0), base) is None
+
+
+def test_waited():
+    log = [{"val_r2": r} for r in (0.1, 0.3, 0.2, 0.2)]
+    assert S.waited(log, S.Config()) == 2 and S.waited(log, S.Config(warmup=3)) == 1 and S.waited([], S.Config()) == 0
+
+
 def test_providers_isolate_errors(spark):
     def make():
         def provider(texts):
