@@ -178,7 +178,7 @@ def token_packing(spark, at):
 
 
 def residue_chunks(spark, at):
-    return batching.residue_chunks(B.residues(spark, at).select("accession", "pos"), 64).groupBy("lane", "chunk").agg(F.count("*").alias("n"))
+    return batching.residue_chunks(B.residues(spark, at).select("accession", "pos"), 64).groupBy("chunk").agg(F.count("*").alias("n"), F.min("accession").alias("first"), F.max("accession").alias("last"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -242,5 +242,11 @@ ORACLE_SQL = {
     "gff_parse": f"""{sql('enriched')} SELECT feature_type, CASE WHEN start_ % 3 = 0 THEN coalesce(description, '') ELSE '' END AS description, count(*) AS n, CAST(sum(start_) AS BIGINT) AS starts, CAST(sum(end_) AS BIGINT) AS ends
         FROM enriched GROUP BY 1, 2""",
     "length_buckets": f"{sql('proteins')} SELECT accession, length, length // 64 * 64 AS bucket, (row_number() OVER (PARTITION BY length // 64 ORDER BY accession) - 1) // 16 AS chunk FROM proteins WHERE length > 0",
+    "token_packing": f"""{sql('proteins').replace('WITH', 'WITH RECURSIVE', 1)}, t AS (SELECT least(length, 1022) + 2 AS n, row_number() OVER o AS r, CAST(sum(least(length, 1022) + 2) OVER o AS BIGINT) AS upto FROM proteins
+            WINDOW o AS (ORDER BY least(length, 1022) DESC, accession ROWS UNBOUNDED PRECEDING)),
+        b AS (SELECT CAST(0 AS BIGINT) AS batch, CAST(1 AS BIGINT) AS start UNION ALL
+            SELECT b.batch + 1, min(t.r) FROM b JOIN t a ON a.r = b.start JOIN t ON t.r > b.start AND t.upto > a.upto - a.n + 4096 GROUP BY b.batch)
+        SELECT CAST(0 AS BIGINT) AS lane, batch, count(*) AS n, CAST(sum(t.n) AS BIGINT) AS tokens FROM t ASOF JOIN b ON t.r >= b.start GROUP BY batch""",
+    "residue_chunks": f"{sql('res')}, t AS (SELECT accession, (row_number() OVER (ORDER BY accession, pos) - 1) // 64 AS chunk FROM res) SELECT chunk, count(*) AS n, min(accession) AS first, max(accession) AS last FROM t GROUP BY 1",
     "shard_slices": f"{sql('proteins')} SELECT accession, (row_number() OVER (ORDER BY accession) - 1) // CAST(ceil(count(*) OVER () / 7.0) AS BIGINT) AS shard FROM proteins",
 }

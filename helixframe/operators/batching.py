@@ -8,53 +8,69 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.plans.staging import staged
+
+
+def numbered(rows: DataFrame, by: list[str], order: list) -> DataFrame:
+    """``rows`` with nth, from 0, among the rows of equal ``by`` in ``order``.
+
+    Ranges of (by, order) are numbered apart and offset by what lies in the ranges
+    before, so no task sees more than a range, however many rows one ``by`` has.
+    Rows of a null ``by`` are left out.
+    The ranges are staged: they are drawn from a sample, and both uses must agree.
+    """
+    ranged = staged(rows.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part", *by).agg(F.count("*").alias("_n"))  # at most a row for each range and each ``by``
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", *by, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order)) - 1
+    return ranged.withColumn("_within", within).join(offsets, ["_part", *by]).withColumn("nth", F.col("_before") + F.col("_within")).drop("_part", "_before", "_within")
+
 
 def length_buckets(sequences: DataFrame, width: int = 64, size: int = 16, key: str = "accession", length: str = "length") -> DataFrame:
     """bucket (the length, rounded down to ``width``) and chunk (of ``size`` within the bucket); empty sequences are left out."""
     used = sequences.filter(F.col(length) > 0).withColumn("bucket", F.floor(F.col(length) / width) * width)
-    nth = F.row_number().over(Window.partitionBy("bucket").orderBy(key))
-    return used.withColumn("chunk", F.floor((nth - 1) / size))
+    return numbered(used, ["bucket"], [F.col(key)]).withColumn("chunk", F.floor(F.col("nth") / size)).drop("nth")
 
 
 def shard_slices(rows: DataFrame, n: int, key: str = "accession") -> DataFrame:
     """Contiguous slices in order of the key, as even as they go: shard from 0."""
-    ranged = rows.repartitionByRange(max(1, rows.rdd.getNumPartitions()), key).withColumn("_part", F.spark_partition_id())
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(key))
-    placed = ranged.withColumn("_nth", within)
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("_n").over(Window.partitionBy())
-    offsets = sizes.select("_part", before.alias("_before"), total.alias("_total"))
-    shard = F.floor((F.col("_before") + F.col("_nth") - 1) / F.ceil(F.col("_total") / n))
-    return placed.join(F.broadcast(offsets), "_part").withColumn("shard", shard).drop("_part", "_nth", "_before", "_total")
-
-
-def token_batches(sequences: DataFrame, budget: int = 4096, extra: int = 2, key: str = "accession", length: str = "length", lanes: int = 64) -> DataFrame:
-    """lane, batch: sequences, longest first, filled up to ``budget`` tokens, ``extra`` for each.
-
-    A batch depends on what came before it, so lanes by hash of the key are packed
-    apart, each in order; one alone may exceed the budget.
+    total = F.broadcast(rows.agg(F.count("*").alias("_total")))  # one row
+    return numbered(rows, [], [F.col(key)]).join(total).withColumn("shard", F.floor(F.col("nth") / F.ceil(F.col("_total") / n))).drop("nth", "_total")
+
+
+def token_batches(sequences: DataFrame, budget: int = 4096, extra: int = 2, key: str = "accession", length: str = "length", slice_rows: int = 1_000_000) -> DataFrame:
+    """lane, batch: sequences, longest first and ties by key, filled up to ``budget`` tokens, ``extra`` for each.
+
+    A batch depends on what came before it, so the order is cut into lanes of
+    ``slice_rows`` sequences, as many as there are, each filled on its own: a lane
+    starts a new batch, whatever room the last one had.  A sequence over the budget
+    is alone; a missing length counts as 0.
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sequences.schema)
+    known = sequences.withColumn(length, F.coalesce(length, F.lit(0).cast(sequences.schema[length].dataType)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict[int, list[int]] = {}
+        lane, batch, tokens = -1, 0, 0
         for frame in frames:
             batches = []
-            for lane, n in zip(frame["lane"], frame[length], strict=True):
-                used = state.setdefault(lane, [0, 0])  # batch, tokens
-                if used[1] and used[1] + n + extra > budget:
-                    used[0], used[1] = used[0] + 1, 0
-                used[1] += n + extra
-                batches.append(used[0])
-            yield frame.assign(batch=batches)
-
-    laned = sequences.withColumn("lane", F.pmod(F.xxhash64(key), F.lit(lanes)).cast("int"))
-    return laned.repartition("lane").sortWithinPartitions("lane", F.desc(length), key).mapInPandas(run, f"{fields}, lane int, batch long")
-
-
-def residue_chunks(residues: DataFrame, size: int = 2048, lanes: int = 64) -> DataFrame:
-    """lane, chunk: residues in order of accession and position, ``size`` to a chunk within each lane of accessions."""
-    laned = residues.withColumn("lane", F.pmod(F.xxhash64("accession"), F.lit(lanes)).cast("int"))
-    nth = F.row_number().over(Window.partitionBy("lane").orderBy("accession", "pos"))
-    return laned.withColumn("chunk", F.floor((nth - 1) / size))
+            for own, n in zip(frame["lane"], frame[length], strict=True):
+                if own != lane:
+                    lane, batch, tokens = own, 0, 0
+                if tokens and tokens + n + extra > budget:
+                    batch, tokens = batch + 1, 0
+                tokens += n + extra
+                batches.append(batch)
+            yield frame.drop(columns="nth").assign(batch=batches)
+
+    laned = numbered(known, [], [F.desc(length), F.col(key)]).withColumn("lane", F.floor(F.col("nth") / slice_rows))
+    placed = laned.select(*sequences.columns, "nth", "lane").repartition("lane").sortWithinPartitions("lane", "nth")
+    return placed.mapInPandas(run, f"{fields}, lane long, batch long")
+
+
+def residue_chunks(residues: DataFrame, size: int = 2048) -> DataFrame:
+    """chunk: residues in order of accession and position, ``size`` to a chunk.
+
+    Chunks that end with a protein are those of ``autoencoder.batches``, task by task.
+    """
+    return numbered(residues, [], [F.col("accession"), F.col("pos")]).withColumn("chunk", F.floor(F.col("nth") / size)).drop("nth")

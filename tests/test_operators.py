@@ -197,13 +197,23 @@ def test_batches(spark):
     buckets = batching.length_buckets(df, 64, 16)
     assert buckets.filter("accession = 900").count() == 0
     assert buckets.groupBy("bucket", "chunk").count().agg(F.max("count")).first()[0] == 16
-    packed = batching.token_batches(df.filter("length > 0"), 128, lanes=3)
+    packed = batching.token_batches(df.filter("length > 0"), 128, slice_rows=70)
+    assert [r["count"] for r in packed.groupBy("lane").count().orderBy("lane").collect()] == [70, 70, 60]
     sums = packed.groupBy("lane", "batch").agg(F.sum(F.col("length") + 2).alias("s"), F.count("*").alias("n")).collect()
     assert all(r["s"] <= 128 or r["n"] == 1 for r in sums) and packed.count() == 200
     shards = batching.shard_slices(df, 4).groupBy("shard").agg(F.count("*").alias("n"), F.min("accession").alias("a"), F.max("accession").alias("b")).orderBy("shard").collect()
     assert [r["n"] for r in shards] == [51, 51, 51, 48] and all(x["b"] < y["a"] for x, y in zip(shards, shards[1:], strict=False))
 
 
+def test_numbered_splits_a_hot_group(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 40 + 2).alias("g")).repartition(8)
+    got = batching.numbered(df, ["g"], [F.col("k")])
+    for g in (1, 2):
+        rows = sorted((r["k"], r["nth"]) for r in got.filter(f"g = {g}").collect())
+        assert [n for _, n in rows] == list(range(len(rows)))
+    assert got.count() == 5000 and batching.numbered(df.limit(0), ["g"], [F.col("k")]).count() == 0
+
+
 def test_owner_choices(spark):
     df = spark.createDataFrame([("A: x", 1, 0.9), ("A: y", 2, 0.8), ("B", 1, 0.7), ("C", 3, 0.6)], "annot_type string, feature_id long, auprc_mean double")
     assert [r["annot_type"] for r in reports.prefix_owners(df, 9).collect()] == ["A: x", "B", "C"]
