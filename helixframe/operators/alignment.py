@@ -54,12 +54,21 @@ def ap_ties(pairs: DataFrame, active: DataFrame, masks: DataFrame) -> DataFrame:
 
 
 def ap_rows(pairs: DataFrame, active: DataFrame, masks: DataFrame) -> DataFrame:
-    """Average precision of each pair with every position a threshold of its own, ties by position: PAIR, ap."""
-    dense = pairs.select(*PAIR, "n_pos", F.explode(F.sequence(F.lit(1), F.col("length").cast("int"))).alias("pos"))
-    dense = dense.join(active, ["accession", "feature_id", "pos"], "left").join(masks.withColumn("y", F.lit(1)), ["accession", "annot_type", "pos"], "left")
+    """Average precision of each pair with every position a threshold of its own, ties by position: PAIR, ap.
+
+    Positions without activation come last, in order.  Only positives among them
+    matter, and how many come before one follows from its position less the
+    activations up to it.
+    """
+    ranked = _ranked(pairs, active, masks).withColumn("on", F.lit(1))
+    unseen = pairs.select(*PAIR, "n_pos", "length").join(masks, ["accession", "annot_type"]).join(active.select("accession", "feature_id", "pos"), ["accession", "feature_id", "pos"], "left_anti")
+    rows = ranked.unionByName(unseen.withColumns({"z": F.lit(0.0), "y": F.lit(1), "on": F.lit(0)}))
     down = Window.partitionBy(*PAIR).orderBy(F.desc("z"), "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = dense.withColumns({"z": F.coalesce("z", F.lit(0.0)), "y": F.coalesce("y", F.lit(0))})
-    scored = filled.withColumn("precision", F.sum("y").over(down) / F.row_number().over(Window.partitionBy(*PAIR).orderBy(F.desc("z"), "pos")))
+    along = Window.partitionBy(*PAIR).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = Window.partitionBy(*PAIR)
+    found = F.sum(F.col("y") * F.col("on")).over(every) + F.sum(1 - F.col("on")).over(along)
+    seen = F.sum("on").over(every) + F.col("pos") - F.sum("on").over(along)
+    scored = rows.withColumn("precision", F.when(F.col("on") == 1, F.sum("y").over(down) / F.count("*").over(down)).otherwise(found / seen))
     return scored.groupBy(*PAIR).agg((F.sum(F.col("y") * F.col("precision")) / F.first("n_pos")).alias("ap"))
 
 
