@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.catalogue import alignment, figures, prep, reports, selection
+from helixframe.catalogue import alignment, exchange, figures, prep, reports, selection
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (prep, alignment, reports, figures, selection):
+for _part in (prep, alignment, reports, figures, selection, exchange):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL

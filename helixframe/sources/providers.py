@@ -1,6 +1,6 @@
 """Embeddings, attention or logits from a model that the user brings.
 
-A provider is a function from sequences to one array of rows for each; it runs on
+A provider is a function from sequences to one array for each; it runs on
 batches inside tasks, and a sequence that it fails on becomes a row with the
 error instead of ending the job.
 """
@@ -8,25 +8,38 @@ error instead of ending the job.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import batched
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Provider = Callable[[list[str]], list[np.ndarray]]
 
+#: Rows handed to Spark at a time: the arrays of a long sequence by layers and heads are never all lists at once.
+ROWS = 512
 
-def provided(sequences: DataFrame, make: Callable[[], Provider], longest: int = 1022, batch: int = 16) -> DataFrame:
-    """accession, pos, x, error: a row for each position, or one with the error and no position.
 
-    ``make`` is called once in each task, to load the model there.  Batches are of
-    similar length if the rows come sorted by it.
-    """
+def _vectors(x: np.ndarray) -> Iterator[tuple]:
+    for i, v in enumerate(x, 1):
+        yield i, v.astype(float).tolist()
+
+
+def _weights(x: np.ndarray) -> Iterator[tuple]:
+    for layer, heads in enumerate(x, 1):
+        for head, queries in enumerate(heads, 1):
+            for i, v in enumerate(queries, 1):
+                yield layer, head, i, v.astype(float).tolist()
+
+
+def _mapped(sequences: DataFrame, make: Callable[[], Provider], longest: int, batch: int, fits: Callable[[np.ndarray, int], bool], expand: Callable, schema: str) -> DataFrame:
+    width = schema.count(",") + 1
 
     def rows(provider: Provider, keys: list, texts: list[str]) -> Iterator[tuple]:
         try:
-            found = provider(texts)
-            wrong = next((k for k, t, x in zip(keys, texts, found, strict=True) if len(x) != len(t)), None)
+            found = [np.asarray(x) for x in provider(texts)]
+            wrong = next((k for k, t, x in zip(keys, texts, found, strict=True) if not fits(x, len(t))), None)
             if wrong is not None:
                 raise ValueError(f"{wrong}: as many rows as residues are expected")
         except Exception as error:  # noqa: BLE001  a provider may fail in any way
@@ -34,19 +47,47 @@ def provided(sequences: DataFrame, make: Callable[[], Provider], longest: int =
                 for k, t in zip(keys, texts, strict=True):
                     yield from rows(provider, [k], [t])
             else:
-                yield keys[0], None, None, f"{type(error).__name__}: {error}"[:500]
+                yield keys[0], *[None] * width, f"{type(error).__name__}: {error}"[:500]
             return
         for k, x in zip(keys, found, strict=True):
-            yield from ((k, i, v.astype(float).tolist(), None) for i, v in enumerate(np.asarray(x), 1))
+            yield from ((k, *row, None) for row in expand(x))
+
+    names = ["accession", *[c.split()[0] for c in schema.split(",")], "error"]
+    whole = {c: "Int32" for c, kind in (c.split() for c in schema.split(",")) if kind == "int"}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = make()
         for frame in frames:
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at : at + batch]
-                out = list(rows(provider, part["accession"].tolist(), [s[:longest] for s in part["sequence"]]))
-                yield pd.DataFrame(out, columns=["accession", "pos", "x", "error"]).astype({"pos": "Int32"})
+                out = rows(provider, part["accession"].tolist(), [s[:longest] for s in part["sequence"]])
+                for some in batched(out, ROWS):
+                    yield pd.DataFrame(list(some), columns=names).astype(whole)
 
     kind = sequences.schema["accession"].dataType.simpleString()
     used = sequences.select("accession", "sequence").filter("length(sequence) > 0")
-    return used.mapInPandas(run, f"accession {kind}, pos int, x array<double>, error string")
+    return used.mapInPandas(run, f"accession {kind}, {schema}, error string")
+
+
+def provided(sequences: DataFrame, make: Callable[[], Provider], longest: int = 1022, batch: int = 16) -> DataFrame:
+    """accession, pos, x, error: a row for each position, or one with the error and no position.
+
+    The provider gives an array of a row for each position.  ``make`` is called
+    once in each task, to load the model there.  Batches are of similar length if
+    the rows come sorted by it.
+    """
+    return _mapped(sequences, make, longest, batch, lambda x, n: len(x) == n, _vectors, "pos int, x array<double>")
+
+
+def attended(sequences: DataFrame, make: Callable[[], Provider], longest: int = 1022, batch: int = 1) -> DataFrame:
+    """accession, layer, head, query, weights, error: a query's weights over all keys in a row, all counted from 1, or the error.
+
+    The provider gives an array of layers x heads x positions x positions.
+    """
+    return _mapped(sequences, make, longest, batch, lambda x, n: x.ndim == 4 and x.shape[2:] == (n, n), _weights, "layer int, head int, query int, weights array<double>")
+
+
+def by_key(attention: DataFrame) -> DataFrame:
+    """accession, layer, head, query, key, weight of ``attended`` rows without an error."""
+    rows = attention.filter("error IS NULL").select("accession", "layer", "head", "query", F.posexplode("weights").alias("key", "weight"))
+    return rows.withColumn("key", F.col("key") + 1)

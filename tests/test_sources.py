@@ -2,10 +2,11 @@
 
 import gzip
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.sources import features, files, paged
+from helixframe.sources import features, files, paged, providers
 
 
 def test_tables(spark, tmp_path):
@@ -86,3 +87,19 @@ def test_pages(spark):
     assert list(paged.lines("u1", fetch)) == ["h", "a", "b", "c"]
     got = {(r["url"], r["line"]) for r in paged.read_paged(spark, ["u1", "v1"], PAGES.__getitem__).collect()}
     assert got == {("u1", "h"), ("u1", "a"), ("u1", "b"), ("u1", "c"), ("v1", "h"), ("v1", "z")}
+
+
+def test_attention_by_heads(spark):
+    def make():
+        def provider(texts):
+            return [np.ones((2, 3, len(t), len(t) + ("X" in t))) / len(t) for t in texts]
+
+        return provider
+
+    df = spark.createDataFrame([(1, "ABCD"), (2, "AXC"), (3, ""), (4, None), (5, "AB" * 400)], "accession long, sequence string")
+    rows = providers.attended(df, make, batch=2).cache()
+    assert [(r["accession"], r["query"], r["error"][:13]) for r in rows.filter("error IS NOT NULL").collect()] == [(2, None, "ValueError: 2")]
+    assert {r["accession"]: r["n"] for r in rows.filter("error IS NULL").groupBy("accession").agg(F.count("*").alias("n")).collect()} == {1: 2 * 3 * 4, 5: 2 * 3 * 800}
+    keys = providers.by_key(rows.filter("accession = 1"))
+    got = {tuple(r)[:5]: r["weight"] for r in keys.collect()}
+    assert got == {(1, lay, h, q, k): 0.25 for lay in (1, 2) for h in (1, 2, 3) for q in (1, 2, 3, 4) for k in (1, 2, 3, 4)}
