@@ -1,4 +1,13 @@
-"""The corpus pipeline: five stages, each written as Parquet and reread as the next one's documents."""
+"""The corpus pipeline: five stages, each written as Parquet and reread as the next one's documents.
+
+Defined results, for every stage: null and empty texts stay (the last stage packs
+them as the closing id alone), as do rows with a null id or nulls in other columns;
+rows equal in id and text are kept or dropped alike, and each is packed; an id of
+several texts is several documents; of ties the least id, then text hash, stays; a
+long text is judged whole; other columns pass unchanged whatever their names, but
+for ``n_chars``, which follows the text; empty tables give no rows, empty labels
+reject nothing and an empty benchmark finds nothing.
+"""
 
 from __future__ import annotations
 
