@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import chat, decontamination, embeddings, html, line_dedup, minhash, packing, toxicity, urls, warc
+from helixframe.llm import chat, decontamination, embeddings, html, line_dedup, merkle, minhash, packing, toxicity, urls, warc, whitening
 from helixframe.plans.staging import staged, table
 
 
@@ -97,6 +97,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof, folded again from a copy of the table in which half of the texts lost their line ends."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = table(spark, sf_dir, "documents")
+    text = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    found = merkle.manifest(docs, fields, group="source", order="doc_id", changed={"text": text})
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {
     "op1_html": op1_html,
     "op2_urls": op2_urls,
@@ -108,6 +121,8 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
+    "op11_whitening": op11_whitening,
+    "op12_merkle": op12_merkle,
 }
 #: The control strings of the chat template, with a backslash behind the first character when escaped.
 _MARKS = r"(\[|<)(/?(?:SYS|INST|OUT|ROLE|TURN)\]|/s>)"
@@ -117,6 +132,18 @@ _WORDS = f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UP
 #: Least node reachable from each, from links both ways.
 _REACH = """r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), c AS (SELECT a, min(b) AS low FROM r GROUP BY a)"""
 
+
+
+def _hashed_part(value: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({value} AS VARCHAR))) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+_LEAF = "sha256(" + " || ".join(_hashed_part(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+_TAMPERED = "CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END"
+#: CRC-32 of the decimal digits of doc_id, bit by bit.
+_CRC = """xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda b: CAST(ascii(b) AS BIGINT)),
+    lambda c, b: list_reduce(range(8), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, xor(c, b)), 4294967295), 4294967295)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
@@ -195,4 +222,35 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(p.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, p.n IS NOT NULL AS contaminated
         FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
     """,
+    "op12_merkle": f"""
+        WITH RECURSIVE c AS (SELECT *, {_CRC} AS crc FROM documents),
+        d AS (SELECT doc_id, source, {_LEAF.format(text="text")} AS leaf, {_LEAF.format(text=_TAMPERED)} AS changed FROM c),
+        p AS (SELECT *, row_number() OVER () AS row, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, changed) - 1 AS place, count(*) OVER (PARTITION BY source) AS n FROM d),
+        low(source, lvl, i, n, h) AS (
+            SELECT source, 0, place, n, leaf FROM p
+            UNION ALL SELECT source, lvl + 1, i // 3, max((n + 2) // 3), sha256(string_agg(h, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY source, lvl, i // 3
+        ),
+        g AS (SELECT source, lvl AS depth, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM low WHERE n = 1),
+        high(lvl, i, n, h) AS (
+            SELECT 0, place, n, subroot FROM g
+            UNION ALL SELECT lvl + 1, i // 3, max((n + 2) // 3), sha256(string_agg(h, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY lvl, i // 3
+        ),
+        nodes AS (SELECT place AS tree, l.lvl, l.i, l.n, h FROM low l JOIN g ON l.source IS NOT DISTINCT FROM g.source UNION ALL SELECT -1, lvl, i, n, h FROM high),
+        way AS (
+            SELECT p.row, x.lvl AS step, x.tree, x.lvl, x.i FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source JOIN nodes x ON x.tree = g.place AND x.n > 1 AND x.i = p.place // CAST(pow(3, x.lvl) AS BIGINT)
+            UNION ALL
+            SELECT p.row, g.depth + x.lvl, x.tree, x.lvl, x.i FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source JOIN nodes x ON x.tree = -1 AND x.n > 1 AND x.i = g.place // CAST(pow(3, x.lvl) AS BIGINT)
+        ),
+        proofs AS (SELECT row, sha256(coalesce(string_agg(x.h, '' ORDER BY step, x.i) FILTER (x.i <> way.i), '')) AS proof FROM way JOIN nodes x ON x.tree = way.tree AND x.lvl = way.lvl AND x.i // 3 = way.i // 3 GROUP BY row),
+        fold(row, step, h) AS (
+            SELECT row, 0, changed FROM p
+            UNION ALL
+            SELECT f.row, f.step + 1, sha256(string_agg(CASE WHEN x.i = w.i THEN f.h ELSE x.h END, '' ORDER BY x.i))
+            FROM fold f JOIN way w ON w.row = f.row AND w.step = f.step JOIN nodes x ON x.tree = w.tree AND x.lvl = w.lvl AND x.i // 3 = w.i // 3 GROUP BY f.row, f.step
+        ),
+        ends AS (SELECT row, arg_max(h, step) AS folded_root FROM fold GROUP BY row),
+        top AS (SELECT h AS root FROM high WHERE n = 1)
+        SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM p JOIN g ON p.source IS NOT DISTINCT FROM g.source JOIN ends ON ends.row = p.row LEFT JOIN proofs ON proofs.row = p.row, top
+    """,
 }
