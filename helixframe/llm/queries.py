@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import chat, decontamination, embeddings, html, line_dedup, merkle, minhash, packing, toxicity, urls, warc, whitening
+from helixframe.llm import chat, decontamination, embeddings, html, line_dedup, merkle, minhash, packing, pii, toxicity, urls, warc, whitening
 from helixframe.plans.staging import staged, table
 
 
@@ -110,6 +110,12 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, staged(pii.fit(docs)))
+    return found.select("doc_id", *[pii.count(kind).alias(f"n_{kind}") for kind in pii.KINDS], F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
 QUERIES = {
     "op1_html": op1_html,
     "op2_urls": op2_urls,
@@ -123,6 +129,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_whitening": op11_whitening,
     "op12_merkle": op12_merkle,
+    "op13_pii": op13_pii,
 }
 #: The control strings of the chat template, with a backslash behind the first character when escaped.
 _MARKS = r"(\[|<)(/?(?:SYS|INST|OUT|ROLE|TURN)\]|/s>)"
