@@ -1,17 +1,18 @@
 """A Merkle manifest of a table: a tree over the rows of each group, one over the groups' roots.
 
 Leaves are hashed by Spark's own functions and numbered within their group by
-ranges.  Then come supersteps over RDDs of nodes keyed (group, place): children
+ranges.  Then come supersteps over RDDs of vertices keyed (group, place): children
 send their hash to the parent, and a parent that has all of its children hashes
-them and sends on; a group ends when one node is left.  The groups' roots are the
-leaves of a second tree of the same kind.  In reverse supersteps each node sends
+them and sends on; a group ends when one hash is left.  The groups' roots are the
+leaves of a second tree of the same kind.  In reverse supersteps each vertex sends
 to its children what stands beside them on the way to the root, so every row gets
 its proof without a lookup, and folds its hash, or that of a changed copy, with it.
 
-A node has at most ``ARITY`` children and a path one entry for each level, so no
-key grows with the data; a group of a third of all rows is spread over its places.
-The node of the first superstep holds its rows' ids; the later levels shrink by
-``ARITY``.  Lineage is cut at the first level and at every ``CUT`` levels.
+A vertex stands for ``SPAN`` levels of the tree, so it has at most ``WIDE`` children
+and supersteps are few; a path has one entry for each level.  No key grows with the
+data: a group of a third of all rows is spread over its places.  The vertices of the
+first superstep hold their rows' ids, and each further superstep has fewer by
+``WIDE``.  Lineage is cut every ``CUT`` supersteps.
 
 Defined results: a null field is hashed as ``-``, an empty one as ``0:``; rows of a
 null group are one group, the first; within a group rows stand by the order column,
@@ -34,12 +35,15 @@ from pyspark.sql import types as T
 from helixframe.operators.batching import numbered
 from helixframe.plans.staging import broadcast_if_small, checkpoint_dir, staged
 
-#: Children of a node.
+#: Children of a node of the tree.
 ARITY = 3
-#: Levels after which the lineage of nodes and of paths is cut.
-CUT = 5
-#: Nodes that a task of a superstep handles, about.
-NODES = 100_000
+#: Levels of a vertex, and how many children it so has at most.
+SPAN = 4
+WIDE = ARITY**SPAN
+#: Supersteps after which the lineage of vertices and of paths is cut.
+CUT = 3
+#: Hashes that a task of a superstep handles, about.
+HASHES = 100_000
 
 
 def leaf(columns: Iterable[Column]) -> Column:
@@ -83,79 +87,88 @@ def folded(digest: bytes, path: bytes) -> bytes:
     return digest
 
 
-def _depth(n: int) -> int:
-    """Levels above the leaves of a group of n."""
-    depth = 0
-    while n > 1:
-        n, depth = -(-n // ARITY), depth + 1
-    return depth
+def _climbed(n: int, hashes: list[bytes]) -> tuple[int, list[list[bytes]]]:
+    """(nodes left in the group, the levels from ``hashes`` on) after ``SPAN`` levels, or as many as the group of ``n`` has."""
+    levels = [hashes]
+    while n > 1 and len(levels) <= SPAN:
+        now = levels[-1]
+        levels.append([parent(now[i : i + ARITY]) for i in range(0, len(now), ARITY)])
+        n = -(-n // ARITY)
+    return n, levels
 
 
-def _paths_down(nodes: dict[int, RDD], tops: RDD, tasks: dict[int, int]) -> RDD:
-    """((group, place), (children, given, path)) of the first level's nodes.
+def _beside(levels: list[list[bytes]], at: int) -> bytes:
+    """The path of the child ``at`` to its vertex's top."""
+    out = []
+    for level in levels[:-1]:
+        first = at // ARITY * ARITY
+        out.append(_entry(at - first, level[first:at] + level[at + 1 : first + ARITY]))
+        at //= ARITY
+    return b"".join(out)
 
-    ``nodes`` has, by level from 1, ((group, place), (n, children)), where n counts
-    the level below and a child is (place in the run, hash, ...); ``tops`` has
-    (group, (depth, given, path)), the path of the group's own root.
-    """
-    below = None
-    for level in sorted(nodes, reverse=True):
-        begun = tops.filter(lambda t, level=level: max(t[1][0], 1) == level).map(lambda t: ((t[0], 0), t[1][1:]))
-        coming = begun if below is None else below.union(begun)
-        met = nodes[level].join(coming, tasks[level]).mapValues(lambda v: (v[0][0], v[0][1], v[1][0], v[1][1]))
-        if level == 1:
-            return met
-        if level % CUT == 0:
-            met.checkpoint()
-            met.count()
-        below = met.flatMap(_sent_down)
-    raise ValueError("a tree has one level at least")
 
+def _vertex(key_values: tuple) -> tuple:
+    """A vertex of what its children sent: (nodes of their level in the group, children in order)."""
+    key, values = key_values
+    got = sorted(values, key=lambda v: v[1])
+    return key, (got[0][0], [tuple(v[2:]) for v in got])
 
-def _beside(children: list[tuple], own: int) -> bytes:
-    return _entry(own, [c[1] for c in children if c[0] != own])
 
+def _top(vertex: tuple) -> tuple[int, bytes]:
+    """(nodes left in the group, the vertex's hash)."""
+    n, levels = _climbed(vertex[0], [c[0] for c in vertex[1]])
+    return n, levels[-1][0]
 
-def _sent_down(node: tuple) -> Iterator[tuple]:
-    (group, place), (_, children, given, path) = node
-    for child in children:
-        yield (group, place * ARITY + child[0]), (given, _beside(children, child[0]) + path)
 
+def _paths(vertex: tuple) -> Iterator[tuple]:
+    """(place among the group's nodes, child, given, path) of a vertex's children."""
+    (_, place), (n, children, given, path) = vertex
+    _, levels = _climbed(n, [c[0] for c in children])
+    for at, child in enumerate(children):
+        yield place * WIDE + at, child, given, _beside(levels, at) + path
 
-def _run(key_values: tuple) -> tuple:
-    """A node of what its children sent: (n of their level, *child)."""
-    key, values = key_values
-    got = sorted(values, key=lambda v: v[1])
-    return key, (got[0][0], [tuple(v[1:]) for v in got])
+
+def _sent_down(vertex: tuple) -> Iterator[tuple]:
+    group = vertex[0][0]
+    return (((group, place), (given, path)) for place, _, given, path in _paths(vertex))
 
 
-def _hash(node: tuple) -> bytes:
-    """A node's hash; a group of one row has no level, so that row's hash is passed on."""
-    n, children = node
-    return children[0][1] if n == 1 else parent(c[1] for c in children)
+def _paths_down(steps: list[RDD], ends: RDD, tasks: list[int]) -> RDD:
+    """((group, place), (n, children, given, path)) of the first superstep's vertices.
 
+    ``steps`` has the vertices ((group, place), (n, children)) of each superstep;
+    ``ends`` has (group, (superstep that it ended in, given, path)).
+    """
+    below = None
+    for k in range(len(steps) - 1, -1, -1):
+        begun = ends.filter(lambda e, k=k: e[1][0] == k).map(lambda e: ((e[0], 0), e[1][1:]))
+        met = steps[k].join(begun if below is None else begun.union(below), tasks[k]).mapValues(lambda v: (*v[0], *v[1]))
+        if k and (len(steps) - k) % CUT == 0:
+            met.checkpoint()
+            met.count()
+        below = met.flatMap(_sent_down)
+    return met
 
-def _up(leaves: RDD, largest: int, total: int, least: int) -> tuple[dict[int, RDD], dict[int, int], RDD]:
-    """The nodes by level, their tasks, and (group, (n of the first level, hash)) of every group's root.
 
-    ``leaves`` has ((group, place), (n of the group, place in the run, hash, ...)).
+def _up(leaves: RDD, largest: int, total: int, least: int) -> tuple[list[RDD], list[int], RDD]:
+    """The vertices by superstep, their tasks, and (group, (the superstep that it ended in, hash)) of every group.
+
+    ``leaves`` has ((group, place), (n of the group, place in the vertex, hash, ...)).
     """
-    nodes, tasks, ends = {}, {}, []
-    sent, level = leaves, 1
+    steps, tasks, ends, sent = [], [], [], leaves
     while True:
-        tasks[level] = max(1, min(max(least, -(-total // NODES)), -(-total // ARITY**level // 1000)))
-        found = sent.map(lambda m: ((m[0][0], m[0][1] // ARITY), m[1])).groupByKey(tasks[level]).map(_run, preservesPartitioning=True)
-        if level % CUT == 1:
+        k = len(steps)
+        tasks.append(max(1, min(max(least, -(-total // HASHES)), -(-total // WIDE**k // 1000))))
+        found = sent.map(lambda m: ((m[0][0], m[0][1] // WIDE), m[1])).groupByKey(tasks[k]).map(_vertex, preservesPartitioning=True)
+        if k % CUT == CUT - 1:
             found.checkpoint()
             found.count()
-        nodes[level] = found
-        done = found.filter(lambda t: t[1][0] <= ARITY)
-        ends.append(done.map(lambda t, level=level: (t[0][0], (level if t[1][0] > 1 else 0, _hash(t[1])))))
-        if largest <= ARITY**level:
-            break
-        sent = found.filter(lambda t: t[1][0] > ARITY).map(lambda t: (t[0], (-(-t[1][0] // ARITY), t[0][1] % ARITY, _hash(t[1]))))
-        level += 1
-    return nodes, tasks, leaves.context.union(ends)
+        steps.append(found)
+        tops = found.mapValues(_top)
+        ends.append(tops.filter(lambda t: t[1][0] == 1).map(lambda t, k=k: (t[0][0], (k, t[1][1]))))
+        if largest <= WIDE ** (k + 1):
+            return steps, tasks, leaves.context.union(ends)
+        sent = tops.filter(lambda t: t[1][0] > 1).map(lambda t: (t[0], (t[1][0], t[0][1] % WIDE, t[1][1])))
 
 
 def tree(rows: DataFrame, group: str = "group", order: str = "place", kept: Iterable[str] = ()) -> tuple[RDD, bytes | None]:
@@ -180,33 +193,20 @@ def tree(rows: DataFrame, group: str = "group", order: str = "place", kept: Iter
 
     def of_row(r) -> tuple:
         changed = r[4]
-        return (r[0], r[1]), (r[2], r[1] % ARITY, bytes(r[3]), bytes(changed) if changed is not None else None, tuple(r)[5:])
+        return (r[0], r[1]), (r[2], r[1] % WIDE, bytes(r[3]), bytes(changed) if changed is not None else None, tuple(r)[5:])
 
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    nodes, tasks, roots = _up(placed.rdd.map(of_row), largest, total, least)
+    steps, tasks, roots = _up(placed.rdd.map(of_row), largest, total, least)
     roots.checkpoint()
     roots.count()
-    over, over_tasks, top = _up(roots.map(lambda g: ((0, g[0]), (n_groups, g[0] % ARITY, g[1][1], g[1][0]))), n_groups, n_groups, least)
-    depth, root = top.values().first()
-    start = spark.sparkContext.parallelize([(0, (depth, None, b""))], 1)
-    group_paths = _paths_down(over, start, over_tasks).flatMap(_of_groups)
-    leaves = _paths_down(nodes, group_paths, tasks).flatMap(_of_leaves)
+    over, over_tasks, top = _up(roots.map(lambda g: ((0, g[0]), (n_groups, g[0] % WIDE, g[1][1], g[1][0]))), n_groups, n_groups, least)
+    end, root = top.values().first()
+    start = spark.sparkContext.parallelize([(0, (end, None, b""))], 1)
+    group_paths = _paths_down(over, start, over_tasks).flatMap(_paths).map(lambda p: (p[0], (p[1][1], p[1][0], p[3])))
+    leaves = _paths_down(steps, group_paths, tasks).flatMap(_paths).map(lambda p: (*p[1][2], *p[1][:2], *p[2:]))
     return leaves, root
 
 
-def _of_groups(node: tuple) -> Iterator[tuple]:
-    """(group, (its depth, its root, the path of its root))."""
-    (_, place), (n, children, _, path) = node
-    for at, digest, depth in children:
-        yield place * ARITY + at, (depth, digest, (_beside(children, at) if n > 1 else b"") + path)
-
-
-def _of_leaves(node: tuple) -> Iterator[tuple]:
-    _, (n, children, subroot, path) = node
-    for at, digest, changed, kept in children:
-        yield (*kept, digest, changed, subroot, (_beside(children, at) if n > 1 else b"") + path)
-
-
 def manifest(rows: DataFrame, fields: list[str], group: str = "source", order: str = "doc_id", changed: dict[str, Column] | None = None) -> DataFrame:
     """Per row: the order column, leaf, subroot, root, proof (array of hex hashes), proof_sha256, folded_root and verified.
 

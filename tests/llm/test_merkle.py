@@ -112,8 +112,8 @@ def test_edges(spark):
 
 
 def test_deeper_than_the_cut(spark):
-    """More levels than lineage keeps, in a group of most rows."""
-    rows = [(i, "hot" if i % 50 else f"s{i}", "en", 1, f"{i}\n" if i % 3 == 0 else "") for i in range(900)]
+    """Supersteps until lineage is cut, in a group of most rows."""
+    rows = [(i, "hot" if i % 50 else f"s{i}", "en", 1, f"{i}\n" if i % 3 == 0 else "") for i in range(7000)]
     assert ordered(changed_of(spark, rows)) == ordered(brute(rows, no_line_ends))
 
 
