@@ -115,7 +115,7 @@ class _Coder:
         for number, chunk in enumerate(new, len(self.length)):  # which grows by words and marks that are new themselves
             word = chunk.rstrip(MARKS)
             if not word.isalpha():
-                last = word.decode()[-1:]
+                last = word.decode().lower()[-1:]  # a letter may end in a mark when lower-cased
                 if not (last.isalnum() and (last.isalpha() or last.isascii())):
                     others.append(number)
                     continue

@@ -51,6 +51,16 @@ def test_edges(spark):
     assert packing.pack(docs.limit(0), public_tokenizer()).count() == 0
 
 
+def test_letters_that_grow_when_lower_cased():
+    """Behind each the marks, alone and several, and at a word's end, in front and in the middle."""
+    grown = [chr(c) for c in range(128, 0x1F000) if len(chr(c).lower()) > 1]
+    assert "İ" in grown
+    words = [a + x + b + m for x in [*grown, "é", "ñ", "ΑΣ"] for a in ("", "TAR", "a1") for b in ("", "ab", "B") for m in ("", *".,;:!?%*#&$|", "...", "!?", "'s", "-a")]
+    texts = [" ".join(words), "TARİ. SON HALİ, bitti", *words]
+    tokenizer = Tokenizer.from_str(public_tokenizer())
+    assert [ids.tolist() for ids in packing._Coder(public_tokenizer()).encoded(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_sequences_hold_the_ids(spark):
     docs = spark.createDataFrame([(i, "a b c " * i) for i in range(30)], "doc_id long, text string")
     packed = packing.pack(docs, public_tokenizer(), size=64, with_ids=True)
