@@ -30,7 +30,9 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+)(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s\"'>/=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>]++)))?+")
+#: Attributes that tell what a part is.
+TELLING = frozenset("class id role hidden aria-hidden style".split())
 
 # Elements of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -78,7 +80,12 @@ class Node:
 
 
 def _attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)} if text else {}
+    """The telling attributes of a start tag, of equal ones the first; the others' names and values are passed over whole."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text or ""):
+        if (name := m[1].lower()) in TELLING:
+            out.setdefault(name, unescape(m[2] or m[3] or m[4] or ""))
+    return out
 
 
 def _unlikely(names: str, only_comments: bool) -> bool:
@@ -202,6 +209,20 @@ def _blocks(tops: list[Node]) -> list[str]:
     return out
 
 
+def _told(node: Node) -> bool:
+    """Whether a part holds a paragraph, list or table, or whole sentences of its own."""
+    todo, own = [node], []
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            own.append(x)
+        elif not x.cut:
+            if x.tag in KEPT_BESIDE:
+                return True
+            todo.extend(x.items)
+    return bool(re.search(r"[.!?:][\"')\]]*\s*$", unescape("".join(reversed(own))).strip()))
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks, joined by blank lines."""
     if not html:
@@ -258,7 +279,9 @@ def main_text(html: str | None) -> str:
         elif isinstance(x, Node) and id(x) not in inside_cut and x.length:
             density = x.linked / x.length
             same = 0.2 * most if x.names.strip() and x.names == best.names else 0
-            if x.score + same >= max(10, 0.2 * most) or (x.tag in KEPT_BESIDE or x.tag in HEADINGS) and density < 0.25:
+            if x.tag in ("div", "section", "article") and density < 0.25 and _told(x):
+                keep.append(x)
+            elif x.score + same >= max(10, 0.2 * most) or (x.tag in KEPT_BESIDE or x.tag in HEADINGS) and density < 0.25:
                 keep.append(x)
     return "\n\n".join(_blocks(keep))
 

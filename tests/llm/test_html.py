@@ -97,3 +97,25 @@ def test_short_lists_and_tables_beside_the_text_stay():
     words = "The story goes on, with many words, in a paragraph of its own. " * 6
     page = f"<body><div class='main'><div><p>{words}</p><p>{words}</p></div><ul><li>one</li><li>two</li></ul><table><tr><td>cell</td></tr></table></div></body>"
     assert all(x in html.main_text(page).split("\n\n") for x in ("one", "two", "cell"))
+
+
+@pytest.mark.parametrize(
+    "start",
+    ['<p title="The hidden truth">', '<p data-hidden="false">', '<p data-id="sidebar">', "<p data-role='form'>", '<p lang=en class=lead data-x="class=&quot;sidebar&quot;">', '<p title=\'id="sidebar"\'>', '<p class="lead" class="sidebar">', "<p data-style='display: none'>"],
+)
+def test_attributes_are_read_whole(start):
+    """Only an attribute's own name counts, never another's name or value."""
+    page = PAGE % f'<article>{BODY}{start}Told, and kept, in <a href="/hidden/role=form">a place</a>, as it is.</p></article>'
+    assert html.main_text(page) == TEXT + "\n\nTold, and kept, in a place, as it is."
+
+
+@pytest.mark.parametrize("start", ["<p hidden>", "<p HIDDEN=''>", '<p data-x="1" hidden>', "<p id=sidebar>", '<p title="a>b" class="share">', "<p class = 'ad'>"])
+def test_telling_attributes_still_cut(start):
+    assert html.main_text(PAGE % f"<article>{BODY}{start}Gone, and never seen, by any reader.</p></article>") == TEXT
+
+
+def test_short_parts_beside_the_best_stay():
+    words = "The story goes on, with many words, in a paragraph of its own. " * 6
+    parts = '<div class="part3"><p>END short para.</p></div><section><h2>HB</h2><p>Short closing words.</p></section><div><table><tr><td>cell</td></tr></table></div><div>Written by hand.</div>'
+    page = f'<body><main><div class="part1"><p>{words}</p><p>{words}</p></div>{parts}</main></body>'
+    assert html.main_text(page).split("\n\n")[2:] == ["END short para.", "HB", "Short closing words.", "cell", "Written by hand."]
