@@ -7,10 +7,12 @@ a part of them is as telling, and an inverted index from tokens to rules finds t
 rules of which a url has every token.
 
 Mining runs over all labelled rows and rules may be of any length.  Tokens in too
-few bad rows are left out first, as no rule can hold them, and tokens that stand in
-the same rows are mined as one and told apart afterwards: neither changes the rules,
-and urls that repeat, however long, cost no more than one token.  The work grows
-with the combinations of enough support that are left.
+few bad rows are left out first, as no rule can hold them; a token that stands in
+bad rows only is a rule by itself, and no longer one with it can tell more, so it is
+left out as well; and tokens that stand in the same rows are mined as one and told
+apart afterwards.  None of this changes the rules, and urls of a blocked site that
+repeat their names, however many, cost no more than these.  The work grows with the
+combinations of enough support that are left.
 
 Defined results: a null url, or one without ``://``, has an empty host and path,
 no tokens and no rule, and is allowed; rows of a null id or label are not learned
@@ -89,8 +91,10 @@ def mined(
     # Tokens of enough bad rows, their number bounded by the share; two hashes of its rows tell those in the same rows.
     each = rows.select("row", "bad", F.explode("items").alias("token"))
     same = F.bit_xor(F.xxhash64("row")).alias("m1"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("m2")
-    often = each.groupBy("token").agg(F.count_if("bad").alias("n_bad"), *same).filter(F.col("n_bad") >= least)
-    classes = staged(often.groupBy("m1", "m2").agg(F.min("token").alias("token"), F.array_sort(F.collect_list("token")).alias("tokens")))
+    often = each.groupBy("token").agg(F.count_if("bad").alias("n_bad"), F.count("*").alias("n_rows"), *same).filter(F.col("n_bad") >= least)
+    often = staged(often)
+    telling = often.filter("n_bad = n_rows").select(F.array("token").alias("items"), F.lit(1.0).alias("confidence"), (F.col("n_bad") / max(n, 1)).alias("support"))
+    classes = staged(often.filter("n_bad < n_rows").groupBy("m1", "m2").agg(F.min("token").alias("token"), F.array_sort(F.collect_list("token")).alias("tokens")))
     baskets = each.join(broadcast_if_small(classes.select("token")), "token").groupBy("row").agg(F.collect_list("token").alias("items"), F.first("bad").alias("bad"))
     baskets = baskets.select(F.when(F.col("bad"), F.array_append("items", F.lit(_BAD))).otherwise(F.col("items")).alias("items"))
     own = staged(baskets)
@@ -108,7 +112,7 @@ def mined(
     whole = named.groupBy("rule").agg(F.collect_list("tokens").alias("sets"), F.first("confidence").alias("confidence"), F.first("support").alias("support"))
     longer = lambda sets, own: F.flatten(F.transform(sets, lambda s: F.transform(own, lambda t: F.array_append(s, t))))
     choices = F.aggregate("sets", F.expr("array(cast(array() as array<string>))"), longer)
-    chosen = whole.select("confidence", "support", F.explode(choices).alias("items")).withColumn("items", F.array_sort("items"))
+    chosen = whole.select("confidence", "support", F.explode(choices).alias("items")).withColumn("items", F.array_sort("items")).unionByName(telling)
     return chosen.select(F.sha1(F.array_join("items", "\n").cast("binary")).alias("rule_id"), "items", "confidence", "support")
 
 

@@ -102,6 +102,20 @@ def test_mined_rules_are_all_there(spark):
     assert got == best
 
 
+def test_names_of_blocked_urls_end(spark):
+    """Forty query names, each in nine of ten blocked urls and no other, make 2^40 combinations of enough support."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(250):
+        bad = i % 2 == 0
+        names = [f"n{k}" for k in range(40) if rng.random() < 0.9] if bad else ["page"]
+        rows.append((i, f"http://site{i % 7}.org/x?" + "&".join(f"{k}=1" for k in names), 0 if bad else 1))
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    rules = {(tuple(r["items"]), r["confidence"]) for r in urls.mined(pages, labels).collect()}
+    assert rules == {((f"q:n{k}",), 1.0) for k in range(40)}
+
+
 def test_query_mines_what_brute_force_does(spark):
     """The verdicts of urls without a listed rule, by rules counted one by one over the urls that have one."""
     at = "/root/testdata/sf0.01"
