@@ -51,6 +51,15 @@ def fasta_round_trip(spark, at):
     return files.read_fasta(spark, path).select(F.col("accession").cast("long").alias("accession"), F.md5("sequence").alias("md5"), F.length("sequence").alias("length"))
 
 
+def fasta_described(spark, at):
+    """Records as databases write them: bars, marks of records within the line, and lines of ten letters."""
+    path = _folder(spark)
+    letters = F.upper(F.regexp_replace("p_type", "[^A-Za-z]", ""))
+    header = F.concat(F.lit(">sp|P"), F.col("p_partkey").cast("string"), F.lit("|"), F.regexp_replace("p_brand", "\\s", "_"), F.lit(" "), F.col("p_type"), F.lit(" 5'->3' exonuclease >fragment"))
+    table(spark, at, "part").select(F.concat(header, F.lit("\r\n"), F.regexp_replace(letters, "(.{10})", "$1\n")).alias("value")).write.text(path)
+    return files.read_fasta(spark, path)
+
+
 def metadata_round_trip(spark, at):
     path = _folder(spark)
     values = B.proteins(spark, at).agg(F.count("*").alias("n"), F.max("length").alias("longest"), F.count_distinct("lang").alias("langs")).first().asDict()
@@ -87,7 +96,7 @@ def report_lines(spark, at):
 def appended_log(spark, at):
     """A row for each region, written one after the other."""
     path, nations = _folder(spark), table(spark, at, "nation")
-    for region in range(5):
+    for region in range(table(spark, at, "region").agg(F.max("r_regionkey") + 1).first()[0] or 0):
         files.append_log(nations.filter(F.col("n_regionkey") == region).agg(F.lit(region).alias("epoch"), F.count("*").alias("n")), path)
     return spark.read.parquet(path)
 
@@ -141,7 +150,7 @@ def spread_types(spark, at):
 
 
 QUERIES = {f.__name__: f for f in (
-    tsv_round_trip, indexed_csv_round_trip, headerless_clusters, fasta_round_trip, metadata_round_trip, kept_once, shards_round_trip, first_found, report_lines, appended_log, paged_rows,
+    tsv_round_trip, indexed_csv_round_trip, headerless_clusters, fasta_round_trip, fasta_described, metadata_round_trip, kept_once, shards_round_trip, first_found, report_lines, appended_log, paged_rows,
     provided_vectors, provided_attention, spread_types,
 )}
 
@@ -155,6 +164,7 @@ ORACLE_SQL = {
     "headerless_clusters": f"{sql('members')} SELECT CAST(cluster_id AS VARCHAR) AS cluster_id, CAST(accession AS VARCHAR) AS accession FROM members",
     "fasta_round_trip": f"""{sql("proteins")}, s AS (SELECT accession, upper(regexp_replace(sequence, '[^A-Za-z]', '', 'g')) AS sequence FROM proteins)
         SELECT accession, md5(sequence) AS md5, CAST(length(sequence) AS INT) AS length FROM s WHERE length(sequence) > 0""",
+    "fasta_described": "SELECT 'P' || p_partkey AS accession, upper(regexp_replace(p_type, '[^A-Za-z]', '', 'g')) AS sequence FROM part",
     "metadata_round_trip": f"{sql('proteins')} SELECT count(*) AS n, max(length) AS longest, count(DISTINCT lang) AS langs, 'documents' AS \"table\" FROM proteins",
     "kept_once": f"{sql('members')} SELECT accession, cluster_id FROM members",
     "shards_round_trip": f"{sql('proteins')} SELECT accession, length, true AS fits FROM proteins",

@@ -174,7 +174,12 @@ def shard_slices(spark, at):
 
 
 def token_packing(spark, at):
-    return batching.token_batches(B.proteins(spark, at).select("accession", F.least("length", F.lit(1022)).alias("length"))).groupBy("lane", "batch").agg(F.count("*").alias("n"), F.sum(F.col("length") + 2).alias("tokens"))
+    return batching.token_batches(B.proteins(spark, at).select("accession", F.least("length", F.lit(1022)).alias("length"))).groupBy("batch").agg(F.count("*").alias("n"), F.sum(F.col("length") + 2).alias("tokens"))
+
+
+def boundary_chunks(spark, at):
+    """Whole sequences, by key, as many as 2048 residues hold."""
+    return batching.boundary_chunks(B.lengths(spark, at)).groupBy("chunk").agg(F.count("*").alias("n"), F.sum("length").alias("residues"), F.min("accession").alias("first"), F.max("accession").alias("last"))
 
 
 def residue_chunks(spark, at):
@@ -184,7 +189,7 @@ def residue_chunks(spark, at):
 QUERIES = {f.__name__: f for f in (
     scan_filter_project, header_key_normalize, dedup_intervals, duplicate_groups, duplicate_count, cluster_sizes, singleton_share, cluster_split, cluster_subset, join_split_1_1, join_split_m_1,
     semi_join_keys, orphan_anti, key_intersection, lookup_left_default, union_skip_reasons, subtype_promotion, valid_types_having, skip_list, shuffled_sample, first_keys, category_case, label_truncate,
-    cap_infinite, interval_mask, interval_coverage_union, interval_geometry, mask_runs, parse_feature_strings, fasta_lines, gff_parse, length_buckets, shard_slices, token_packing, residue_chunks,
+    cap_infinite, interval_mask, interval_coverage_union, interval_geometry, mask_runs, parse_feature_strings, fasta_lines, gff_parse, length_buckets, shard_slices, token_packing, residue_chunks, boundary_chunks,
 )}
 
 SIZES = "sizes AS (SELECT cluster_id, count(*) AS size FROM members GROUP BY cluster_id)"
@@ -246,7 +251,11 @@ ORACLE_SQL = {
             WINDOW o AS (ORDER BY least(length, 1022) DESC, accession ROWS UNBOUNDED PRECEDING)),
         b AS (SELECT CAST(0 AS BIGINT) AS batch, CAST(1 AS BIGINT) AS start UNION ALL
             SELECT b.batch + 1, min(t.r) FROM b JOIN t a ON a.r = b.start JOIN t ON t.r > b.start AND t.upto > a.upto - a.n + 4096 GROUP BY b.batch)
-        SELECT CAST(0 AS BIGINT) AS lane, batch, count(*) AS n, CAST(sum(t.n) AS BIGINT) AS tokens FROM t ASOF JOIN b ON t.r >= b.start GROUP BY batch""",
+        SELECT batch, count(*) AS n, CAST(sum(t.n) AS BIGINT) AS tokens FROM t ASOF JOIN b ON t.r >= b.start GROUP BY batch""",
+    "boundary_chunks": f"""{sql('lengths').replace('WITH', 'WITH RECURSIVE', 1)}, t AS (SELECT accession, length AS n, row_number() OVER o AS r, CAST(sum(length) OVER o AS BIGINT) AS upto FROM lengths WINDOW o AS (ORDER BY accession ROWS UNBOUNDED PRECEDING)),
+        b AS (SELECT CAST(0 AS BIGINT) AS batch, CAST(1 AS BIGINT) AS start UNION ALL
+            SELECT b.batch + 1, min(t.r) FROM b JOIN t a ON a.r = b.start JOIN t ON t.r > b.start AND t.upto > a.upto - a.n + 2048 GROUP BY b.batch)
+        SELECT batch AS chunk, count(*) AS n, CAST(sum(t.n) AS BIGINT) AS residues, min(accession) AS first, max(accession) AS last FROM t ASOF JOIN b ON t.r >= b.start GROUP BY batch""",
     "residue_chunks": f"{sql('res')}, t AS (SELECT accession, (row_number() OVER (ORDER BY accession, pos) - 1) // 64 AS chunk FROM res) SELECT chunk, count(*) AS n, min(accession) AS first, max(accession) AS last FROM t GROUP BY 1",
     "shard_slices": f"{sql('proteins')} SELECT accession, (row_number() OVER (ORDER BY accession) - 1) // CAST(ceil(count(*) OVER () / 7.0) AS BIGINT) AS shard FROM proteins",
 }

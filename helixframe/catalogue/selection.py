@@ -93,7 +93,7 @@ def largest_effects(spark, at):
 
 
 def feature_means(spark, at):
-    rows = R.structural_alignment(spark, at)
+    rows = R.evidence.structural_alignment(B.residues(spark, at), B.residue_masks(spark, at), B.weights(spark, at))
     return rounded(rows.groupBy("feature_id").agg(F.avg("cosine").alias("mean_cosine"), F.count("cosine").alias("n_types")), 5)
 
 
@@ -135,6 +135,8 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _S = f"{sql('score')}, {Q.ROUNDED}"
+_COSINE = "sum(d * w) / (sqrt(sum(d * d)) * sqrt(sum(w * w)))"
+UNROUNDED = R.ORACLE_SQL["structural_alignment"].replace(f"round({_COSINE}, 6)", _COSINE)
 TYPES = f"""{sql('score')}, named AS (SELECT CAST(annot_type % 7 AS VARCHAR) || ': ' || CAST(annot_type AS VARCHAR) AS annot_type, feature_id, round(auprc_mean, 6) AS auprc_mean FROM score WHERE tp / (tp + fp + 1e-9) >= 0.05),
     t0 AS (SELECT annot_type, max(auprc_mean) AS best, count(DISTINCT feature_id) FILTER (auprc_mean > {HIGH}) AS n_high FROM named GROUP BY 1),
     types AS (SELECT annot_type, best FROM t0 WHERE best > {LEAST_BEST} AND n_high <= {MOST_HIGH} QUALIFY row_number() OVER (PARTITION BY split_part(annot_type, ':', 1) ORDER BY best DESC, annot_type) = 1)"""
@@ -163,7 +165,7 @@ ORACLE_SQL = {
     "carried_split": f"{sql('members')}, {SPLIT} SELECT cluster_id, split FROM split",
     "capped_key_union": f"{sql('ann')}, k AS (SELECT DISTINCT feature_type, accession FROM ann), c AS (SELECT accession FROM k QUALIFY row_number() OVER (PARTITION BY feature_type ORDER BY accession) <= 100) SELECT DISTINCT accession FROM c",
     "largest_effects": f"SELECT feature_id, cohen_d FROM ({R.ORACLE_SQL['cohen_d']}) ORDER BY abs(cohen_d) DESC, feature_id LIMIT 5",
-    "feature_means": f"SELECT feature_id, round(avg(cosine), 5) AS mean_cosine, count(cosine) AS n_types FROM ({R.ORACLE_SQL['structural_alignment']}) GROUP BY 1",
+    "feature_means": f"SELECT feature_id, round(avg(cosine), 5) AS mean_cosine, count(cosine) AS n_types FROM ({UNROUNDED}) GROUP BY 1",
     "length_histogram": f"""{sql('proteins')}, b AS (SELECT CAST(min(length) AS DOUBLE) AS lo, CAST(max(length) AS DOUBLE) AS hi FROM proteins), e AS (SELECT *, hi / (lo + 1) > 100 AS wide FROM b),
         x AS (SELECT CASE WHEN wide THEN (log10(nullif(length, 0)) - log10(lo + 1)) / ((log10(hi + 1) - log10(lo + 1)) / 49) ELSE (length - lo) / ((hi - lo) / 40) END AS x, CASE WHEN wide THEN 48 ELSE 39 END AS last FROM proteins, e)
         SELECT CAST(least(floor(round(x, 9)), last) AS INT) AS bin, count(*) AS n FROM x WHERE x IS NOT NULL AND round(x, 9) >= 0 GROUP BY 1""",

@@ -109,13 +109,6 @@ def prefix_owners(scores: DataFrame, n: int) -> DataFrame:
     return scores.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth").orderBy(F.desc("auprc_mean"), "annot_type").limit(n)
 
 
-def distinct_owners(best: DataFrame, n: int) -> list[tuple]:
-    """(annot_type, feature_id), best first, no feature twice: a feature goes to the first type that it is best for."""
-    order = Window.partitionBy("feature_id").orderBy(F.desc("auprc_mean"), "annot_type")
-    first = best.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").orderBy(F.desc("auprc_mean"), "annot_type")
-    return [(r["annot_type"], r["feature_id"]) for r in first.limit(n).collect()]
-
-
 def scaled(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """``df`` with score, the value scaled to 0..1 among the rows of equal keys.
 

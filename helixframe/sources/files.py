@@ -25,10 +25,17 @@ def read_clusters(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """accession, sequence: a record for each ``>``; ``sp|ACC|NAME`` gives ACC; of an accession's records the last of its file stays."""
+    """accession, sequence: a record for each line that starts with ``>``; ``sp|ACC|NAME`` gives ACC.
+
+    A ``>`` within a line is text.  Of an accession's records the last stays, files in
+    order of their paths; comment lines (``;``) in front of the first record are left out.
+    """
     place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
-    records = spark.read.option("lineSep", ">").text(path).select(place.alias("place"), F.split("value", "\r?\n", 2).alias("parts")).filter(F.trim(F.get("parts", F.lit(0))) != "")
-    token = F.split(F.trim(F.get("parts", F.lit(0))), r"\s+")[0]
+    record = F.regexp_replace("value", r"^(?:\s*\n)?>", "")  # the first record of a file has its own mark
+    records = spark.read.option("lineSep", "\n>").text(path).select(place.alias("place"), F.split(record, "\r?\n", 2).alias("parts"))
+    header = F.trim(F.get("parts", F.lit(0)))
+    records = records.filter((header != "") & ~F.startswith(header, F.lit(";")))
+    token = F.split(header, r"\s+")[0]
     accession = F.when(F.contains(token, F.lit("|")), F.split(token, r"\|")[1]).otherwise(token)
     sequence = F.regexp_replace(F.coalesce(F.get("parts", F.lit(1)), F.lit("")), r"\s+", "")
     rows = records.select("place", accession.alias("accession"), sequence.alias("sequence"))

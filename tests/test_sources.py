@@ -23,6 +23,13 @@ def test_tables(spark, tmp_path):
     assert files.read_tsv(spark, str(tmp_path / "out")).count() == 2
 
 
+def test_fasta_marks_within_lines(spark, tmp_path):
+    (tmp_path / "a.fa").write_bytes(b"\n>sp|P1|A Exonuclease 5'->3' long\r\nMK\r\nLV\r\n>B >twice > x\nA>C\n>sp|P3|C\n\n>D\nGG")
+    (tmp_path / "b.fa").write_text("; a comment\n>D again\nTT\n")
+    got = {r["accession"]: r["sequence"] for r in files.read_fasta(spark, str(tmp_path)).collect()}
+    assert got == {"P1": "MKLV", "B": "A>C", "P3": "", "D": "TT"}
+
+
 def test_fasta(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">sp|P12345|X_Y desc\nACD\nEF\n>Q2 more\nGG\n>Q2\nHH\n\n")
     got = {r["accession"]: r["sequence"] for r in files.read_fasta(spark, str(tmp_path / "a.fa")).collect()}
