@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 
 from helixframe.operators import alignment as A
+from helixframe.operators import drains
 from helixframe.operators import encoding as E
 from helixframe.plans import bindings as B
 from helixframe.plans.bindings import rounded, sql
+from helixframe.plans.staging import checkpoint_dir
 
 #: Thresholds that fit tables of a few hundred proteins; the operators' own defaults are for real ones.
 LEAST_PROTEINS, LEAST_CLUSTERS, MOST_P = 3, 3, 0.5
@@ -74,6 +77,25 @@ def alignment_scores(spark, at):
     return rounded(_scores(spark, at))
 
 
+def drained_scores(spark, at):
+    """The same scores in four drains, stopped after the second and taken up again."""
+    folder, lengths = f"{checkpoint_dir(spark)}/drains-{uuid.uuid4().hex}", B.residue_lengths(spark, at)
+
+    def score(part):
+        own = part.select("accession")
+        active, masks = (df.join(own, "accession", "left_semi") for df in (_active(spark, at), B.residue_masks(spark, at)))
+        return A.cluster_states(A.records(active, masks, part))
+
+    drains.run(lengths, score, folder, n_drains=4, most=2)
+    drains.run(lengths, score, folder, n_drains=4)
+    return rounded(drains.merged(spark, folder))
+
+
+def streamed_scores(spark, at):
+    """Scores with a constant enrichment."""
+    return rounded(A.by_cluster(A.constant_enrichment(_records(spark, at))).select("feature_id", "annot_type", "auprc_mean", "enrichment_gmean", "n_proteins", "n_clusters"))
+
+
 def fisher_exact(spark, at):
     return rounded(_scores(spark, at).select("feature_id", "annot_type", "fisher_p", "odds_ratio"))
 
@@ -134,7 +156,7 @@ def standardize(spark, at):
 
 
 QUERIES = {f.__name__: f for f in (
-    encode_relu, encode_topk, feature_stats_pass1, *map(_select, ("mean", "variance", "max", "sparsity")), confusion_counts, odds_ratio, enrichment_expected, ap_ties, ap_rows, alignment_scores, fisher_exact,
+    encode_relu, encode_topk, feature_stats_pass1, *map(_select, ("mean", "variance", "max", "sparsity")), confusion_counts, odds_ratio, enrichment_expected, ap_ties, ap_rows, alignment_scores, drained_scores, streamed_scores, fisher_exact,
     unweighted_scores, per_annot_best, robust_pairs, feature_triage, novel_candidates, threshold_tally, val_test_selection, selection_bias, recon_metrics, adjacent_cosine, mean_pool, standardize,
 )}
 
@@ -171,6 +193,7 @@ ORACLE_SQL = {
     "ap_rows": f"{sql('ap')} SELECT accession, feature_id, annot_type, round(ap_rows, 6) AS ap FROM ap",
     "alignment_scores": f"""{sql('score')} SELECT feature_id, annot_type, round(auprc_mean, 6) AS auprc_mean, round(auprc_median, 6) AS auprc_median, round(enrichment_gmean, 6) AS enrichment_gmean,
         round(tp, 6) AS tp, round(fp, 6) AS fp, round(fn, 6) AS fn, round(tn, 6) AS tn, n_proteins, n_clusters, round(odds_ratio, 6) AS odds_ratio, round(fisher_p, 6) AS fisher_p FROM score""",
+    "streamed_scores": f"{sql('score')} SELECT feature_id, annot_type, round(auprc_mean, 6) AS auprc_mean, CAST(1 AS DOUBLE) AS enrichment_gmean, n_proteins, n_clusters FROM score",
     "fisher_exact": f"{sql('score')} SELECT feature_id, annot_type, round(fisher_p, 6) AS fisher_p, round(odds_ratio, 6) AS odds_ratio FROM score",
     "unweighted_scores": f"""{sql('score')} SELECT feature_id, annot_type, round(avg(ap), 6) AS auprc_mean, round(median(ap), 6) AS auprc_median, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp,
         CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(tn) AS BIGINT) AS tn, count(*) AS n_proteins FROM rec GROUP BY 1, 2""",
@@ -198,3 +221,4 @@ ORACLE_SQL = {
     "mean_pool": f"{sql('res')}, d AS (SELECT accession, unnest(range(0, len(x))) AS dim, unnest(x) AS v FROM res) SELECT accession, CAST(dim AS INT) AS dim, round(avg(v), 6) AS v FROM d GROUP BY 1, 2",
     "standardize": f"{sql('res')}, d AS (SELECT unnest(range(0, len(x))) AS dim, unnest(x) AS v FROM res) SELECT CAST(dim AS INT) AS dim, round(avg(v), 6) AS mean, round(greatest(stddev_pop(v), 1e-6), 6) AS sd FROM d GROUP BY 1",
 }
+ORACLE_SQL["drained_scores"] = ORACLE_SQL["alignment_scores"]

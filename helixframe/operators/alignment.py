@@ -79,23 +79,51 @@ def records(active: DataFrame, masks: DataFrame, lengths: DataFrame, threshold:
     return pairs.join(scores, PAIR).filter(F.col("ap") >= least_ap)
 
 
-def by_cluster(scored: DataFrame) -> DataFrame:
-    """Scores of each (feature, type): means within clusters first, then over clusters, counts summed over clusters.
+COUNTS = ("tp", "fp", "fn", "tn")
+_STATE = ["feature_id", "annot_type", "cluster_id"]
 
-    Fisher's p and the odds ratio are those of the counts cut to whole numbers.
-    """
-    counts = ("tp", "fp", "fn", "tn")
-    per = scored.groupBy("feature_id", "annot_type", "cluster_id").agg(
-        F.avg("ap").alias("ap"), F.avg("enrichment").alias("enrichment"), *[F.avg(c).alias(c) for c in counts], F.count("*").alias("n")
+
+def cluster_states(scored: DataFrame) -> DataFrame:
+    """Sums for each (feature, type, cluster) that merge by adding: s_ap, s_enrichment, n_enrichment, s_tp, s_fp, s_fn, s_tn, n."""
+    return scored.groupBy(*_STATE).agg(
+        F.sum("ap").alias("s_ap"), F.sum("enrichment").alias("s_enrichment"), F.count("enrichment").alias("n_enrichment"), *[F.sum(c).alias(f"s_{c}") for c in COUNTS], F.count("*").alias("n")
     )
+
+
+def merged_states(states: DataFrame) -> DataFrame:
+    return states.groupBy(*_STATE).agg(*[F.sum(c).alias(c) for c in states.columns if c not in _STATE])
+
+
+def scores_of(states: DataFrame) -> DataFrame:
+    """Scores of each (feature, type) from one state for each cluster.
+
+    The median and the geometric mean are over means of clusters, so they need no
+    state of their own: the sums of a cluster that several drains hold add up first.
+    """
+    mean = lambda c, n="n": F.col(f"s_{c}") / F.col(n)
+    enrichment = F.when(F.col("n_enrichment") > 0, F.col("s_enrichment") / F.nullif("n_enrichment", F.lit(0)))
+    per = states.select("feature_id", "annot_type", mean("ap").alias("ap"), enrichment.alias("enrichment"), *[mean(c).alias(c) for c in COUNTS], "n")
     out = per.groupBy("feature_id", "annot_type").agg(
         F.avg("ap").alias("auprc_mean"), F.median("ap").alias("auprc_median"), geometric_mean(F.col("enrichment")).alias("enrichment_gmean"),
-        *[F.sum(c).alias(c) for c in counts], F.sum("n").alias("n_proteins"), F.count("*").alias("n_clusters"),
+        *[F.sum(c).alias(c) for c in COUNTS], F.sum("n").alias("n_proteins"), F.count("*").alias("n_clusters"),
     )
-    table = [F.round(F.col(c), 6) for c in counts]  # before cutting, so that the order of sums doesn't matter
+    table = [F.round(F.col(c), 6) for c in COUNTS]  # before cutting, so that the order of sums doesn't matter
     return out.withColumns({"odds_ratio": truncated_odds_ratio(*table), "fisher_p": fisher_greater(*table)})
 
 
+def by_cluster(scored: DataFrame) -> DataFrame:
+    """Scores of each (feature, type): means within clusters first, then over clusters, counts summed over clusters.
+
+    Fisher's p and the odds ratio are those of the counts cut to whole numbers.
+    """
+    return scores_of(cluster_states(scored))
+
+
+def constant_enrichment(scored: DataFrame) -> DataFrame:
+    """``scored`` with an enrichment of 1, as where a stream works out none."""
+    return scored.withColumn("enrichment", F.lit(1.0))
+
+
 def unweighted(scored: DataFrame, score: str = "ap", by: tuple[str, ...] = ("annot_type",)) -> DataFrame:
     """Scores over proteins without clusters: means, medians, and counts summed."""
     counts = ("tp", "fp", "fn", "tn")
