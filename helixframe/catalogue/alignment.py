@@ -21,7 +21,7 @@ def _active(spark, at):
 
 def _records(spark, at, where="true"):
     lengths = B.residue_lengths(spark, at).filter(where)
-    return A.records(_active(spark, at), B.residue_masks(spark, at), lengths)
+    return A.records(_active(spark, at), B.residue_intervals(spark, at), lengths)
 
 
 def _scores(spark, at, where="true"):
@@ -49,19 +49,19 @@ def _select(criterion):
 
 
 def confusion_counts(spark, at):
-    return A.confusion(_active(spark, at), B.residue_masks(spark, at), B.residue_lengths(spark, at)).select(*A.PAIR, "tp", "fp", "fn", "tn")
+    return A.confusion(_active(spark, at), B.residue_intervals(spark, at), B.residue_lengths(spark, at)).select(*A.PAIR, "tp", "fp", "fn", "tn")
 
 
 def odds_ratio(spark, at):
-    return rounded(A.confusion(_active(spark, at), B.residue_masks(spark, at), B.residue_lengths(spark, at)).select(*A.PAIR, "odds_ratio"))
+    return rounded(A.confusion(_active(spark, at), B.residue_intervals(spark, at), B.residue_lengths(spark, at)).select(*A.PAIR, "odds_ratio"))
 
 
 def enrichment_expected(spark, at):
-    return rounded(A.confusion(_active(spark, at), B.residue_masks(spark, at), B.residue_lengths(spark, at)).select(*A.PAIR, "expected", "enrichment"))
+    return rounded(A.confusion(_active(spark, at), B.residue_intervals(spark, at), B.residue_lengths(spark, at)).select(*A.PAIR, "expected", "enrichment"))
 
 
 def _gated(spark, at):
-    active, masks = _active(spark, at), B.residue_masks(spark, at)
+    active, masks = _active(spark, at), B.residue_intervals(spark, at)
     return A.confusion(active, masks, B.residue_lengths(spark, at)).filter("odds_ratio >= 1.5"), active, masks
 
 
@@ -83,7 +83,7 @@ def drained_scores(spark, at):
 
     def score(part):
         own = part.select("accession")
-        active, masks = (df.join(own, "accession", "left_semi") for df in (_active(spark, at), B.residue_masks(spark, at)))
+        active, masks = (df.join(own, "accession", "left_semi") for df in (_active(spark, at), B.residue_intervals(spark, at)))
         return A.cluster_states(A.records(active, masks, part))
 
     drains.run(lengths, score, folder, n_drains=4, most=2)

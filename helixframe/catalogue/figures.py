@@ -41,8 +41,7 @@ def normalized_evidence(spark, at):
 
 
 def best_accession(spark, at):
-    per = rounded(evidence.inside_outside(R._inside(spark, at), "z", ["accession", "feature_id"]).filter("n_in > 0"))
-    return figures.best_accession(per, ["feature_id"]).select("feature_id", "accession", "contrast")
+    return evidence.best_contrasts(*R._evidence(spark, at), B.weights(spark, at)).select("feature_id", "accession", "contrast")
 
 
 def property_effects(spark, at):

@@ -118,11 +118,10 @@ def physico_contrast(spark, at):
     return rounded(evidence.physico_contrast(_lettered(spark, at), scale_table(spark)))
 
 
-def _inside(spark, at):
-    """Dense activations with inside, whether the position is of type 3."""
+def _evidence(spark, at):
+    """Activations, the intervals of type 3, and lengths."""
     active = encoding.encode(B.residues(spark, at), B.weights(spark, at))
-    grid = B.residues(spark, at).select("accession", "pos", (F.col("annot_type") == 3).cast("int").alias("inside")).join(F.broadcast(B.weights(spark, at).select("feature_id")))
-    return grid.join(active, ["accession", "pos", "feature_id"], "left").withColumn("z", F.coalesce("z", F.lit(0.0)))
+    return active, B.residue_intervals(spark, at).filter("annot_type = 3").select("accession", "a", "b"), B.residue_lengths(spark, at)
 
 
 def _norms(spark, at):
@@ -130,18 +129,15 @@ def _norms(spark, at):
 
 
 def ablation_contrast(spark, at):
-    values = _inside(spark, at)
-    deltas = values.join(F.broadcast(_norms(spark, at)), "feature_id").withColumn("delta", F.col("z") * F.col("norm"))
-    per = evidence.inside_outside(deltas, "delta", ["accession", "feature_id"]).filter("n_in > 0")
-    return rounded(evidence.contrast_summary(rounded(per, 9), ["feature_id"]))
+    return rounded(evidence.ablation_summary(*_evidence(spark, at), _norms(spark, at)))
 
 
 def cohen_d(spark, at):
-    return rounded(evidence.inside_outside(_inside(spark, at), "z", ["feature_id"]).select("feature_id", "mean_in", "mean_out", "cohen_d", "n_in"))
+    return rounded(evidence.sparse_contrast(*_evidence(spark, at), B.weights(spark, at)).select("feature_id", "mean_in", "mean_out", "cohen_d", "n_in"))
 
 
 def precision_recall(spark, at):
-    return rounded(evidence.precision_recall(_inside(spark, at), 0.1, ["feature_id"]))
+    return rounded(evidence.sparse_precision_recall(*_evidence(spark, at), B.weights(spark, at), 0.1))
 
 
 def self_ablation(spark, at):
@@ -180,11 +176,13 @@ def regime_gmm(spark, at):
 
 
 def positional_profile(spark, at):
-    return rounded(evidence.positional_profile(_inside(spark, at), B.residue_lengths(spark, at), bins=6))
+    active, _, lengths = _evidence(spark, at)
+    return rounded(evidence.positional_profile(active, lengths, B.weights(spark, at), bins=6))
 
 
 def resample_bins(spark, at):
-    return rounded(evidence.resampled(_inside(spark, at), B.residue_lengths(spark, at), bins=7))
+    active, _, lengths = _evidence(spark, at)
+    return rounded(evidence.filled(evidence.resampled(active, lengths, bins=7), lengths, B.weights(spark, at), 7))
 
 
 def minmax_norm(spark, at):

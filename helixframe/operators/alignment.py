@@ -12,17 +12,21 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.columns import mystery
 from helixframe.functions.metrics import expected_overlap, fisher_greater, geometric_mean, odds_ratio, truncated_odds_ratio
+from helixframe.operators.intervals import covering
 
 
 def confusion(active: DataFrame, masks: DataFrame, lengths: DataFrame, threshold: float = 0.1) -> DataFrame:
     """Per (accession, feature, type) that overlap: tp, fp, fn, tn, n_active, n_pos, length, enrichment.
 
-    ``lengths`` has accession, length and what else is to be carried along.
+    ``masks`` has positions (pos), or intervals (a, b) of a type apart from each other,
+    which are joined by bins and never laid out by position.  ``lengths`` has
+    accession, length and what else is to be carried along.
     """
     on = active.filter(F.col("z") > threshold)
     n_active = on.groupBy("accession", "feature_id").agg(F.count("*").alias("n_active"))
-    n_pos = masks.groupBy("accession", "annot_type").agg(F.count("*").alias("n_pos"))
-    hits = on.join(masks, ["accession", "pos"]).groupBy("accession", "feature_id", "annot_type").agg(F.count("*").alias("tp"))
+    n_pos = masks.groupBy("accession", "annot_type").agg((F.sum(F.col("b") - F.col("a") + 1) if "a" in masks.columns else F.count("*")).alias("n_pos"))
+    met = covering(on, masks, ["accession"]) if "a" in masks.columns else on.join(masks, ["accession", "pos"])
+    hits = met.groupBy("accession", "feature_id", "annot_type").agg(F.count("*").alias("tp"))
     joined = hits.join(n_active, ["accession", "feature_id"]).join(n_pos, ["accession", "annot_type"]).join(lengths, "accession")
     counted = joined.withColumns({"fp": F.col("n_active") - F.col("tp"), "fn": F.col("n_pos") - F.col("tp")}).withColumn("tn", F.col("length") - F.col("n_pos") - F.col("fp"))
     expected = expected_overlap(F.col("n_active"), F.col("n_pos"), F.col("tp"), F.col("length"))
@@ -36,6 +40,8 @@ def confusion(active: DataFrame, masks: DataFrame, lengths: DataFrame, threshold
 def _ranked(pairs: DataFrame, active: DataFrame, masks: DataFrame) -> DataFrame:
     """The activations of each pair's feature with y, whether the pair's type covers the position."""
     rows = pairs.select("accession", "feature_id", "annot_type", "n_pos", "length").join(active, ["accession", "feature_id"])
+    if "a" in masks.columns:
+        return covering(rows, masks, ["accession", "annot_type"], "left").withColumn("y", F.col("a").isNotNull().cast("int")).drop("a", "b")
     marks = masks.withColumn("y", F.lit(1))
     return rows.join(marks, ["accession", "annot_type", "pos"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
 
@@ -61,6 +67,8 @@ def ap_rows(pairs: DataFrame, active: DataFrame, masks: DataFrame) -> DataFrame:
     activations up to it.
     """
     ranked = _ranked(pairs, active, masks).withColumn("on", F.lit(1))
+    if "a" in masks.columns:  # the pairs' own positives, one by one
+        masks = masks.join(pairs.select("accession", "annot_type").distinct(), ["accession", "annot_type"], "left_semi").select("accession", "annot_type", F.explode(F.sequence("a", "b")).alias("pos"))
     unseen = pairs.select(*PAIR, "n_pos", "length").join(masks, ["accession", "annot_type"]).join(active.select("accession", "feature_id", "pos"), ["accession", "feature_id", "pos"], "left_anti")
     rows = ranked.unionByName(unseen.withColumns({"z": F.lit(0.0), "y": F.lit(1), "on": F.lit(0)}))
     down = Window.partitionBy(*PAIR).orderBy(F.desc("z"), "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.columns import harmonic, min_max
 from helixframe.operators.alignment import best_of
+from helixframe.operators.quantiles import quantiles
 
 
 def profiles(attention: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def profiles(attention: DataFrame) -> DataFrame:
 
 def gated(scores: DataFrame, keys: list[str], quantile: float = 0.9, value: str = "score") -> DataFrame:
     """``scores`` with on, whether the value is above the quantile of its group."""
-    bars = scores.groupBy(*keys).agg(F.percentile(value, F.lit(quantile)).alias("bar"))
+    bars = quantiles(scores, keys, value, [quantile]).withColumn("bar", F.get("q", F.lit(0))).drop("q")
     return scores.join(bars, keys).withColumn("on", (F.col(value) > F.col("bar")).cast("int"))
 
 
@@ -45,8 +46,7 @@ def convergence(latent: DataFrame, attention: DataFrame) -> DataFrame:
 
 
 def layer_quantiles(scores: DataFrame, layer: str = "layer", value: str = "auprc") -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return scores.groupBy(layer).agg(q.alias("q")).select(layer, F.get("q", F.lit(0)).alias("q25"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q75"))
+    return quantiles(scores, [layer], value, [0.25, 0.5, 0.75]).select(layer, F.get("q", F.lit(0)).alias("q25"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q75"))
 
 
 def varied(profile: DataFrame, n: int = 8, least_range: float = 0.08, least_peak: float = 0.1) -> DataFrame:

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.columns import per_protein, precision
 from helixframe.functions.metrics import cohen_d
+from helixframe.operators.batching import numbered
+from helixframe.operators.intervals import covering
+from helixframe.operators.quantiles import quantiles
+from helixframe.plans.staging import staged
 
 
 def letters(sequences: DataFrame, key: str = "accession", sequence: str = "sequence") -> DataFrame:
@@ -39,6 +43,90 @@ def physico_contrast(residues: DataFrame, scales: DataFrame, by: list[str] | Non
     return grouped.withColumns({"contrast": F.col("mean_in") - F.col("mean_out"), "cohen_d": d}).drop("sd_in", "sd_out")
 
 
+def marked(active: DataFrame, intervals: DataFrame) -> DataFrame:
+    """``active`` with inside, whether one of the accession's intervals (a, b; apart from each other) covers the position."""
+    inside = covering(active, intervals, ["accession"], "left")
+    return inside.withColumn("inside", F.col("a").isNotNull().cast("int")).drop("a", "b")
+
+
+def mask_sizes(intervals: DataFrame, lengths: DataFrame) -> DataFrame:
+    """accession, n_in, n_out: how many positions lie inside the intervals and outside."""
+    covered = intervals.groupBy("accession").agg(F.sum(F.col("b") - F.col("a") + 1).alias("n_in"))
+    joined = lengths.select("accession", "length").join(covered, "accession", "left").withColumn("n_in", F.coalesce("n_in", F.lit(0)))
+    return joined.select("accession", "n_in", (F.col("length") - F.col("n_in")).alias("n_out"))
+
+
+def _mean(total: Column, n: Column) -> Column:
+    return F.coalesce(total / F.nullif(n.cast("double"), F.lit(0.0)), F.lit(0.0))
+
+
+def sparse_contrast(active: DataFrame, intervals: DataFrame, lengths: DataFrame, features: DataFrame) -> DataFrame:
+    """Per feature over all positions: mean_in, mean_out, contrast, cohen_d, n_in, length, positions without activation as zeros.
+
+    The sums are of activations alone; the zeros follow from the sizes of the masks.
+    """
+    sums = marked(active, intervals).groupBy("feature_id").agg(*[F.sum(F.when(F.col("inside") == i, v)).alias(f"{n}_{side}") for i, side in ((1, "in"), (0, "out")) for n, v in (("s", F.col("z")), ("ss", F.col("z") * F.col("z")))])
+    total = mask_sizes(intervals, lengths).agg(F.coalesce(F.sum("n_in"), F.lit(0)).alias("n_in"), F.coalesce(F.sum("n_out"), F.lit(0)).alias("n_out"))
+    rows = features.select("feature_id").join(sums, "feature_id", "left").na.fill(0.0).join(F.broadcast(total))  # one row of totals
+    for side in ("in", "out"):
+        mean = _mean(F.col(f"s_{side}"), F.col(f"n_{side}"))
+        rows = rows.withColumn(f"mean_{side}", mean).withColumn(f"sd_{side}", F.sqrt(F.greatest(_mean(F.col(f"ss_{side}"), F.col(f"n_{side}")) - mean * mean, F.lit(0.0))))
+    d = cohen_d(F.col("mean_in"), F.col("sd_in"), F.col("mean_out"), F.col("sd_out"))
+    return rows.select("feature_id", "mean_in", "mean_out", (F.col("mean_in") - F.col("mean_out")).alias("contrast"), d.alias("cohen_d"), "n_in", (F.col("n_in") + F.col("n_out")).alias("length"))
+
+
+def sparse_precision_recall(active: DataFrame, intervals: DataFrame, lengths: DataFrame, features: DataFrame, threshold: float) -> DataFrame:
+    """feature_id, precision, recall over all positions; empty denominators count as one."""
+    on = marked(active.filter(F.col("z") > threshold), intervals)
+    counts = on.groupBy("feature_id").agg(F.count("*").alias("on"), F.sum("inside").alias("hits"))
+    total = mask_sizes(intervals, lengths).agg(F.coalesce(F.sum("n_in"), F.lit(0)).alias("n_in"))
+    rows = features.select("feature_id").join(counts, "feature_id", "left").na.fill(0).join(F.broadcast(total))
+    return rows.select("feature_id", (F.col("hits") / F.greatest("on", F.lit(1))).alias("precision"), (F.col("hits") / F.greatest("n_in", F.lit(1))).alias("recall"))
+
+
+def best_contrasts(active: DataFrame, intervals: DataFrame, lengths: DataFrame, features: DataFrame, digits: int = 6) -> DataFrame:
+    """feature_id, accession, contrast: of each feature the protein with a mask whose mean activation inside exceeds that outside most, ties by accession.
+
+    A protein in which the feature is silent has contrast 0.  Of these only the first
+    can be best; it is the first number that the others leave out when proteins are
+    numbered by accession.
+    """
+    sizes = staged(numbered(mask_sizes(intervals, lengths).filter("n_in > 0"), [], [F.col("accession")]).withColumnRenamed("nth", "place"))
+    sums = marked(active, intervals).groupBy("accession", "feature_id").agg(*[F.coalesce(F.sum(F.when(F.col("inside") == i, F.col("z"))), F.lit(0.0)).alias(f"s_{side}") for i, side in ((1, "in"), (0, "out"))])
+    contrast = F.round(_mean(F.col("s_in"), F.col("n_in")) - _mean(F.col("s_out"), F.col("n_out")), digits)
+    heard = sums.join(sizes, "accession").select("feature_id", "accession", contrast.alias("contrast"), "place")
+    gaps = numbered(heard.select("feature_id", "place"), ["feature_id"], [F.col("place")]).groupBy("feature_id").agg(F.min(F.when(F.col("place") > F.col("nth"), F.col("nth"))).alias("gap"), F.count("*").alias("n"))
+    first = features.select("feature_id").join(gaps, "feature_id", "left").select("feature_id", F.coalesce("gap", "n", F.lit(0)).alias("place"))
+    silent = first.join(sizes, "place").select("feature_id", "accession", F.lit(0.0).alias("contrast"))
+    rows = heard.select("feature_id", "accession", "contrast").unionByName(silent)
+    order = Window.partitionBy("feature_id").orderBy(F.desc("contrast"), "accession")
+    return rows.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
+
+
+def ablation_summary(active: DataFrame, intervals: DataFrame, lengths: DataFrame, decoder_norms: DataFrame, digits: int = 9) -> DataFrame:
+    """Per feature over the proteins with a mask: mean_contrast, median_contrast, frac_positive, n_proteins.
+
+    A protein's contrast is the mean shift of its decoding inside the mask less that
+    outside when the feature is left out: its activations times the norm of the
+    decoder's row.  A protein in which a feature is silent has contrast 0; how many
+    these are follows from the number of proteins.
+    """
+    sizes = mask_sizes(intervals, lengths).filter("n_in > 0")
+    sums = marked(active, intervals).groupBy("accession", "feature_id").agg(*[F.coalesce(F.sum(F.when(F.col("inside") == i, F.col("z"))), F.lit(0.0)).alias(f"s_{side}") for i, side in ((1, "in"), (0, "out"))])
+    norms = F.broadcast(decoder_norms)  # one model's decoder
+    contrast = F.round((_mean(F.col("s_in"), F.col("n_in")) - _mean(F.col("s_out"), F.col("n_out"))) * F.col("norm"), digits)
+    heard = sums.join(sizes, "accession").join(norms, "feature_id").select("feature_id", contrast.alias("contrast"), F.lit(1).cast("long").alias("times"))
+    silent = decoder_norms.select("feature_id").join(heard.groupBy("feature_id").agg(F.count("*").alias("heard")), "feature_id", "left").join(F.broadcast(sizes.agg(F.count("*").alias("all"))))
+    silent = silent.select("feature_id", F.lit(0.0).alias("contrast"), (F.col("all") - F.coalesce("heard", F.lit(0))).alias("times")).filter("times > 0")
+    rows = heard.unionByName(silent)
+    times = F.col("times")
+    means = rows.groupBy("feature_id").agg(
+        (F.sum(F.col("contrast") * times) / F.sum(times)).alias("mean_contrast"), (F.sum(F.when(F.col("contrast") > 0, times).otherwise(0)) / F.sum(times)).alias("frac_positive"), F.sum(times).alias("n_proteins")
+    )
+    medians = quantiles(rows, ["feature_id"], "contrast", [0.5], weight="times").select("feature_id", F.get("q", F.lit(0)).alias("median_contrast"))
+    return means.join(medians, "feature_id").select("feature_id", "mean_contrast", "median_contrast", "frac_positive", "n_proteins")
+
+
 def ablation(dense: DataFrame, decoder_norms: DataFrame) -> DataFrame:
     """accession, pos, feature_id, delta: how far a residue's decoding moves without the feature.
 
@@ -124,7 +212,7 @@ def regime_threshold(scores: DataFrame, seed: int = 42) -> float:
 def regime_filter(scored: DataFrame, quantile: float = 0.1, least_clusters: dict[str, int] | None = None) -> DataFrame:
     """Rows at or above the regime's quantile of precision, with enough clusters for the regime."""
     least = least_clusters or {"domain": 30, "motif": 5}
-    bars = scored.groupBy("regime").agg(F.percentile("precision", F.lit(quantile)).alias("bar"))
+    bars = quantiles(scored, ["regime"], "precision", [quantile]).withColumn("bar", F.get("q", F.lit(0))).drop("q")
     enough = F.lit(False)
     for regime, n in least.items():
         enough = enough | ((F.col("regime") == regime) & (F.col("n_clusters") >= n))
@@ -137,21 +225,47 @@ def balanced(scored: DataFrame, n: int) -> DataFrame:
     return scored.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= n // 2)
 
 
-def positional_profile(values: DataFrame, lengths: DataFrame, bins: int = 50, keys: tuple[str, ...] = ("feature_id",)) -> DataFrame:
-    """Mean and deviation of z over bins of the relative position (pos - 1) / (L - 1); the end itself lies in no bin."""
-    joined = values.join(lengths.select("accession", "length"), "accession")
-    relative = (F.col("pos") - 1) / F.greatest(F.col("length") - 1, F.lit(1))
-    binned = joined.withColumn("bin", F.floor(F.round(relative * bins, 9)).cast("int")).filter(F.col("bin") < bins)
-    return binned.groupBy(*keys, "bin").agg(F.avg("z").alias("mean_z"), F.stddev_pop("z").alias("sd_z"), F.count("*").alias("n"))
-
+def positional_profile(active: DataFrame, lengths: DataFrame, features: DataFrame, bins: int = 50) -> DataFrame:
+    """feature_id, bin, mean_z, sd_z, n: over bins of the relative position (pos - 1) / (L - 1); the end itself lies in no bin.
 
-def resampled(values: DataFrame, lengths: DataFrame, bins: int = 100) -> DataFrame:
-    """accession, feature_id, bin, z: the mean over the slice of positions of each bin, one position at least."""
-    slices = lengths.select("accession", "length", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    low = F.floor(F.col("bin") * F.col("length") / bins)
-    high = F.greatest(F.floor((F.col("bin") + 1) * F.col("length") / bins), low + 1)
-    cells = slices.select("accession", "bin", F.explode(F.sequence(low, high - 1)).alias("at")).select("accession", "bin", (F.col("at") + 1).cast("int").alias("pos"))
-    return cells.join(values, ["accession", "pos"]).groupBy("accession", "feature_id", "bin").agg(F.avg("z").alias("z"))
+    Positions without activation are zeros.  How many positions a bin has follows
+    from the lengths, of which each is looked at once.
+    """
+    span = F.greatest(F.col("length") - 1, F.lit(1))
+    own = active.join(lengths.select("accession", "length"), "accession").withColumn("bin", F.expr("cast(((pos - 1) * cast({} as long)) div greatest(length - 1, 1) as int)".format(bins))).filter(F.col("bin") < bins)
+    sums = own.groupBy("feature_id", "bin").agg(F.sum("z").alias("s"), F.sum(F.col("z") * F.col("z")).alias("ss"))
+    first = lambda b: F.ceil(b * span / F.lit(bins))
+    sizes = lengths.filter("length > 0").groupBy("length").agg(F.count("*").alias("m")).select("m", "length", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    sizes = sizes.select("bin", (F.col("m") * (first(F.col("bin") + 1) - first(F.col("bin")))).alias("n")).groupBy("bin").agg(F.sum("n").alias("n")).filter("n > 0")  # a row for each bin
+    grid = features.select("feature_id").join(F.broadcast(sizes))
+    mean = F.coalesce(F.col("s"), F.lit(0.0)) / F.col("n")
+    out = grid.join(sums, ["feature_id", "bin"], "left").withColumn("mean_z", mean)
+    return out.select("feature_id", "bin", "mean_z", F.sqrt(F.greatest(F.coalesce(F.col("ss"), F.lit(0.0)) / F.col("n") - F.col("mean_z") ** 2, F.lit(0.0))).alias("sd_z"), "n")
+
+
+def resampled(values: DataFrame, lengths: DataFrame, bins: int = 100, value: str = "z", keys: tuple[str, ...] = ("accession", "feature_id")) -> DataFrame:
+    """keys, bin and the mean of ``value`` over the slice of positions of each bin, one position at least; positions without a row are zeros.
+
+    Bins without any row are left out.  A row goes straight to the bins whose slice
+    has its position, one of them unless there are more bins than positions.
+    """
+    joined = values.join(lengths.select("accession", "length"), "accession").withColumn("_i", F.col("pos").cast("long") - 1)
+    size = F.col("length")
+    up = lambda x: F.ceil(x * bins / size)
+    first, last = F.least(up(F.col("_i") + 1) - 1, up(F.col("_i"))), F.least(F.floor(((F.col("_i") + 1) * bins - 1) / size), F.lit(bins - 1))
+    dealt = joined.withColumn("bin", F.explode(F.sequence(F.greatest(first - 1, F.lit(0)), last)))
+    low = F.expr(f"(bin * length) div {bins}")
+    high = F.greatest(F.expr(f"((bin + 1) * length) div {bins}"), low + 1)
+    inside = dealt.filter((F.col("_i") >= low) & (F.col("_i") < high))
+    return inside.groupBy(*keys, F.col("bin").cast("int").alias("bin")).agg(F.sum(F.col(value) / (high - low)).alias(value))
+
+
+def filled(sparse: DataFrame, lengths: DataFrame, features: DataFrame, bins: int, value: str = "z") -> DataFrame:
+    """``resampled`` activations with zeros for what is silent: a row for each accession, feature and bin."""
+    ids = [r["feature_id"] for r in features.select("feature_id").collect()]  # one model's features
+    cells = lengths.select("accession", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    grid = cells.select("accession", "bin", F.explode(F.array(*[F.lit(i).cast("long") for i in ids])).alias("feature_id"))
+    return grid.join(sparse, ["accession", "feature_id", "bin"], "left").select("accession", "feature_id", "bin", F.coalesce(value, F.lit(0.0)).alias(value))
 
 
 def logit_delta(logits: DataFrame, without: DataFrame) -> DataFrame:

@@ -55,11 +55,17 @@ def property_effects(residues: DataFrame, scales: DataFrame) -> DataFrame:
 
     ``residues`` has residue and inside; one without a value counts as the least.
     """
-    values = residues.join(F.broadcast(scales), "residue")
+    counts = residues.groupBy("residue", "inside").agg(F.count("*").alias("n"))  # a few dozen rows
+    values = counts.join(F.broadcast(scales), "residue")
     span = F.broadcast(values.groupBy("property").agg(F.min("value").alias("low"), F.max("value").alias("high")))
     scaled = values.join(span, "property").withColumn("v", (F.col("value") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)))
-    inside, outside = F.when(F.col("inside") == 1, F.col("v")), F.when(F.col("inside") == 0, F.col("v"))
-    grouped = scaled.groupBy("property").agg(F.avg(inside).alias("mean_in"), F.avg(outside).alias("mean_out"), F.var_pop(inside).alias("vi"), F.var_pop(outside).alias("vo"))
+
+    def moments(side: int, mean: str, variance: str) -> list:
+        times = F.when(F.col("inside") == side, F.col("n"))
+        known, square = F.sum(times * F.col("v")) / F.sum(times), F.sum(times * F.col("v") * F.col("v")) / F.sum(times)
+        return [known.alias(mean), F.greatest(square - known * known, F.lit(0.0)).alias(variance)]
+
+    grouped = scaled.groupBy("property").agg(*moments(1, "mean_in", "vi"), *moments(0, "mean_out", "vo"))
     pooled = F.sqrt((F.col("vi") + F.col("vo")) / 2)
     return grouped.select("property", "mean_in", "mean_out", ((F.col("mean_in") - F.col("mean_out")) / F.nullif(pooled, F.lit(0.0))).alias("effect"))
 

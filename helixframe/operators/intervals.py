@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.columns import interval_length, relative_midpoint
@@ -27,6 +27,32 @@ def merged(annotations: DataFrame, lengths: DataFrame, keys: list[str]) -> DataF
     return begun.groupBy(*keys, "island").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("island")
 
 
+#: Positions of a bin that intervals are cut at.
+BIN = 64
+
+
+def _bin(pos: Column) -> Column:
+    return F.floor((pos - 1) / BIN)
+
+
+def covering(positions: DataFrame, intervals: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``positions`` (keys, pos) with the intervals (keys, a, b) that cover them, by an equi-join on keys and bins.
+
+    An interval is a row for each ``BIN`` positions that it touches, so what is
+    shuffled grows with positions and intervals, not with what these cover.
+    """
+    cut = intervals.withColumn("_bin", F.explode(F.sequence(_bin(F.col("a")), _bin(F.col("b")))))
+    rows, cut = positions.withColumn("_bin", _bin(F.col("pos"))).alias("_p"), cut.alias("_c")
+    on = [F.col(f"_p.{k}") == F.col(f"_c.{k}") for k in [*keys, "_bin"]] + [F.col("pos").between(F.col("a"), F.col("b"))]
+    rest = [F.col(f"_c.{c}") for c in intervals.columns if c not in keys]
+    return rows.join(cut, on, how).select(*[F.col(f"_p.{c}") for c in positions.columns], *rest)
+
+
+def as_intervals(positions: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, a, b: the runs of positions."""
+    return runs(positions.select(*keys, "pos").distinct(), keys).select(*keys, F.col("first").alias("a"), F.col("last").alias("b"))
+
+
 def coverage(annotations: DataFrame, lengths: DataFrame) -> DataFrame:
     """Positions of each accession under any annotation, and their share of the length."""
     covered = merged(annotations, lengths, ["accession"]).groupBy("accession").agg(F.sum(F.col("b") - F.col("a") + 1).alias("covered"))

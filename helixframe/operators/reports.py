@@ -8,12 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.operators.prep import SPLITS
+from helixframe.operators.quantiles import quantiles
 
 
 def describe(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
     """count, mean, std (sample), min, quartiles and max."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*(keys or [])).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), q.alias("q"), F.max(value).alias("max"))
+    keys = keys or []
+    out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    q = quantiles(df, keys, value, [0.25, 0.5, 0.75])
+    same = [F.col(k).eqNullSafe(F.col(f"_q.{k}")) for k in keys]
+    q = q.select(F.struct(*q.columns).alias("_q"))
+    out = (out.join(q, reduce(Column.__and__, same), "left") if keys else out.join(F.broadcast(q), how="left")).withColumn("q", F.col("_q.q")).drop("_q")
     return out.withColumns({"q25": F.get("q", F.lit(0)), "q50": F.get("q", F.lit(1)), "q75": F.get("q", F.lit(2))}).drop("q")
 
 

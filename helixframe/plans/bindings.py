@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.operators.intervals import as_intervals
 from helixframe.plans.staging import spread, table
 
 #: Latent features of the bound encoder: one for each of the first vectors.
@@ -51,6 +52,11 @@ def residue_masks(spark: SparkSession, at: str) -> DataFrame:
     return residues(spark, at).select("accession", "annot_type", "pos")
 
 
+def residue_intervals(spark: SparkSession, at: str) -> DataFrame:
+    """The masks as intervals of a type apart from each other: accession, annot_type, a, b."""
+    return as_intervals(residue_masks(spark, at), ["accession", "annot_type"])
+
+
 def residue_lengths(spark: SparkSession, at: str) -> DataFrame:
     own = table(spark, at, "embeddings").groupBy(F.expr("vec_id div 10").alias("accession")).agg(F.count("*").cast("int").alias("length"))
     return own.withColumn("cluster_id", F.col("accession") % 7)

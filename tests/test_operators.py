@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.operators import alignment as A
-from helixframe.operators import attention, batching, encoding, evidence, intervals, prep, reports
+from helixframe.operators import attention, batching, encoding, evidence, figures, intervals, prep, reports
+from helixframe.operators.quantiles import quantiles
 
 
 def test_masks_union_and_validity(spark):
@@ -154,7 +155,87 @@ def test_ablation_is_the_norm_of_the_difference(spark):
 def test_relative_bins_drop_the_end(spark):
     values = spark.createDataFrame([("p", i, 1, 1.0) for i in range(1, 6)], "accession string, pos int, feature_id long, z double")
     lengths = spark.createDataFrame([("p", 5)], "accession string, length int")
-    assert sorted(r["bin"] for r in evidence.positional_profile(values, lengths).collect()) == [0, 12, 25, 37]
+    assert sorted(r["bin"] for r in evidence.positional_profile(values, lengths, values.select("feature_id").distinct()).filter("mean_z > 0").collect()) == [0, 12, 25, 37]
+
+
+def laid_out(spark, seed):
+    """(active, intervals, lengths, features) and every position as (accession, pos, feature, inside, z)."""
+    rng = random.Random(seed)
+    active, intervals_, lengths, grid = [], [], [], []
+    for p in range(14):
+        n = rng.choice([1, 2, 3, 7, 64, 65, 130, 200])
+        lengths.append((p, n))
+        covered = {i for i in range(1, n + 1) if (i // 9) % 3 == 0} if p % 4 else set()
+        for i in sorted(covered):
+            if i - 1 not in covered:
+                intervals_.append((p, i, next(j for j in range(i, n + 1) if j + 1 not in covered)))
+        for i in range(1, n + 1):
+            for f in range(4):
+                z = rng.random() if f < 3 and rng.random() < [0.3, 0.02, 0.9][f] else 0.0
+                grid.append((p, i, f, int(i in covered), z))
+                if z:
+                    active.append((p, i, f, z))
+    make = spark.createDataFrame
+    frames = make(active, "accession long, pos int, feature_id long, z double"), make(intervals_, "accession long, a int, b int"), make(lengths, "accession long, length int"), make([(f,) for f in range(4)], "feature_id long")
+    return frames, make(grid, "accession long, pos int, feature_id long, inside int, z double").cache()
+
+
+def close(got, want):
+    order = sorted(got.columns)
+    assert order == sorted(want.columns)
+    rows = [sorted(([v if v is None else round(float(v), 8) + 0.0 for v in r] for r in df.select(order).collect()), key=repr) for df in (got, want)]
+    assert rows[0] == rows[1]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_evidence_without_a_grid(spark, seed):
+    """Sums of activations with counts of zeros against the same figures over every position and feature."""
+    (active, masks, lengths, features), grid = laid_out(spark, seed)
+    names = ["feature_id", "mean_in", "mean_out", "contrast", "cohen_d", "n_in", "length"]
+    close(evidence.sparse_contrast(active, masks, lengths, features).select(names), evidence.inside_outside(grid, "z", ["feature_id"]).select(names))
+    close(evidence.sparse_precision_recall(active, masks, lengths, features, 0.5), evidence.precision_recall(grid, 0.5, ["feature_id"]))
+    norms = features.select("feature_id", (F.col("feature_id") + 0.5).alias("norm"))
+    per = evidence.inside_outside(grid.join(norms, "feature_id").withColumn("d", F.col("z") * F.col("norm")), "d", ["accession", "feature_id"]).filter("n_in > 0").withColumn("contrast", F.round("contrast", 9))
+    close(evidence.ablation_summary(active, masks, lengths, norms), evidence.contrast_summary(per, ["feature_id"]))
+    own = evidence.inside_outside(grid, "z", ["accession", "feature_id"]).filter("n_in > 0").withColumn("contrast", F.round("contrast", 6))
+    close(evidence.best_contrasts(active, masks, lengths, features), figures.best_accession(own, ["feature_id"]).select("feature_id", "accession", "contrast"))
+    for bins in (3, 50):
+        at = F.floor(F.round((F.col("pos") - 1) / F.greatest(F.col("length") - 1, F.lit(1)) * bins, 9)).cast("int")
+        dense = grid.join(lengths, "accession").withColumn("bin", at).filter(F.col("bin") < bins)
+        want = dense.groupBy("feature_id", "bin").agg(F.avg("z").alias("mean_z"), F.stddev_pop("z").alias("sd_z"), F.count("*").alias("n"))
+        close(evidence.positional_profile(active, lengths, features, bins).withColumn("sd_z", F.round("sd_z", 6)), want.withColumn("sd_z", F.round("sd_z", 6)))
+        cells = lengths.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).withColumn("low", F.floor(F.col("bin") * F.col("length") / bins))
+        cells = cells.withColumn("high", F.greatest(F.floor((F.col("bin") + 1) * F.col("length") / bins), F.col("low") + 1))
+        want = cells.join(grid, "accession").filter("pos > low and pos <= high").groupBy("accession", "feature_id", "bin").agg(F.avg("z").alias("z"))
+        close(evidence.filled(evidence.resampled(active, lengths, bins), lengths, features, bins), want)
+    whole = evidence.ablation_summary(active, masks, lengths, norms)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in whole
+
+
+def test_hits_by_bins_are_those_by_position(spark):
+    (active, masks, lengths, _), grid = laid_out(spark, 3)
+    typed = masks.withColumn("annot_type", F.col("accession") % 2).unionByName(masks.select("accession", "a", "b", F.lit(7).cast("long").alias("annot_type")))
+    positions = typed.select("accession", "annot_type", F.explode(F.sequence("a", "b")).alias("pos"))
+    clusters = lengths.withColumn("cluster_id", F.col("accession") % 3)
+    close(A.confusion(active, typed, clusters), A.confusion(active, positions, clusters))
+    pairs = A.confusion(active, typed, clusters)
+    close(A.ap_ties(pairs, active, typed), A.ap_ties(pairs, active, positions))
+    close(A.ap_rows(pairs, active, typed), A.ap_rows(pairs, active, positions))
+    close(intervals.as_intervals(positions, ["accession", "annot_type"]), typed)
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 3001])
+def test_quantiles(spark, n):
+    """One group of all rows, ties, few values, nulls and weights against Spark's own buffer."""
+    rows = [(None if i % 50 == 1 else f"g{i % 3}" if i % 4 == 0 else "hot", "x", float(i * 7919 % 97) if i % 5 else float(i), 1 + i % 3) for i in range(n)] + [("none", "x", None, 1)]
+    df = spark.createDataFrame(rows, "g string, h string, v double, w long").repartition(6)
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    for keys, weight in ((["g"], None), (["g", "h"], "w"), ([], None)):
+        q = F.percentile("v", F.array(*map(F.lit, probs)), F.lit(1) if weight is None else F.col(weight))
+        want = df.groupBy(*keys).agg(q.alias("q")).filter("q is not null")
+        got = quantiles(df, keys, "v", probs, weight)
+        show = lambda out: sorted(repr([*r[: len(keys)], *[round(x, 9) for x in r["q"]]]) for r in out.collect())
+        assert show(got) == show(want)
 
 
 def test_physico_counts_residues_without_a_value(spark):
