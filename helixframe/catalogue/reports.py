@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from helixframe.catalogue import alignment as Q
@@ -82,6 +83,26 @@ def relative_position_hist(spark, at):
     return rows.withColumn("bin", C.histogram_bin(F.round("relative", 9), 0.0, 1.0, 16)).filter("bin is not null").groupBy("feature_type", "bin").agg(F.count("*").alias("n"))
 
 
+def position_ridge(spark, at):
+    rows = intervals.with_geometry(B.annotations(spark, at), B.lengths(spark, at))
+    return rounded(reports.density_ridge(rows, "feature_type", "relative"), 5)
+
+
+def smoothed_tracks(spark, at):
+    """Suppliers as sequences of their lines, averaged over a fiftieth of their length and scaled."""
+    order = Window.partitionBy("supplier").orderBy("l_orderkey", "l_linenumber", "l_partkey", "v")
+    lines = table(spark, at, "lineitem").select(F.col("l_suppkey").alias("supplier"), "l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("double").alias("v")).withColumn("pos", F.row_number().over(order))
+    smooth = reports.width_average(lines.select("supplier", "pos", "v"), "v", ["supplier"])
+    return rounded(reports.scaled(rounded(smooth, 9), "smooth", ["supplier"]).select("supplier", "pos", "length", "smooth", "score"), 5)
+
+
+def contour_segments(spark, at):
+    """Outlines of types over twenty bins of each sequence."""
+    lengths = B.lengths(spark, at)
+    apart = intervals.merged(B.annotations(spark, at).withColumn("annot_type", F.col("feature_type")), lengths, ["accession", "annot_type"])
+    return intervals.contour(intervals.binned_share(apart, lengths, ["accession", "annot_type"], 20), ["accession", "annot_type"])
+
+
 def cooccurrence(spark, at):
     return intervals.type_pairs(B.annotations(spark, at))
 
@@ -172,7 +193,7 @@ def regime_balanced(spark, at):
 
 def regime_gmm(spark, at):
     scores = Q._scores(spark, at)
-    return spark.createDataFrame([(evidence.regime_threshold(scores),)], "threshold double")
+    return rounded(spark.createDataFrame([(evidence.regime_threshold(scores),)], "threshold double"), 5)
 
 
 def positional_profile(spark, at):
@@ -239,7 +260,7 @@ def stream_running_stats(spark, at):
 
 QUERIES = {f.__name__: f for f in (
     split_summary_pct, length_stats, length_describe, value_counts, leakage_report, subset_checks, type_by_split_pivot, pivot_row_norm, split_deviation, top_types, top_subtypes_per_type,
-    mean_features_per_protein, density_per_100, relative_position_hist, cooccurrence, log_bins_2d, median_trend, char_frequency, prefix_owners, physico_contrast, ablation_contrast, cohen_d, precision_recall,
+    mean_features_per_protein, density_per_100, relative_position_hist, position_ridge, smoothed_tracks, contour_segments, cooccurrence, log_bins_2d, median_trend, char_frequency, prefix_owners, physico_contrast, ablation_contrast, cohen_d, precision_recall,
     self_ablation, triage_quadrants, structural_alignment, convergence_topn, regime_quantile_filter, regime_balanced, regime_gmm, positional_profile, resample_bins, minmax_norm, quantile_gate, moving_average,
     attention_reduce, harmonic_convergence, layer_quantiles, pearson_r2, stream_running_stats,
 )}
@@ -297,6 +318,33 @@ ORACLE_SQL = {
     "density_per_100": f"{sql('ann', 'lengths')}, p AS (SELECT accession, count(*) AS n FROM ann GROUP BY 1) SELECT accession, round(n / greatest(length, 1) * 100, 6) AS density FROM p JOIN lengths USING (accession)",
     "relative_position_hist": f"""{sql('ann', 'lengths')}, r AS (SELECT feature_type, round((start_ + end_) / 2.0 / length, 9) AS x FROM ann JOIN lengths USING (accession))
         SELECT feature_type, CAST(least(floor(x * 16), 15) AS INT) AS bin, count(*) AS n FROM r WHERE x BETWEEN 0 AND 1 GROUP BY 1, 2""",
+    "position_ridge": f"""{sql('ann', 'lengths')}, r AS (SELECT feature_type, (start_ + end_) / 2.0 / length AS x FROM ann JOIN lengths USING (accession)),
+        big AS (SELECT feature_type, median(x) AS median FROM r GROUP BY 1 HAVING count(x) >= 5),
+        h AS (SELECT feature_type, CAST(least(floor(round(x * 80, 7)), 79) AS INT) AS bin, count(*) AS n FROM r WHERE x BETWEEN 0 AND 1 GROUP BY 1, 2),
+        p AS (SELECT feature_type, median, point, point / 199.0 AS x, greatest(least(point / 199.0 * 80 - 0.5, 79.0), 0.0) AS t FROM big, (SELECT unnest(range(0, 200)) AS point)),
+        y AS (SELECT p.*, coalesce(a.n, 0) + (coalesce(b.n, 0) - coalesce(a.n, 0)) * (t - floor(t)) AS y FROM p
+            LEFT JOIN h a ON a.feature_type = p.feature_type AND a.bin = floor(t) LEFT JOIN h b ON b.feature_type = p.feature_type AND b.bin = least(floor(t) + 1, 79))
+        SELECT feature_type, CAST(point AS INT) AS point, round(CAST(x AS DOUBLE), 5) AS x, round(y / max(y) OVER (PARTITION BY feature_type) * 0.85, 5) AS y, round(median, 5) AS median FROM y""",
+    "smoothed_tracks": """WITH l AS (SELECT l_suppkey AS supplier, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS INT) AS pos, CAST(l_quantity AS DOUBLE) AS v, count(*) OVER (PARTITION BY l_suppkey) AS length FROM lineitem),
+        s AS (SELECT *, greatest(3, length // 50) AS w, sum(v) OVER (PARTITION BY supplier ORDER BY pos) AS upto FROM l),
+        m AS (SELECT a.supplier, a.pos, a.length, round((hi.upto - coalesce(lo.upto, 0)) / a.w, 9) AS smooth FROM s a
+            JOIN s hi ON hi.supplier = a.supplier AND hi.pos = least(a.pos + (a.w - 1) // 2, a.length) LEFT JOIN s lo ON lo.supplier = a.supplier AND lo.pos = a.pos - a.w // 2 - 1)
+        SELECT supplier, pos, length, round(smooth, 5) AS smooth, round((smooth - min(smooth) OVER g) / (max(smooth) OVER g - min(smooth) OVER g + 1e-8), 5) AS score FROM m WINDOW g AS (PARTITION BY supplier)""",
+    "contour_segments": f"""{sql('ann', 'lengths')}, k AS (SELECT DISTINCT accession, feature_type AS annot_type, length, unnest(generate_series(greatest(start_, 1), least(end_, length))) AS pos FROM ann JOIN lengths USING (accession)),
+        c AS (SELECT accession, length, bin, bin * length // 20 AS lo, greatest((bin + 1) * length // 20, bin * length // 20 + 1) AS hi FROM lengths, (SELECT unnest(range(0, 20)) AS bin)),
+        s AS (SELECT accession, annot_type, bin, count(*) / (hi - lo) AS share FROM k JOIN c USING (accession, length) WHERE pos > lo AND pos <= hi GROUP BY accession, annot_type, bin, hi, lo),
+        r AS (SELECT *, bin - row_number() OVER (PARTITION BY accession, annot_type ORDER BY bin) AS island FROM s WHERE round(share, 9) > 0.3)
+        SELECT accession, annot_type, CAST(min(bin) AS INT) AS first, CAST(max(bin) AS INT) AS last, min(bin) - 0.5::DOUBLE AS x, count(*) AS width FROM r GROUP BY accession, annot_type, island""",
+    "regime_gmm": f"""{sql('score').replace('WITH', 'WITH RECURSIVE', 1)}, v AS (SELECT round(ln(1 + tp / (n_proteins + 1e-9)), 3) AS v, CAST(count(*) AS DOUBLE) AS n FROM score GROUP BY 1),
+        t AS (SELECT sum(n) AS total, sum(v * n) / sum(n) AS mean, sum(v * v * n) / sum(n) AS square FROM v),
+        em AS (SELECT 0 AS step, (SELECT min(v) FROM v) AS m1, (SELECT max(v) FROM v) AS m2, greatest(square - mean * mean, 1e-6) AS s1, greatest(square - mean * mean, 1e-6) AS s2, 0.5::DOUBLE AS p1, 0.5::DOUBLE AS p2 FROM t
+            UNION ALL
+            SELECT step + 1, m1, m2, greatest(q1 / w1 - m1 * m1, 1e-6), greatest(q2 / w2 - m2 * m2, 1e-6), w1 / total, w2 / total FROM (
+                SELECT step, greatest(sum(n * (1 - r)), 1e-12) AS w1, greatest(sum(n * r), 1e-12) AS w2, sum(n * (1 - r) * v) / greatest(sum(n * (1 - r)), 1e-12) AS m1, sum(n * r * v) / greatest(sum(n * r), 1e-12) AS m2,
+                    sum(n * (1 - r) * v * v) AS q1, sum(n * r * v * v) AS q2
+                FROM (SELECT step, v, n, 1 / (1 + exp(greatest(least((ln(greatest(p1, 1e-12)) - 0.5 * ln(s1) - (v - m1) ** 2 / (2 * s1)) - (ln(greatest(p2, 1e-12)) - 0.5 * ln(s2) - (v - m2) ** 2 / (2 * s2)), 500), -500))) AS r FROM em, v WHERE step < {evidence.MIXTURE_STEPS})
+                GROUP BY step), t)
+        SELECT round(((exp(m1) - 1) + (exp(m2) - 1)) / 2, 5) AS threshold FROM em WHERE step = {evidence.MIXTURE_STEPS}""",
     "cooccurrence": f"""{sql('ann')}, o AS (SELECT DISTINCT accession, feature_type FROM ann) SELECT a.feature_type AS type_a, b.feature_type AS type_b, count(*) AS n
         FROM o a JOIN o b ON a.accession = b.accession AND a.feature_type <> b.feature_type GROUP BY 1, 2""",
     "log_bins_2d": f"""{sql('ann')}, b AS (SELECT CAST(floor(round(log10(end_ - start_ + 1) / 0.1, 9)) AS INT) AS x_bin, CAST(floor(round(log10(p_retailprice) / 0.1, 9)) AS INT) AS y_bin

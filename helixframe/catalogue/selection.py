@@ -125,8 +125,8 @@ def sae_training(spark, at):
     held_out = F.pmod(F.xxhash64("accession"), F.lit(3)) == 0
     base = autoencoder.Config(latents=128, k=16, epochs=6, batch=64, rate=3e-3)
     models = autoencoder.fan_out(rows.filter(~held_out), ["vanilla", "topk", "matryoshka", "temporal"], base, rows.filter(held_out))
-    log = [(arch, e["epoch"], e["loss"], e["mse"], e["l0"], e["dead_frac"], e["val_mse"], e["val_r2"]) for arch, m in models.items() if m for e in m.log]
-    return rounded(spark.createDataFrame(log, "arch string, epoch int, loss double, mse double, l0 double, dead_frac double, val_mse double, val_r2 double"))
+    log = [(arch, e["epoch"], e["loss"], e["mse"], e["l0"], e["dead_frac"], e["alive_frac"], e["ever_active_frac"], e["val_mse"], e["val_r2"]) for arch, m in models.items() if m for e in m.log]
+    return rounded(spark.createDataFrame(log, "arch string, epoch int, loss double, mse double, l0 double, dead_frac double, alive_frac double, ever_active_frac double, val_mse double, val_r2 double"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -50,6 +50,10 @@ class Config:
     seed: int = 42
 
 
+#: Mean activation from which on a latent is alive in an epoch.
+ALIVE = 1e-3
+
+
 @dataclass
 class Model:
     config: Config
@@ -60,6 +64,8 @@ class Model:
     log: list[dict] = field(default_factory=list)
     state: list[np.ndarray] | None = None
     steps: float = 0.0
+    #: Which latents were active in any round so far.
+    ever: np.ndarray | None = None
 
     @property
     def parts(self) -> list[np.ndarray]:
@@ -73,7 +79,7 @@ class Model:
         return self.state
 
     def copy(self) -> Model:
-        return Model(self.config, *[p.copy() for p in self.parts], list(self.log), [m.copy() for m in self.moments], self.steps)
+        return Model(self.config, *[p.copy() for p in self.parts], list(self.log), [m.copy() for m in self.moments], self.steps, None if self.ever is None else self.ever.copy())
 
 
 def initial(config: Config, dim: int) -> Model:
@@ -181,7 +187,7 @@ def gradients(x: np.ndarray, following: np.ndarray, model: Model, epoch: int) ->
         loss += c.temporal * len(x) * contrast  # the other sums are divided by the rows later
         dz += c.temporal * len(x) * d
     dpre = dz * (z > 0) + daux
-    sums = {"n": len(x), "loss": loss, "sse": float((whole**2).sum()), "sx": x.sum(0), "sxx": float((x**2).sum()), "l0": int((z > 0).sum()), "used": (z > 0).sum(0)}
+    sums = {"n": len(x), "loss": loss, "sse": float((whole**2).sum()), "sx": x.sum(0), "sxx": float((x**2).sum()), "l0": int((z > 0).sum()), "used": (z > 0).sum(0), "acts": z.sum(0)}
     return [dpre.T @ x, dpre.sum(0), g_dec, g_bias], sums
 
 
@@ -248,7 +254,7 @@ def _partial(frames, shared, epoch: int, learn: bool):
     if sums is not None:
         n = sums["n"]
         weighted = [n * p.ravel() for p in [*model.parts, *model.moments]] + [[n * model.steps]] if learn else []
-        flat = np.concatenate([*weighted, sums["sx"], sums["used"].astype(float), [float(sums[k]) for k in ("n", "loss", "sse", "sxx", "l0")]])
+        flat = np.concatenate([*weighted, sums["sx"], sums["used"].astype(float), sums["acts"], [float(sums[k]) for k in ("n", "loss", "sse", "sxx", "l0")]])
         yield _pieces(flat)
 
 
@@ -277,22 +283,22 @@ def _pass(residues: DataFrame, model: Model, epoch: int, learn: bool) -> tuple[M
         return model, None
     flat = np.concatenate([np.frombuffer(r["v"]) for r in rows])
     d, n = model.b_dec.size, model.config.latents
-    sx, used, (count, loss, sse, sxx, l0) = flat[-(d + n + 5) : -(n + 5)], flat[-(n + 5) : -5], flat[-5:]
+    sx, used, acts, (count, loss, sse, sxx, l0) = np.split(flat[-(d + 2 * n + 5) :], [d, d + n, d + 2 * n])
     if learn:
         out, at = [], 0
         for p in [*model.parts, *model.moments]:
             out.append(flat[at : at + p.size].reshape(p.shape) / count)
             at += p.size
-        model = Model(model.config, *out[:4], model.log, out[4:], float(flat[at] / count))
+        model = Model(model.config, *out[:4], model.log, out[4:], float(flat[at] / count), model.ever)
         model.w_dec /= np.linalg.norm(model.w_dec, axis=1, keepdims=True) + 1e-8
-    return model, {"n": count, "loss": loss, "sse": sse, "sx": sx, "sxx": sxx, "l0": l0, "used": used}
+    return model, {"n": count, "loss": loss, "sse": sse, "sx": sx, "sxx": sxx, "l0": l0, "used": used, "acts": acts}
 
 
 def metrics(sums: dict) -> dict:
     """Means over the rows behind ``sums``."""
     count, d = sums["n"], sums["sx"].size
     var = sums["sxx"] - (sums["sx"] ** 2).sum() / count
-    means = {"loss": sums["loss"] / count, "mse": sums["sse"] / count / d, "r2": 1 - sums["sse"] / var if var > 0 else 0.0, "l0": sums["l0"] / count, "dead_frac": (sums["used"] == 0).mean()}
+    means = {"loss": sums["loss"] / count, "mse": sums["sse"] / count / d, "r2": 1 - sums["sse"] / var if var > 0 else 0.0, "l0": sums["l0"] / count, "dead_frac": (sums["used"] == 0).mean(), "alive_frac": (sums["acts"] / count >= ALIVE).mean()}
     return {k: float(v) for k, v in means.items()}
 
 
@@ -345,9 +351,11 @@ def train(residues: DataFrame, config: Config, validation: DataFrame | None = No
             model, own = _pass(some, model, epoch, learn=True)
             sums = sums if own is None else _sums(sums, own)
         seen = metrics(sums)
+        active = sums["used"] > 0
+        model.ever = active if model.ever is None else model.ever | active
         checked = None if held_out is None else _pass(held_out, model, epoch, learn=False)[1]
         checked = seen if checked is None else metrics(checked)
-        model.log.append({"epoch": epoch, **{k: seen[k] for k in ("loss", "mse", "l0", "dead_frac")}, "val_mse": checked["mse"], "val_r2": checked["r2"], "l1": model.config.l1})
+        model.log.append({"epoch": epoch, **{k: seen[k] for k in ("loss", "mse", "l0", "dead_frac", "alive_frac")}, "ever_active_frac": float(model.ever.mean()), "val_mse": checked["mse"], "val_r2": checked["r2"], "l1": model.config.l1})
         better = checked["r2"] > score
         if better:
             score, best = checked["r2"], model.copy()
@@ -374,7 +382,7 @@ def save(spark: SparkSession, model: Model, folder: str, epoch: int) -> None:
     """The model under a numbered folder of ``folder``; a committed one is never written over."""
     parts = [*model.parts, *model.moments]
     rows = [(i, list(p.shape), p.astype(float).tobytes()) for i, p in enumerate(parts)]
-    about = json.dumps({"config": asdict(model.config), "log": model.log, "steps": model.steps})
+    about = json.dumps({"config": asdict(model.config), "log": model.log, "steps": model.steps, "ever": None if model.ever is None else np.packbits(model.ever).tobytes().hex()})
     spark.createDataFrame([*rows, (len(parts), [], about.encode())], "part int, shape array<int>, v binary").write.mode("ignore").parquet(f"{folder}/epoch={epoch}")
 
 
@@ -390,7 +398,9 @@ def load(spark: SparkSession, folder: str) -> Model | None:
     *parts, about = [(r["shape"], r["v"]) for r in rows]
     arrays = [np.frombuffer(v).reshape(shape).copy() for shape, v in parts]
     known = json.loads(about[1].decode())
-    return Model(Config(**known["config"]), *arrays[:4], known["log"], arrays[4:], known["steps"])
+    config, ever = Config(**known["config"]), known.get("ever")
+    bits = None if ever is None else np.unpackbits(np.frombuffer(bytes.fromhex(ever), np.uint8), count=config.latents).astype(bool)
+    return Model(config, *arrays[:4], known["log"], arrays[4:], known["steps"], bits)
 
 
 def weight_table(spark: SparkSession, model: Model) -> DataFrame:

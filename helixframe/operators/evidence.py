@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -201,12 +200,44 @@ def regimes(scores: DataFrame, threshold: float) -> DataFrame:
     return scores.withColumns({"precision": precision(F.col("tp"), F.col("fp")), "residues_per_protein": rpp}).withColumn("regime", regime)
 
 
-def regime_threshold(scores: DataFrame, seed: int = 42) -> float:
-    """Between the two components of a Gaussian mixture over the logarithm of residues per protein."""
-    values = scores.select(F.log1p(per_protein(F.col("tp"), F.col("n_proteins"))).alias("v")).dropna()
-    model = GaussianMixture(k=2, seed=seed).fit(VectorAssembler(inputCols=["v"], outputCol="features").transform(values))
-    means = [r["mean"][0] for r in model.gaussiansDF.collect()]
-    return float(sum(2.718281828459045**m - 1 for m in means) / len(means))
+#: Digits that values are counted by before the mixture is fitted, its steps, and the least variance.
+MIXTURE_DIGITS, MIXTURE_STEPS, LEAST_VARIANCE = 3, 100, 1e-6
+
+
+def two_normals(values: np.ndarray, counts: np.ndarray, steps: int = MIXTURE_STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(means, variances, shares) of a mixture of two normals over counted values, by expectation and maximization.
+
+    It starts from the least and the largest value with the variance of all, so it
+    comes out the same each time.
+    """
+    total = counts.sum()
+    mean = (values * counts).sum() / total
+    spread = max((values * values * counts).sum() / total - mean * mean, LEAST_VARIANCE)
+    means, variances, shares = np.array([values.min(), values.max()]), np.array([spread, spread]), np.array([0.5, 0.5])
+    for _ in range(steps):
+        logs = np.log(np.maximum(shares, 1e-12)) - 0.5 * np.log(variances) - (values[:, None] - means) ** 2 / (2 * variances)
+        second = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -500, 500)))
+        weight = np.stack([1 - second, second], 1) * counts[:, None]
+        mass = weight.sum(0)
+        shares = mass / total
+        means = (weight * values[:, None]).sum(0) / np.maximum(mass, 1e-12)
+        variances = np.maximum((weight * (values[:, None] - means) ** 2).sum(0) / np.maximum(mass, 1e-12), LEAST_VARIANCE)
+    return means, variances, shares
+
+
+def regime_threshold(scores: DataFrame) -> float | None:
+    """Between the two components of a normal mixture over the logarithm of residues per protein; none without rows.
+
+    Values are counted at ``MIXTURE_DIGITS`` digits: the logarithm of a length has a
+    few thousand of these at most, whatever the number of rows, and the steps are
+    taken over the counts.
+    """
+    values = scores.select(F.round(F.log1p(per_protein(F.col("tp"), F.col("n_proteins"))), MIXTURE_DIGITS).alias("v")).dropna()
+    rows = values.groupBy("v").agg(F.count("*").alias("n")).orderBy("v").collect()  # bounded by the digits
+    if not rows:
+        return None
+    means, _, _ = two_normals(np.array([r["v"] for r in rows]), np.array([r["n"] for r in rows], float))
+    return float(np.expm1(means).mean())
 
 
 def regime_filter(scored: DataFrame, quantile: float = 0.1, least_clusters: dict[str, int] | None = None) -> DataFrame:

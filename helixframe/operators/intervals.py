@@ -77,3 +77,24 @@ def type_pairs(annotations: DataFrame) -> DataFrame:
     other = own.select("accession", F.col("feature_type").alias("type_b"))
     pairs = own.withColumnRenamed("feature_type", "type_a").join(other, "accession").filter("type_a != type_b")
     return pairs.groupBy("type_a", "type_b").agg(F.count("*").alias("n"))
+
+
+def binned_share(intervals: DataFrame, lengths: DataFrame, keys: list[str], bins: int = 100) -> DataFrame:
+    """keys, bin, share: how much of each bin's slice of positions the intervals (keys, a, b; apart from each other) cover; bins that they miss are left out.
+
+    An interval is dealt to the bins that it touches and never laid out by position.
+    """
+    joined = intervals.join(lengths.select("accession", "length"), "accession")
+    size = F.col("length")
+    first, last = F.greatest(F.floor((F.col("a") - 1) * bins / size) - 1, F.lit(0)), F.least(F.ceil(F.col("b") * bins / size), F.lit(bins - 1))
+    dealt = joined.withColumn("bin", F.explode(F.sequence(first, last)))
+    low = F.expr(f"(bin * length) div {bins}")
+    high = F.greatest(F.expr(f"((bin + 1) * length) div {bins}"), low + 1)
+    met = F.least("b", high) - F.greatest(F.col("a") - 1, low)
+    return dealt.withColumn("_met", met / (high - low)).filter("_met > 0").groupBy(*keys, F.col("bin").cast("int").alias("bin")).agg(F.sum("_met").alias("share"))
+
+
+def contour(cells: DataFrame, keys: list[str], value: str = "share", threshold: float = 0.3) -> DataFrame:
+    """keys, first, last, x, width: runs of bins whose value is over the threshold, and their outline in a heat strip, half a bin to the left."""
+    over = cells.filter(F.round(value, 9) > threshold).select(*keys, F.col("bin").alias("pos"))
+    return runs(over, keys).select(*keys, "first", "last", (F.col("first") - 0.5).alias("x"), F.col("run_length").alias("width"))

@@ -124,6 +124,48 @@ def scaled(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     return df.join(bounds, keys).withColumn("score", (F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low") + 1e-8)).drop("_low", "_high")
 
 
+def density_ridge(df: DataFrame, key: str, value: str, bins: int = 80, points: int = 200, least_rows: int = 5, height: float = 0.85) -> DataFrame:
+    """key, point, x, y, median: the density of a value in 0..1 at evenly spaced points, by lines between the centres of bins, scaled to ``height`` at its largest.
+
+    Before the first centre and behind the last the line is flat.  Keys of fewer than
+    ``least_rows`` values are left out.  A key's bins are one row, as many as named.
+    """
+    known = df.filter(F.col(key).isNotNull() & F.col(value).isNotNull())
+    at = F.least(F.floor(F.round(F.col(value) * bins, 7)), F.lit(bins - 1)).cast("int")  # rounded, so that a value on an edge opens its bin
+    counts = known.withColumn("_bin", F.when(F.col(value).between(0, 1), at)).groupBy(key, "_bin").agg(F.count("*").alias("_n"))
+    inside = F.col("_bin").isNotNull()
+    shapes = counts.groupBy(key).agg(F.sum("_n").alias("_rows"), F.map_from_entries(F.collect_list(F.when(inside, F.struct("_bin", "_n")))).alias("_bins")).filter((F.col("_rows") >= least_rows) & (F.size("_bins") > 0))
+    at = shapes.select(key, "_bins", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")).withColumn("x", F.col("point") / (points - 1))
+    place = F.greatest(F.least(F.col("x") * bins - 0.5, F.lit(bins - 1.0)), F.lit(0.0))
+    low = F.floor(place).cast("int")
+    n = lambda b: F.coalesce(F.try_element_at("_bins", F.least(b, F.lit(bins - 1))), F.lit(0))
+    lines = at.select(key, "point", "x", (n(low) + (n(low + 1) - n(low)) * (place - low)).alias("_y"))
+    peaks = lines.groupBy(key).agg(F.max("_y").alias("_peak"))  # a row for each key
+    medians = quantiles(known, [key], value, [0.5]).select(key, F.get("q", F.lit(0)).alias("median"))
+    return lines.join(peaks, key).join(medians, key).select(key, "point", "x", (F.col("_y") / F.nullif("_peak", F.lit(0.0)) * height).alias("y"), "median")
+
+
+def width_average(values: DataFrame, value: str, keys: list[str], share: int = 50, least: int = 3) -> DataFrame:
+    """``values`` (keys, pos from 1 without gaps) with length and smooth: the centred average over ``max(least, length // share)`` positions, those beyond the ends as zeros.
+
+    The width follows the length, so a frame of fixed width can't do it: a sum over a
+    stretch is the difference of two sums from the start, looked up by position.  A
+    key is one sequence and its positions are sorted together.
+    """
+    along = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = values.withColumns({"_upto": F.sum(value).over(along), "length": F.count("*").over(Window.partitionBy(*keys))})
+    width = F.greatest(F.lit(least), F.expr(f"length div {share}"))
+    before, behind = F.expr("_w div 2"), F.expr("(_w - 1) div 2")
+    rows = summed.withColumn("_w", width.cast("long"))
+    rows = rows.withColumns({"_high": F.least(F.col("pos") + behind, F.col("length")), "_low": F.col("pos") - before - 1})
+    sums = summed.select(*keys, F.col("pos").alias("_at"), F.col("_upto").alias("_s"))
+    for end in ("_high", "_low"):
+        own = sums.withColumnRenamed("_at", end).withColumnRenamed("_s", f"_s{end}")
+        rows = rows.withColumn(end, F.col(end).cast(own.schema[end].dataType)).join(own, [*keys, end], "left")
+    smooth = (F.col("_s_high") - F.coalesce("_s_low", F.lit(0.0))) / F.col("_w")
+    return rows.withColumn("smooth", smooth).select(*values.columns, "length", "smooth")
+
+
 def moving_average(df: DataFrame, value: str, keys: list[str], order: str, width: int) -> Column:
     """The centred average over ``width`` rows, those beyond the ends as zeros."""
     window = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(width // 2), (width - 1) // 2)

@@ -82,6 +82,11 @@ def test_rounds_cover_every_row_and_training_resumes(spark, tiny, tmp_path):
     resumed = S.train(residues, base, folder=str(tmp_path / "cut"))
     assert [round(e["loss"], 6) for e in resumed.log] == [round(e["loss"], 6) for e in whole.log] and len(whole.log) == 4
     assert all(np.allclose(a, b) for a, b in zip(whole.parts, resumed.parts, strict=True))
+    ever = [e["ever_active_frac"] for e in whole.log]
+    assert ever == sorted(ever) and ever[-1] >= 1 - whole.log[-1]["dead_frac"] and [e["ever_active_frac"] for e in resumed.log] == ever
+    saved = S.load(spark, str(tmp_path / "cut" / "last"))
+    assert saved.ever.dtype == bool and saved.ever.mean() == ever[-1]
+    assert all(e["alive_frac"] <= 1 - e["dead_frac"] for e in whole.log)
     assert S.load(spark, str(tmp_path / "none")) is None
     assert S.train(residues.limit(0), base) is None
 

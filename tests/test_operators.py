@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,6 +239,63 @@ def test_quantiles(spark, n):
         assert show(got) == show(want)
 
 
+def test_ridge_is_that_of_a_histogram_and_lines(spark):
+    rng = np.random.default_rng(1)
+    values = {"a": rng.uniform(-0.1, 1.1, 300), "b": np.array([0.0, 0.0, 1.0, 1.0, 0.5]), "c": np.array([0.1] * 4)}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs] + [("a", None), (None, 0.5)], "t string, v double").repartition(4)
+    got = {}
+    for r in reports.density_ridge(df, "t", "v").collect():
+        got.setdefault(r["t"], {})[r["point"]] = r
+    assert set(got) == {"a", "b"}
+    for k, own in got.items():
+        counts, edges = np.histogram(values[k], bins=80, range=(0, 1), density=True)
+        ys = np.interp(np.linspace(0, 1, 200), (edges[:-1] + edges[1:]) / 2, counts)
+        assert np.allclose([own[i]["y"] for i in range(200)], ys / ys.max() * 0.85) and np.allclose([own[i]["x"] for i in range(200)], np.linspace(0, 1, 200))
+        assert own[0]["median"] == pytest.approx(np.median(values[k]))
+
+
+def test_width_follows_the_length(spark):
+    rng = np.random.default_rng(2)
+    own = {n: rng.normal(size=n) for n in (1, 2, 3, 10, 149, 200, 260, 500)}
+    df = spark.createDataFrame([(n, i + 1, float(v)) for n, vs in own.items() for i, v in enumerate(vs)], "p long, pos int, v double").repartition(4)
+    got = {(r["p"], r["pos"]): r["smooth"] for r in reports.width_average(df, "v", ["p"]).collect()}
+    for n, vs in own.items():
+        w = max(3, n // 50)
+        padded = np.concatenate([np.zeros(w // 2), vs, np.zeros((w - 1) // 2)])
+        want = [padded[i : i + w].sum() / w for i in range(n)]
+        assert n < w or np.allclose(want, np.convolve(vs, np.ones(w) / w, mode="same"))
+        assert np.allclose([got[n, i + 1] for i in range(n)], want)
+
+
+def test_contour_over_bins(spark):
+    lengths = spark.createDataFrame([("p", 37), ("q", 4), ("r", 100)], "accession string, length int")
+    masks = {("p", 1): [(3, 9), (12, 12), (30, 37)], ("q", 1): [(2, 3)], ("r", 2): [(1, 100)], ("r", 1): [(5, 5)]}
+    df = spark.createDataFrame([(a, t, x, y) for (a, t), own in masks.items() for x, y in own], "accession string, t int, a int, b int")
+    got = {(r["accession"], r["t"], r["first"], r["last"], r["x"], r["width"]) for r in intervals.contour(intervals.binned_share(df, lengths, ["accession", "t"], 10), ["accession", "t"]).collect()}
+    want = set()
+    for (a, t), own in masks.items():
+        n = {"p": 37, "q": 4, "r": 100}[a]
+        mask = np.array([any(x <= i <= y for x, y in own) for i in range(1, n + 1)], float)
+        share = [mask[b * n // 10 : max((b + 1) * n // 10, b * n // 10 + 1)].mean() for b in range(10)]
+        begun = None
+        for b, v in enumerate([*share, 0.0]):  # as it is drawn, bin after bin
+            if v > 0.3 and begun is None:
+                begun = b
+            elif v <= 0.3 and begun is not None:
+                want.add((a, t, begun, b - 1, begun - 0.5, b - begun))
+                begun = None
+    assert got == want and len(want) == 4
+
+
+def test_two_normals():
+    rng = np.random.default_rng(3)
+    values, counts = np.unique(np.concatenate([rng.normal(1, 0.2, 4000), rng.normal(3, 0.4, 2000)]).round(3), return_counts=True)
+    means, variances, shares = evidence.two_normals(values, counts.astype(float))
+    assert np.allclose(means, [1, 3], atol=0.05) and np.allclose(np.sqrt(variances), [0.2, 0.4], atol=0.03) and np.allclose(shares, [2 / 3, 1 / 3], atol=0.02)
+    means, _, _ = evidence.two_normals(np.array([2.0]), np.array([5.0]))
+    assert np.allclose(means, 2)
+
+
 def test_physico_counts_residues_without_a_value(spark):
     residues = spark.createDataFrame([("A", 1), ("X", 1), ("R", 0)], "residue string, inside int")
     scales = spark.createDataFrame([("A", "h", 2.0), ("R", "h", -1.0)], "residue string, property string, value double")
