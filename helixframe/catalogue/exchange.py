@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import glob
 import gzip
 import uuid
 
 import numpy as np
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ from helixframe.operators import attention
 from helixframe.plans import bindings as B
 from helixframe.plans.bindings import rounded, sql
 from helixframe.plans.staging import checkpoint_dir, table
-from helixframe.sources import files, paged, providers
+from helixframe.sources import archives, files, paged, providers
 
 #: Types that the bound provider fails on.
 UNKNOWN = "STANDARD"
@@ -60,6 +63,17 @@ def fasta_described(spark, at):
     return files.read_fasta(spark, path)
 
 
+def npz_round_trip(spark, at):
+    """Vectors and labels as arrays of archives."""
+    path, rows = _folder(spark), table(spark, at, "embeddings")
+    vectors = rows.select(F.lit("vectors").alias("name"), F.col("vec_id").alias("row"), F.col("embedding").cast("array<double>").alias("value"), F.lit(None).cast("array<long>").alias("whole"))
+    labels = rows.select(F.lit("labels").alias("name"), F.col("vec_id").alias("row"), F.lit(None).cast("array<double>").alias("value"), F.array(F.col("label").cast("long")).alias("whole"))
+    archives.write_npz(vectors.unionByName(labels), path, dtype="float32")
+    found = archives.read_npz(spark, path, part_bytes=4096)
+    own = found.filter("name = 'vectors'").select(F.col("row").alias("vec_id"), "dtype", F.size("value").alias("n"), F.get("value", F.lit(0)).alias("first"), F.element_at("value", -1).alias("last"))
+    return rounded(own.join(found.filter("name = 'labels'").select(F.col("row").alias("vec_id"), F.get("whole", F.lit(0)).alias("label")), "vec_id"))
+
+
 def metadata_round_trip(spark, at):
     path = _folder(spark)
     values = B.proteins(spark, at).agg(F.count("*").alias("n"), F.max("length").alias("longest"), F.count_distinct("lang").alias("langs")).first().asDict()
@@ -113,6 +127,40 @@ def paged_rows(spark, at):
     return rows.select("no", F.split("line", "\t")[0].cast("int").alias("n_nationkey"), F.split("line", "\t")[1].alias("n_name"))
 
 
+def _page_files(spark, at, folder):
+    """The nations as pages of five, a file each with the next page's name; written by Spark."""
+    numbered = table(spark, at, "nation").withColumn("page", F.floor((F.row_number().over(Window.orderBy("n_nationkey")) - 1) / 5))  # a table of 25 rows
+    lines = numbered.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda r: F.concat_ws("\t", r["n_nationkey"].cast("string"), r["n_name"])), "\n").alias("body"))
+    more = F.coalesce(F.lead("page").over(Window.orderBy("page")).cast("string"), F.lit(""))
+    lines.select("page", F.concat(more, F.lit("\nkey\tname\n"), "body").alias("value")).write.partitionBy("page").text(folder)
+
+
+def paged_stream(spark, at):
+    """The same pages as a stream that fails after the second page and is started again."""
+    folder = _folder(spark)
+    _page_files(spark, at, f"{folder}/pages")
+
+    local = f"{folder}/pages".removeprefix("file:")
+
+    def served(most=None):
+        def get(url):
+            number = int(url.removeprefix("page"))
+            if most is not None and number >= most:
+                raise ConnectionError(url)
+            (path,) = glob.glob(f"{local}/page={number}/part-*")
+            with open(path, encoding="utf-8") as file:
+                more, body = file.read().split("\n", 1)
+            return body.encode(), f'<page{more}>; rel="next"' if more else ""
+
+        return get
+
+    with contextlib.suppress(StreamingQueryException):
+        paged.stream_to(spark, ["page0"], f"{folder}/rows", f"{folder}/state", served(2))
+    paged.stream_to(spark, ["page0"], f"{folder}/rows", f"{folder}/state", served())
+    rows = spark.read.parquet(f"{folder}/rows").filter("no > 0")
+    return rows.select("no", F.split("line", "\t")[0].cast("int").alias("n_nationkey"), F.split("line", "\t")[1].alias("n_name"))
+
+
 def _letters():
     def provider(texts):
         if any(t.startswith(UNKNOWN) for t in texts):
@@ -150,7 +198,7 @@ def spread_types(spark, at):
 
 
 QUERIES = {f.__name__: f for f in (
-    tsv_round_trip, indexed_csv_round_trip, headerless_clusters, fasta_round_trip, fasta_described, metadata_round_trip, kept_once, shards_round_trip, first_found, report_lines, appended_log, paged_rows,
+    tsv_round_trip, indexed_csv_round_trip, headerless_clusters, fasta_round_trip, fasta_described, npz_round_trip, metadata_round_trip, kept_once, shards_round_trip, first_found, report_lines, appended_log, paged_rows, paged_stream,
     provided_vectors, provided_attention, spread_types,
 )}
 
@@ -165,6 +213,7 @@ ORACLE_SQL = {
     "fasta_round_trip": f"""{sql("proteins")}, s AS (SELECT accession, upper(regexp_replace(sequence, '[^A-Za-z]', '', 'g')) AS sequence FROM proteins)
         SELECT accession, md5(sequence) AS md5, CAST(length(sequence) AS INT) AS length FROM s WHERE length(sequence) > 0""",
     "fasta_described": "SELECT 'P' || p_partkey AS accession, upper(regexp_replace(p_type, '[^A-Za-z]', '', 'g')) AS sequence FROM part",
+    "npz_round_trip": "SELECT vec_id, '<f4' AS dtype, len(embedding) AS n, round(CAST(embedding[1] AS DOUBLE), 6) AS first, round(CAST(embedding[-1] AS DOUBLE), 6) AS last, CAST(label AS BIGINT) AS label FROM embeddings",
     "metadata_round_trip": f"{sql('proteins')} SELECT count(*) AS n, max(length) AS longest, count(DISTINCT lang) AS langs, 'documents' AS \"table\" FROM proteins",
     "kept_once": f"{sql('members')} SELECT accession, cluster_id FROM members",
     "shards_round_trip": f"{sql('proteins')} SELECT accession, length, true AS fits FROM proteins",
@@ -183,3 +232,4 @@ ORACLE_SQL = {
             FROM (SELECT od.r, taken, od.layer, od.annot_type, len(taken) < 3 AND len(list_filter(taken, lambda t: abs(t - od.layer) < 1)) = 0 AS ok FROM go JOIN od ON od.r = go.r + 1))
         SELECT CAST(row_number() OVER (ORDER BY chosen DESC, r) AS INT) AS nth, CAST(annot_type AS INT) AS annot_type FROM go WHERE annot_type IS NOT NULL ORDER BY nth LIMIT 3""",
 }
+ORACLE_SQL["paged_stream"] = ORACLE_SQL["paged_rows"]

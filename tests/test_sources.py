@@ -4,6 +4,7 @@ import gzip
 
 import numpy as np
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from helixframe.sources import features, files, paged, providers
@@ -96,6 +97,39 @@ def test_pages(spark):
     assert got == {("u1", "h"), ("u1", "a"), ("u1", "b"), ("u1", "c"), ("v1", "h"), ("v1", "z")}
 
 
+def test_stream_of_pages_goes_on(spark, tmp_path):
+    """Several cursors, a page that fails, one cursor that ends before the other: each line once."""
+    for i, (body, more) in enumerate([("h\na\nb\n", "u1"), ("h\nc\n", "u2"), ("h\n\nd\ne", ""), ("h\nz\n", "")]):
+        (tmp_path / f"u{i}").write_text(f"{more}|{body}")
+    folder = str(tmp_path)
+
+    def served(broken):
+        def get(url):
+            if url in broken:
+                raise ConnectionError(url)
+            with open(f"{folder}/{url}", encoding="utf-8") as file:
+                more, body = file.read().split("|", 1)
+            return body.encode(), f'<{more}>; rel="next"' if more else ""
+
+        return get
+
+    for broken in (["u2"], ["u2"], [], []):
+        try:
+            paged.stream_to(spark, ["u0", "u3"], f"{folder}/out", f"{folder}/state", served(broken))
+            assert not broken
+        except StreamingQueryException:
+            assert broken
+    got = sorted((r["url"], r["no"], r["line"]) for r in spark.read.parquet(f"{folder}/out").collect())
+    assert got == [("u0", i, c) for i, c in enumerate("habcde")] + [("u3", 0, "h"), ("u3", 1, "z")]
+    stream = paged._Stream(["u0", "u3"], served([]))
+    begin = stream.initialOffset()
+    rows, end = [], begin
+    for _ in range(4):
+        own, end = stream.read(end)
+        rows += list(own)
+    assert sorted(stream.readBetweenOffsets(begin, end)) == sorted(rows) == got and stream.read(end)[1] == end
+
+
 def test_attention_by_heads(spark):
     def make():
         def provider(texts):
