@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
+
 from helixframe.operators import alignment as A
 from helixframe.operators import drains
 from helixframe.operators import encoding as E
@@ -139,8 +141,14 @@ def selection_bias(spark, at):
 
 
 def recon_metrics(spark, at):
-    residues, active, w = B.residues(spark, at), E.encode(B.residues(spark, at), B.weights(spark, at), topk=4), B.weights(spark, at)
-    return rounded(E.reconstruction_metrics(E.reconstruction(residues, active, w), active, B.FEATURES))
+    return rounded(E.reconstruction_metrics(B.residues(spark, at), B.weights(spark, at), B.weights(spark, at), topk=4))
+
+
+def reconstructed(spark, at):
+    """How far each residue's decoding is from it, and the decoding's length."""
+    rows = E.reconstruction(B.residues(spark, at), B.weights(spark, at), B.weights(spark, at), topk=4)
+    length = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v * v)
+    return rounded(rows.select("accession", "pos", length(F.zip_with("x", "xhat", lambda a, b: a - b)).alias("sse"), length("xhat").alias("size")))
 
 
 def adjacent_cosine(spark, at):
@@ -157,7 +165,7 @@ def standardize(spark, at):
 
 QUERIES = {f.__name__: f for f in (
     encode_relu, encode_topk, feature_stats_pass1, *map(_select, ("mean", "variance", "max", "sparsity")), confusion_counts, odds_ratio, enrichment_expected, ap_ties, ap_rows, alignment_scores, drained_scores, streamed_scores, fisher_exact,
-    unweighted_scores, per_annot_best, robust_pairs, feature_triage, novel_candidates, threshold_tally, val_test_selection, selection_bias, recon_metrics, adjacent_cosine, mean_pool, standardize,
+    unweighted_scores, per_annot_best, robust_pairs, feature_triage, novel_candidates, threshold_tally, val_test_selection, selection_bias, recon_metrics, reconstructed, adjacent_cosine, mean_pool, standardize,
 )}
 
 STATS = f"""{sql('act', 'len')}, per AS (SELECT accession, feature_id, length, sum(z) AS s, sum(z * z) AS s2, max(z) AS m, count(*) AS nz FROM act JOIN len USING (accession) GROUP BY ALL),
@@ -216,6 +224,10 @@ ORACLE_SQL = {
         a AS (SELECT count(*) AS nz, sum(z) AS z, count(DISTINCT feature_id) AS alive FROM top)
         SELECT round(sum(sse) / sum(n), 6) AS mse, round(any_value(nz) / max(n), 6) AS l0, round(any_value(z) / (max(n) * {B.FEATURES}), 6) AS mean_abs_z, round(1 - any_value(alive) / {B.FEATURES}, 6) AS dead_share,
             round(1 - sum(sse) / sum(var * n), 6) AS r2 FROM d, a""",
+    "reconstructed": f"""{sql('dense')}, {TOPK}, part AS (SELECT accession, pos, unnest(range(1, len(w) + 1)) AS dim, unnest(w) * z AS v FROM top JOIN w USING (feature_id)),
+        hat AS (SELECT accession, pos, dim, sum(v) AS y FROM part GROUP BY ALL),
+        xs AS (SELECT accession, pos, unnest(range(1, len(x) + 1)) AS dim, unnest(x) AS x FROM res)
+        SELECT accession, pos, round(sum((x - coalesce(y, 0)) ** 2), 6) AS sse, round(sum(coalesce(y, 0) ** 2), 6) AS size FROM xs LEFT JOIN hat USING (accession, pos, dim) GROUP BY 1, 2""",
     "adjacent_cosine": f"""{sql('res')}, p AS (SELECT accession, pos, x, lead(x) OVER o AS y, lead(pos) OVER o AS next_pos FROM res WINDOW o AS (PARTITION BY accession ORDER BY pos))
         SELECT accession, pos, round(list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y))), 6) AS cosine FROM p WHERE next_pos = pos + 1""",
     "mean_pool": f"{sql('res')}, d AS (SELECT accession, unnest(range(0, len(x))) AS dim, unnest(x) AS v FROM res) SELECT accession, CAST(dim AS INT) AS dim, round(avg(v), 6) AS v FROM d GROUP BY 1, 2",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from helixframe.catalogue import reports as R
 from helixframe.catalogue import selection as S
-from helixframe.operators import attention
+from helixframe.operators import attention, autoencoder, prep
 from helixframe.plans import bindings as B
 from helixframe.plans.bindings import rounded, sql
 from helixframe.plans.staging import checkpoint_dir, table
@@ -74,6 +74,26 @@ def npz_round_trip(spark, at):
     return rounded(own.join(found.filter("name = 'labels'").select(F.col("row").alias("vec_id"), F.get("whole", F.lit(0)).alias("label")), "vec_id"))
 
 
+def saved_model(spark, at):
+    """The bound encoder as a model, saved after two epochs and loaded again."""
+    folder, rows = _folder(spark), B.weights(spark, at).orderBy("feature_id").collect()  # one model
+    w = np.array([r["w"] for r in rows])
+    model = autoencoder.Model(autoencoder.Config(latents=len(w)), 2 * w, np.arange(float(len(w))), w, np.zeros(w.shape[1]), ever=np.arange(len(w)) % 2 == 0)
+    for epoch in (0, 1):
+        autoencoder.save(spark, model, folder, epoch)
+        model.w_enc = w
+    found = autoencoder.load(spark, folder)
+    ever = spark.createDataFrame([(k, bool(e)) for k, e in enumerate(found.ever)], "feature_id long, ever boolean")
+    return rounded(autoencoder.weight_table(spark, found).join(ever, "feature_id").select("feature_id", F.get("w", F.lit(0)).alias("first"), F.element_at("w_dec", -1).alias("last"), "b", "ever"))
+
+
+def default_column(spark, at):
+    """A column that one table has and another lacks."""
+    regions = prep.with_default(table(spark, at, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("key")), "kind", "region")
+    nations = table(spark, at, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("key"), F.lit("nation").alias("kind"))
+    return regions.unionByName(prep.with_default(nations, "kind", "region"))
+
+
 def metadata_round_trip(spark, at):
     path = _folder(spark)
     values = B.proteins(spark, at).agg(F.count("*").alias("n"), F.max("length").alias("longest"), F.count_distinct("lang").alias("langs")).first().asDict()
@@ -198,7 +218,7 @@ def spread_types(spark, at):
 
 
 QUERIES = {f.__name__: f for f in (
-    tsv_round_trip, indexed_csv_round_trip, headerless_clusters, fasta_round_trip, fasta_described, npz_round_trip, metadata_round_trip, kept_once, shards_round_trip, first_found, report_lines, appended_log, paged_rows, paged_stream,
+    tsv_round_trip, indexed_csv_round_trip, headerless_clusters, fasta_round_trip, fasta_described, npz_round_trip, saved_model, default_column, metadata_round_trip, kept_once, shards_round_trip, first_found, report_lines, appended_log, paged_rows, paged_stream,
     provided_vectors, provided_attention, spread_types,
 )}
 
@@ -214,6 +234,8 @@ ORACLE_SQL = {
         SELECT accession, md5(sequence) AS md5, CAST(length(sequence) AS INT) AS length FROM s WHERE length(sequence) > 0""",
     "fasta_described": "SELECT 'P' || p_partkey AS accession, upper(regexp_replace(p_type, '[^A-Za-z]', '', 'g')) AS sequence FROM part",
     "npz_round_trip": "SELECT vec_id, '<f4' AS dtype, len(embedding) AS n, round(CAST(embedding[1] AS DOUBLE), 6) AS first, round(CAST(embedding[-1] AS DOUBLE), 6) AS last, CAST(label AS BIGINT) AS label FROM embeddings",
+    "saved_model": f"{sql('w')} SELECT feature_id, round(w[1], 6) AS first, round(w[-1], 6) AS last, CAST(feature_id AS DOUBLE) AS b, feature_id % 2 = 0 AS ever FROM w",
+    "default_column": "SELECT r_name AS name, r_regionkey AS key, 'region' AS kind FROM region UNION ALL SELECT n_name, n_nationkey, 'nation' FROM nation",
     "metadata_round_trip": f"{sql('proteins')} SELECT count(*) AS n, max(length) AS longest, count(DISTINCT lang) AS langs, 'documents' AS \"table\" FROM proteins",
     "kept_once": f"{sql('members')} SELECT accession, cluster_id FROM members",
     "shards_round_trip": f"{sql('proteins')} SELECT accession, length, true AS fits FROM proteins",

@@ -8,6 +8,7 @@ from helixframe.catalogue import alignment as Q
 from helixframe.catalogue import reports as R
 from helixframe.catalogue.prep import SPLIT, split_members
 from helixframe.functions import columns as C
+from helixframe.functions.scales import scale_table
 from helixframe.operators import alignment, attention, autoencoder, encoding, evidence, selection
 from helixframe.plans import bindings as B
 from helixframe.plans.bindings import rounded, sql
@@ -109,6 +110,41 @@ def evidence_scorecard(spark, at):
     return evidence.scorecard(rows).select("feature_id", "pass_auprc", "pass_ablation", "pass_structure", "n_passed")
 
 
+def _letters(spark, at):
+    """The letters of the bound proteins' residues: as many of each text as it has vectors."""
+    lengths = B.residue_lengths(spark, at).select("accession", "length")
+    texts = B.proteins(spark, at).select("accession", F.regexp_replace("sequence", "[^ -~]", "").alias("sequence")).join(lengths, "accession")
+    return evidence.letters(texts.select("accession", F.expr("substring(sequence, 1, length)").alias("sequence")))
+
+
+def feature_physico(spark, at):
+    """Per feature the property whose effect is largest where it is active."""
+    rows = evidence.feature_letters(encoding.encode(B.residues(spark, at), B.weights(spark, at)), _letters(spark, at), B.weights(spark, at))
+    effects = evidence.physico_contrast(rows, scale_table(spark), ["feature_id"])
+    return rounded(effects.groupBy("feature_id").agg(F.max(F.abs("cohen_d")).alias("max_abs_d")))
+
+
+def full_scorecard(spark, at):
+    """All six rules for the features of type 3."""
+    scores = rounded(Q._scores(spark, at))
+    own = scores.filter("annot_type = 3").select("feature_id", "annot_type", "auprc_mean")
+    others = evidence.convergence(scores, own.select("feature_id", "annot_type"), 5).groupBy(F.col("focal_id").alias("feature_id")).agg(F.count("*").alias("n_features"))
+    causal = R.ablation_contrast(spark, at).select("feature_id", "frac_positive")
+    shape = R.structural_alignment(spark, at).filter("annot_type = 3").select("feature_id", "cosine")
+    logit = logit_delta(spark, at).agg(F.avg((F.col("delta") > 0).cast("double")).alias("logit_frac")).select(F.lit(0).cast("long").alias("feature_id"), F.round("logit_frac", 6).alias("logit_frac"))
+    rows = own
+    for part in (others, causal, shape, feature_physico(spark, at), logit):
+        rows = rows.join(part, "feature_id", "left")
+    return evidence.scorecard(rows).select("feature_id", "pass_auprc", "pass_physico", "pass_ablation", "pass_convergence", "pass_structure", "pass_logit", "n_passed")
+
+
+def case_tracks(spark, at):
+    """Every residue of each feature's best protein."""
+    active, masks, lengths = R._evidence(spark, at)
+    cases = evidence.best_contrasts(active, masks, lengths, B.weights(spark, at))
+    return rounded(evidence.case_tracks(active, masks, _letters(spark, at), cases))
+
+
 def logit_delta(spark, at):
     """A vector as the logits of a position, its label as the token, and the first feature's part taken out."""
     rows, w = B.residues(spark, at), B.weights(spark, at).filter("feature_id = 0")
@@ -131,10 +167,17 @@ def sae_training(spark, at):
 
 QUERIES = {f.__name__: f for f in (
     mystery_score, pair_precision, robust_without_clusters, figure_types, feature_owners, robust_types, top_pairs_above, layer_rows, varied_types, described_subtypes, counts_with_length, best_with_counts,
-    carried_split, capped_key_union, largest_effects, feature_means, length_histogram, evidence_scorecard, logit_delta, sae_training,
+    carried_split, capped_key_union, largest_effects, feature_means, length_histogram, evidence_scorecard, feature_physico, full_scorecard, case_tracks, logit_delta, sae_training,
 )}
 
 _S = f"{sql('score')}, {Q.ROUNDED}"
+_FIRST = """cut AS (SELECT accession, count(*) AS n FROM res GROUP BY 1),
+    tx AS (SELECT accession, upper(substr(regexp_replace(sequence, '[^ -~]', '', 'g'), 1, CAST(n AS INT))) AS t FROM proteins JOIN cut USING (accession)),
+    first AS (SELECT accession, unnest(string_split(t, '')) AS residue, unnest(range(1, length(t) + 1)) AS pos FROM tx WHERE t <> '')"""
+_PHYSICO = f"""{sql('dense', 'proteins')}, {_FIRST}, sc(residue, property, value) AS (VALUES {R._SCALES}),
+    cells AS (SELECT feature_id, property, z > 0.1 AS inside, value FROM first JOIN dense USING (accession, pos) JOIN sc USING (residue)),
+    ms AS (SELECT feature_id, property, avg(value) FILTER (inside) AS mi, avg(value) FILTER (NOT inside) AS mo, stddev_pop(value) FILTER (inside) AS si, stddev_pop(value) FILTER (NOT inside) AS so FROM cells GROUP BY 1, 2),
+    physico AS (SELECT feature_id, round(max(abs(CASE WHEN si * si + so * so > 0 THEN (mi - mo) / sqrt((si * si + so * so) / 2) ELSE 0 END)), 6) AS max_abs_d FROM ms GROUP BY 1)"""
 _COSINE = "sum(d * w) / (sqrt(sum(d * d)) * sqrt(sum(w * w)))"
 UNROUNDED = R.ORACLE_SQL["structural_alignment"].replace(f"round({_COSINE}, 6)", _COSINE)
 TYPES = f"""{sql('score')}, named AS (SELECT CAST(annot_type % 7 AS VARCHAR) || ': ' || CAST(annot_type AS VARCHAR) AS annot_type, feature_id, round(auprc_mean, 6) AS auprc_mean FROM score WHERE tp / (tp + fp + 1e-9) >= 0.05),
@@ -173,7 +216,22 @@ ORACLE_SQL = {
             CAST(auprc_mean > 0.3 AS INT) + CAST(coalesce(frac_positive > 0.6, false) AS INT) + CAST(coalesce(cosine > 0.1, false) AS INT) AS n_passed
         FROM (SELECT feature_id, auprc_mean FROM ({Q.ORACLE_SQL['alignment_scores']}) WHERE annot_type = 3) LEFT JOIN (SELECT feature_id, frac_positive FROM ({R.ORACLE_SQL['ablation_contrast']})) USING (feature_id)
             LEFT JOIN (SELECT feature_id, cosine FROM ({R.ORACLE_SQL['structural_alignment']}) WHERE annot_type = 3) USING (feature_id)""",
+    "feature_physico": f"{_PHYSICO} SELECT feature_id, max_abs_d FROM physico",
+    "full_scorecard": f"""WITH s AS (SELECT feature_id, annot_type, auprc_mean FROM ({Q.ORACLE_SQL['alignment_scores']})),
+        n AS (SELECT a.feature_id, least(count(*), 5) AS n_features FROM s a JOIN s b ON a.annot_type = b.annot_type AND a.feature_id <> b.feature_id WHERE a.annot_type = 3 GROUP BY 1),
+        l AS (SELECT 0 AS feature_id, avg(CASE WHEN delta > 0 THEN 1.0 ELSE 0 END) AS logit_frac FROM ({{logit}})),
+        r AS (SELECT feature_id, auprc_mean > 0.3 AS pass_auprc, coalesce(max_abs_d > 0.2, false) AS pass_physico, coalesce(frac_positive > 0.6, false) AS pass_ablation, coalesce(n_features >= 3, false) AS pass_convergence,
+                coalesce(cosine > 0.1, false) AS pass_structure, coalesce(logit_frac > 0.6, false) AS pass_logit
+            FROM (SELECT * FROM s WHERE annot_type = 3) LEFT JOIN n USING (feature_id) LEFT JOIN (SELECT feature_id, frac_positive FROM ({R.ORACLE_SQL['ablation_contrast']})) USING (feature_id)
+            LEFT JOIN (SELECT feature_id, cosine FROM ({R.ORACLE_SQL['structural_alignment']}) WHERE annot_type = 3) USING (feature_id) LEFT JOIN ({_PHYSICO} SELECT feature_id, max_abs_d FROM physico) USING (feature_id) LEFT JOIN l USING (feature_id))
+        SELECT *, CAST(pass_auprc AS INT) + CAST(pass_physico AS INT) + CAST(pass_ablation AS INT) + CAST(pass_convergence AS INT) + CAST(pass_structure AS INT) + CAST(pass_logit AS INT) AS n_passed FROM r""",
+    "case_tracks": f"""{sql('dense', 'proteins')}, p AS (SELECT accession, feature_id, round(coalesce(avg(z) FILTER (annot_type = 3), 0) - coalesce(avg(z) FILTER (annot_type <> 3), 0), 6) AS contrast, count(*) FILTER (annot_type = 3) AS n
+            FROM dense GROUP BY ALL HAVING n > 0),
+        best AS (SELECT feature_id, accession FROM p QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY contrast DESC, accession) = 1), {_FIRST}
+        SELECT feature_id, accession, pos, residue, round(z, 6) AS z, round(z / greatest(max(z) OVER (PARTITION BY feature_id, accession), 1e-8), 6) AS shade, CAST(annot_type = 3 AS INT) AS annotated, residue IN ('C', 'H') AS bold
+        FROM best JOIN first USING (accession) JOIN dense USING (feature_id, accession, pos)""",
     "logit_delta": f"""{sql('dense')}, l AS (SELECT d.accession, d.pos, d.annot_type AS token, r.x AS a, list_transform(list_zip(r.x, w.w), lambda p: p[1] - d.z * p[2]) AS b
             FROM dense d JOIN res r ON r.accession = d.accession AND r.pos = d.pos JOIN w ON w.feature_id = d.feature_id WHERE d.feature_id = 0)
         SELECT accession, pos, round((a[token + 1] - ln(list_sum(list_transform(a, lambda v: exp(v))))) - (b[token + 1] - ln(list_sum(list_transform(b, lambda v: exp(v))))), 6) AS delta FROM l""",
 }
+ORACLE_SQL["full_scorecard"] = ORACLE_SQL["full_scorecard"].format(logit=ORACLE_SQL["logit_delta"])

@@ -8,6 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _activations(x: np.ndarray, w: np.ndarray, b, topk: int | None, digits: int) -> np.ndarray:
+    z = np.maximum(np.round(x @ w.T + b, digits), 0.0)
+    if topk is not None and topk < z.shape[1]:
+        order = np.argsort(-z, axis=1, kind="stable")
+        np.put_along_axis(z, order[:, topk:], 0.0, 1)
+    return z
+
+
 def encode(residues: DataFrame, weights: DataFrame, topk: int | None = None, bias: bool = False, mean: list | None = None, sd: list | None = None, digits: int = 9) -> DataFrame:
     """accession, pos, feature_id, z: the activations above 0 of every residue.
 
@@ -31,10 +39,7 @@ def encode(residues: DataFrame, weights: DataFrame, topk: int | None = None, bia
             x = np.array(batch.column(2).to_pylist(), float)
             if mean is not None:
                 x = (x - np.array(mean)) / np.maximum(np.array(sd), 1e-6)
-            z = np.maximum(np.round(x @ w.T + b, digits), 0.0)
-            if topk is not None and topk < z.shape[1]:
-                order = np.argsort(-z, axis=1, kind="stable")
-                np.put_along_axis(z, order[:, topk:], 0.0, 1)
+            z = _activations(x, w, b, topk, digits)
             row, feature = np.nonzero(z)
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(ids[feature], pa.int64()), pa.array(z[row, feature])], ["accession", "pos", "feature_id", "z"])
@@ -60,23 +65,60 @@ def top_features(stats: DataFrame, criterion: str, k: int) -> DataFrame:
     return stats.orderBy(F.desc(criterion), "feature_id").limit(k)
 
 
-def reconstruction(residues: DataFrame, active: DataFrame, decoder: DataFrame) -> DataFrame:
-    """accession, pos, x, xhat: each residue and its decoding, the sum of z times the decoder's rows."""
-    parts = active.join(F.broadcast(decoder.select("feature_id", F.posexplode("w").alias("dim", "w"))), "feature_id")  # one model's decoder
-    dims = parts.groupBy("accession", "pos", "dim").agg(F.sum(F.col("z") * F.col("w")).alias("v"))
-    whole = dims.groupBy("accession", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda d: d["v"]).alias("xhat"))
-    zeros = F.transform("x", lambda v: F.lit(0.0))
-    return residues.select("accession", "pos", "x").join(whole, ["accession", "pos"], "left").withColumn("xhat", F.coalesce("xhat", zeros))
+def _model(weights: DataFrame, decoder: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Encoder and decoder rows in order of the feature: one model, of a size that it fixes."""
+    rows = weights.select("feature_id", F.col("w").alias("enc")).join(decoder.select("feature_id", F.col("w").alias("dec")), "feature_id").orderBy("feature_id").collect()
+    return np.array([r["enc"] for r in rows], float), np.array([r["dec"] for r in rows], float)
+
+
+def reconstruction(residues: DataFrame, weights: DataFrame, decoder: DataFrame, topk: int | None = None, digits: int = 9) -> DataFrame:
+    """accession, pos, x, xhat: each residue and its decoding, multiplied where the activations are made."""
+    shared = residues.sparkSession.sparkContext.broadcast(_model(weights, decoder))
+
+    def run(batches):
+        enc, dec = shared.value
+        for batch in batches:
+            if len(batch):
+                x = np.array(batch.column(2).to_pylist(), float)
+                hat = _activations(x, enc, 0.0, topk, digits) @ dec
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hat.tolist(), pa.list_(pa.float64()))], ["accession", "pos", "x", "xhat"])
+
+    given = residues.select("accession", "pos", F.col("x").cast("array<double>").alias("x"))
+    kind = {f.name: f.dataType.simpleString() for f in given.schema}
+    return given.mapInArrow(run, f"accession {kind['accession']}, pos {kind['pos']}, x array<double>, xhat array<double>")
+
 
+def reconstruction_metrics(residues: DataFrame, weights: DataFrame, decoder: DataFrame, topk: int | None = None, digits: int = 9) -> DataFrame:
+    """One row: mse, l0, mean_abs_z, dead_share, r2; null for no rows.
 
-def reconstruction_metrics(decoded: DataFrame, active: DataFrame, n_features: int) -> DataFrame:
-    """One row: mse, l0, mean_abs_z, dead_share, r2."""
-    pairs = decoded.select(F.posexplode(F.arrays_zip("x", "xhat")).alias("dim", "p")).select("dim", F.col("p.x").cast("double").alias("x"), F.col("p.xhat").alias("y"))
-    per_dim = pairs.groupBy("dim").agg(F.sum((F.col("x") - F.col("y")) ** 2).alias("sse"), F.var_pop("x").alias("var"), F.count("*").alias("n"))
-    errors = per_dim.agg((F.sum("sse") / F.sum("n")).alias("mse"), (1 - F.sum("sse") / F.sum(F.col("var") * F.col("n"))).alias("r2"), F.max("n").alias("rows"))
-    acts = active.agg(F.count("*").alias("nz"), F.coalesce(F.sum("z"), F.lit(0.0)).alias("z"), F.count_distinct("feature_id").alias("alive"))
-    return errors.join(acts).select(
-        "mse", (F.col("nz") / F.col("rows")).alias("l0"), (F.col("z") / (F.col("rows") * n_features)).alias("mean_abs_z"), (1 - F.col("alive") / n_features).alias("dead_share"), "r2"
+    A task sends one row for each dimension (squared errors, sums, squares) and one
+    for each latent (activations and their sum), whatever the number of its rows.
+    """
+    enc, dec = _model(weights, decoder)
+    shared = residues.sparkSession.sparkContext.broadcast((enc, dec))
+
+    def run(batches):
+        enc, dec = shared.value
+        dims, latents, n = np.zeros((dec.shape[1], 3)), np.zeros((len(enc), 2)), 0
+        for batch in batches:
+            if len(batch):
+                x = np.array(batch.column(0).to_pylist(), float)
+                z = _activations(x, enc, 0.0, topk, digits)
+                dims += np.stack([((x - z @ dec) ** 2).sum(0), x.sum(0), (x * x).sum(0)], 1)
+                latents += np.stack([(z > 0).sum(0), z.sum(0)], 1)
+                n += len(x)
+        if n:
+            both = np.concatenate([dims, np.pad(latents, ((0, 0), (0, 1)))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(both)) - len(dims), pa.int32()), *[pa.array(c) for c in both.T.copy()], pa.array([n] * len(both), pa.int64())], ["at", "u", "v", "w", "n"])
+
+    parts = residues.select(F.col("x").cast("array<double>").alias("x")).mapInArrow(run, "at int, u double, v double, w double, n long")
+    sums = parts.groupBy("at").agg(*[F.sum(c).alias(c) for c in "uvwn"])  # a row for each dimension and latent
+    dim = F.col("at") < 0
+    spread_ = F.col("w") - F.col("v") * F.col("v") / F.col("n")
+    return sums.agg(
+        (F.sum(F.when(dim, F.col("u"))) / F.sum(F.when(dim, F.col("n")))).alias("mse"), (F.sum(F.when(~dim, F.col("u"))) / F.max("n")).alias("l0"),
+        (F.sum(F.when(~dim, F.col("v"))) / (F.max("n") * len(enc))).alias("mean_abs_z"), (1 - F.count_if(~dim & (F.col("u") > 0)) / len(enc)).alias("dead_share"),
+        (1 - F.sum(F.when(dim, F.col("u"))) / F.nullif(F.sum(F.when(dim, spread_)), F.lit(0.0))).alias("r2"),
     )
 
 

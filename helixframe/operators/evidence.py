@@ -22,12 +22,13 @@ def letters(sequences: DataFrame, key: str = "accession", sequence: str = "seque
 def physico_contrast(residues: DataFrame, scales: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Per property the means inside and outside of a mask and Cohen's d.
 
-    ``residues`` has residue and inside (0 or 1); ``scales`` is a small table.
+    ``residues`` has residue and inside (0 or 1), and n where rows were counted
+    before; ``scales`` is a small table.
     Residues without a value count in n_in and n_out but in no mean.
     """
     properties = scales.select("property").distinct()
     # Counted first: a few dozen rows are left, whatever the number of residues.
-    counts = residues.groupBy(*(by or []), "residue", "inside").agg(F.count("*").alias("n"))
+    counts = residues.groupBy(*(by or []), "residue", "inside").agg((F.sum("n") if "n" in residues.columns else F.count("*")).alias("n"))
     joined = counts.join(F.broadcast(properties)).join(F.broadcast(scales), ["residue", "property"], "left")
 
     def moments(side: int, name: str) -> list[Column]:
@@ -42,6 +43,26 @@ def physico_contrast(residues: DataFrame, scales: DataFrame, by: list[str] | Non
     return grouped.withColumns({"contrast": F.col("mean_in") - F.col("mean_out"), "cohen_d": d}).drop("sd_in", "sd_out")
 
 
+def feature_letters(active: DataFrame, letters_: DataFrame, features: DataFrame, threshold: float = 0.1) -> DataFrame:
+    """feature_id, residue, inside, n: how often each letter stands where a feature is over the threshold, and elsewhere.
+
+    Elsewhere is all less inside, so no position is repeated for the features that are silent there.
+    """
+    on = active.filter(F.col("z") > threshold).join(letters_, ["accession", "pos"]).groupBy("feature_id", "residue").agg(F.count("*").alias("on"))
+    whole = letters_.groupBy("residue").agg(F.count("*").alias("all"))  # an alphabet
+    grid = features.select("feature_id").join(F.broadcast(whole)).join(on, ["feature_id", "residue"], "left").withColumn("on", F.coalesce("on", F.lit(0)))
+    sides = F.explode(F.array(F.struct(F.lit(1).alias("inside"), F.col("on").alias("n")), F.struct(F.lit(0).alias("inside"), (F.col("all") - F.col("on")).alias("n"))))
+    return grid.select("feature_id", "residue", sides.alias("s")).select("feature_id", "residue", "s.inside", "s.n").filter("n > 0")
+
+
+def case_tracks(active: DataFrame, annotations: DataFrame, letters_: DataFrame, cases: DataFrame) -> DataFrame:
+    """Every position of the proteins of ``cases`` (feature_id, accession): pos, residue, z, z of the protein's largest, annotated (0 or 1), bold (C and H)."""
+    rows = cases.select("feature_id", "accession").join(letters_, "accession").join(active, ["feature_id", "accession", "pos"], "left").withColumn("z", F.coalesce("z", F.lit(0.0)))
+    top = rows.groupBy("feature_id", "accession").agg(F.greatest(F.max("z"), F.lit(1e-8)).alias("top"))
+    seen = covering(rows.join(top, ["feature_id", "accession"]), annotations.select("accession", "a", "b"), ["accession"], "left")
+    return seen.select("feature_id", "accession", "pos", "residue", "z", (F.col("z") / F.col("top")).alias("shade"), F.col("a").isNotNull().cast("int").alias("annotated"), F.col("residue").isin("C", "H").alias("bold"))
+
+
 def marked(active: DataFrame, intervals: DataFrame) -> DataFrame:
     """``active`` with inside, whether one of the accession's intervals (a, b; apart from each other) covers the position."""
     inside = covering(active, intervals, ["accession"], "left")
