@@ -11,7 +11,8 @@ Defined results: a null text is empty; a null role is the empty role, and roles
 that the template doesn't name get a marker with their name; turns of equal
 number follow by role and text, null numbers first; rows of a null conversation
 id are one conversation; an empty table gives no rows.  A conversation is one
-output row, so it has to fit a task.  Other columns are ignored.
+output row, so it has to fit a task, with texts of any
+length; equal rows are turns of their own.  Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ then take the planned slots by a join on (length, rank within the length).
 
 Defined results: a null or empty text is a document of the closing id alone;
 equal rows are separate documents; a null id is carried through; an empty table
-gives no rows.  Columns other than the id and the text are ignored.
+gives no rows; a text of any length is encoded whole, by its chunks, and cut into
+pieces; of pieces of equal length any may take either slot, those of equal id, number
+and CRC in any order.  Columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
