@@ -19,7 +19,7 @@ infinite components links with nothing, and vectors of different lengths don't
 link; rows of a null id link with nothing and are kept; rows of one id and
 vector count each other as links; other columns are ignored; an empty table
 gives no rows; long vectors are compared whole; of equally near hashes the first is
-probed, which changes no link that is found.
+probed.
 """
 
 from __future__ import annotations
