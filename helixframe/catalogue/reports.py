@@ -131,7 +131,7 @@ def prefix_owners(spark, at):
 
 
 def _lettered(spark, at):
-    letters = evidence.letters(_plain(spark, at)).join(spark.createDataFrame([(r,) for r in RESIDUES + "X"], "residue string"), "residue", "left_semi")
+    letters = evidence.letters(_plain(spark, at)).filter(F.col("residue").isin(*RESIDUES, "X"))
     return letters.withColumn("inside", (F.col("pos") % 5 == 0).cast("int"))
 
 
@@ -258,11 +258,17 @@ def stream_running_stats(spark, at):
     return running.replayed(table(spark, at, "events"))
 
 
+def stream_windows(spark, at):
+    """The days that a stream of the events has closed: those that end an hour before the last event."""
+    days = running.replayed_windows(table(spark, at, "events"))
+    return rounded(days.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "mean", "max"))
+
+
 QUERIES = {f.__name__: f for f in (
     split_summary_pct, length_stats, length_describe, value_counts, leakage_report, subset_checks, type_by_split_pivot, pivot_row_norm, split_deviation, top_types, top_subtypes_per_type,
     mean_features_per_protein, density_per_100, relative_position_hist, position_ridge, smoothed_tracks, contour_segments, cooccurrence, log_bins_2d, median_trend, char_frequency, prefix_owners, physico_contrast, ablation_contrast, cohen_d, precision_recall,
     self_ablation, triage_quadrants, structural_alignment, convergence_topn, regime_quantile_filter, regime_balanced, regime_gmm, positional_profile, resample_bins, minmax_norm, quantile_gate, moving_average,
-    attention_reduce, harmonic_convergence, layer_quantiles, pearson_r2, stream_running_stats,
+    attention_reduce, harmonic_convergence, layer_quantiles, pearson_r2, stream_running_stats, stream_windows,
 )}
 
 SPLIT_MEMBERS = f"{SPLIT}, sm AS (SELECT accession, cluster_id, split FROM members JOIN split USING (cluster_id))"
@@ -394,6 +400,8 @@ ORACLE_SQL = {
     "harmonic_convergence": f"{CONVERGED} SELECT * FROM cv",
     "layer_quantiles": f"""{sql('res')}, {ATTENTION} SELECT attn_agg, round(quantile_cont(auprc_mean, 0.25), 6) AS q25, round(quantile_cont(auprc_mean, 0.5), 6) AS median, round(quantile_cont(auprc_mean, 0.75), 6) AS q75 FROM ascore GROUP BY 1""",
     "pearson_r2": f"{CONVERGED} SELECT round(corr(sae_auprc, attn_auprc) ** 2, 6) AS r2, count(*) FILTER (sae_auprc > attn_auprc) AS sae_wins FROM cv",
+    "stream_windows": """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS max FROM events
+        WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2""",
     "stream_running_stats": """SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(greatest(avg(value * value) - avg(value) * avg(value), 0), 6) AS variance, round(max(value), 6) AS max,
         round(avg(CASE WHEN value > 0 THEN 1.0 ELSE 0 END), 6) AS nonzero FROM events GROUP BY 1""",
 }
