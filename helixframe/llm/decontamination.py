@@ -2,9 +2,9 @@
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII,
 with A-Z lower-cased.  An item's windows are its runs of ``width`` words; an
-item of fewer words is one window.  Windows are broadcast in blocks of at most
-``max_windows``; a larger benchmark is scanned block after block, with the same
-result.  A hash finds candidates; the words themselves confirm them.
+item of fewer words is one window.  Windows are broadcast as arrays, in blocks of
+about ``max_windows`` and ``max_bytes``; a larger benchmark is scanned block after
+block, with the same result.  A hash finds candidates; the words themselves confirm them.
 
 Defined results: a null or empty text has no words and is clean; equal rows get
 equal results; an empty benchmark leaves all clean, and an empty table gives no rows; null
@@ -15,18 +15,19 @@ scanned whole.  Other columns pass through untouched.
 from __future__ import annotations
 
 import re
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixframe.plans.staging import spread, staged
 
-#: Windows in one broadcast block.
-MAX_WINDOWS = 2_000_000
+#: Windows in one broadcast block, and bytes of these and their item ids.
+MAX_WINDOWS, MAX_BYTES = 2_000_000, 200_000_000
 #: Words that are looked at together.
 AT_ONCE = 400_000
 
@@ -56,29 +57,47 @@ def item_windows(benchmark: DataFrame, width: int = 10, id_col: str = "item_id",
 
 
 class Index:
-    """Windows by length, as rows of word numbers sorted by hash."""
-
-    def __init__(self, rows: list[tuple[str, bytes]]) -> None:
-        items: dict[bytes, list[str]] = {}
-        for item, window in rows:
-            items.setdefault(window, []).append(item)
-        split = {w: w.split() for w in items}
-        self.numbers = {w: i for i, w in enumerate(sorted({x for s in split.values() for x in s}), 1)}
-        width = max(map(len, split.values()), default=0)
-        own = {n: [w for w in items if len(split[w]) == n] for n in sorted({len(s) for s in split.values()})}
-        coded = {n: np.array([[self.numbers[x] for x in split[w]] for w in ws], np.uint64) for n, ws in own.items()}
-        seed, hashes = 7, None
-        while hashes is None or any(len(np.unique(h)) < len(h) for h in hashes.values()):  # until no two windows share a hash
-            self.factors = np.random.default_rng(seed).integers(0, 2**63, width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-            hashes = {n: (c * self.factors[:n]).sum(1, dtype=np.uint64) for n, c in coded.items()}
+    """Windows by length, as rows of word numbers sorted by hash, each with the items that have it.
+
+    All but the vocabulary is in arrays: a window takes 4 bytes a word and 20 more.
+    """
+
+    def __init__(self, given: pa.Table) -> None:
+        names = given["item"].combine_chunks().dictionary_encode()
+        self.items, item_at = names.dictionary.to_pylist(), names.indices.to_numpy()
+        self.numbers: dict[bytes, int] = {}
+        number = lambda word: self.numbers.setdefault(word, len(self.numbers) + 1)
+        sizes, coded = np.zeros(len(given), np.int64), []
+        for begin in range(0, len(given), 10_000):
+            split = [window.split(b" ") for window in given["window"].slice(begin, 10_000).to_pylist()]
+            sizes[begin : begin + len(split)] = list(map(len, split))
+            coded.append(np.fromiter(map(number, chain.from_iterable(split)), np.uint32))
+        coded, first = np.concatenate(coded) if coded else np.zeros(0, np.uint32), np.cumsum(sizes) - sizes
+        rows = {int(n): np.flatnonzero(sizes == n) for n in np.unique(sizes)}
+        seed, self.tables = 7, None
+        while self.tables is None:  # until no two windows share a hash
+            self.factors = np.random.default_rng(seed).integers(0, 2**63, int(sizes.max(initial=0)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            tables = {n: self._table(coded[first[at][:, None] + np.arange(n)], item_at[at]) for n, at in rows.items()}
+            self.tables = None if None in tables.values() else tables
             seed += 1
-        order = {n: np.argsort(h) for n, h in hashes.items()}
-        self.tables = {n: (hashes[n][at], coded[n][at], [items[own[n][k]] for k in at]) for n, at in order.items()}
+
+    def _table(self, coded: np.ndarray, items: np.ndarray):
+        """(hashes, windows, where the items of each window start, items), or None if two windows share a hash."""
+        value = np.zeros(len(coded), np.uint64)
+        for j in range(coded.shape[1]):
+            value += coded[:, j] * self.factors[j]
+        order = np.argsort(value, kind="stable")
+        value, coded, items = value[order], coded[order], items[order]
+        again = value[1:] == value[:-1]
+        if (coded[1:][again] != coded[:-1][again]).any():
+            return None
+        own = np.flatnonzero(np.concatenate([[True], ~again]))
+        return value[own], coded[own], np.append(own, len(items)), items
 
     def hits(self, coded: np.ndarray):
         """(position, length, items) of all windows in a row of word numbers; 0 stands for a word of no window."""
         gaps = np.concatenate([[0], np.cumsum(coded == 0)])
-        for n, (hashes, windows, items) in self.tables.items():
+        for n, (hashes, windows, starts, items) in self.tables.items():
             at = np.flatnonzero(gaps[n:] == gaps[: len(gaps) - n]) if len(coded) >= n else []
             if not len(at):
                 continue
@@ -89,7 +108,7 @@ class Index:
             same = np.flatnonzero(hashes[row] == value)
             same = same[(coded[at[same][:, None] + np.arange(n)] == windows[row[same]]).all(1)]
             for p, r in zip(at[same].tolist(), row[same].tolist(), strict=True):
-                yield p, n, items[r]
+                yield p, n, [self.items[k] for k in items[starts[r] : starts[r + 1]]]
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -102,7 +121,16 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _scan(batches, shared, text_at: int, names: list[str], first: bool):
+def _cut(text: str, spans: list) -> str:
+    """``text`` without the words from begin to end of each span, counted as ``words`` does."""
+    at, parts, last = [m.span() for m in _WORD.finditer(text)], [], 0
+    for begin, end in spans:
+        parts.append(text[last : at[begin][0]])
+        last = at[end - 1][1]
+    return "".join([*parts, text[last:]])
+
+
+def _scan(batches, shared, text_at: int, names: list[str], first: bool, cut: bool):
     index = shared.value
     number = index.numbers.get
     for batch in batches:
@@ -134,21 +162,32 @@ def _scan(batches, shared, text_at: int, names: list[str], first: bool):
                 spans[i] += [tuple(s.values()) for s in old]
                 items[i].update(seen)
         pairs = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-        spans = [[{"begin": a, "end": b} for a, b in _merged(s)] if s else [] for s in spans]
+        spans = [_merged(s) if s else [] for s in spans]
+        columns = [batch.column(k) for k in range(len(names))]
+        if cut and any(spans):
+            text = columns[text_at]
+            left = pa.array([_cut(text[i].as_py(), s) for i, s in enumerate(spans) if s], text.type)
+            columns[text_at] = pc.replace_with_mask(text, pa.array([bool(s) for s in spans]), left)
+        spans = [[{"begin": a, "end": b} for a, b in s] for s in spans]
         out = [pa.array(n_words, pa.int64()), pa.array(spans, pairs), pa.array([sorted(s) for s in items], pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(names))] + out, [*names, "n_words", "hit_spans", "hit_items"])
+        yield pa.RecordBatch.from_arrays(columns + out, [*names, "n_words", "hit_spans", "hit_items"])
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
+def scan(
+    docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
+    max_windows: int = MAX_WINDOWS, max_bytes: int = MAX_BYTES, cut: bool = False,
+) -> DataFrame:
     """``docs`` with n_words, hit_spans (merged runs of hit words), hit_items (ids as text, sorted).
 
-    Columns of these names in ``docs`` are replaced.
+    Columns of these names in ``docs`` are replaced.  With ``cut`` the text is
+    without the hit spans, which are counted in the words of the whole text.
     """
     spark = docs.sparkSession
     given = docs.drop("n_words", "hit_spans", "hit_items")
     names = given.columns
-    windows = item_windows(benchmark, width, item_id, item_text)
-    blocks = max(1, -(-windows.count() // max_windows))
+    windows = staged(item_windows(benchmark, width, item_id, item_text))
+    n, size = windows.agg(F.count("*"), F.sum(F.octet_length("item") + F.octet_length("window"))).first()
+    blocks = max(1, -(-n // max_windows), -(-(size or 0) // max_bytes))
     spans = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType([*given.schema, T.StructField("n_words", T.LongType()), T.StructField("hit_spans", spans), T.StructField("hit_items", T.ArrayType(T.StringType()))])
     out = spread(given)
@@ -156,8 +195,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str =
         if k:
             out = staged(out)  # so that a task holds one block
         own = windows.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k) if blocks > 1 else windows
-        shared = spark.sparkContext.broadcast(Index([(r["item"], bytes(r["window"])) for r in own.toLocalIterator()]))  # about max_windows rows
-        out = out.mapInArrow(lambda b, s=shared, first=not k: _scan(b, s, names.index(text_col), names, first), schema)
+        shared = spark.sparkContext.broadcast(Index(own.toArrow()))  # a block
+        last = cut and k == blocks - 1
+        out = out.mapInArrow(lambda b, s=shared, first=not k, last=last: _scan(b, s, names.index(text_col), names, first, last), schema)
     return out
 
 
@@ -165,23 +205,10 @@ def n_hit() -> Column:
     return F.aggregate("hit_spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["begin"])
 
 
-def _cut(text: str, spans: list) -> str:
-    """``text`` without the words from begin to end of each span, counted as ``words`` does; for the few texts that have hits."""
-    if not spans:
-        return text
-    at, parts, last = [m.span() for m in _WORD.finditer(text)], [], 0
-    for begin, end in spans:
-        parts.append(text[last : at[begin][0]])
-        last = at[end - 1][1]
-    return "".join([*parts, text[last:]])
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", text_col: str = "text", **how) -> DataFrame:
     """``docs`` without contaminated documents, or with the hit spans cut out (``remove="spans"``)."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
-    found = scan(rows, benchmark, **how)
-    clean = F.size("hit_spans") == 0
+    found = scan(rows, benchmark, cut=remove == "spans", **how)
     if remove == "documents":
-        return found.filter(clean).select("row.*")
-    cut = F.when(clean, F.col("text")).otherwise(F.udf(_cut, T.StringType(), useArrow=True)("text", "hit_spans"))
-    return found.select(*[(cut if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])
+        return found.filter(F.size("hit_spans") == 0).select("row.*")
+    return found.select(*[(F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -1,6 +1,9 @@
 import hashlib
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from helixframe.llm import decontamination
 from helixframe.llm.queries import op10_decontamination
 
@@ -54,8 +57,8 @@ def test_edges_and_blocks(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     key = lambda r: (r[0] is None, r[0] or 0)
     expected = sorted(brute([d[:2] for d in DOCS], [i for i in ITEMS if i[0] is not None]), key=key)
-    for most in (1000, 2):
-        found = decontamination.scan(docs, items, max_windows=most)
+    for most in ({"max_windows": 1000}, {"max_windows": 2}, {"max_bytes": 30}):
+        found = decontamination.scan(docs, items, **most)
         rows = found.withColumn("n_hit", decontamination.n_hit()).collect()
         assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], len(r["hit_items"])) for r in rows), key=key) == [e[:4] for e in expected]
     assert decontamination.scan(docs, items.limit(0)).filter("size(hit_spans) > 0").count() == 0
@@ -72,3 +75,23 @@ def test_removal(spark):
     assert cut[3]["text"] == "" and cut[3]["n_words"] == 5
     assert cut[4]["text"] == "zero  four"
     assert cut[6]["text"] == "x " * 50000
+
+
+def test_spans_are_cut_after_the_last_block(spark):
+    """Spans that several blocks find in a text, of all documents, against the words cut one by one."""
+    docs = spark.createDataFrame([(1, "a b, c d e f; g h"), (2, None), (3, "x"), (4, "G-H a")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "b c"), (2, "c d"), (3, "g h")], "item_id long, text string")
+    for most in ({}, {"max_windows": 1}, {"max_bytes": 4}):
+        left = {r["doc_id"]: r["text"] for r in decontamination.decontaminate(docs, items, remove="spans", width=2, **most).collect()}
+        assert left == {1: "a  e f; ", 2: None, 3: "x", 4: " a"}
+
+
+def test_index_of_windows_with_several_items():
+    """Each window once, with all items that have it, whatever the order of the rows."""
+    rows = [("b", b"x y"), ("a", b"x y"), ("a", b"y x"), ("c", b"z"), ("c", b"x y")]
+    index = decontamination.Index(pa.table({"item": [r[0] for r in rows], "window": pa.array([r[1] for r in rows], pa.binary())}))
+    text = [index.numbers.get(w, 0) for w in b"z x y x q y x".split()]
+    hits = sorted((p, n, sorted(found)) for p, n, found in index.hits(np.array(text, np.uint64)))
+    assert hits == [(0, 1, ["c"]), (1, 2, ["a", "b", "c"]), (2, 2, ["a"]), (5, 2, ["a"])]
+    none = decontamination.Index(pa.table({"item": pa.array([], pa.string()), "window": pa.array([], pa.binary())}))
+    assert list(none.hits(np.array([0, 0], np.uint64))) == []
