@@ -131,7 +131,7 @@ def judge(pages: DataFrame, rules: DataFrame, lists: list[tuple[str, str, str]],
     url = F.col(url_col).cast("string")
     given = pages.select(F.col(id_col).alias("page_id"), host(url).alias("host"), path(url).alias("path"), tokens(url).alias("tokens"))
     rule, verdict = listed(F.col("host"), F.col("path"), lists)
-    rows = given.withColumns({"rule": rule, "verdict": verdict, "key": F.xxhash64("tokens")})
+    rows = given.withColumns({"rule": rule, "verdict": verdict, "key": F.struct(F.xxhash64("tokens"), F.xxhash64(F.lit(1), "tokens"))})
     open_ = rows.filter("verdict is null and size(tokens) > 0").groupBy("key").agg(F.first("tokens").alias("tokens"))
     blocked = broadcast_if_small(staged(matched(open_, rules)))
     joined = rows.join(blocked, "key", "left")
