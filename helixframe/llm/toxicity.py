@@ -16,8 +16,8 @@ model, whose size the sample bounds: a term takes several of its rows.
 Copies of a text among the fitting rows are one row of all their weight.
 
 Defined results: a null or empty text has no terms and gets the score of the
-constant; rows with null labels or ids are not learned from; of rows equal in id,
-each is learned from with each of the id's labels; with no labelled rows of one
+constant; rows with null labels or ids are not learned from, and repeated labels count
+once; of rows equal in id, each is learned from with each of the id's labels; with no labelled rows of one
 class, as in empty tables, every score is the share of the other (0 without any);
 a text is read whole, whatever its length; columns besides id, text and label are
 carried through, but for one named like the score, which is replaced.
@@ -239,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     ``labels`` holds the rows to learn from, no others.
     """
     spark = docs.sparkSession
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("toxic")).dropna().filter("toxic in (0, 1)")
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("toxic")).dropna().filter("toxic in (0, 1)").distinct()
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     of_class = {c: min(1.0, max_rows / max(n.get(c, 0), 1)) for c in (0.0, 1.0)}
     part = F.when(F.col("toxic") == 1, of_class[1.0]).otherwise(of_class[0.0])
