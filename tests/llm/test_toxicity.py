@@ -148,13 +148,3 @@ def test_edges(spark):
     odd = spark.createDataFrame([(None, 1), (1, None), (2, 1)], "doc_id long, toxic int")
     assert all(r["score"] > 0.99 for r in toxicity.score(docs, toxicity.fit(docs, odd)).collect())
     assert toxicity.score(docs.limit(0), toxicity.fit(docs, none)).count() == 0
-
-
-def test_repeated_labels_count_once(spark):
-    """A label that a third of all rows repeat weighs no more than one."""
-    rows = [(i, ("you fool " if i % 4 == 0 else "good day ") + f"w{i}") for i in range(200)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = [(i, int(i % 4 == 0)) for i, _ in rows]
-    once, often = (toxicity.fit(docs, spark.createDataFrame(own, "doc_id long, toxic int")) for own in (labels, labels + [(4, 1)] * 100))
-    key = lambda m: sorted((r["term"], round(r["weight"], 9)) for r in m.collect())
-    assert key(once) == key(often)
