@@ -35,7 +35,7 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     kind = pages.schema["page_id"].dataType
-    found = warc.read(spark, warc.write(pages)).withColumn("page", F.col("page").cast(kind))
+    found = staged(warc.read(spark, warc.write(pages)).withColumn("page", F.col("page").cast(kind)))
     return warc.resolved(found).select(F.col("page").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 

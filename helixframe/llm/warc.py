@@ -2,13 +2,15 @@
 
 Headers alone, a digest and an id, are shuffled by payload digest to find equal
 payloads; of each group of at least ``least`` bytes the record of the largest id
-is the response, and the others become revisit records that refer to it.
+is the response, and the others become revisit records that refer to its id, url
+and date.
 Archives are gzipped text files whose records carry fresh headers.  They are
 read record by record, by Content-Length.
 
 Defined results: a null html is an empty payload; a null url has no target
 header, and white space or control characters in a url are percent-encoded; rows
-of a null id are responses; equal rows of the largest id are all responses; an
+of a null id are responses; equal rows of the largest id are all responses, and
+revisits name the last of their urls; an
 empty table gives archives without records; a long page is written and read whole.
 Other columns are ignored.
 """
@@ -46,13 +48,14 @@ def _record_id(page: Column, digest: Column) -> Column:
 
 
 def with_revisits(pages: DataFrame, least: int = LEAST, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, payload, n_bytes, digest, refers_to (the id of the response for revisits)."""
+    """page_id, url, payload, n_bytes, digest, refers_to and refers_to_url (id and url of the response for revisits)."""
     payload = F.coalesce(F.col(html_col), F.lit(""))
     given = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = given.withColumns({"n_bytes": F.octet_length("payload").cast("long"), "digest": F.sha1(F.col("payload").cast("binary"))})
-    headers = rows.filter((F.col("n_bytes") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest")
-    first = headers.groupBy("digest").agg(F.max("page_id").alias("original"), F.min("page_id").alias("other")).filter("original != other").drop("other")
-    revisits = headers.join(first, "digest").filter("page_id != original").distinct().withColumnsRenamed({"page_id": "rid", "digest": "rdigest", "original": "refers_to"})
+    headers = rows.filter((F.col("n_bytes") >= least) & F.col("page_id").isNotNull()).select("page_id", "url", "digest")
+    first = headers.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("original"), F.min("page_id").alias("other")).filter("original.page_id != other")
+    found = headers.select("page_id", "digest").join(first, "digest").filter("page_id != original.page_id")
+    revisits = found.select(F.col("page_id").alias("rid"), F.col("digest").alias("rdigest"), F.col("original.page_id").alias("refers_to"), F.col("original.url").alias("refers_to_url")).distinct()
     return rows.join(revisits, (F.col("page_id") == F.col("rid")) & (F.col("digest") == F.col("rdigest")), "left").drop("rid", "rdigest")
 
 
@@ -60,12 +63,16 @@ def _header(name: str, value: Column) -> Column:
     return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise("")
 
 
+def _coded(url: Column) -> Column:
+    """``url`` with white space and control characters percent-encoded."""
+    coded = reduce(lambda text, c: F.replace(text, F.lit(chr(c)), F.lit(f"%{c:02X}")), [*range(33), 127], url)
+    return F.when(url.rlike(r"[\x00-\x20\x7F]"), coded).otherwise(url)
+
+
 def records(rows: DataFrame, date: str | None = None) -> DataFrame:
     """``value``, the text of one WARC record, of now unless dated, for each row of ``with_revisits``, without the end mark."""
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     revisit = F.col("refers_to").isNotNull()
-    coded = reduce(lambda url, c: F.replace(url, F.lit(chr(c)), F.lit(f"%{c:02X}")), [*range(33), 127], F.col("url"))
-    url = F.when(F.col("url").rlike(r"[\x00-\x20\x7F]"), coded).otherwise(F.col("url"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n_bytes").cast("string"), F.lit(END))
     block = F.concat(http, F.when(revisit, "").otherwise(F.col("payload")))
     head = F.concat(
@@ -73,10 +80,12 @@ def records(rows: DataFrame, date: str | None = None) -> DataFrame:
         _header("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         _header("WARC-Record-ID", _record_id(F.col("page_id"), F.col("digest"))),
         _header("WARC-Date", F.lit(date)),
-        _header("WARC-Target-URI", url),
+        _header("WARC-Target-URI", _coded(F.col("url"))),
         _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         _header("WARC-Profile", F.when(revisit, PROFILE)),
         _header("WARC-Refers-To", F.when(revisit, _record_id(F.col("refers_to"), F.col("digest")))),
+        _header("WARC-Refers-To-Target-URI", F.when(revisit, _coded(F.col("refers_to_url")))),
+        _header("WARC-Refers-To-Date", F.when(revisit, F.lit(date))),
         _header("X-Page-ID", F.col("page_id").cast("string")),
         _header("Content-Type", F.lit("application/http; msgtype=response")),
         _header("Content-Length", F.octet_length(block).cast("string")),
@@ -140,7 +149,10 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
 
 
 def resolved(found: DataFrame) -> DataFrame:
-    """Each record with refers_to, the page of the response that a revisit refers to, and its payload where read."""
+    """Each record with refers_to, the page of the response that a revisit refers to, and its payload where read.
+
+    ``found`` is used twice: stage it, unless payloads are read, to parse the archives once.
+    """
     originals = found.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page").alias("refers_to"), F.col("payload").alias("its_payload")).dropDuplicates(["refers_to_id"])
     joined = found.join(originals, "refers_to_id", "left")
     return joined.withColumn("payload", F.coalesce("payload", "its_payload")).drop("its_payload", "refers_to_id")

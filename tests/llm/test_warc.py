@@ -27,6 +27,21 @@ def test_round_trip(spark):
     assert warc.read(spark, warc.write(df.limit(0))).count() == 0
 
 
+def test_revisits_name_the_response(spark):
+    """Headers of the archives themselves: a revisit has id, url and date of its response, no block but HTTP headers."""
+    path = warc.write(spark.createDataFrame([*PAGES, (5, "http://b z", BIG, "q")], "page_id long, url string, html string, digest string"))
+    files = spark.read.format("binaryFile").load(f"{path}/*.gz").select("content").collect()
+    heads = [(h, payload) for f in files for h, _, payload in warc._parsed(bytes(f["content"]))]
+    responses = {h["WARC-Record-ID"]: h for h, _ in heads if h["WARC-Type"] == "response" and "X-Page-ID" in h}
+    revisits = [(h, payload) for h, payload in heads if h["WARC-Type"] == "revisit"]
+    assert {h["X-Page-ID"] for h, _ in revisits} == {"1", "2", "8"}
+    for h, payload in revisits:
+        its = responses[h["WARC-Refers-To"]]
+        assert (its["X-Page-ID"], h["WARC-Refers-To-Target-URI"]) == (("9", "http://j") if h["X-Page-ID"] == "8" else ("5", "http://c"))
+        assert h["WARC-Refers-To-Date"] == its["WARC-Date"] and h["WARC-Profile"] == warc.PROFILE and not payload
+    assert not any("WARC-Refers-To-Date" in h for h in responses.values())
+
+
 def test_urls_are_percent_encoded(spark):
     df = spark.createDataFrame([(1, "http://a.b/x y\tz\r\n\x00\x7f%20é", "p")], "page_id long, url string, html string")
     found = warc.read(spark, warc.write(df)).collect()
