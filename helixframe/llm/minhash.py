@@ -128,40 +128,34 @@ def _confirm(batches, width: int, percent: int):
         yield pa.RecordBatch.from_arrays([a.take(at), b.take(at)], ["a", "b"])
 
 
-def _low(shingles: np.ndarray) -> int:
-    """Half of the digest that tells equal sets."""
-    return int(np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), "<i8")[1])
-
-
 def _shingles(batches, width: int):
-    """low (as in the features) and shingle, a row for each shingle of each text."""
+    """node and shingle, a row for each shingle of each text."""
     for batch in batches:
-        for text in batch.column(1):
+        nodes, texts = batch.columns
+        for i, text in enumerate(texts):
             own = shingle_set(text.as_py(), width)
             if len(own):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), _low(own))), pa.array(own.view(np.int64))], ["low", "shingle"])
+                node = nodes.take(pa.array(np.full(len(own), i)))
+                yield pa.RecordBatch.from_arrays([node, pa.array(own.view(np.int64))], ["node", "shingle"])
 
 
 def _counts(batches, width: int):
-    """low and how many shingles of a text fall into each part."""
+    """node and how many shingles of its text fall into each part."""
     for batch in batches:
-        low, parts = [], []
-        for text in batch.column(1):
-            own = shingle_set(text.as_py(), width)
-            low.append(_low(own))
-            parts.append(np.bincount((own % _U64(PARTS)).astype(int), minlength=PARTS))
-        yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(parts, pa.list_(pa.int32()))], ["low", "parts"])
+        parts = [np.bincount((shingle_set(text.as_py(), width) % _U64(PARTS)).astype(int), minlength=PARTS) for text in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.list_(pa.int32()))], ["node", "parts"])
 
 
 def shared_parts(texts: DataFrame, width: int) -> DataFrame:
-    """low, parts: how many shingles of a set that some other row of ``texts`` has fall into each part."""
-    rows = texts.mapInArrow(lambda b: _shingles(b, width), "low long, shingle long")
-    once = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("low").alias("low")).filter("n = 1")
-    own = once.groupBy("low", F.pmod(F.col("shingle"), F.lit(PARTS)).cast("int").alias("part")).agg(F.count("*").cast("int").alias("n"))
-    own = own.groupBy("low").agg(F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("own"))  # at most PARTS entries
-    counts = texts.mapInArrow(lambda b: _counts(b, width), "low long, parts array<int>").dropDuplicates(["low"])
+    """node, parts: how many shingles of a node's set that some other row of ``texts`` has fall into each part."""
+    made = lambda name, kind: T.StructType([T.StructField("node", texts.schema["node"].dataType), T.StructField(name, kind)])
+    rows = texts.mapInArrow(lambda b: _shingles(b, width), made("shingle", T.LongType()))
+    once = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1")
+    own = once.groupBy("node", F.pmod(F.col("shingle"), F.lit(PARTS)).cast("int").alias("part")).agg(F.count("*").cast("int").alias("n"))
+    own = own.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("own"))  # at most PARTS entries
+    counts = texts.mapInArrow(lambda b: _counts(b, width), made("parts", T.ArrayType(T.IntegerType()))).dropDuplicates(["node"])
     left = F.transform("parts", lambda n, p: n - F.coalesce(F.try_element_at("own", p), F.lit(0)))
-    return counts.join(own, "low", "left").select("low", left.alias("parts"))
+    return counts.join(own, "node", "left").select("node", left.alias("parts"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -201,7 +195,7 @@ def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
     rep = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "node"))
     members = features.drop("bands").join(several, ["high", "low"], "left").withColumn("rep", rep)
     own = linked.join(several, ["high", "low"], "left").filter("rep is null or rep = node")
-    rows = own.select("node", "low", "n_shingles", F.explode("bands").alias("key"))
+    rows = own.select("node", "n_shingles", F.explode("bands").alias("key"))
     hubs = rows.groupBy("key").agg(F.min(F.struct("node", "n_shingles")).alias("hub"), F.max("node").alias("last")).filter("last != hub.node")
     buckets = staged(rows.join(hubs.select("key", "hub"), "key"))
 
@@ -219,12 +213,12 @@ def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col:
         return rows.join(several.select("key", "first"), "key")
 
     component = F.coalesce("component", "node").alias("component")
-    open_ = staged(mixed(buckets.join(found, "node", "left").select("key", "node", "low", "n_shingles", component)).drop("first"))
+    open_ = staged(mixed(buckets.join(found, "node", "left").select("key", "node", "n_shingles", component)).drop("first"))
     ids = staged(open_.select("node").distinct())
     shared = shared_parts(texts.join(broadcast_if_small(ids), "node", "left_semi"), width)
     total = lambda x: F.aggregate(x, F.lit(0), lambda s, n: s + n)
-    alive = open_.join(shared, "low").withColumn("common", total("parts")).filter(100 * F.col("common") >= percent * F.col("n_shingles"))
-    alive = staged(mixed(alive.drop("low")))
+    alive = open_.join(shared, "node").withColumn("common", total("parts")).filter(100 * F.col("common") >= percent * F.col("n_shingles"))
+    alive = staged(mixed(alive))
     probes = alive.filter("component != first").select("key", *[F.col(c).alias(f"p_{c}") for c in ("node", "n_shingles", "component", "common", "parts")])
     bound = lambda common: (100 + percent) * common >= percent * (F.col("n_shingles") + F.col("p_n_shingles"))
     other = F.col("p_component") != F.col("component")
