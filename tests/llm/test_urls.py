@@ -142,3 +142,17 @@ def test_tokens(spark):
     got = [r[0] for r in df.select(urls.tokens(F.col("url"))).collect()]
     assert got[0] == sorted(["h:my-shop", "h:example", "h:org", "w:my", "w:shop", "w:example", "w:org", "p:a", "p:b2", "p:html", "q:ref", "q:id"])
     assert got[1:] == [[], []]
+
+
+def test_rules_hold_for_hosts_not_learned_from(spark):
+    """Rules of four fifths of the hosts, on the listed urls of the others: against the lists' own verdicts."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    labels = urls.listed_labels(pages, URL_RULES)
+    other = pages.select(F.col("page_id").alias("id"), (F.crc32(urls.host(F.col("url")).cast("binary")) % 5 == 0).alias("other"))
+    split_labels = labels.join(other, "id")
+    rules = urls.mined(pages, split_labels.filter("not other"), label_id="id", bad="bad")
+    judged = urls.judge(pages, rules, []).select(F.col("page_id").alias("id"), (F.col("verdict") == "block").alias("blocked"))
+    counts = {(r["bad"], r["blocked"]): r["count"] for r in split_labels.filter("other").join(judged, "id").groupBy("bad", "blocked").count().collect()}
+    hit, missed, wrong = counts.get((True, True), 0), counts.get((True, False), 0), counts.get((False, True), 0)
+    assert hit + missed >= 30 and counts.get((False, False), 0) >= 30
+    assert hit / (hit + missed) >= 0.9 and hit / (hit + wrong) >= 0.9, counts
