@@ -98,9 +98,8 @@ def smoothed_tracks(spark, at):
 
 def contour_segments(spark, at):
     """Outlines of types over twenty bins of each sequence."""
-    lengths = B.lengths(spark, at)
-    apart = intervals.merged(B.annotations(spark, at).withColumn("annot_type", F.col("feature_type")), lengths, ["accession", "annot_type"])
-    return intervals.contour(intervals.binned_share(apart, lengths, ["accession", "annot_type"], 20), ["accession", "annot_type"])
+    apart = intervals.merged_types(B.annotations(spark, at), B.lengths(spark, at), ("length",))
+    return intervals.contour(intervals.binned_share(apart, None, ["accession", "annot_type"], 20), ["accession", "annot_type"])
 
 
 def cooccurrence(spark, at):

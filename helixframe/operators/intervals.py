@@ -8,25 +8,49 @@ from pyspark.sql import functions as F
 from helixframe.functions.columns import interval_length, relative_midpoint
 
 
+#: Annotations of a task, so that what it sorts and groups stays the same however long the table is.
+TASK_ROWS = 100_000
+
+
+def tasks_for(rows: DataFrame, each: int = TASK_ROWS) -> int:
+    return max(1, -(-rows.count() // each))
+
+
 def masks(annotations: DataFrame, lengths: DataFrame) -> DataFrame:
     """accession, annot_type, pos: the positions that a type covers, each once.
 
     Closed intervals counted from 1 are cut to the sequence and exploded, so what
     follows are equi-joins on the position and no join on a range.
     """
-    apart = merged(annotations.withColumn("annot_type", F.col("feature_type")), lengths, ["accession", "annot_type"])
-    return apart.select("accession", "annot_type", F.explode(F.sequence("a", "b")).alias("pos"))
+    return merged_types(annotations, lengths).select("accession", "annot_type", F.explode(F.sequence("a", "b")).alias("pos"))
+
 
+def merged_types(annotations: DataFrame, lengths: DataFrame, carried: tuple[str, ...] = (), gap: int = 0) -> DataFrame:
+    """``merged`` by accession and annot_type, the annotations' feature_type."""
+    return merged(annotations.withColumn("annot_type", F.col("feature_type")), lengths, ["accession", "annot_type", *carried], gap)
 
-def merged(annotations: DataFrame, lengths: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, a, b: the intervals of each key, cut to the sequence, those that overlap as one."""
-    inside = annotations.join(lengths, "accession").select(*keys, F.greatest(F.col("start"), F.lit(1)).alias("a"), F.least("end", "length").alias("b")).filter("a <= b")
+
+def merged(annotations: DataFrame, lengths: DataFrame, keys: list[str], gap: int = 0, tasks: int | None = None) -> DataFrame:
+    """keys, a, b: the intervals of each key, cut to the sequence, those that overlap as one; with a ``gap`` of 1 those that adjoin, too.
+
+    ``keys`` has accession, and may have length.  Both tables are dealt out by
+    accession once, into as many tasks as the annotations' number asks for; what
+    is grouped by accession and more afterwards stays there.
+    """
+    tasks = tasks or tasks_for(annotations)
+    own = annotations.select("accession", *[k for k in keys if k not in ("accession", "length")], "start", "end").repartition(tasks, "accession")
+    joined = own.join(_dealt(lengths, tasks).hint("merge"), "accession")
+    inside = joined.select(*keys, F.greatest(F.col("start"), F.lit(1)).alias("a"), F.least("end", "length").alias("b")).filter("a <= b")
     order = Window.partitionBy(*keys).orderBy("a", "b")
     before = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    begun = inside.withColumn("begins", F.when(F.col("a") <= before, 0).otherwise(1)).withColumn("island", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    begun = inside.withColumn("begins", F.when(F.col("a") <= before + gap, 0).otherwise(1)).withColumn("island", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return begun.groupBy(*keys, "island").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("island")
 
 
+def _dealt(lengths: DataFrame, tasks: int) -> DataFrame:
+    return lengths.select("accession", "length").repartition(tasks, "accession")
+
+
 #: Positions of a bin that intervals are cut at.
 BIN = 64
 
@@ -79,12 +103,13 @@ def type_pairs(annotations: DataFrame) -> DataFrame:
     return pairs.groupBy("type_a", "type_b").agg(F.count("*").alias("n"))
 
 
-def binned_share(intervals: DataFrame, lengths: DataFrame, keys: list[str], bins: int = 100) -> DataFrame:
+def binned_share(intervals: DataFrame, lengths: DataFrame | None, keys: list[str], bins: int = 100) -> DataFrame:
     """keys, bin, share: how much of each bin's slice of positions the intervals (keys, a, b; apart from each other) cover; bins that they miss are left out.
 
     An interval is dealt to the bins that it touches and never laid out by position.
+    Intervals that carry the length of their accession need no ``lengths``.
     """
-    joined = intervals.join(lengths.select("accession", "length"), "accession")
+    joined = intervals if lengths is None else intervals.join(lengths.select("accession", "length"), "accession")
     size = F.col("length")
     first, last = F.greatest(F.floor((F.col("a") - 1) * bins / size) - 1, F.lit(0)), F.least(F.ceil(F.col("b") * bins / size), F.lit(bins - 1))
     dealt = joined.withColumn("bin", F.explode(F.sequence(first, last)))

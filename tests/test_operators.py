@@ -19,6 +19,24 @@ def test_masks_union_and_validity(spark):
     assert [tuple(r)[2:] for r in intervals.runs(intervals.masks(ann, lengths), ["accession", "annot_type"]).orderBy("first").collect()] == [(3, 7, 5), (9, 10, 2)]
 
 
+def _many_intervals(spark):
+    rng = random.Random(5)
+    rows = [(a, rng.choice("TU"), s := rng.randint(-2, 30), s + rng.randint(-1, 6)) for a in range(40) for _ in range(rng.randint(0, 7))]
+    ann = spark.createDataFrame(rows, "accession long, feature_type string, start int, end int")
+    return ann, spark.createDataFrame([(a, 10 + a % 20) for a in range(40)], "accession long, length int")
+
+
+def test_intervals_are_dealt_by_their_number(spark, monkeypatch):
+    """Twice the annotations are twice the tasks; contours stay where the intervals are, whatever the number of shuffle partitions."""
+    ann, lengths = _many_intervals(spark)
+    n = ann.count()
+    monkeypatch.setattr(intervals.tasks_for, "__defaults__", (n // 20,))
+    apart = intervals.merged_types(ann, lengths, ("length",))
+    assert apart.rdd.getNumPartitions() == -(-n // (n // 20))
+    cells = intervals.binned_share(apart, None, ["accession", "annot_type"], 5)
+    assert intervals.contour(cells, ["accession", "annot_type"]).rdd.getNumPartitions() == apart.rdd.getNumPartitions()
+
+
 SCORES = [0.9, 0.5, 0.5, 0.0, 0.0, 0.0]
 MARKS = [1, 0, 1, 1, 0, 0]
 
