@@ -51,6 +51,12 @@ def _dealt(lengths: DataFrame, tasks: int) -> DataFrame:
     return lengths.select("accession", "length").repartition(tasks, "accession")
 
 
+def extents(annotations: DataFrame, lengths: DataFrame) -> DataFrame:
+    """accession, annot_type, n, first, last: how many positions a type covers, the first and the last; from intervals, not position by position."""
+    apart = merged_types(annotations, lengths)
+    return apart.groupBy("accession", "annot_type").agg(F.sum(F.col("b") - F.col("a") + 1).alias("n"), F.min("a").alias("first"), F.max("b").alias("last"))
+
+
 #: Positions of a bin that intervals are cut at.
 BIN = 64
 
