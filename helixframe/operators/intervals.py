@@ -57,6 +57,12 @@ def extents(annotations: DataFrame, lengths: DataFrame) -> DataFrame:
     return apart.groupBy("accession", "annot_type").agg(F.sum(F.col("b") - F.col("a") + 1).alias("n"), F.min("a").alias("first"), F.max("b").alias("last"))
 
 
+def mask_runs(annotations: DataFrame, lengths: DataFrame) -> DataFrame:
+    """accession, annot_type, first, last, run_length: the ``runs`` of ``masks``, from intervals, not position by position."""
+    apart = merged_types(annotations, lengths, gap=1)
+    return apart.select("accession", "annot_type", F.col("a").alias("first"), F.col("b").alias("last"), (F.col("b") - F.col("a") + 1).cast("long").alias("run_length"))
+
+
 #: Positions of a bin that intervals are cut at.
 BIN = 64
 

@@ -26,12 +26,12 @@ def _many_intervals(spark):
     return ann, spark.createDataFrame([(a, 10 + a % 20) for a in range(40)], "accession long, length int")
 
 
-def test_extents_of_intervals_are_those_of_positions(spark):
+def test_extents_and_runs_of_intervals_are_those_of_positions(spark):
     ann, lengths = _many_intervals(spark)
     seen = intervals.masks(ann, lengths)
     keys = ["accession", "annot_type"]
     extents = seen.groupBy(*keys).agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
-    for from_intervals, by_position in ((intervals.extents(ann, lengths), extents),):
+    for from_intervals, by_position in ((intervals.extents(ann, lengths), extents), (intervals.mask_runs(ann, lengths), intervals.runs(seen, keys))):
         assert from_intervals.dtypes == by_position.dtypes
         assert sorted(from_intervals.collect()) == sorted(by_position.collect())
         assert "Generate" not in from_intervals._jdf.queryExecution().optimizedPlan().toString()
