@@ -91,8 +91,9 @@ def as_intervals(positions: DataFrame, keys: list[str]) -> DataFrame:
 
 def coverage(annotations: DataFrame, lengths: DataFrame) -> DataFrame:
     """Positions of each accession under any annotation, and their share of the length."""
-    covered = merged(annotations, lengths, ["accession"]).groupBy("accession").agg(F.sum(F.col("b") - F.col("a") + 1).alias("covered"))
-    return lengths.join(covered, "accession", "left").select("accession", "length", F.coalesce("covered", F.lit(0)).alias("covered")).withColumn("share", F.col("covered") / F.nullif(F.col("length").cast("double"), F.lit(0.0)))
+    tasks = tasks_for(annotations)
+    covered = merged(annotations, lengths, ["accession"], tasks=tasks).groupBy("accession").agg(F.sum(F.col("b") - F.col("a") + 1).alias("covered"))
+    return _dealt(lengths, tasks).join(covered.hint("merge"), "accession", "left").select("accession", "length", F.coalesce("covered", F.lit(0)).alias("covered")).withColumn("share", F.col("covered") / F.nullif(F.col("length").cast("double"), F.lit(0.0)))
 
 
 def with_geometry(annotations: DataFrame, lengths: DataFrame) -> DataFrame:

@@ -38,14 +38,18 @@ def test_extents_and_runs_of_intervals_are_those_of_positions(spark):
 
 
 def test_intervals_are_dealt_by_their_number(spark, monkeypatch):
-    """Twice the annotations are twice the tasks; contours stay where the intervals are, whatever the number of shuffle partitions."""
+    """Twice the annotations are twice the tasks; contours and coverage stay where the intervals are, whatever the number of shuffle partitions."""
     ann, lengths = _many_intervals(spark)
     n = ann.count()
+    whole = sorted(intervals.coverage(ann, lengths).collect())
     monkeypatch.setattr(intervals.tasks_for, "__defaults__", (n // 20,))
     apart = intervals.merged_types(ann, lengths, ("length",))
     assert apart.rdd.getNumPartitions() == -(-n // (n // 20))
     cells = intervals.binned_share(apart, None, ["accession", "annot_type"], 5)
     assert intervals.contour(cells, ["accession", "annot_type"]).rdd.getNumPartitions() == apart.rdd.getNumPartitions()
+    covered = intervals.coverage(ann, lengths)
+    assert covered.rdd.getNumPartitions() == apart.rdd.getNumPartitions()
+    assert sorted(covered.collect()) == whole
 
 
 SCORES = [0.9, 0.5, 0.5, 0.0, 0.0, 0.0]
