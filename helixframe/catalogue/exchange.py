@@ -17,7 +17,7 @@ from helixframe.catalogue import selection as S
 from helixframe.operators import attention, autoencoder, prep
 from helixframe.plans import bindings as B
 from helixframe.plans.bindings import rounded, sql
-from helixframe.plans.staging import checkpoint_dir, table
+from helixframe.plans.staging import checkpoint_dir, spread, table
 from helixframe.sources import archives, files, paged, providers
 
 #: Types that the bound provider fails on.
@@ -185,14 +185,15 @@ def _letters():
     def provider(texts):
         if any(t.startswith(UNKNOWN) for t in texts):
             raise ValueError("not known")
-        return [np.array([[ord(c), len(t)] for c in t]) for t in texts]
+        codes = [np.frombuffer(t.encode("utf-32-le"), "<u4") for t in texts]
+        return [np.stack([c, np.full_like(c, len(c))], axis=1) for c in codes]
 
     return provider
 
 
 def provided_vectors(spark, at):
     """A model of two numbers for each letter, that fails on some sequences, of which each gives a row."""
-    parts = table(spark, at, "part").select(F.col("p_partkey").alias("accession"), F.col("p_type").alias("sequence"))
+    parts = spread(table(spark, at, "part").select(F.col("p_partkey").alias("accession"), F.col("p_type").alias("sequence")))
     rows = providers.provided(parts, _letters)
     return rows.select("accession", "pos", F.get("x", F.lit(0)).alias("code"), F.get("x", F.lit(1)).alias("length"), "error")
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from helixframe.sources import features, files, paged, providers
 
 
@@ -144,3 +145,26 @@ def test_attention_by_heads(spark):
     keys = providers.by_key(rows.filter("accession = 1"))
     got = {tuple(r)[:5]: r["weight"] for r in keys.collect()}
     assert got == {(1, lay, h, q, k): 0.25 for lay in (1, 2) for h in (1, 2, 3) for q in (1, 2, 3, 4) for k in (1, 2, 3, 4)}
+
+
+def test_short_table_is_dealt_to_all_cores(spark, tmp_path):
+    """A table of one file is more than one task's work; answers of several widths, errors and batches keep their rows."""
+    spark.range(40).selectExpr("id AS p_partkey", "concat('TYPE ', id) AS p_type").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    df = __spark_entry__.queries()["provided_vectors"](spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert {(r["accession"], r["pos"], r["code"], r["length"]) for r in df.collect()} == {(i, n, float(ord(c)), float(len(t))) for i in range(40) for t in [f"TYPE {i}"] for n, c in enumerate(t, 1)}
+
+
+def test_vectors_of_several_widths(spark):
+    def make():
+        def provider(texts):
+            if "X" in texts[0]:
+                raise ValueError("x")
+            return [np.full((len(t), len(t)), float("nan") if t == "N" else len(t)) for t in texts]
+
+        return provider
+
+    df = spark.createDataFrame([(None, "AB"), ("p", "X"), ("q", "ABC"), ("r", "")], "accession string, sequence string").coalesce(1)
+    rows = providers.provided(df, make, batch=1)
+    assert rows.dtypes == [("accession", "string"), ("pos", "int"), ("x", "array<double>"), ("error", "string")]
+    assert [tuple(r) for r in rows.collect()] == [(None, 1, [2.0, 2.0], None), (None, 2, [2.0, 2.0], None), ("p", None, None, "ValueError: x"), *[("q", i, [3.0] * 3, None) for i in (1, 2, 3)]]
