@@ -219,11 +219,16 @@ def moving_average(spark, at):
     return rounded(rows.select("event_id", reports.moving_average(rows, "value", ["user_id"], "event_id", 5).alias("smooth")))
 
 
+#: Residues, each with its vector, of a task that makes attention weights.
+RESIDUES_OF_TASK = 5_000
+
+
 def _attention(spark, at):
-    """Weights of two layers and two heads between the residues of a protein, from their products."""
+    """Weights of two layers and two heads between the residues of a protein, from their products; proteins are dealt out by the number of residues."""
     own = B.residues(spark, at).select("accession", "pos", "x")
+    own = own.repartition(intervals.tasks_for(table(spark, at, "embeddings"), RESIDUES_OF_TASK), "accession")
     other = own.select("accession", F.col("pos").alias("key"), F.col("x").alias("y"))
-    pairs = own.withColumnRenamed("pos", "query").join(other, "accession")
+    pairs = own.withColumnRenamed("pos", "query").join(other.hint("merge"), "accession")
     head = F.explode(F.array(*[F.struct(F.lit(layer).alias("layer"), F.lit(h).alias("head"), F.lit(32 * (layer - 1) + 16 * (h - 1) + 1).alias("at")) for layer in (1, 2) for h in (1, 2)]))
     parts = pairs.select("accession", "query", "key", "x", "y", head.alias("h"))
     part = lambda c: F.slice(c, F.col("h.at"), 16)

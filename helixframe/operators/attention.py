@@ -16,19 +16,17 @@ def profiles(attention: DataFrame) -> DataFrame:
     ``sent`` sums a query's weights over keys and ``received`` a key's over
     queries.  Aggregates: their means over layers and heads, the largest sent, the
     last layer's mean, and each layer's mean; each scaled to 0..1 in the protein.
+    The weights are read once; rows dealt out by accession stay where they are.
     """
-    sent = attention.groupBy("accession", "layer", "head", F.col("query").alias("pos")).agg(F.sum("weight").alias("w"))
-    received = attention.groupBy("accession", "layer", "head", F.col("key").alias("pos")).agg(F.sum("weight").alias("w"))
-    overall = sent.groupBy("accession", "pos").agg(F.avg("w").alias("mean_sent"), F.max("w").alias("max_sent"))
-    back = received.groupBy("accession", "pos").agg(F.avg("w").alias("mean_received"))
-    layers = sent.groupBy("accession", "layer", "pos").agg(F.avg("w").alias("score"))
-    last = layers.join(layers.groupBy("accession").agg(F.max("layer").alias("layer")), ["accession", "layer"])
-    out = (
-        overall.select("accession", "pos", F.inline(F.array(*[F.struct(F.lit(c).alias("attn_agg"), F.col(c).alias("score")) for c in ("mean_sent", "max_sent")])))
-        .unionByName(back.select("accession", "pos", F.lit("mean_received").alias("attn_agg"), F.col("mean_received").alias("score")))
-        .unionByName(last.select("accession", "pos", F.lit("last_layer_sent").alias("attn_agg"), "score"))
-        .unionByName(layers.select("accession", "pos", F.format_string("layer_%02d_sent", "layer").alias("attn_agg"), "score"))
-    )
+    sides = F.inline(F.array(F.struct(F.col("query").alias("pos"), F.lit(True).alias("sent")), F.struct(F.col("key").alias("pos"), F.lit(False).alias("sent"))))
+    sums = attention.select("accession", "layer", "head", sides, "weight").groupBy("accession", "layer", "head", "pos", "sent").agg(F.sum("weight").alias("w"))
+    named = lambda c: F.struct(c.alias("attn_agg"))
+    own_layer = F.format_string("layer_%02d_sent", "layer")
+    sent = F.array(*[named(c) for c in (F.lit("mean_sent"), F.lit("max_sent"), own_layer)])
+    last = F.when(F.col("layer") == F.max("layer").over(Window.partitionBy("accession")), F.array(named(F.lit("last_layer_sent")))).otherwise(F.array().cast("array<struct<attn_agg:string>>"))
+    dealt = sums.withColumn("last", last).select("accession", "pos", "w", F.inline(F.when(F.col("sent"), F.concat(sent, "last")).otherwise(F.array(named(F.lit("mean_received"))))))
+    both = dealt.groupBy("accession", "pos", "attn_agg").agg(F.avg("w").alias("mean"), F.max("w").alias("most"))
+    out = both.select("accession", "pos", "attn_agg", F.when(F.col("attn_agg") == "max_sent", F.col("most")).otherwise(F.col("mean")).alias("score"))
     return out.withColumn("score", min_max(F.col("score"), Window.partitionBy("accession", "attn_agg")))
 
 

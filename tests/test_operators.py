@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from helixframe.operators import alignment as A
 from helixframe.operators import attention, batching, encoding, evidence, figures, intervals, prep, reports
 from helixframe.operators.quantiles import quantiles
@@ -357,6 +358,22 @@ def test_attention_axes(spark):
     assert {a for a, _ in got} == {"mean_sent", "max_sent", "mean_received", "last_layer_sent", "layer_01_sent"}
 
 
+def test_attention_of_proteins_with_several_layers(spark):
+    """The last layer is the protein's own; means are over heads and layers, the largest is over both."""
+    rows = [("p", layer, head, q, k, float(layer * head * q * q + k)) for layer in (1, 2) for head in (1, 2) for q in (1, 2, 3) for k in (1, 2, 3)] + [("q", 1, 1, q, k, float(k * k - q)) for q in (1, 2) for k in (1, 2)]
+    for dealt in (1, 6):
+        df = spark.createDataFrame(rows, "accession string, layer int, head int, query int, key int, weight double").repartition(dealt)
+        got = {(r["accession"], r["attn_agg"], r["pos"]): round(r["score"], 6) for r in attention.profiles(df).collect()}
+        assert len(got) == 3 * 6 + 2 * 5
+        assert [got["p", "mean_sent", n] for n in (1, 2, 3)] == [got["p", "last_layer_sent", n] for n in (1, 2, 3)] == [got["p", "layer_02_sent", n] for n in (1, 2, 3)] == [0, 0.375, 1]
+        assert [got["p", "mean_received", n] for n in (1, 2, 3)] == [0, 0.5, 1] and [got["q", "last_layer_sent", n] for n in (1, 2)] == [1, 0] and [got["q", "mean_received", n] for n in (1, 2)] == [0, 1]
+
+
+def test_attention_weights_are_made_once(spark, tiny):
+    plan = __spark_entry__.queries()["attention_reduce"](spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+
+
 def test_layer_choices(spark):
     rows = [("T", k, 0.1 * k) for k in range(6)] + [("U", k, 0.3) for k in range(6)] + [("V", 0, 0.2), ("V", 1, 0.6)]
     df = spark.createDataFrame(rows, "annot_type string, layer int, auprc double")
