@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fields of the source and their types; types left out; types whose description is dropped.
@@ -32,6 +32,11 @@ def long_form(wide: DataFrame, key: str = "accession") -> DataFrame:
     return wide.select(F.col(key).alias("accession"), F.inline(pairs))
 
 
+def _once(df: DataFrame, kept: list[str], **made: Column) -> DataFrame:
+    """``kept`` and the columns ``made``, worked out once for each row, where a plain projection is worked out again by each filter and use."""
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
+
+
 def parsed(long: DataFrame) -> DataFrame:
     """accession, feature_type, start, end, description, annot_subtype: a row for each entry of each value.
 
@@ -41,16 +46,18 @@ def parsed(long: DataFrame) -> DataFrame:
     kind = F.coalesce(F.try_element_at(names, F.col("field")), F.col("field"))
     typed = long.select("accession", kind.alias("feature_type"), F.trim("value").alias("value")).filter(~F.col("feature_type").isin(*LEFT_OUT) & F.col("value").isNotNull() & ~F.col("value").isin("", "-"))
     entries = typed.select("accession", "feature_type", F.explode(F.split("value", r"\s+(?=[A-Z_]{2,}\s+\d)")).alias("entry"))
-    entry = F.regexp_replace(F.trim("entry"), r"^[A-Z_]+\s+", "")
-    place = entries.withColumn("entry", entry).select("*", F.regexp_extract("entry", r"^(\d+(?:\.\.\d+)?)", 1).alias("place")).filter("place != ''")
-    start, end = F.expr("try_cast(split(place, '[.][.]')[0] AS int)"), F.expr("try_cast(element_at(split(place, '[.][.]'), -1) AS int)")
-    marked = lambda what: F.regexp_substr("entry", F.lit(f'/{what}="[^"]*"'))
-    text = lambda what: F.when(marked(what).isNotNull(), F.trim(F.regexp_extract("entry", f'/{what}="([^"]*)"', 1)))
-    ligand, note, description = text("ligand"), text("note"), text("description")
+    entries = _once(entries, ["accession", "feature_type"], entry=F.regexp_replace(F.trim("entry"), r"^[A-Z_]+\s+", ""))
+    place = _once(entries, ["accession", "feature_type", "entry"], place=F.regexp_extract("entry", r"^(\d+(?:\.\.\d+)?)", 1)).filter("place != ''")
+    start, end = F.expr("try_cast(split_part(place, '..', 1) AS int)"), F.expr("try_cast(split_part(place, '..', -1) AS int)")
+    placed = _once(place, ["accession", "feature_type", "entry"], start=start, end=end).filter("start > 0 and end > 0 and end >= start")
+    text = lambda what: F.when(F.contains("entry", F.lit(f'/{what}="')), F.regexp_extract("entry", f'/({what}="[^"]*)"', 1))
+    marked = _once(placed, ["accession", "feature_type", "start", "end"], ligand=text("ligand"), note=text("note"), description=text("description"))
+    value = lambda what: F.when(F.col(what) != "", F.trim(F.substring(what, len(what) + 3, 2**31 - 1)))
+    ligand, note, description = value("ligand"), value("note"), value("description")
     raw = F.when(ligand.isNotNull() & note.isNotNull(), F.concat(ligand, F.lit("; "), note)).otherwise(F.coalesce(ligand, note, description, F.lit("")))
     clean = F.trim(F.regexp_replace(F.trim(F.regexp_replace(raw, r"\[ECO:[^\]]+\]", "")), r"(?i)^(By similarity|Probable|Potential)[;,]?\s*", ""))
-    rows = place.select("accession", "feature_type", start.alias("start"), end.alias("end"), F.left(clean, F.lit(LONGEST)).alias("description"))
-    rows = rows.filter("start > 0 and end > 0 and end >= start").withColumn("description", F.when(F.col("feature_type").isin(*PLAIN), "").otherwise(F.col("description")))
+    rows = _once(marked, ["accession", "feature_type", "start", "end"], description=F.left(clean, F.lit(LONGEST)))
+    rows = rows.withColumn("description", F.when(F.col("feature_type").isin(*PLAIN), "").otherwise(F.col("description")))
     subtype = F.when(F.col("description") != "", F.concat("feature_type", F.lit(": "), "description")).otherwise(F.col("feature_type"))
     return rows.withColumn("annot_subtype", subtype)
 
@@ -58,5 +65,5 @@ def parsed(long: DataFrame) -> DataFrame:
 def feature_strings(annotations: DataFrame, keyword: str = "SITE") -> DataFrame:
     """accession, value: the annotations of each accession written as one feature string."""
     entry = F.concat(F.lit(f"{keyword} "), F.col("start").cast("string"), F.lit(".."), F.col("end").cast("string"), F.lit('; /note="'), "description", F.lit('"; '))
-    ordered = F.array_sort(F.collect_list(F.struct("start", "end", "description", entry.alias("entry"))))
-    return annotations.groupBy("accession").agg(F.trim(F.array_join(F.transform(ordered, lambda e: e["entry"]), "")).alias("value"))
+    ordered = F.sort_array(F.collect_list(F.struct("start", "end", "description", entry.alias("entry"))))
+    return annotations.groupBy("accession").agg(F.trim(F.array_join(ordered["entry"], "")).alias("value"))

@@ -63,6 +63,15 @@ def test_feature_strings(spark):
     assert parse(spark, "ft_site", f'SITE 1; /note="{"x" * 200}"')[0][2] == "x" * 120
 
 
+def test_feature_strings_are_parsed_once(spark):
+    """A pattern for the place and one for each of three marks, none worked out again by filters; an empty mark is not a missing one."""
+    df = spark.createDataFrame([("p", 'SITE 1; /note=""; /description="d"; SITE 2..3; /description="e"; SITE 4; /note="open')], "accession string, ft_site string")
+    rows = features.parsed(features.long_form(df))
+    assert [(r["start"], r["end"], r["description"]) for r in rows.orderBy("start").collect()] == [(1, 1, ""), (2, 3, "e"), (4, 4, "")]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 4
+
+
 def test_shards_rejects_and_metadata(spark, tmp_path):
     df = spark.range(1000).select("id", F.when(F.col("id") % 2 == 0, "train").otherwise("val").alias("split"))
     files.write_shards(df.coalesce(1), str(tmp_path / "s"), rows=100)
