@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from helixframe.catalogue import reports as catalogue_reports
 from helixframe.operators import alignment as A
 from helixframe.operators import attention, batching, encoding, evidence, figures, intervals, prep, reports
 from helixframe.operators.quantiles import quantiles
@@ -374,6 +375,13 @@ def test_attention_weights_are_made_once(spark, tiny):
     assert plan.count("Join ") == 1
 
 
+def test_attention_is_dealt_by_the_number_of_residues(spark, tiny, monkeypatch):
+    """Scores of layers, from which types of far peaks are chosen, and all other queries on attention start from these tasks."""
+    n = spark.read.parquet(f"{tiny}/embeddings.parquet").count()
+    monkeypatch.setattr(catalogue_reports, "RESIDUES_OF_TASK", n // 20)
+    assert attention.profiles(catalogue_reports._attention(spark, tiny)).rdd.getNumPartitions() == -(-n // (n // 20))
+
+
 def test_layer_choices(spark):
     rows = [("T", k, 0.1 * k) for k in range(6)] + [("U", k, 0.3) for k in range(6)] + [("V", 0, 0.2), ("V", 1, 0.6)]
     df = spark.createDataFrame(rows, "annot_type string, layer int, auprc double")
